@@ -1,0 +1,19 @@
+"""Lookup joins whose broadcast is decided by a checked size."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """True when df has at most `rows` rows; reads no more than rows + 1 of them."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def lookup(facts: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join with a lookup table. Broadcast only when the row count was checked;
+    otherwise a plain join, where AQE splits skewed partitions of the fact side."""
+    if small_enough(dim, max_rows):
+        dim = F.broadcast(dim)
+    return facts.join(dim, on, how)
