@@ -241,3 +241,78 @@ def agentic(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("identity"),
         action.alias("action"),
     )
+
+
+# ------------------------------------------------------------------ payloads from conversations
+
+_ESC = "text"
+for _a, _b in (("chr(92)", "chr(92) || chr(92)"), ("chr(34)", "chr(92) || chr(34)"), ("chr(10)", "chr(92) || 'n'"),
+               ("chr(13)", "chr(92) || 'r'"), ("chr(9)", "chr(92) || 't'")):
+    _ESC = f"replace({_ESC}, {_a}, {_b})"
+CRLF = "chr(13) || chr(10)"
+
+
+def _json(template: str) -> str:
+    """'...{col}...' -> a concatenation; {name} inserts a column."""
+    import re
+
+    out = []
+    for piece in re.split(r"(<\w+>)", template):
+        if not piece:
+            continue
+        out.append(f"CAST({piece[1:-1]} AS STRING)" if re.fullmatch(r"<\w+>", piece) else "'" + piece.replace("'", "''") + "'")
+    return " || ".join(out)
+
+
+HOSTS = quoted("api.openai.com", "api.anthropic.com", "corp.openai.azure.com", "mcp.internal", "box.internal", "example.com")
+REQ_PATHS = quoted("/v1/chat/completions", "/v1/messages", "/openai/deployments/x/chat/completions?v=1", "/rpc", "/run", "/upload")
+REQUEST_BODIES = [
+    '{"model":"<model>","messages":[{"role":"system","content":"Be brief <fam>"},{"role":"user","content":"<esc>"}],"temperature":0.5,"max_tokens":256,"stream":true}',
+    '{"model":"<model>","system":"Be kind","messages":[{"role":"user","content":[{"type":"text","text":"<esc>"},{"type":"tool_result","tool_use_id":"toolu_<prev>","content":[{"type":"text","text":"ok <esc>"}]}]}],"max_tokens":1024}',
+    '{"model":"<model>","messages":[{"role":"user","content":[{"type":"text","text":"<esc>"},{"type":"image_url"}]},{"role":"tool","tool_call_id":"call_<prev>","name":"search","content":"<esc>"}],"max_completion_tokens":99}',
+    '{"jsonrpc":"2.0","id":<turn>,"method":"<rpc_method>","params":{"name":"lookup","q":"<esc>"}}',
+    '{"prompt":"<esc>","temperature":0.1,"top_p":0.9}',
+    '{"note":"<esc>"}',
+]
+RESPONSE_BODIES = [
+    '{"id":"r<turn>","model":"<model>","choices":[{"message":{"role":"assistant","content":"<esc>","tool_calls":[{"id":"call_<turn>","function":{"name":"search","arguments":"{}"}}]}}]}',
+    '{"type":"message","model":"<model>","content":[{"type":"text","text":"<esc>"},{"type":"tool_use","id":"toolu_<turn>","name":"lookup","input":{"q":1}}]}',
+    'data: {"choices":[{"delta":{"content":"<esc>"}}]}',
+    '{"jsonrpc":"2.0","id":<prev>,"result":{"tools":[{"name":"zeta"},{"name":"alpha <fam>"},{"name":"t<prev>"}]}}',
+    '{"completion":"<esc>"}',
+    "<text>",
+]
+UAS = quoted("openai-python/1.3.5", "Anthropic-Python 0.8.0", "curl/8.1.2 langchain", "Mozilla/5.0")
+
+register(Binding("conv", "conversations", {
+    "conv_id": "conv_id", "turn": "turn", "prev": "turn - 1", "role": "role", "text": "text", "esc": _ESC,
+    "fam": "conv_id % 6", "direction": "CAST(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS INT)",
+    "model": pick("conv_id % 4", MODELS), "rpc_method": pick("turn % 6", METHODS),
+    "framed": "(conv_id + turn) % 5 <> 4", "cut": "(conv_id + turn) % 7 = 6",
+}))
+register(Binding("bodies", "conv", {
+    **{c: c for c in ("conv_id", "turn", "role", "text", "fam", "direction", "framed", "cut")},
+    "host": pick("fam", HOSTS), "req_path": pick("fam", REQ_PATHS), "ua": pick("conv_id % 4", UAS),
+    "doc": f"CASE direction WHEN 0 THEN {pick('fam', [_json(b) for b in REQUEST_BODIES])} ELSE {pick('fam', [_json(b) for b in RESPONSE_BODIES])} END",
+}))
+register(Binding("cutbodies", "bodies", {
+    **{c: c for c in ("conv_id", "turn", "role", "text", "fam", "direction", "framed", "host", "req_path", "ua")},
+    "doc": "CASE WHEN cut THEN left(doc, CAST(greatest(length(doc) - 40, 0) AS INT)) ELSE doc END",
+}))
+register(Binding("payloads", "cutbodies", {
+    "conv_id": "conv_id", "turn": "turn", "fam": "fam", "direction": "direction",
+    "pid": "conv_id", "ssl_ptr": "conv_id * 16 + 1", "seq": "turn", "comm": "'agent' || " + _STR("fam"),
+    "session_id": f"{_STR('conv_id')} || ':x'",
+    "timestamp_ns": "(conv_id * 100000 + turn * 1000) * 1000000",
+    "sni": "CASE WHEN conv_id % 5 > 0 THEN host END",
+    "payload_text": f"""CASE WHEN NOT framed OR (fam = 2 AND direction = 1) THEN doc
+      WHEN direction = 0 THEN 'POST ' || req_path || ' HTTP/1.1' || {CRLF} || 'Host: ' || host || {CRLF} || 'User-Agent: ' || ua || {CRLF}
+        || CASE WHEN conv_id % 9 = 4 THEN 'bad header' || {CRLF} ELSE '' END || 'Authorization: Bearer sk-abcdefghijkl' || {CRLF} || 'X-Request: 1' || {CRLF}
+        || CASE WHEN fam = 1 THEN 'anthropic-version: 2023-06-01' || {CRLF} ELSE '' END || 'Content-Type: application/json' || {CRLF} || {CRLF} || doc
+      ELSE 'HTTP/1.1 200 OK' || {CRLF} || 'Content-Type: application/json' || {CRLF} || {CRLF} || doc END""",
+}))
+
+
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bound(spark, sf_dir, "payloads")
+    return rows.withColumn("payload", F.col("payload_text").cast("binary")).drop("payload_text")

@@ -81,6 +81,7 @@ def main():
             print(f"FAIL  {name}: {type(e).__name__} {str(e)[:1500]}")
             if os.environ.get("TRACE"):
                 traceback.print_exc()
+    sys.stdout.flush()
     print(f"{good} good, {bad} bad")
 
 
