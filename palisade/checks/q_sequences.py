@@ -72,9 +72,9 @@ def w5(spark, d):
 
 BYTES = """SELECT pid, window_end, round(CASE WHEN r > 0 THEN s / r WHEN s > 0 THEN 10.0 ELSE 0.0 END, 6) AS send_recv_ratio,
   round(CASE WHEN ns > 0 THEN s / ns / 1024 ELSE 0 END, 6) AS send_kb, round(CASE WHEN nr > 0 THEN r / nr / 1024 ELSE 0 END, 6) AS recv_kb,
-  round(vp / 1e6, 6) AS byte_var, round(z / n, 6) AS zero_fraction, round((s + r) / 1024, 6) AS total_kb
+  round((n * sq - tb * tb)::DOUBLE / (n * n) / 1e6, 6) AS byte_var, round(z / n, 6) AS zero_fraction, round((s + r) / 1024, 6) AS total_kb
   FROM (SELECT pid, window_end, max(n) AS n, coalesce(sum(bytes) FILTER (WHERE event_type = 2), 0)::DOUBLE AS s, coalesce(sum(bytes) FILTER (WHERE event_type = 3), 0)::DOUBLE AS r,
-  count(*) FILTER (WHERE event_type = 2) AS ns, count(*) FILTER (WHERE event_type = 3) AS nr, var_pop(bytes) AS vp, count(*) FILTER (WHERE bytes = 0) AS z FROM we GROUP BY 1, 2)"""
+  count(*) FILTER (WHERE event_type = 2) AS ns, count(*) FILTER (WHERE event_type = 3) AS nr, sum(bytes * bytes)::BIGINT AS sq, sum(bytes)::BIGINT AS tb, count(*) FILTER (WHERE bytes = 0) AS z FROM we GROUP BY 1, 2)"""
 
 
 @query("w6_byte_features", WIN + " " + BYTES)
@@ -167,7 +167,7 @@ FOLLOW = """, fol AS (SELECT num.* FROM num JOIN verdicts v USING (pid, ssl_ptr)
 
 @query("t1_connection_verdicts", VERDICT + " SELECT * FROM verdicts")
 def t1(spark, d):
-    return T.connection_verdicts(chunk_rows(spark, d))
+    return T.connection_verdicts(chunk_rows(spark, d)).drop("decided_by")
 
 
 @query("a10_verdict_counters", VERDICT + " SELECT verdict, count(*) AS connections FROM verdicts GROUP BY 1")
@@ -232,6 +232,6 @@ def c19(spark, d):
     headers = F.concat(frame(F.lit(2), "010400000001"), F.unhex(F.lit("8286")))
     wire = F.concat(F.when((F.col("turn") == 0) & (F.col("direction") == 0), F.lit(rules.H2_PREFACE.encode())).otherwise(F.lit(b"")), headers, data)
     rows = c.select(F.col("conv_id").alias("pid"), F.lit(1).alias("ssl_ptr"), "direction", (F.col("turn") * 1000).alias("timestamp_ns"), F.col("turn").alias("seq"), wire.alias("payload"))
-    verdicts = rows.select("pid", "ssl_ptr").distinct().select("*", F.lit("interesting").alias("verdict"), F.lit(1).alias("decided_at"))
+    verdicts = rows.select("pid", "ssl_ptr").distinct().select("*", F.lit("interesting").alias("verdict"), F.struct(F.lit(0).cast("bigint").alias("timestamp_ns"), F.lit(0).cast("bigint").alias("seq")).alias("decided_by"))
     out = h2.reassemble_h2(T.flow_buffers(rows, verdicts))
     return out.select("pid", "direction", F.col("body").cast("string").alias("body"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from palisade import rules
 from palisade.operators.classify import classify_payloads
 from palisade.operators.enrich import sni_provider
-from palisade.plans.ordered import carry_last, running, sequence_number, time_slice
+from palisade.plans.ordered import SLICE, carry_last, running, sequence_number, time_slice
+from palisade.plans.stage import materialize
 
 CONN = ["pid", "ssl_ptr"]
 ORDER = ["timestamp_ns", "seq"]
@@ -30,16 +31,22 @@ def connection_verdicts(chunks: DataFrame, undecided=rules.UNDECIDED_CHUNKS) ->
     first = Window.partitionBy(*CONN).orderBy(*ORDER)
     head = chunks.withColumn("chunk_no", F.row_number().over(first)).filter(F.col("chunk_no") <= undecided)
     hit = F.col("is_interesting") | sni_provider(F.col("sni")).isNotNull()
+    position = F.struct("chunk_no", *ORDER)
     hits = (
         classify_payloads(head, with_fingerprint=False)
         .groupBy(*CONN)
-        .agg(F.min(F.when(hit, F.col("chunk_no"))).alias("hit_at"))
+        .agg(F.min(F.when(hit, position)).alias("_hit"))
     )
     seen = chunks.groupBy(*CONN).agg(F.count(F.lit(1)).alias("chunks_seen"))
     boring = F.col("chunks_seen") >= undecided
-    verdict = F.when(F.col("hit_at").isNotNull(), "interesting").when(boring, "boring").otherwise("undecided")
-    decided = F.coalesce("hit_at", F.when(boring, F.lit(undecided)))
-    return seen.join(hits, CONN).select(*CONN, verdict.alias("verdict"), decided.alias("decided_at"), "chunks_seen")
+    verdict = F.when(F.col("_hit").isNotNull(), "interesting").when(boring, "boring").otherwise("undecided")
+    return seen.join(hits, CONN).select(
+        *CONN,
+        verdict.alias("verdict"),
+        F.coalesce("_hit.chunk_no", F.when(boring, F.lit(undecided))).alias("decided_at"),
+        F.struct("_hit.timestamp_ns", "_hit.seq").alias("decided_by"),
+        "chunks_seen",
+    )
 
 
 def first_chunks(chunks: DataFrame, slice_ns=SLICE_NS) -> DataFrame:
@@ -48,14 +55,11 @@ def first_chunks(chunks: DataFrame, slice_ns=SLICE_NS) -> DataFrame:
     return numbered.withColumn("is_first_chunk", F.col("_n") == 1).drop("_n")
 
 
-def followed_chunks(chunks: DataFrame, verdicts: DataFrame, slice_ns=SLICE_NS) -> DataFrame:
+def followed_chunks(chunks: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Non-empty chunks of interesting connections from the deciding chunk on."""
-    chosen = verdicts.filter(F.col("verdict") == "interesting").select(*CONN, "decided_at")
-    # pruning by connection first keeps boring payloads out of the shuffles below
-    wanted = chunks.join(chosen.select(*CONN), CONN, "left_semi")
-    numbered = sequence_number(wanted, CONN, ORDER, _slice(slice_ns), "chunk_no")
-    kept = numbered.join(chosen, CONN).filter(F.col("chunk_no") >= F.col("decided_at")).drop("decided_at")
-    return kept.filter(F.octet_length("payload") > 0)
+    chosen = verdicts.filter(F.col("verdict") == "interesting").select(*CONN, "decided_by")
+    filled = chunks.filter(F.octet_length("payload") > 0)
+    return filled.join(chosen, CONN).filter(F.struct(*ORDER) >= F.col("decided_by")).drop("decided_by")
 
 
 def _capped(rows: DataFrame, start, cap: int) -> DataFrame:
@@ -69,7 +73,7 @@ _GLUE = "listagg(_piece) WITHIN GROUP (ORDER BY timestamp_ns, seq)"
 
 def flow_buffers(chunks: DataFrame, verdicts: DataFrame, cap=rules.FLOW_CAP, slice_ns=SLICE_NS) -> DataFrame:
     """First `cap` bytes of each direction of every interesting connection."""
-    kept = followed_chunks(chunks, verdicts, slice_ns)
+    kept = materialize(followed_chunks(chunks, verdicts))
     key = [*CONN, "direction"]
     sized = running(kept, key, ORDER, _slice(slice_ns), _end=("sum", F.octet_length("payload").cast("bigint")))
     pieces = _capped(sized, F.col("_end") - F.octet_length("payload"), cap)
@@ -81,17 +85,37 @@ def turns(chunks: DataFrame, verdicts: DataFrame, cap=rules.FLOW_CAP, slice_ns=S
 
     turn_no counts from 1 per connection. `emitted` is false for the last run, which no
     chunk of the other direction has closed yet."""
-    kept = followed_chunks(chunks, verdicts, slice_ns)
-    slices = _slice(slice_ns)
+    kept = materialize(followed_chunks(chunks, verdicts)).withColumn(SLICE, _slice(slice_ns))
     size = F.octet_length("payload").cast("bigint")
-    before = carry_last(kept, CONN, ORDER, slices, F.col("direction"), "_before", inclusive=False)
-    turned = before.withColumn("_new", (F.col("_before").isNull() | (F.col("_before") != F.col("direction"))).cast("bigint"))
-    placed = running(turned, CONN, ORDER, slices, turn_no=("sum", F.col("_new")), _end=("sum", size))
-    base = F.when(F.col("_new") == 1, F.col("_end") - size)
-    based = carry_last(placed, CONN, ORDER, slices, base, "_base")
-    totals = placed.groupBy(*CONN).agg(F.max("turn_no").alias("_last"))
-    summary = based.groupBy(*CONN, "turn_no").agg(F.count(F.lit(1)).alias("chunks"), F.max("timestamp_ns").alias("ended_ns"))
-    pieces = _capped(based, F.col("_end") - size - F.col("_base"), cap)
+    inside = Window.partitionBy(*CONN, SLICE).orderBy(*ORDER)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    turned = kept.withColumn("_turned", (F.col("direction") != F.lag("direction").over(inside)).cast("bigint"))
+    local = turned.withColumn("_turn", F.coalesce(F.sum("_turned").over(upto), F.lit(0))).withColumn("_end", F.sum(size).over(upto))
+
+    # one summary row per slice decides whether its first run continues the previous slice's last one
+    slices = local.groupBy(*CONN, SLICE).agg(
+        F.max("_turn").alias("_turns"), F.sum(size).alias("_bytes"),
+        F.min_by("direction", F.struct(*ORDER)).alias("_first"), F.max_by("direction", F.struct(*ORDER)).alias("_last"),
+    )
+    along = Window.partitionBy(*CONN).orderBy(SLICE)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    opened = slices.withColumn("_open", F.coalesce((F.lag("_last").over(along) != F.col("_first")).cast("bigint"), F.lit(1)))
+    offsets = opened.select(
+        *CONN, SLICE,
+        (F.coalesce(F.sum(F.col("_open") + F.col("_turns")).over(before), F.lit(0)) + F.col("_open")).alias("_turn0"),
+        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_byte0"),
+    )
+    placed = (
+        local.join(offsets, [*CONN, SLICE])
+        .withColumn("turn_no", F.col("_turn0") + F.col("_turn"))
+        .withColumn("_start", F.col("_byte0") + F.col("_end") - size)
+        .drop("_turned", "_turn", "_end", "_turn0", "_byte0", SLICE)
+    )
+    summary = placed.groupBy(*CONN, "turn_no").agg(
+        F.min("_start").alias("_base"), F.count(F.lit(1)).alias("chunks"), F.max("timestamp_ns").alias("ended_ns")
+    )
+    totals = summary.groupBy(*CONN).agg(F.max("turn_no").alias("_last"))
+    pieces = _capped(placed.join(summary.select(*CONN, "turn_no", "_base"), [*CONN, "turn_no"]), F.col("_start") - F.col("_base"), cap)
     bodies = pieces.groupBy(*CONN, "turn_no").agg(
         F.expr(_GLUE).alias("payload"),
         F.min("direction").alias("direction"),
@@ -100,7 +124,7 @@ def turns(chunks: DataFrame, verdicts: DataFrame, cap=rules.FLOW_CAP, slice_ns=S
         *[F.max_by(c, F.struct(*ORDER)).alias(c) for c in keep],
     )
     return (
-        bodies.join(summary, [*CONN, "turn_no"])
+        bodies.join(summary.drop("_base"), [*CONN, "turn_no"])
         .join(totals, CONN)
         .withColumn("emitted", F.col("turn_no") < F.col("_last"))
         .drop("_last")

@@ -57,14 +57,12 @@ def carry_last(df: DataFrame, keys, order, slice_by: Column, value: Column, name
     inside, before = _frames(keys, order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     sliced = df.withColumn(SLICE, slice_by).withColumn("_v", value)
-    per_slice = (
-        sliced.filter(F.col("_v").isNotNull())
-        .groupBy(*keys, SLICE)
-        .agg(F.max_by("_v", F.struct(*order)).alias("_v"))
+    position = F.when(F.col("_v").isNotNull(), F.struct(*order))
+    offsets = (
+        sliced.groupBy(*keys, SLICE)
+        .agg(F.max_by("_v", position).alias("_v"))
+        .select(*keys, SLICE, F.last("_v", ignorenulls=True).over(before).alias("_o"))
     )
-    # every slice that has rows needs its predecessor's value, so the slice list comes from the rows
-    slices = sliced.select(*keys, SLICE).distinct().join(per_slice, [*keys, SLICE], "left")
-    offsets = slices.select(*keys, SLICE, F.last("_v", ignorenulls=True).over(before).alias("_o"))
     local = sliced.select("*", F.last("_v", ignorenulls=True).over(upto).alias("_l"))
     joined = local.join(offsets, [*keys, SLICE], "left")
     return joined.select(*df.columns, F.coalesce("_l", "_o").alias(name))

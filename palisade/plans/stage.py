@@ -5,11 +5,27 @@ With parse steps that build on one another (text -> head -> lines -> body -> fie
 that substitution grows exponentially. `settle` computes the columns in a one-row
 generator, which keeps its outputs opaque: every step is evaluated once per row."""
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame, **columns: Column) -> DataFrame:
     """Add (or replace) columns, each evaluated once and never inlined downstream."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    added = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    replaced = [c for c in columns if c in df.columns]
+    if not replaced:
+        return df.select("*", added)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in replaced], added)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a result that several later steps read, with a reliable checkpoint.
+
+    The folder is the one the cluster names in spark.checkpoint.dir; a temporary one is set
+    only where none is named, as in local tests. Lost executors re-read the written files."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
