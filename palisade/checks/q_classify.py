@@ -39,22 +39,22 @@ _JSON_SQL = f"""model, temperature, max_tokens, top_p, stream, jsonrpc, rpc_meth
 
 
 def _json_cols():
-    j = lambda n: F.col(f"json.{n}")
+    j = lambda n: F.col(f"j_{n}")
     return [
         *[j(n).alias(n) for n in ("model", "temperature", "max_tokens", "top_p", "stream", "jsonrpc")],
         j("method").alias("rpc_method"), j("id").alias("rpc_id"), *[j(f"has_{k}").alias(f"has_{k}") for k in FLAGS],
-        F.array_join(j("top_level_keys"), ",").alias("jkeys"),
+        F.array_join(j("keys"), ",").alias("jkeys"),
     ]
 
 
 @query("c3_extract_json_fields", BASE + READ + f" SELECT {ID}, {_JSON_SQL} FROM flags WHERE complete")
 def c3(spark, d):
-    return C.read_payloads(payload_rows(spark, d)).filter("json.complete").select(*_ids(), *_json_cols())
+    return C.read_payloads(payload_rows(spark, d)).filter("j_complete").select(*_ids(), *_json_cols())
 
 
 @query("c4_scan_truncated_json", BASE + READ + f" SELECT {ID}, {_JSON_SQL} FROM flags WHERE body IS NOT NULL AND NOT complete")
 def c4(spark, d):
-    return C.read_payloads(payload_rows(spark, d)).filter("NOT json.complete").select(*_ids(), *_json_cols())
+    return C.read_payloads(payload_rows(spark, d)).filter("NOT j_complete").select(*_ids(), *_json_cols())
 
 
 @query("c5_classify_mcp", BASE + READ + f" SELECT {ID}, rpc_method AS method, category, msg_type, rpc_id FROM mcpx WHERE is_mcp")
@@ -65,7 +65,8 @@ def c5(spark, d):
 @query("c6_infer_llm_response", BASE + READ + f" SELECT {ID}, resp_provider AS provider, resp_endpoint AS endpoint FROM resp WHERE resp_provider IS NOT NULL")
 def c6(spark, d):
     r = C.infer_llm_response(C.read_payloads(payload_rows(spark, d)))
-    return r.filter("response_api IS NOT NULL").select(*_ids("response_api.*"))
+    named = r.filter("response_provider IS NOT NULL")
+    return named.select(*_ids(F.col("response_provider").alias("provider"), F.col("response_endpoint").alias("endpoint")))
 
 
 @query("c7_detect_sse", BASE + READ + f" SELECT {ID}, sse_provider FROM resp WHERE sse_provider IS NOT NULL")

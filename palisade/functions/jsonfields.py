@@ -50,25 +50,21 @@ def bool_at(v: Column, path: str) -> Column:
     return F.when(type_at(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean"))
 
 
-def _parsed(v: Column, body: Column) -> Column:
+def _parsed(v: Column, body: Column) -> dict[str, Column]:
     keys = F.coalesce(F.array_sort(F.json_object_keys(body)), F.array().cast("array<string>"))
-    has = lambda k: F.array_contains(keys, k)
-    identifier = F.when(_is_number(type_at(v, "$.id")) | (type_at(v, "$.id") == "STRING"), F.try_variant_get(v, "$.id", "string"))
-    return F.struct(
-        string_at(v, "$.model").alias("model"),
-        number_at(v, "$.temperature").alias("temperature"),
-        F.when(
-            _is_number(type_at(v, "$.max_completion_tokens")), whole_at(v, "$.max_completion_tokens")
-        ).otherwise(whole_at(v, "$.max_tokens")).alias("max_tokens"),
-        number_at(v, "$.top_p").alias("top_p"),
-        bool_at(v, "$.stream").alias("stream"),
-        string_at(v, "$.jsonrpc").alias("jsonrpc"),
-        string_at(v, "$.method").alias("method"),
-        identifier.alias("id"),
-        *[has(k).alias(f"has_{k}") for k in FLAGS],
-        keys.alias("top_level_keys"),
-        F.lit(True).alias("complete"),
-    )
+    id_type = type_at(v, "$.id")
+    limit = F.when(_is_number(type_at(v, "$.max_completion_tokens")), whole_at(v, "$.max_completion_tokens"))
+    return {
+        "model": string_at(v, "$.model"),
+        "temperature": number_at(v, "$.temperature"),
+        "max_tokens": limit.otherwise(whole_at(v, "$.max_tokens")),
+        "top_p": number_at(v, "$.top_p"),
+        "stream": bool_at(v, "$.stream"),
+        "jsonrpc": string_at(v, "$.jsonrpc"),
+        "method": string_at(v, "$.method"),
+        "id": F.when(_is_number(id_type) | (id_type == "STRING"), F.try_variant_get(v, "$.id", "string")),
+        "keys": keys,
+    }
 
 
 def _scanned(tokens: Column) -> Column:
@@ -85,7 +81,7 @@ def _last_raw(entries: Column, *keys) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["key"].isin(*keys)), F.lit(-1))["raw"]
 
 
-def _scan_fields(entries: Column) -> Column:
+def _scan_fields(entries: Column) -> dict[str, Column]:
     text = lambda raw: F.when(F.startswith(raw, F.lit('"')), F.regexp_extract(raw, r'(?s)^"(.*)"$', 1))
     number = lambda raw: F.when(raw.rlike(r"^[0-9.eE-]+$"), raw.try_cast("double"))
     model, temp, top_p = _last_raw(entries, "model"), _last_raw(entries, "temperature"), _last_raw(entries, "top_p")
@@ -93,29 +89,31 @@ def _scan_fields(entries: Column) -> Column:
     ident = _last_raw(entries, "id")
     stream = _last_raw(entries, "stream")
     keys = F.transform(entries, lambda e: e["key"])
-    return F.struct(
-        text(model).alias("model"),
-        number(temp).alias("temperature"),
-        F.when(tokens.isNotNull(), F.greatest(tokens, F.lit(0.0)).cast("bigint")).alias("max_tokens"),
-        number(top_p).alias("top_p"),
-        F.when(stream == "true", True).when(stream == "false", False).alias("stream"),
-        text(_last_raw(entries, "jsonrpc")).alias("jsonrpc"),
-        text(_last_raw(entries, "method")).alias("method"),
-        F.coalesce(text(ident), number(ident).cast("bigint").cast("string")).alias("id"),
-        *[F.array_contains(keys, k).alias(f"has_{k}") for k in FLAGS],
-        keys.alias("top_level_keys"),
-        F.lit(False).alias("complete"),
-    )
-
-
-def with_json_fields(df: DataFrame, body: str = "body", out: str = "json") -> DataFrame:
-    """Add `out`, a struct of the probed fields; null where there is no body."""
+    return {
+        "model": text(model),
+        "temperature": number(temp),
+        "max_tokens": F.when(tokens.isNotNull(), F.greatest(tokens, F.lit(0.0)).cast("bigint")),
+        "top_p": number(top_p),
+        "stream": F.when(stream == "true", True).when(stream == "false", False),
+        "jsonrpc": text(_last_raw(entries, "jsonrpc")),
+        "method": text(_last_raw(entries, "method")),
+        "id": F.coalesce(text(ident), number(ident).cast("bigint").cast("string")),
+        "keys": F.transform(entries, lambda e: e["key"]),
+    }
+
+
+def with_json_fields(df: DataFrame, body: str = "body") -> DataFrame:
+    """Add the probed fields as columns j_model, j_temperature, ..., j_keys, j_has_<key> and
+    j_complete; null (flags: false) where there is no body. They stay flat columns because
+    later steps read single fields."""
     text = F.col(body)
     staged = settle(df, _v=parse_whole(text))
     unparsed = text.isNotNull() & F.col("_v").isNull()
     staged = settle(staged, _tokens=F.when(unparsed, F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))))
     staged = settle(staged, _entries=_scanned(F.col("_tokens")))
-    fields = F.when(F.col("_v").isNotNull(), _parsed(F.col("_v"), text)).when(
-        text.isNotNull(), _scan_fields(F.col("_entries"))
-    )
-    return settle(staged, **{out: fields}).drop("_v", "_tokens", "_entries")
+    whole = F.col("_v").isNotNull()
+    strict, scanned = _parsed(F.col("_v"), text), _scan_fields(F.col("_entries"))
+    fields = {f"j_{n}": F.when(whole, strict[n]).when(text.isNotNull(), scanned[n]) for n in strict}
+    staged = settle(staged, j_complete=F.when(text.isNotNull(), whole), **fields)
+    has = {f"j_has_{k}": F.coalesce(F.array_contains("j_keys", k), F.lit(False)) for k in FLAGS}
+    return settle(staged, **has).drop("_v", "_tokens", "_entries")

@@ -10,16 +10,16 @@ def contains_first(text: Column, rules) -> Column:
     The tables are short and fixed, so a CASE chain inside codegen replaces a theta join."""
     chain = None
     for needle, value in rules:
-        hit = F.contains(text, F.lit(needle))
-        chain = F.when(hit, F.lit(value)) if chain is None else chain.when(hit, F.lit(value))
+        hit = text.contains(needle)
+        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return chain
 
 
 def equals_first(key: Column, pairs) -> Column:
     chain = None
     for spelling, value in pairs:
-        hit = key == F.lit(spelling)
-        chain = F.when(hit, F.lit(value)) if chain is None else chain.when(hit, F.lit(value))
+        hit = key == spelling
+        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
     return chain
 
 

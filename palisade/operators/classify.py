@@ -22,7 +22,7 @@ _HEADER_LINE = r"^[!#$%&'*+.^_`|~0-9A-Za-z-]+:[ \t]*[^ \t\r\n][^\r\n]*$"
 
 
 def _starts(text: Column, *prefixes) -> Column:
-    return reduce(lambda a, b: a | b, [F.startswith(text, F.lit(p)) for p in prefixes])
+    return reduce(lambda a, b: a | b, [text.startswith(p) for p in prefixes])
 
 
 def _byte(raw: Column, i: int) -> Column:
@@ -117,8 +117,7 @@ def extract_json_fields(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 
 def _j(name: str) -> Column:
-    flag = F.col(f"json.{name}")
-    return F.coalesce(flag, F.lit(False)) if name.startswith("has_") else flag
+    return F.col(f"j_{name}")
 
 
 def rpc_message_type() -> Column:
@@ -149,27 +148,31 @@ def classify_mcp(df: DataFrame) -> DataFrame:
 
 
 def _sni_or(default: str) -> Column:
-    return F.coalesce(contains_first(F.lower(F.col("sni")), rules.RESPONSE_SNI), F.lit(default))
+    return F.coalesce(F.col("sni_provider"), F.lit(default))
 
 
-def _api(provider: Column, endpoint: str) -> Column:
-    return F.struct(provider.alias("provider"), F.lit(endpoint).alias("endpoint"))
+def with_sni_provider(df: DataFrame) -> DataFrame:
+    """Provider named by the server name, for payloads that carry no request line."""
+    if "sni_provider" in df.columns:
+        return df
+    return settle(df, sni_provider=contains_first(F.lower(F.col("sni")), rules.RESPONSE_SNI))
 
 
-def response_match() -> Column:
-    return (
-        F.when(_j("has_choices"), _api(_sni_or("OpenAI"), "chat_completions"))
-        .when(_j("has_content") & _j("model").isNotNull(), _api(_sni_or("Anthropic"), "messages"))
-        .when(_j("has_completion"), _api(_sni_or("Unknown"), "completions"))
-    )
+def response_match() -> tuple[Column, Column]:
+    """(provider, endpoint) that the shape of a response body names, else nulls."""
+    chat, message, legacy = _j("has_choices"), _j("has_content") & _j("model").isNotNull(), _j("has_completion")
+    provider = F.when(chat, _sni_or("OpenAI")).when(message, _sni_or("Anthropic")).when(legacy, _sni_or("Unknown"))
+    endpoint = F.when(chat, "chat_completions").when(message, "messages").when(legacy, "completions")
+    return provider, endpoint
 
 
 def infer_llm_response(df: DataFrame) -> DataFrame:
-    return settle(df, response_api=response_match())
+    provider, endpoint = response_match()
+    return settle(with_sni_provider(df), response_provider=provider, response_endpoint=endpoint)
 
 
 def _has(text: Column, *needles) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
+    return reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
 
 
 def sse_provider(text: Column) -> Column:
@@ -185,7 +188,7 @@ def sse_provider(text: Column) -> Column:
 
 
 def detect_sse(df: DataFrame) -> DataFrame:
-    return settle(df, sse_provider=sse_provider(F.col("text")))
+    return settle(with_sni_provider(df), sse_provider=sse_provider(F.col("text")))
 
 
 def indicator_score() -> Column:
@@ -225,7 +228,7 @@ def fingerprint_sdk(messages: DataFrame) -> DataFrame:
     """Add sdk_name, sdk_version, sdk, api_version, sdk_hash, model_hash, signature_hash."""
     name, version = sdk_match(F.col("headers")["user-agent"])
     header_names = F.array_join(F.array_sort(F.map_keys("headers")), "")
-    keys = F.coalesce(F.array_join(F.col("json.top_level_keys"), ""), F.lit(""))
+    keys = F.coalesce(F.array_join("j_keys", ""), F.lit(""))
     shape = F.concat(F.col("method"), F.col("path"), header_names, keys)
     named = settle(messages, sdk_name=name, sdk_version=version)
     return settle(
@@ -249,70 +252,70 @@ def read_payloads(payloads: DataFrame) -> DataFrame:
 def classify_payloads(payloads: DataFrame, with_fingerprint=True) -> DataFrame:
     """Add content_class, provider, endpoint, model, streaming, mcp_*, confidence, is_interesting,
     PII flags and (for classified requests) the fingerprint columns."""
-    read = scan_pii(read_payloads(payloads))
-    staged = llm_indicator_score(detect_sse(infer_llm_response(classify_mcp(read))))
-    host = F.col("headers")["host"]
-    staged = settle(staged, request_api=endpoint_match(F.col("sni"), host, F.col("method"), F.col("path")))
-    c, n = rules.CONFIDENCE, F.col("indicators")
-    mcp, sse = F.col("mcp").isNotNull(), F.col("sse_provider").isNotNull()
-    rpc = _j("jsonrpc").isNotNull()
-    unknown = _api(F.lit("Unknown"), "unknown")
-    none = F.lit(None).cast("struct<provider:string,endpoint:string>")
-
-    def outcome(cls, api, confidence):
-        score = confidence if isinstance(confidence, Column) else F.lit(confidence)
-        return F.struct(F.lit(cls).cast("string").alias("cls"), api.alias("api"), score.cast("double").alias("confidence"))
-
-    stream = F.struct(F.col("sse_provider").alias("provider"), F.lit(None).cast("string").alias("endpoint"))
-    likely = lambda base, cap: F.lit(base) + F.least(n * F.lit(0.1), F.lit(cap))
+    read = with_sni_provider(scan_pii(read_payloads(payloads)))
+    req_provider, req_endpoint = endpoint_match(F.col("sni"), F.col("headers")["host"], F.col("method"), F.col("path"))
+    resp_provider, resp_endpoint = response_match()
+    staged = settle(
+        read, _mcp=is_mcp(), _rqp=req_provider, _rqe=req_endpoint, _rsp=resp_provider, _rse=resp_endpoint,
+        _sse=sse_provider(F.col("text")), _n=indicator_score(), _utf8=F.is_valid_utf8(F.col("payload").cast("string")),
+    )
+    n, protocol = F.col("_n"), F.col("protocol")
+    rpc, answered, sse = _j("jsonrpc").isNotNull(), F.col("_rsp").isNotNull(), F.col("_sse").isNotNull()
     request = (
-        F.when(mcp, outcome("Mcp", none, c["request_mcp"]))
-        .when(F.col("request_api").isNotNull(), outcome("LlmApi", F.col("request_api"), c["request_endpoint"]))
-        .when(rpc, outcome("JsonRpc", none, c["jsonrpc"]))
-        .when(n >= 2, outcome("LlmApi", unknown, likely(0.5, 0.4)))
-        .otherwise(outcome("GenericHttp", none, c["generic"]))
-    )
-    response = (
-        F.when(mcp, outcome("Mcp", none, c["response_mcp"]))
-        .when(F.col("response_api").isNotNull(), outcome("LlmApi", F.col("response_api"), c["response_body"]))
-        .when(rpc, outcome("JsonRpc", none, c["jsonrpc"]))
-        .otherwise(outcome("GenericHttp", none, c["generic"]))
+        F.when(F.col("_mcp"), "request_mcp")
+        .when(F.col("_rqp").isNotNull(), "request_endpoint")
+        .when(rpc, "jsonrpc")
+        .when(n >= 2, "request_likely")
+        .otherwise("generic")
     )
+    response = F.when(F.col("_mcp"), "response_mcp").when(answered, "response_body").when(rpc, "jsonrpc").otherwise("generic")
     raw = (
-        F.when(mcp, outcome("Mcp", none, c["raw_mcp"]))
-        .when(F.col("response_api").isNotNull(), outcome("LlmApi", F.col("response_api"), c["raw_body"]))
-        .when(n >= 2, outcome("LlmApi", unknown, likely(0.4, 0.3)))
-        .when(sse & F.is_valid_utf8(F.col("payload").cast("string")), outcome("LlmStream", stream, c["raw_sse"]))
-        .otherwise(outcome(None, none, 0.0))
+        F.when(F.col("_mcp"), "raw_mcp")
+        .when(answered, "raw_body")
+        .when(n >= 2, "raw_likely")
+        .when(sse & F.col("_utf8"), "raw_sse")
+        .otherwise("nothing")
     )
-    protocol = F.col("protocol")
-    result = (
+    case = (
         F.when(protocol == "Http1Request", request)
         .when(protocol == "Http1Response", response)
-        .when((protocol == "Sse") & sse, outcome("LlmStream", stream, c["sse"]))
-        .when(protocol == "Sse", outcome("GenericHttp", none, c["generic"]))
-        .when(protocol == "Http2Binary", outcome(None, none, c["generic"]))
+        .when(protocol == "Sse", F.when(sse, "sse").otherwise("generic"))
+        .when(protocol == "Http2Binary", "h2")
         .otherwise(raw)
     )
-    decided = settle(staged, _o=result)
-    cls = F.col("content_class")
+    decided = settle(staged, _case=case)
+    is_case = lambda *names: F.col("_case").isin(*names)
+    likely = is_case("request_likely", "raw_likely")
+    by_body = is_case("response_body", "raw_body")
+    known = F.when(likely & is_case("request_likely"), F.lit(0.5) + F.least(n * F.lit(0.1), F.lit(0.4)))
+    known = known.when(likely, F.lit(0.4) + F.least(n * F.lit(0.1), F.lit(0.3))).when(is_case("h2"), rules.CONFIDENCE["generic"])
+    for name, value in rules.CONFIDENCE.items():
+        known = known.when(is_case(name), value)
     decided = settle(
         decided,
-        content_class=F.col("_o.cls"),
-        provider=F.col("_o.api.provider"),
-        endpoint=F.col("_o.api.endpoint"),
-        confidence=F.round("_o.confidence", 6),
+        content_class=F.when(is_case("request_mcp", "response_mcp", "raw_mcp"), "Mcp")
+        .when(likely | by_body | is_case("request_endpoint"), "LlmApi")
+        .when(is_case("sse", "raw_sse"), "LlmStream")
+        .when(is_case("jsonrpc"), "JsonRpc")
+        .when(is_case("generic"), "GenericHttp"),
+        provider=F.when(is_case("request_endpoint"), F.col("_rqp"))
+        .when(by_body, F.col("_rsp"))
+        .when(likely, "Unknown")
+        .when(is_case("sse", "raw_sse"), F.col("_sse")),
+        endpoint=F.when(is_case("request_endpoint"), F.col("_rqe")).when(by_body, F.col("_rse")).when(likely, "unknown"),
+        confidence=F.round(known.otherwise(0.0), 6),
     )
+    cls = F.col("content_class")
     fingerprinted = (protocol == "Http1Request") & (cls != "GenericHttp")
     done = settle(
         decided,
         is_interesting=F.coalesce(cls != "GenericHttp", F.lit(False)),
         streaming=F.when((cls == "LlmApi") & (protocol != "Http1Response"), _j("stream")),
-        mcp_method=F.when(cls == "Mcp", F.col("mcp.method")),
-        mcp_category=F.when(cls == "Mcp", F.col("mcp.category")),
+        mcp_method=F.when(cls == "Mcp", _j("method")),
+        mcp_category=F.when(cls == "Mcp", mcp_category(_j("method"))),
         model=F.when((cls == "LlmApi") | fingerprinted, _j("model")),
     )
     if with_fingerprint:
         printed = ["sdk", "sdk_name", "sdk_version", "sdk_hash", "model_hash", "signature_hash", "api_version"]
         done = settle(fingerprint_sdk(done), **{name: F.when(fingerprinted, F.col(name)) for name in printed})
-    return done.drop("_o", "request_api", "response_api")
+    return done.drop("_mcp", "_rqp", "_rqe", "_rsp", "_rse", "_sse", "_n", "_utf8", "_case", "sni_provider")

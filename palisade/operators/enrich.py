@@ -195,30 +195,25 @@ def asof_fd_path(io: DataFrame, opens: DataFrame, closes: DataFrame, slice_ns=SL
 # ---------------------------------------------------------------- messages
 
 
-def endpoint_match(sni: Column, host: Column, method: Column, path: Column) -> Column:
-    """struct(provider, endpoint) of the first matching endpoint rule, else null."""
+def endpoint_match(sni: Column, host: Column, method: Column, path: Column) -> tuple[Column, Column]:
+    """(provider, endpoint) of the first matching endpoint rule, else nulls."""
     name = F.coalesce(sni, host)
     ordered = [r for r in rules.ENDPOINT_RULES if r[0]] + [r for r in rules.ENDPOINT_RULES if not r[0]]
     chain = None
     for need_host, prefix, need_method, provider, endpoint in ordered:
-        hit = F.startswith(path, F.lit(prefix))
+        hit = path.startswith(prefix)
         if need_host:
-            hit = hit & F.contains(name, F.lit(need_host))
+            hit = hit & name.contains(need_host)
         if need_method:
             hit = hit & (method == need_method)
-        value = F.struct(F.lit(provider).alias("provider"), F.lit(endpoint).alias("endpoint"))
+        value = f"{provider}|{endpoint}"
         chain = F.when(hit, value) if chain is None else chain.when(hit, value)
-    return chain
+    return F.split_part(chain, F.lit("|"), F.lit(1)), F.split_part(chain, F.lit("|"), F.lit(2))
 
 
 def join_endpoint_rules(messages: DataFrame) -> DataFrame:
-    found = endpoint_match(F.col("sni"), F.col("headers")["host"], F.col("method"), F.col("path"))
-    return (
-        messages.withColumn("_e", found)
-        .withColumn("provider", F.col("_e.provider"))
-        .withColumn("endpoint", F.col("_e.endpoint"))
-        .drop("_e")
-    )
+    provider, endpoint = endpoint_match(F.col("sni"), F.col("headers")["host"], F.col("method"), F.col("path"))
+    return messages.withColumn("provider", provider).withColumn("endpoint", endpoint)
 
 
 def mcp_category(method: Column) -> Column:
@@ -228,7 +223,7 @@ def mcp_category(method: Column) -> Column:
 def mcp_known(method: Column) -> Column:
     known = method.isin(*[m for m, _ in rules.MCP_METHODS])
     for prefix in rules.MCP_PREFIXES:
-        known = known | F.startswith(method, F.lit(prefix))
+        known = known | method.startswith(prefix)
     return F.coalesce(known, F.lit(False))
 
 

@@ -250,8 +250,8 @@ def turns_to_actions(turns: DataFrame) -> DataFrame:
         lambda r: action_of("ToolResult", tool_name=F.coalesce(r["name"], F.lit("unknown")), output_preview=r["output_preview"]),
     )
     pii = lambda way: F.when(F.col("pii_any"), action_of("PiiDetected", direction=F.lit(way), pii_types=F.col("pii_types")))
-    method = F.coalesce(F.col("mcp.method"), F.lit("unknown"))
-    mcp_request = action_of("McpRequest", method=method, category=F.col("mcp.category"))
+    method = F.coalesce(F.col("mcp_method"), F.lit("unknown"))
+    mcp_request = action_of("McpRequest", method=method, category=F.col("mcp_category"))
     write = (
         F.when(req.isNotNull(), F.concat(results, F.array(prompt, pii("write"))))
         .when(F.col("content_class") == "Mcp", F.array(mcp_request))
