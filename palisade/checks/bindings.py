@@ -142,6 +142,9 @@ TABLES = [
         "system_prompt": f"CASE WHEN event_id % 10 = 0 AND k % 3 = 0 THEN 'You are helper ' || {_STR('k % 5')} END",
         "stream": "CASE WHEN event_id % 10 = 0 THEN k % 2 = 0 END",
         "sdk": "CASE WHEN event_id % 10 = 0 AND k % 4 > 0 THEN " + pick("k % 4", quoted("-", "openai-python/1.2", "langchain", "curl/8.0")) + " END",
+        "fingerprint": "CASE WHEN event_id % 10 = 0 AND k % 4 > 0 THEN (user_id % 6) * 1000003 + k % 2 END",
+        "sdk_hash": "CASE WHEN event_id % 10 = 0 AND k % 4 > 0 THEN k % 4 * 7919 END",
+        "model_hash": "CASE WHEN event_id % 10 = 0 AND k % 5 > 0 THEN (k % 4 + 1) * 104729 END",
         "bytes": "CASE WHEN event_id % 10 IN (0, 1, 7, 9) THEN CAST(floor(value * value * 17) AS BIGINT) END",
         "sni": "CASE WHEN event_id % 10 IN (0, 1, 7) AND k % 2 = 0 THEN " + pick("k % 3", quoted("api.openai.com", "api.anthropic.com", "shadow.ai.example")) + " END",
         "pii_detected": "CASE WHEN event_id % 10 = 0 AND k % 3 < 2 THEN k % 3 = 0 END",

@@ -27,7 +27,7 @@ EVENT_TYPE = "CASE WHEN type = 'Network' THEN " + case_equals("kind", P.KIND_EVE
 HUMAN = ("CASE WHEN {b} < 1024 THEN {b} || ' B' WHEN {b} < 1048576 THEN printf('%.1f', {b} / 1024.0::DOUBLE) || ' KB' "
          "ELSE printf('%.1f', {b} / 1048576.0::DOUBLE) || ' MB' END")
 TAG = "CASE WHEN provider IS NOT NULL THEN coalesce(" + case_equals("lower(provider)", rules.PROVIDER_TAGS) + ", 'Other') END"
-ATTR = f"""event_id, provider, model, sdk, system_prompt, user_message, sni, method AS mcp_method, category AS mcp_category,
+ATTR = f"""event_id, provider, model, sdk, system_prompt, user_message, sni, sdk_hash, model_hash, fingerprint, method AS mcp_method, category AS mcp_category,
   {PII} AS pii_detected, type AS action_type, coalesce(bytes, 0) AS bytes,
   {case_equals("type", P.CONTENT_CLASSES.items())} AS content_class, {EVENT_TYPE} AS event_type, path AS file_path"""
 
@@ -83,7 +83,7 @@ def p5(spark, d):
 
 @query("p6_event_attributes", ctes("flat") + f"SELECT {ATTR} FROM flat")
 def p6(spark, d):
-    return P.event_attributes(agentic(spark, d)).drop("sdk_hash", "model_hash", "fingerprint")
+    return P.event_attributes(agentic(spark, d))
 
 
 LABEL = """CASE WHEN type = 'PiiDetected' THEN 'PiiDetected' WHEN type IN ('McpRequest', 'McpResponse') THEN 'McpCall'
