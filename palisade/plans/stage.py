@@ -20,12 +20,18 @@ def settle(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in replaced], added)
 
 
+def shared_folder(spark) -> str:
+    """The folder every executor can reach: spark.checkpoint.dir where the cluster names one.
+    A temporary one is set only where it is unset, as in local tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a result that several later steps read, with a reliable checkpoint.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a temporary one is set
-    only where none is named, as in local tests. Lost executors re-read the written files."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    Lost executors re-read the written files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
