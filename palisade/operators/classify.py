@@ -204,13 +204,23 @@ def llm_indicator_score(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- personal data
 
 
-def pii_flags(text: Column) -> dict[str, Column]:
-    return {name: F.coalesce(text.rlike(pattern), F.lit(False)) for name, pattern in rules.PII_PATTERNS}
+# Substrings or short patterns without which a PII pattern cannot match; they spare most texts
+# the costly patterns. Every phone number, card number and SSN holds four digits in a row.
+_FOUR_DIGITS = "[0-9]{4}"
+
+
+def pii_flags(text: Column, digits: Column) -> dict[str, Column]:
+    needs = {"email": text.contains("@"), "api_key": text.contains("sk-") | text.contains("api")}
+    return {
+        name: F.coalesce(needs.get(name, digits) & text.rlike(pattern), F.lit(False)) for name, pattern in rules.PII_PATTERNS
+    }
 
 
 def scan_pii(df: DataFrame, column: str = "text") -> DataFrame:
     """Add has_<kind> flags, pii_pattern_count, pii_any and the ordered pii_types."""
-    flagged = settle(df, **{f"has_{n}": c for n, c in pii_flags(F.col(column)).items()})
+    text = F.col(column)
+    staged = settle(df, _digits=text.rlike(_FOUR_DIGITS))
+    flagged = settle(staged, **{f"has_{n}": c for n, c in pii_flags(text, F.col("_digits")).items()}).drop("_digits")
     names = [n for n, _ in rules.PII_PATTERNS]
     count = reduce(lambda a, b: a + b, [F.col(f"has_{n}").cast("int") for n in names])
     types = F.array_compact(F.array(*[F.when(F.col(f"has_{n}"), n) for n in rules.PII_LIST_ORDER]))

@@ -305,7 +305,7 @@ def render_event_lines(events: DataFrame, verbose=False, keep=("event_id",)) ->
         F.col("process.name"),
         F.concat(F.lit("("), F.col("process.pid").cast("string"), F.lit(")")),
     )
-    say = lambda *parts: F.concat(head, F.lit(" "), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
     flags = F.array_compact(
         F.array(
@@ -344,9 +344,12 @@ def render_event_lines(events: DataFrame, verbose=False, keep=("event_id",)) ->
     if verbose:
         net = say("[", a("kind"), "] ", a("dst_ip"), ":", a("dst_port").cast("string"), " ", a("bytes").cast("string"), " bytes")
         line = line.when(t == "Network", net)
+    line = F.concat(head, F.lit(" "), line)
+    if verbose:
         line = F.concat_ws("\n", line, F.concat(F.lit("  identity: "), F.col("identity.narrative")))
+        return events.select(*keep, line.alias("line"))
     # network events have no line in the short form
-    return events.select(*keep, line.alias("line")).filter(F.col("line").isNotNull() & (F.col("line") != ""))
+    return events.filter(t != "Network").select(*keep, line.alias("line"))
 
 
 def action_arrow() -> Column:
