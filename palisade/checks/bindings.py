@@ -306,7 +306,7 @@ register(Binding("payloads", "cutbodies", {
     "conv_id": "conv_id", "turn": "turn", "fam": "fam", "direction": "direction",
     "pid": "conv_id", "ssl_ptr": "conv_id * 16 + 1", "seq": "turn", "comm": "'agent' || " + _STR("fam"),
     "session_id": f"{_STR('conv_id')} || ':x'",
-    "timestamp_ns": "(conv_id * 100000 + turn * 1000) * 1000000",
+    "timestamp_ns": "(1000000 + conv_id * 100000 + turn * 1000) * 1000000",
     "sni": "CASE WHEN conv_id % 5 > 0 THEN host END",
     "payload_text": f"""CASE WHEN NOT framed OR (fam = 2 AND direction = 1) THEN doc
       WHEN direction = 0 THEN 'POST ' || req_path || ' HTTP/1.1' || {CRLF} || 'Host: ' || host || {CRLF} || 'User-Agent: ' || ua || {CRLF}

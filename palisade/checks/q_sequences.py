@@ -1,16 +1,20 @@
 """Queries on behaviour windows and connection sessions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from palisade import rules
-from palisade.checks.bindings import bound, ctes, payload_rows
-from palisade.checks.q_events import SYMBOL
+from palisade.checks.bindings import BY_NAME, bound, ctes
+from palisade.checks.q_events import ASOF, SYMBOL
 from palisade.checks.registry import query
 from palisade.checks.sqlfn import CLASS, case_contains, fnv64_list, le_bytes
 from palisade.operators import aggregates as A
 from palisade.operators import h2
 from palisade.operators import sessions as T
 from palisade.operators import windows as W
+from palisade.plans.stage import shared_folder
+from palisade.streaming import flows
 
 KEY = ["pid", "window_end"]
 WIN = ctes("net") + f""", sq AS (SELECT *, {SYMBOL} AS sym, row_number() OVER (PARTITION BY pid ORDER BY timestamp_ns, event_id) AS seq FROM net),
@@ -203,6 +207,19 @@ def t4(spark, d):
     return T.flush_idle_turns(t, now_ns=20000 * 10**9, idle_ns=15000 * 10**9).select("pid", "ssl_ptr", "turn_no", "chunks")
 
 
+@query("t5_sni_state", ctes("net", "handshakes") + f", {ASOF} SELECT event_id, pid, sni FROM asofs")
+def t5(spark, d):
+    """The streaming twin of the as-of server name: per-pid state with expiry, replayed to the end."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    net = BY_NAME["net"].build(BY_NAME["ev"].build(events))
+    out = f"{shared_folder(spark)}/sni-{uuid.uuid4().hex}"
+    named = flows.asof_sni(net, BY_NAME["handshakes"].build(net))
+    run = named.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(named.schema).parquet(f"{out}/rows")
+
+
 @query("t6_expire_connections", CHUNKED + """, b AS (SELECT *, min(timestamp_ns) OVER (PARTITION BY pid, ssl_ptr) AS born FROM payloads)
 SELECT pid, ssl_ptr, seq FROM b WHERE timestamp_ns - born < 3000000000""")
 def t6(spark, d):

@@ -2,7 +2,7 @@
 
 Stateless operators (normalisation, filters, classification, policy) take a streaming
 DataFrame as they are. The ones below keep state per key: each micro-batch brings a key's
-rows once, they are folded in event order, and idle state expires. The fold functions are
+rows once, they are folded in event order, and state that idles past the watermark expires. The fold functions are
 small; parsing and classification run before them as Column expressions."""
 
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from palisade import rules
 from palisade.operators.classify import classify_payloads
 from palisade.operators.enrich import sni_provider
+from palisade.operators.normalize import attribute, whole_micros
 
 WATERMARK = "60 seconds"
 _IDLE_MS = 300_000
@@ -22,27 +23,34 @@ def _batches(frames) -> pd.DataFrame:
     return pd.concat(list(frames), ignore_index=True)
 
 
-def _expiring(fold):
+def _timed(df: DataFrame, watermark: str) -> DataFrame:
+    """Add the event time that drives expiry."""
+    return df.withColumn("event_time", F.timestamp_micros(whole_micros(F.col("timestamp_ns")))).withWatermark("event_time", watermark)
+
+
+def _keep_until_idle(state: GroupState, rows: pd.DataFrame, idle_ms: int) -> None:
+    state.setTimeoutTimestamp(int(rows["timestamp_ns"].max()) // 1_000_000 + idle_ms)
+
+
+def _expiring(fold, idle_ms):
     """Wrap fold(key, rows, state tuple or None) -> (rows, new state) with an idle timeout."""
 
     def run(key, frames, state: GroupState):
         if state.hasTimedOut:
             state.remove()
             return
-        before = tuple(state.get) if state.exists else None
-        out, after = fold(key, _batches(frames), before)
+        rows = _batches(frames)
+        out, after = fold(key, rows, tuple(state.get) if state.exists else None)
         state.update(after)
-        state.setTimeoutDuration(_IDLE_MS)
+        _keep_until_idle(state, rows, idle_ms)
         if len(out):
             yield out
 
     return run
 
 
-def _stateful(df: DataFrame, keys, fold, output: str, state: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandasWithState(
-        _expiring(fold), output, state, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+def _stateful(df: DataFrame, keys, run, output: str, state: str, watermark=WATERMARK) -> DataFrame:
+    return _timed(df, watermark).groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ---------------------------------------------------------------- counters
@@ -61,8 +69,6 @@ def event_counters(events: DataFrame, every="1 minute", watermark=WATERMARK) ->
 
 
 def _flat_columns():
-    from palisade.operators.normalize import attribute
-
     return [
         attribute("event_type").alias("event_type"),
         F.coalesce(attribute("provider"), F.lit("none")).alias("provider"),
@@ -96,7 +102,7 @@ def asof_sni(network: DataFrame, handshakes: DataFrame, ttl_ns=rules.SNI_TTL_NS)
                 found.append((r.event_id, key[0], name if fresh else None))
         return pd.DataFrame(found, columns=["event_id", "pid", "sni"]), (at, name)
 
-    return _stateful(rows.union(seen), ["pid"], fold, "event_id bigint, pid bigint, sni string", "at bigint, name string")
+    return _stateful(rows.union(seen), ["pid"], _expiring(fold, ttl_ns // 1_000_000), "event_id bigint, pid bigint, sni string", "at bigint, name string")
 
 
 # ---------------------------------------------------------------- connections
@@ -120,7 +126,7 @@ def connection_verdicts(chunks: DataFrame, undecided=rules.UNDECIDED_CHUNKS) ->
         return pd.DataFrame(found, columns=["pid", "ssl_ptr", "verdict", "decided_at"]), (seen, done)
 
     output = "pid bigint, ssl_ptr bigint, verdict string, decided_at int"
-    return _stateful(flagged, ["pid", "ssl_ptr"], fold, output, "seen int, done boolean")
+    return _stateful(flagged, ["pid", "ssl_ptr"], _expiring(fold, _IDLE_MS), output, "seen int, done boolean")
 
 
 def turns(chunks: DataFrame, cap=rules.FLOW_CAP, idle_ms=_IDLE_MS) -> DataFrame:
@@ -137,8 +143,8 @@ def turns(chunks: DataFrame, cap=rules.FLOW_CAP, idle_ms=_IDLE_MS) -> DataFrame:
                 yield pd.DataFrame([(*key, direction, held, n)], columns=names)
             return
         direction, held, n = state.get if state.exists else (None, b"", 0)
-        held, done = bytearray(held), []
-        for r in _batches(frames).sort_values(["timestamp_ns", "seq"]).itertuples():
+        held, done, batch = bytearray(held), [], _batches(frames)
+        for r in batch.sort_values(["timestamp_ns", "seq"]).itertuples():
             if direction is not None and r.direction != direction:
                 done.append((*key, direction, bytes(held), n))
                 held, n = bytearray(), 0
@@ -146,14 +152,12 @@ def turns(chunks: DataFrame, cap=rules.FLOW_CAP, idle_ms=_IDLE_MS) -> DataFrame:
             held += r.payload[: cap - len(held)]
             n += 1
         state.update((direction, bytes(held), n))
-        state.setTimeoutDuration(idle_ms)
+        _keep_until_idle(state, batch, idle_ms)
         if done:
             yield pd.DataFrame(done, columns=names)
 
-    return rows.groupBy("pid", "ssl_ptr").applyInPandasWithState(
-        run, "pid bigint, ssl_ptr bigint, direction int, payload binary, chunks int", "direction int, held binary, n int",
-        "append", GroupStateTimeout.ProcessingTimeTimeout,
-    )
+    output = "pid bigint, ssl_ptr bigint, direction int, payload binary, chunks int"
+    return _stateful(rows, ["pid", "ssl_ptr"], run, output, "direction int, held binary, n int")
 
 
 # ---------------------------------------------------------------- behaviour windows
@@ -173,7 +177,7 @@ def symbol_windows(symbols: DataFrame, size=rules.WINDOW_SIZE, minimum=rules.WIN
                 found.append((key[0], count, list(held)))
         return pd.DataFrame(found, columns=["pid", "window_end", "symbols"]), (count, held)
 
-    return _stateful(rows, ["pid"], fold, "pid bigint, window_end bigint, symbols array<int>", "count bigint, held array<int>")
+    return _stateful(rows, ["pid"], _expiring(fold, _IDLE_MS), "pid bigint, window_end bigint, symbols array<int>", "count bigint, held array<int>")
 
 
 # ---------------------------------------------------------------- micro-batch jobs

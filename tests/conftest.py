@@ -17,8 +17,6 @@ def spark(tmp_path_factory):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
-        # processing-time timeouts ask for empty batches for ever; replayed tests must end
-        .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
     )

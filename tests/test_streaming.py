@@ -61,7 +61,11 @@ def test_verdicts_and_turns(spark, sf_dir, tmp_path):
     every = c.select("pid", "ssl_ptr").distinct().select(
         "*", F.lit("interesting").alias("verdict"), F.struct(F.lit(0).cast("bigint").alias("timestamp_ns"), F.lit(0).cast("bigint").alias("seq")).alias("decided_by")
     )
-    want = sessions.turns(c, every).filter("emitted")
+    want = sessions.turns(c, every)
+    # a pending response is flushed once the watermark is past its idle time
+    mark = c.agg(F.max("timestamp_ns")).first()[0] // 10**6 - 60_000
+    idle = (F.col("direction") == 1) & (F.col("ended_ns") / 10**6 + 300_000 < mark)
+    want = want.filter(F.col("emitted") | idle)
     assert rows(got, "pid", "direction", "payload", "chunks") == rows(want, "pid", "direction", "payload", "chunks")
 
 
