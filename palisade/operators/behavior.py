@@ -30,7 +30,7 @@ def train_behavior_model(vectors: DataFrame, label="label", features="features",
     labels = StringIndexer(inputCol="label", outputCol="class", stringOrderType="alphabetAsc").fit(rows)
     forest = RandomForestClassifier(
         labelCol="class", featuresCol="vector", numTrees=trees, maxDepth=DEPTH, subsamplingRate=SHARE, bootstrap=True,
-        minInstancesPerNode=LEAF, featureSubsetStrategy="all", seed=seed,
+        minInstancesPerNode=LEAF, featureSubsetStrategy="all", seed=seed, maxMemoryInMB=1024,
     )
     return labels, forest.fit(labels.transform(rows))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from palisade.checks.bindings import agentic, bound
 from palisade.checks.q_sequences import chunk_rows
-from palisade.operators import enrich, policy, sessions, windows
+from palisade.operators import enrich, identity, policy, sessions, windows
 from palisade.operators import aggregates as A
 from palisade.operators.normalize import symbolize
 from palisade.sources import sinks
@@ -129,3 +129,24 @@ def test_fan_out(spark, sf_dir, tmp_path):
     assert sum(map(len, hooks)) == 95 and max(map(len, hooks)) <= 10
     assert len(logs) == 95 and all(x.startswith("<14>1 - palisade - - - - {") for x in logs)
     assert spark.read.json(str(tmp_path / "nd")).count() == 95
+
+
+def test_identities_batch_by_batch(spark, sf_dir, tmp_path):
+    e = agentic(spark, sf_dir)
+    s = replay(spark, e, tmp_path, "timestamp")
+    out = str(tmp_path / "out")
+    names = ["event_id", "identity_id", "match_type"]
+    job = flows.identity_job(str(tmp_path / "store"), lambda df, i: df.select(*names).write.parquet(f"{out}/batch={i}"))
+    finish(flows.each_batch(s, job, str(tmp_path / "cp"), availableNow=True))
+    actions = identity.identity_actions(e).drop("identity")
+    want = identity.assign_identities(actions, identity.resolve_identities(actions))
+    assert rows(spark.read.parquet(out), *names) == rows(want, *names)
+
+
+def test_retraining_schedule(spark, tmp_path):
+    samples = spark.range(450).select(F.col("id").alias("ts"), F.lit("a").alias("label"), F.array(F.col("id").cast("double")).alias("features"))
+    s = replay(spark, samples, tmp_path, "ts", files=9)
+    fits = []
+    job = flows.retrain_job(str(tmp_path / "samples"), lambda df, n: fits.append((n, df.count(), df.agg(F.min("ts")).first()[0])), every=200, keep=120)
+    finish(flows.each_batch(s, job, str(tmp_path / "cp"), availableNow=True))
+    assert [n for n, _, _ in fits] == [200, 400] and fits[1][1:] == (120, 280)
