@@ -1,5 +1,9 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame, with optional DuckDB SQL."""
 
+from functools import wraps
+
+from palisade import ship
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -8,7 +12,13 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark, sf_dir):
+            ship(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
