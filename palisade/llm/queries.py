@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, exact_dedup, mixing, sketch, url_filter, warc
+from palisade.llm import bpe, exact_dedup, licenses, mixing, ngram_join, quality, secrets, sketch, url_filter, warc
 from palisade.llm.common import n_words, table
 
 QUERIES: dict = {}
@@ -25,9 +25,40 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "op5_mixing",
-)
+@query("op1_ngram_join")
+def op1(spark, sf_dir):
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query("op2_secrets")
+def op2(spark, sf_dir):
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(F.encode(secrets.render(base), "UTF-8"), 256).alias("base_sha256"),
+        secrets.render(F.col("spans")).alias("spans"),
+    )
+
+
+@query("op3_licenses")
+def op3(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    labels = F.array_sort(F.array_distinct(F.col("places.label")))
+    starts = F.col("places.start")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(labels, ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(labels, F.col("found"))), ",").alias("labels"), "score",
+    )
+
+
+@query("op4_quality")
+def op4(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, F.col("source"), F.col("lang"))
+
+
+@query("op5_mixing")
 def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, "doc_id", n_words(F.coalesce("text", F.lit(""))), F.array("source"))
