@@ -50,7 +50,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the digests of ids and decoded text."""
     ship(spark)
     spec = bpe.tokenizer_spec()
-    decoded = bpe.decode(bpe.encode(docs, spec), spec)
+    decoded = bpe.encode(docs, spec, decoded=True)
     n = (F.octet_length("ids") / 4).cast("bigint")
     return decoded.select("doc_id", n.alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 

@@ -12,16 +12,16 @@ A word never crosses the borders that the tokenizer's own splitting sets, so enc
 one by one gives the ids of the whole text. Special tokens in a text are words of their own."""
 
 import re
-import zlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import written
+from palisade.plans.stage import shared_folder
 
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 #: White space as the tokenizer's pattern sees it (the Unicode property).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -48,38 +48,52 @@ DOCS = -1
 BLOCKS = "block long, share int, data binary"
 
 
-def _pack(docs: list) -> bytes:
-    """doc ids (with null flags), word counts and word positions of a block."""
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers with their four bytes apart, so that the upper ones compress to nothing."""
+    return a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _joined(raw: bytes, n: int, at: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T.copy().view("<u4").ravel()
+
+
+def _pack(docs: list, place: np.ndarray) -> bytes:
+    """Document ids (with null flags), word counts and word positions, and the place of each
+    position's word in the lists by share."""
     ids = np.array([0 if d is None else d for d, _ in docs], np.int64)
     null = np.array([d is None for d, _ in docs], np.bool_)
     lens = np.array([len(x) for _, x in docs], np.int64)
-    at = np.concatenate([x for _, x in docs]) if docs else np.zeros(0, np.int32)
-    head = np.array([len(docs), len(at)], np.int64)
-    # the four bytes of a position apart, so that the upper ones compress to nothing
-    planes = at.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
-    return zlib.compress(head.tobytes() + ids.tobytes() + null.tobytes() + lens.tobytes() + planes.tobytes(), 1)
+    at = np.concatenate([x for _, x in docs])
+    head = np.array([len(docs), len(at), len(place)], np.int64)
+    return _squeeze(b"".join((head.tobytes(), ids.tobytes(), null.tobytes(), lens.tobytes(), _planes(place), _planes(at))))
 
 
 def _unpack(data: bytes):
-    raw = zlib.decompress(data)
-    n, m = np.frombuffer(raw, np.int64, 2)
-    ids = np.frombuffer(raw, np.int64, n, 16)
-    null = np.frombuffer(raw, np.bool_, n, 16 + 8 * n)
-    lens = np.frombuffer(raw, np.int64, n, 16 + 9 * n)
-    planes = np.frombuffer(raw, np.uint8, 4 * m, 16 + 17 * n).reshape(4, m)
-    return ids, null, lens, planes.T.copy().view("<u4").ravel().astype(np.int64)
+    raw = _expand(data)
+    n, m, w = np.frombuffer(raw, np.int64, 3).tolist()
+    ids, null, lens = np.frombuffer(raw, np.int64, n, 24), np.frombuffer(raw, np.bool_, n, 24 + 8 * n), np.frombuffer(raw, np.int64, n, 24 + 9 * n)
+    place = _joined(raw, w, 24 + 17 * n)
+    return ids, null, lens, place[_joined(raw, m, 24 + 17 * n + 4 * w)]
 
 
 def _pack_lists(parts: list) -> bytes:
-    lens = np.array([len(p) for p in parts], "<i4")
-    return zlib.compress(np.array([len(parts)], "<i8").tobytes() + lens.tobytes() + b"".join(parts), 1)
+    lens = np.array([len(p) for p in parts], np.int64)
+    return _squeeze(len(parts).to_bytes(8, "little") + _planes(lens) + b"".join(parts))
 
 
 def _unpack_lists(data: bytes):
     """(lengths, bytes of all parts)."""
-    raw = zlib.decompress(data)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return np.frombuffer(raw, "<i4", n, 8).astype(np.int64), raw[8 + 4 * n :]
+    raw = _expand(data)
+    n = int.from_bytes(raw[:8], "little")
+    return _joined(raw, n, 8).astype(np.int64), raw[8 + 4 * n :]
 
 
 def _blocks(spec: str, block_chars: int, shares: int):
@@ -98,10 +112,10 @@ def _blocks(spec: str, block_chars: int, shares: int):
             words = [w.encode() for w in seen]
             share = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % shares
             order = np.argsort(share, kind="stable")
-            rank = np.empty(len(words), np.int32)
-            rank[order] = np.arange(len(words), dtype=np.int32)
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
             cuts = np.searchsorted(share[order], np.arange(shares + 1))
-            rows = [(DOCS, _pack([(d, rank[x]) for d, x in docs]))]
+            rows = [(DOCS, _pack(docs, place))]
             rows += [(s, _pack_lists([words[i] for i in order[cuts[s] : cuts[s + 1]]])) for s in range(shares) if cuts[s] < cuts[s + 1]]
             return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "share", "data"])
 
@@ -125,6 +139,9 @@ def _blocks(spec: str, block_chars: int, shares: int):
 def _encode_shares(spec: str):
     def run(batches):
         """The distinct words of this task's share, each encoded once, and the ids of every list."""
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(spec)
@@ -179,52 +196,66 @@ class _Pieces:
         return _gather(self.flat, self.starts[ids], self.lens[ids]).tobytes().decode("utf-8", "replace")
 
 
-def _assemble(batches):
-    """doc_id, ids of the documents of each block; some MB at a time."""
-
-    def rows(out):
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.int64()), pa.array([i for _, i in out], pa.binary())], ["doc_id", "ids"])
-
-    for batch in batches:
-        for lists, packed in zip(batch.column("lists"), batch.column("docs"), strict=True):
-            parts = [_unpack_lists(x.as_py()) for x in lists.values] if lists.is_valid and len(lists) else []
-            lens = np.concatenate([n for n, _ in parts]) // 4 if parts else np.zeros(0, np.int64)
-            flat, starts = np.frombuffer(b"".join(raw for _, raw in parts), "<u4"), np.cumsum(lens) - lens
-            doc_ids, null, counts, at = _unpack(packed.as_py())
-            end, out, size = 0, [], 0
-            for doc_id, missing, n in zip(doc_ids.tolist(), null.tolist(), counts.tolist(), strict=True):
-                words = at[end : end + n]
-                end += n
-                ids = _gather(flat, starts[words], lens[words])
-                out.append((None if missing else doc_id, ids.tobytes()))
-                size += ids.nbytes + 16
-                if size > 4 << 20:
+def _assemble(spec: str, decoded: bool):
+    """doc_id, ids (and text) of the documents of each block; some MB at a time."""
+
+    def run(batches):
+        table = _Pieces(spec) if decoded else None
+        names = ["doc_id", "ids", "text"][: 3 if decoded else 2]
+
+        def rows(out):
+            columns = [pa.array([d for d, _ in out], pa.int64()), pa.array([i.tobytes() for _, i in out], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns + ([pa.array([table.decode(i) for _, i in out], pa.string())] if decoded else []), names)
+
+        for batch in batches:
+            for lists, packed in zip(batch.column("lists"), batch.column("docs"), strict=True):
+                parts = [_unpack_lists(x.as_py()) for x in lists.values] if lists.is_valid and len(lists) else []
+                lens = np.concatenate([n for n, _ in parts]) // 4 if parts else np.zeros(0, np.int64)
+                flat, starts = np.frombuffer(b"".join(raw for _, raw in parts), "<u4"), np.cumsum(lens) - lens
+                doc_ids, null, counts, at = _unpack(packed.as_py())
+                end, out, size = 0, [], 0
+                for doc_id, missing, n in zip(doc_ids.tolist(), null.tolist(), counts.tolist(), strict=True):
+                    words = at[end : end + n]
+                    end += n
+                    out.append((None if missing else doc_id, _gather(flat, starts[words], lens[words])))
+                    size += out[-1][1].nbytes + 16
+                    if size > 2 << 20:
+                        yield rows(out)
+                        out, size = [], 0
+                if out:
                     yield rows(out)
-                    out, size = [], 0
-            if out:
-                yield rows(out)
+
+    return run
 
 
-def encode(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit) of each row, add_special_tokens=False.
+def encode(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, decoded: bool = False) -> DataFrame:
+    """doc_id, ids (binary: little-endian unsigned 32-bit) of each row, add_special_tokens=False;
+    with `decoded` also the text that the ids decode to, in the same pass.
 
     spec: the tokenizer's JSON. Null texts count as empty and have no ids; repeated rows are
-    encoded each. Blocks hold about block_chars characters or one longer document."""
+    encoded each. Blocks hold about block_chars characters or one longer document.
+
+    Blocks are kept in a table bucketed by block in the shared folder: the ids come to them,
+    they do not move again."""
     spark = docs.sparkSession
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    blocks = written(base.mapInArrow(_blocks(spec, block_chars, shares), BLOCKS), "bpe-blocks")
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    made = base.mapInArrow(_blocks(spec, block_chars, shares), BLOCKS)
+    made.write.bucketBy(shares, "block").format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    blocks = spark.table(name)
     lists = blocks.where(F.col("share") != DOCS).repartition(shares, "share").mapInArrow(_encode_shares(spec), BLOCKS)
     back = lists.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("share", "data"))).alias("_l"))
     joined = blocks.where(F.col("share") == DOCS).select("block", F.col("data").alias("docs")).join(back, "block", "left")
-    return joined.select(F.transform("_l", lambda x: x["data"]).alias("lists"), "docs").mapInArrow(_assemble, "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + (", text string" if decoded else "")
+    return joined.select(F.transform("_l", lambda x: x["data"]).alias("lists"), "docs").mapInArrow(_assemble(spec, decoded), schema)
 
 
 def _decode(spec: str):
     def run(batches):
         table = _Pieces(spec)
         for batch in batches:
-            out = [table.decode(np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)) for x in batch.column("ids")]
+            out = [table.decode(np.frombuffer(x.as_py() or b"", "<u4")) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, "text"])
 
     return run

@@ -68,7 +68,7 @@ def op5(spark, sf_dir):
 @query("op6_bpe")
 def op6(spark, sf_dir):
     spec = bpe.tokenizer_spec()
-    decoded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), spec), spec)
+    decoded = bpe.encode(table(spark, sf_dir, "documents"), spec, decoded=True)
     n = (F.octet_length("ids") / 4).cast("bigint")
     return decoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
