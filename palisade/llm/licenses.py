@@ -3,8 +3,7 @@
 A template is license wording with markup: `<<optional>> ... <</optional>>` may be left out,
 `<<any 0-20>>` stands for that many words. It is compiled to an automaton over words, which
 accepts a passage only if all mandatory wording stands there exactly. Passages are searched at
-any place of a text; the words before the first mandatory word need no search, since a run of
-the automaton starts where its first words stand.
+any place of a text; a run of the automaton starts only where one of its first words stands.
 
 Phrases that name a license are templates without markup."""
 
@@ -126,40 +125,35 @@ class Automaton:
 
 
 class Matcher:
-    """All templates at once: only places that hold a first word and, within the text, the
-    rarest-looking (longest) mandatory word of a template are tried."""
+    """All templates at once: a run is tried where a first word of a template stands."""
 
     def __init__(self, phrases: dict, templates: list):
         self.phrases = [Automaton(label, phrase) for phrase, label in phrases.items()]
         self.templates = [Automaton(label, markup) for label, markup in templates]
-        self.keys = {id(a): max((w for _, w in a.mandatory), key=len) for a in self.phrases + self.templates}
+        self.by_first: dict = {}
+        for a in self.phrases + self.templates:
+            for w in a.first:
+                self.by_first.setdefault(w, []).append(a)
+        self.any_first = re.compile(b"|".join(map(re.escape, self.by_first)))
 
     def match(self, text: str):
         """(words, base places as (start, label), labels of the templates, score)."""
         low = spaced(text)
         words = low.split()
-        here = [a for a in self.phrases + self.templates if self.keys[id(a)] in low]
         base, labels, score = [], set(), 0.0
-        if here:
-            by_first: dict = {}
-            for a in here:
-                for w in a.first:
-                    by_first.setdefault(w, []).append(a)
-            phrases = set(map(id, self.phrases))
+        if self.any_first.search(low):
             for i, w in enumerate(words):
-                if w not in by_first:
-                    continue
-                for a in by_first[w]:
+                for a in self.by_first.get(w, ()):
                     end, far = a.run(words, i)
-                    if end is None:
-                        if id(a) not in phrases:
-                            score = max(score, 0.99 * a.share(far))
-                    elif id(a) in phrases:
-                        base.append((i, a.label))
-                        score = max(score, 0.5)
-                    else:
+                    if a in self.phrases:
+                        if end is not None:
+                            base.append((i, a.label))
+                            score = max(score, 0.5)
+                    elif end is not None:
                         labels.add(a.label)
                         score = 1.0
+                    else:
+                        score = max(score, 0.99 * a.share(far))
         return words, base, labels, score
 
 

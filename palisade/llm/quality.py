@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palisade.llm import logistic
 from palisade.llm.common import written
 
 MAX_LABELLED = 20_000
@@ -55,23 +56,8 @@ class Logistic:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
         self.mean, self.std = x.mean(0), x.std(0) + 1e-9
-        a, self.w = self._design(x), None
-        w = np.zeros(a.shape[1])
-
-        def loss(w):
-            z = a @ w
-            return np.logaddexp(0, z).sum() - y @ z + ridge / 2 * w @ w
-
-        for _ in range(50):  # Newton steps, halved until the loss falls
-            p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-            step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(a.shape[1]), a.T @ (p - y) + ridge * w)
-            now, size = loss(w), 1.0
-            while size > 1e-6 and loss(w - size * step) > now:
-                size /= 2
-            w = w - size * step
-            if np.abs(size * step).max() < 1e-7:
-                break
-        self.w = w
+        a = self._design(x)
+        self.w = logistic.fit(a, y, np.full(a.shape[1], ridge), np.zeros(a.shape[1]))
         self.scale, self.shift, self.prior = 1.0, 0.0, 0.0
 
     def _design(self, x):
@@ -83,16 +69,8 @@ class Logistic:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray):
         """Platt scaling; `evidence` is the calibrated logit without the sample's prior."""
-        z, a, b = self.logits(x), 1.0, 0.0
+        self.scale, self.shift = logistic.platt(self.logits(x), y > 0)
         n1, n0 = y.sum(), (1 - y).sum()
-        t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -35, 35)))
-            w = p * (1 - p) + 1e-6
-            hess = np.array([[(w * z * z).sum() + 0.1, (w * z).sum()], [(w * z).sum(), w.sum() + 0.1]])
-            da, db = np.linalg.solve(hess, [((p - t) * z).sum() + 0.1 * (a - 1), (p - t).sum() + 0.1 * b])
-            a, b = a - da, b - db
-        self.scale, self.shift = max(a, 1e-3), b
         self.prior = math.log((n1 + 1) / (n0 + 1))
         return self
 

@@ -99,7 +99,7 @@ def with_next(docs: DataFrame, *columns: str, add: dict | None = None, rows: int
     return ahead.where(~F.col("_head")).drop("_slice", "_head")
 
 
-def fingerprints(docs: DataFrame, k: int = SHINGLE, fraction: int = FRACTION) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = SHINGLE, fraction: int = FRACTION, rows: int = SLICE_ROWS) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
 
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, fraction: int = FRACTION) ->
     (or all) of the next document's. Null texts count as empty, repeated rows are documents of
     their own, a single row is its own next; an empty table gives an empty table."""
     base = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    both = with_next(base, "text", add={"sk": sketch(F.col("text"), k, fraction)})
+    both = with_next(base, "text", add={"sk": sketch(F.col("text"), k, fraction)}, rows=rows)
     n, cut = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))
     both = both.select("doc_id", n.cast("bigint").alias("n_chars"), "sk", "next_sk", edited.alias("edited"))
