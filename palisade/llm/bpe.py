@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from palisade.plans.stage import shared_folder
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 16 << 20
 #: White space as the tokenizer's pattern sees it (the Unicode property).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -136,6 +136,15 @@ def _blocks(spec: str, block_chars: int, shares: int):
     return run
 
 
+def _kind(spec: str) -> np.dtype:
+    """Two bytes carry an id between tasks if the vocabulary is that small."""
+    import json
+
+    model = json.loads(spec)
+    most = max([*model["model"]["vocab"].values(), *(t["id"] for t in model.get("added_tokens", []))], default=0)
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
+
+
 def _encode_shares(spec: str):
     def run(batches):
         """The distinct words of this task's share, each encoded once, and the ids of every list."""
@@ -148,6 +157,7 @@ def _encode_shares(spec: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         table: dict = {}
+        kind = _kind(spec)
         for batch in batches:
             out = []
             for data in batch.column("data"):
@@ -156,7 +166,7 @@ def _encode_shares(spec: str):
                 words = [raw[e - n : e] for e, n in zip(ends, lens.tolist(), strict=True)]
                 new = [w for w in words if w not in table]
                 for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                    table[w] = np.array(e.ids, "<u4").tobytes()
+                    table[w] = np.array(e.ids, kind).tobytes()
                 out.append(_pack_lists([table[w] for w in words]))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("share"), pa.array(out, pa.binary())], ["block", "share", "data"])
 
@@ -200,7 +210,7 @@ def _assemble(spec: str, decoded: bool):
     """doc_id, ids (and text) of the documents of each block; some MB at a time."""
 
     def run(batches):
-        table = _Pieces(spec) if decoded else None
+        table, kind = _Pieces(spec) if decoded else None, _kind(spec)
         names = ["doc_id", "ids", "text"][: 3 if decoded else 2]
 
         def rows(out):
@@ -210,8 +220,8 @@ def _assemble(spec: str, decoded: bool):
         for batch in batches:
             for lists, packed in zip(batch.column("lists"), batch.column("docs"), strict=True):
                 parts = [_unpack_lists(x.as_py()) for x in lists.values] if lists.is_valid and len(lists) else []
-                lens = np.concatenate([n for n, _ in parts]) // 4 if parts else np.zeros(0, np.int64)
-                flat, starts = np.frombuffer(b"".join(raw for _, raw in parts), "<u4"), np.cumsum(lens) - lens
+                lens = np.concatenate([n for n, _ in parts]) // kind.itemsize if parts else np.zeros(0, np.int64)
+                flat, starts = np.frombuffer(b"".join(raw for _, raw in parts), kind).astype("<u4"), np.cumsum(lens) - lens
                 doc_ids, null, counts, at = _unpack(packed.as_py())
                 end, out, size = 0, [], 0
                 for doc_id, missing, n in zip(doc_ids.tolist(), null.tolist(), counts.tolist(), strict=True):
