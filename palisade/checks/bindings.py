@@ -120,9 +120,9 @@ TABLES = [
         "event_id": "event_id", "pid": "user_id", "tid": "user_id", "uid": "user_id % 5 + 1000",
         "timestamp_ns": "CAST(floor(us / 2) AS BIGINT)", "cgroup_id": "user_id % 11 + 4000",
         "comm": pick("user_id % 8", COMMS), "fd": "CAST(k % 4 AS INT)", "direction": "CAST(k % 2 AS INT)",
-        "payload_len": ("CASE WHEN k % 5 = 0 THEN 5000 ELSE octet_length(props) END",
-                        "CASE WHEN k % 5 = 0 THEN 5000 ELSE octet_length(encode(props)) END"),
-        "path": pick(K8, PATHS), "text": "props",
+        "payload_len": ("CASE WHEN k % 5 = 0 THEN 5000 WHEN k % 5 = 1 THEN octet_length(props) * 700 ELSE octet_length(props) END",
+                        "CASE WHEN k % 5 = 0 THEN 5000 WHEN k % 5 = 1 THEN octet_length(encode(props)) * 700 ELSE octet_length(encode(props)) END"),
+        "path": pick(K8, PATHS), "text": "CASE WHEN k % 5 = 1 THEN repeat(props, 700) ELSE props END",
     }, "event_type IN ('view', 'purchase')"),
     # enriched events of every variant
     Binding("flat", "ev", {

@@ -144,11 +144,11 @@ def a11(spark, d):
     return A.confidence_histogram(c.withColumn("confidence", F.col("confidence") + F.lit(1e-9 / 20)))
 
 
-@query("fnv_hashes", f"WITH t AS (SELECT DISTINCT source || lang AS s FROM documents UNION SELECT left(text, 40) FROM conversations) SELECT s, {fnv32('s')} AS h32, {fnv64('s')} AS h64 FROM t")
+@query("fnv_hashes", f"WITH t AS (SELECT DISTINCT source || lang AS s FROM documents UNION SELECT text FROM conversations) SELECT s, {fnv32('s')} AS h32, {fnv64('s')} AS h64 FROM t")
 def fnv_hashes(spark, d):
     from palisade.functions.hashing import fnv32 as s32
     from palisade.functions.hashing import fnv64 as s64
 
     a = table(spark, d, "documents").select(F.concat("source", "lang").alias("s"))
-    b = table(spark, d, "conversations").select(F.left("text", F.lit(40)).alias("s"))
+    b = table(spark, d, "conversations").select(F.col("text").alias("s"))
     return a.unionByName(b).distinct().select("s", s32(F.col("s")).alias("h32"), s64(F.col("s")).alias("h64"))

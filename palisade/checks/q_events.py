@@ -53,8 +53,8 @@ def p2(spark, d):
 
 
 @query("p3_normalize_file_data", ctes("file_data") + """
-SELECT event_id, CASE direction WHEN 0 THEN 'write' ELSE 'read' END AS direction, left(text, least(payload_len, 4096)::INT) AS content,
-       payload_len AS bytes, CASE WHEN payload_len >= 4096 THEN TRUE END AS truncated FROM file_data""")
+SELECT event_id, CASE direction WHEN 0 THEN 'write' ELSE 'read' END AS direction, left(text, payload_len::INT) AS content,
+       payload_len AS bytes, CASE WHEN payload_len > octet_length(encode(text)) THEN TRUE END AS truncated FROM file_data""")
 def p3(spark, d):
     raw = bound(spark, d, "file_data").withColumn("payload", F.col("text").cast("binary"))
     return P.normalize_file_data(raw).select(
@@ -212,7 +212,7 @@ def f4(spark, d):
     return Fl.ai_processes(bound(spark, d, "net").select("pid", "comm").distinct())
 
 
-@query("f5_ai_paths", ctes("file_access") + "SELECT event_id, path FROM file_access WHERE " + " OR ".join(f"instr(path, '{p}') BETWEEN 1 AND 64" for p in rules.AI_PATH_PATTERNS))
+@query("f5_ai_paths", ctes("file_access") + "SELECT event_id, path FROM file_access WHERE " + " OR ".join(f"contains(path, '{p}')" for p in rules.AI_PATH_PATTERNS))
 def f5(spark, d):
     return Fl.ai_paths(bound(spark, d, "file_access")).select("event_id", "path")
 
@@ -310,7 +310,7 @@ def j8(spark, d):
     return n.select("event_id", "container_id", "pod_name", "pod_namespace", "service_account")
 
 
-AI_PATH = "(" + " OR ".join(f"instr(path, '{p}') BETWEEN 1 AND 64" for p in rules.AI_PATH_PATTERNS) + ")"
+AI_PATH = "(" + " OR ".join(f"contains(path, '{p}')" for p in rules.AI_PATH_PATTERNS) + ")"
 
 
 @query("j9_tracked_file_access", ctes("net", "file_access") + f""", t AS (SELECT DISTINCT pid FROM net WHERE comm = 'claude')
@@ -345,9 +345,14 @@ def a1(spark, d):
 
 
 @query("a2_provider_stats", ctes("flat") + f""", {FLAT} SELECT coalesce(provider, 'Unknown') AS provider, count(*) AS events, sum(b)::BIGINT AS bytes,
-  count(*) FILTER (WHERE pii) AS pii_events, array_to_string(list_sort(list(DISTINCT comm)), ',') AS processes FROM x GROUP BY 1""")
+  count(*) FILTER (WHERE pii) AS pii_events, count(DISTINCT comm) AS processes FROM x GROUP BY 1""")
 def a2(spark, d):
-    return A.provider_stats(agentic(spark, d)).withColumn("processes", F.array_join("processes", ","))
+    return A.provider_stats(agentic(spark, d))
+
+
+@query("a2_provider_processes", ctes("flat") + " SELECT coalesce(provider, 'Unknown') AS provider, comm AS process, count(*) AS events FROM flat GROUP BY 1, 2")
+def a2_processes(spark, d):
+    return A.provider_processes(agentic(spark, d))
 
 
 @query("a3_kpis", ctes("flat") + f""", {FLAT} SELECT count(*) AS events, sum(b)::BIGINT AS bytes, count(DISTINCT (comm, pid)) AS processes,
@@ -419,8 +424,8 @@ def k3(spark, d):
 
 @query("traffic_by_provider", ctes("net", "handshakes", "dns") + f""", {ASOF}, {RESOLVED}
 SELECT coalesce(provider, 'Unknown') AS provider, count(*) AS events, sum(bytes)::BIGINT AS bytes, 0::BIGINT AS pii_events,
-  array_to_string(list_sort(list(DISTINCT comm)), ',') AS processes FROM resolved GROUP BY 1""")
+  count(DISTINCT comm) AS processes FROM resolved GROUP BY 1""")
 def traffic_by_provider(spark, d):
     """Flagship: raw network records -> provider by server name, address, subnet -> traffic per provider."""
     n = J.resolve_provider(bound(spark, d, "net"), bound(spark, d, "dns"), bound(spark, d, "handshakes"))
-    return A.provider_stats(P.normalize_network(n)).withColumn("processes", F.array_join("processes", ","))
+    return A.provider_stats(P.normalize_network(n))

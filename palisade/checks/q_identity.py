@@ -17,7 +17,8 @@ KEYS = f"""keys AS (SELECT event_id, us, pid, {_cid} AS container_hash, cgroup_i
   coalesce(model_hash, 0) AS model, {TAG} AS tag FROM flat)"""
 # a fixed grouping stands in for resolved identities where the operator only needs ids
 ACT = f"{ACTIONS}, act AS (SELECT *, pid % 23 AS identity_id, us AS ts FROM actions)"
-TIMELINE = "tl AS (SELECT *, row_number() OVER (PARTITION BY identity_id ORDER BY ts DESC, event_id DESC) AS pos FROM act QUALIFY pos <= 256)"
+NEWEST = "tl AS (SELECT *, row_number() OVER (PARTITION BY identity_id ORDER BY ts DESC, event_id DESC) AS pos FROM act QUALIFY pos <= 256)"
+TIMELINE = "tl AS (SELECT *, row_number() OVER (PARTITION BY identity_id ORDER BY ts DESC, event_id DESC) AS pos FROM act)"
 
 
 def _actions(spark, d):
@@ -83,7 +84,7 @@ def i6(spark, d):
     return I.best_composite_match(_scores(spark, d))
 
 
-@query("w13_identity_timeline", ctes("flat") + f", {ACT}, {TIMELINE} SELECT identity_id, pos, event_id, label FROM tl")
+@query("w13_identity_timeline", ctes("flat") + f", {ACT}, {NEWEST} SELECT identity_id, pos, event_id, label FROM tl")
 def w13(spark, d):
     return I.identity_timeline(_actions(spark, d)).select("identity_id", "pos", "event_id", "label")
 
@@ -93,7 +94,7 @@ SUMMARY = "sm AS (SELECT identity_id, string_agg(label || ' x' || n, ', ' ORDER
 
 @query("a13_timeline_summary", ctes("flat") + f", {ACT}, {TIMELINE}, {SUMMARY} SELECT * FROM sm")
 def a13(spark, d):
-    return I.timeline_summary(I.identity_timeline(_actions(spark, d)))
+    return I.timeline_summary(_actions(spark, d))
 
 
 @query("a14_identity_rollup", ctes("flat") + f""", {ACT} SELECT identity_id, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS event_count, count(DISTINCT (pid, container_id, cgroup_id)) AS instances,
@@ -114,7 +115,7 @@ NARR = f"""lb AS (SELECT identity_id, arg_min({LABEL_SQL}, (ts, event_id)) AS id
 @query("a15_narratives", ctes("flat") + f", {ACT}, {TIMELINE}, {NARR} SELECT * FROM nr")
 def a15(spark, d):
     a = _actions(spark, d)
-    return I.narratives(I.identity_timeline(a), I.founder_labels(a))
+    return I.narratives(a, I.founder_labels(a))
 
 
 @query("w14_behavioral_digest", ctes("flat") + f""", {ACT}, {TIMELINE}, nx AS (SELECT identity_id, label AS a, lead(label) OVER (PARTITION BY identity_id ORDER BY pos DESC) AS b FROM tl),
@@ -122,7 +123,7 @@ def a15(spark, d):
  byt AS (SELECT identity_id, flatten(list(list_concat({text_bytes("(a || '|' || b || ':')")}, {le_unsigned("n", 4)}, [10::HUGEINT]) ORDER BY n DESC, a, b)) AS raw FROM ct GROUP BY 1)
 SELECT identity_id, {fnv64_list("raw")} AS behavioral_digest FROM byt""")
 def w14(spark, d):
-    return I.behavioral_digest(I.identity_timeline(_actions(spark, d)))
+    return I.behavioral_digest(_actions(spark, d))
 
 
 @query("w15_digest_refresh_points", ctes("flat") + f", {ACT} SELECT identity_id, event_id, row_number() OVER (PARTITION BY identity_id ORDER BY ts, event_id) AS event_count FROM act QUALIFY event_count >= 4 AND event_count % 10 = 0")
@@ -134,8 +135,7 @@ def w15(spark, d):
 SELECT f.event_id, a.identity_id AS id, CASE WHEN a.event_id IS NOT NULL THEN 'ExactInstance' END AS match_type, narrative, summary AS timeline, sm.timeline_len::INT AS timeline_len FROM flat f LEFT JOIN act a USING (event_id) LEFT JOIN nr ON nr.identity_id = a.identity_id LEFT JOIN sm ON sm.identity_id = a.identity_id""")
 def i7(spark, d):
     e, a = agentic(spark, d), _actions(spark, d)
-    tl = I.identity_timeline(a)
-    facts = I.narratives(tl, I.founder_labels(a)).join(I.timeline_summary(tl), "identity_id")
+    facts = I.narratives(a, I.founder_labels(a)).join(I.timeline_summary(a), "identity_id")
     matches = a.select("event_id", "identity_id", *I.INSTANCE, F.lit("ExactInstance").alias("match_type"), F.lit(1.0).alias("match_confidence"))
     out = I.attach_identity(e, matches, facts)
     return out.select("event_id", *[F.col(f"identity.{c}").alias(c) for c in ("id", "match_type", "narrative", "timeline", "timeline_len")])

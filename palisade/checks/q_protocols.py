@@ -40,7 +40,7 @@ def _cut(t):
 
 
 def _result(name, use, out):
-    return f"{{'name': {name}, 'tool_use_id': {use}, 'output_preview': {_cut(out)}}}"
+    return f"{{'name': {name}, 'tool_use_id': {use}, 'output_preview': {_cut(out)}, 'output': {out}}}"
 
 
 OPENAI_HINT = "coalesce(contains(lower(sni), 'openai') AND NOT contains(lower(sni), 'anthropic'), FALSE)"
@@ -106,7 +106,7 @@ def c14(spark, d):
 
 
 @query("c15_explode_tool_results", REQ_SQL + """, x AS (SELECT session_id, seq, unnest(results) AS m, generate_subscripts(results, 1) - 1 AS idx FROM req WHERE has_req)
-SELECT session_id, seq, idx, m.name AS name, m.tool_use_id AS tool_use_id, m.output_preview AS output_preview FROM x""")
+SELECT session_id, seq, idx, m.name AS name, m.tool_use_id AS tool_use_id, m.output_preview AS output_preview, m.output AS output FROM x""")
 def c15(spark, d):
     return Q.explode_tool_results(_requests(spark, d))
 
@@ -121,9 +121,9 @@ def c16(spark, d):
 
 
 @query("j14_pair_tool_calls", BASE + READ + REQUEST.replace("{src}", "js") + RESPONSE.replace("{src}", "js") + CALLS + """,
- res AS (SELECT session_id, tool_use_id, arg_min(seq, (seq, idx)) AS result_seq, arg_min(output_preview, (seq, idx)) AS output_preview FROM
-   (SELECT session_id, seq, m.tool_use_id AS tool_use_id, m.output_preview AS output_preview, idx FROM (SELECT session_id, seq, unnest(results) AS m, generate_subscripts(results, 1) - 1 AS idx FROM req WHERE has_req)) GROUP BY 1, 2)
-SELECT c.*, result_seq, output_preview FROM calls c LEFT JOIN res r ON c.session_id = r.session_id AND c.tool_call_id = r.tool_use_id""")
+ res AS (SELECT session_id, tool_use_id, arg_min(seq, (seq, idx)) AS result_seq, arg_min(output_preview, (seq, idx)) AS output_preview, arg_min(output, (seq, idx)) AS output FROM
+   (SELECT session_id, seq, m.tool_use_id AS tool_use_id, m.output_preview AS output_preview, m.output AS output, idx FROM (SELECT session_id, seq, unnest(results) AS m, generate_subscripts(results, 1) - 1 AS idx FROM req WHERE has_req)) GROUP BY 1, 2)
+SELECT c.*, result_seq, output_preview, output FROM calls c LEFT JOIN res r ON c.session_id = r.session_id AND c.tool_call_id = r.tool_use_id""")
 def j14(spark, d):
     return J.pair_tool_calls(Q.explode_tool_calls(_responses(spark, d)), Q.explode_tool_results(_requests(spark, d)))
 
@@ -154,7 +154,7 @@ _SDK = "CASE WHEN sdk_version IS NULL THEN sdk_name ELSE sdk_name || '/' || sdk_
 _MODEL = "CASE WHEN content_class = 'LlmApi' OR printed THEN model END"
 ACTIONS = BASE + CLASS + REQUEST.replace("{src}", "done") + RESPONSE.replace("{src}", "req") + f""", act AS (SELECT *, {_TYPES} AS pii FROM rsp),
 turn_actions AS (SELECT *, CASE WHEN direction = 0 THEN
-   CASE WHEN has_req THEN list_concat(list_transform(results, lambda r: {_act("ToolResult", tool="coalesce(r.name, 'unknown')", extra="r.output_preview")}),
+   CASE WHEN has_req THEN list_concat(list_transform(results, lambda r: {_act("ToolResult", tool="coalesce(r.name, 'unknown')", extra="r.output")}),
        [{_act("Prompt", "rq_provider", _s("jb", "$.model"), USER, extra=_SDK, size=_SIZE)}], {_pii("write")})
      WHEN content_class = 'Mcp' THEN [{_act("McpRequest", method="coalesce(rpc_method, 'unknown')", extra="category")}]
      WHEN is_interesting THEN [{_act("Prompt", "coalesce(provider, 'unknown')", _MODEL, extra=_SDK, size=_SIZE)}] ELSE [] END
@@ -171,7 +171,7 @@ def c17(spark, d):
     t = payload_rows(spark, d).select("session_id", "seq", "direction", "sni", "payload")
     a = lambda n: F.col(f"action.{n}")
     extra = (
-        F.when(a("type") == "Prompt", a("sdk")).when(a("type") == "ToolResult", a("output_preview")).when(a("type") == "ToolCall", a("input_json"))
+        F.when(a("type") == "Prompt", a("sdk")).when(a("type") == "ToolResult", a("output")).when(a("type") == "ToolCall", a("input_json"))
         .when(a("type") == "McpRequest", a("category"))
         .when(a("type") == "PiiDetected", F.concat(a("direction"), F.lit(":"), F.array_join(a("pii_types"), ",")))
     )

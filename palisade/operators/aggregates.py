@@ -38,13 +38,17 @@ def process_stats(events: DataFrame) -> DataFrame:
 
 
 def provider_stats(events: DataFrame) -> DataFrame:
-    """Per provider or 'Unknown': events, bytes, PII events, sorted process names."""
-    return (
-        _flat(events)
-        .groupBy(F.coalesce("provider", F.lit("Unknown")).alias("provider"))
-        .agg(*_totals(), F.array_sort(F.collect_set("name")).alias("processes"))
-        .orderBy(F.desc("events"), "provider")
-    )
+    """Per provider or 'Unknown': events, bytes, PII events, number of process names. The names
+    are aggregated away first; `provider_processes` lists them as rows."""
+    by_name = _flat(events).groupBy(F.coalesce("provider", F.lit("Unknown")).alias("provider"), "name").agg(*_totals())
+    sums = [F.sum(c).alias(c) for c in ("events", "bytes", "pii_events")]
+    return by_name.groupBy("provider").agg(*sums, F.count("name").alias("processes")).orderBy(F.desc("events"), "provider")
+
+
+def provider_processes(events: DataFrame) -> DataFrame:
+    """Process names seen with each provider, one row each with its events."""
+    named = _flat(events).filter(F.col("name").isNotNull())
+    return named.groupBy(F.coalesce("provider", F.lit("Unknown")).alias("provider"), F.col("name").alias("process")).agg(F.count(F.lit(1)).alias("events"))
 
 
 def top_providers(events: DataFrame, n=3) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Behaviour models over window features: forest, votes, density clusters."""
+"""Behaviour models over window features: forest and votes."""
 
 import numpy as np
 import pandas as pd
@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from palisade.plans.stage import materialize
 
-# Forest and clustering parameters
+# Forest parameters
 TREES, DEPTH, SHARE, LEAF = 100, 10, 0.7, 2
 MIN_ROWS, MIN_CLASSES = 50, 2
-CLUSTER_ROWS, MIN_CLUSTER = 2000, 10
 
 
 def behavior_label(provider, dport):
@@ -75,7 +74,12 @@ def _votes(trees, x: np.ndarray, classes: int) -> np.ndarray:
 
 
 def predict_behavior(vectors: DataFrame, model, folder: str, features="features", known="known_provider") -> DataFrame:
-    """Add predicted label, confidence (share of agreeing trees), behavior_class and is_novel."""
+    """Add predicted label, confidence (share of agreeing trees), behavior_class and is_novel.
+
+    Without a model (too few rows to train one) every row is Unknown with confidence 0."""
+    if model is None:
+        unknown = F.lit("Unknown")
+        return vectors.withColumns({"predicted": unknown, "confidence": F.lit(0.0), "behavior_class": unknown, "is_novel": F.lit(False)})
     labels: StringIndexerModel = model[0]
     trees = vectors.sparkSession.sparkContext.broadcast(_nodes(model[1], folder))
     names = list(labels.labels)
@@ -97,126 +101,3 @@ def predict_behavior(vectors: DataFrame, model, folder: str, features="features"
         .withColumn("is_novel", F.col(known).isNull() & ~generic)
         .drop("_p")
     )
-
-
-# ---------------------------------------------------------------- density clusters
-
-
-def discover_patterns(vectors: DataFrame, order="ts", key="window_id", features="features", rows=CLUSTER_ROWS, least=MIN_CLUSTER) -> DataFrame:
-    """HDBSCAN labels of the newest `rows` vectors: (key, cluster), noise = -1.
-
-    The row bound is the operator's own buffer, so the vectors (not their pairs) are
-    broadcast; every task finds, for its share of points, core distances and the cheapest
-    mutual-reachability edge that leaves the point's component. Rounds of such edges (Boruvka)
-    give the spanning tree, whose n - 1 edges are then cut by minimum cluster size."""
-    spark = vectors.sparkSession
-    newest = materialize(vectors.orderBy(F.desc(order), F.desc(key)).limit(rows).select(F.col(key).alias("key"), F.col(features).alias("x")))
-    local = newest.orderBy("key").toPandas()
-    n = len(local)
-    if n < 2 * least:
-        return newest.select(F.col("key").alias(key), F.lit(-1).alias("cluster"))
-    points = spark.sparkContext.broadcast(np.stack(local["x"].to_numpy()).astype(np.float32))
-    parts = max(1, min(n // 64, spark.sparkContext.defaultParallelism))
-    ids = spark.range(0, n, 1, parts).withColumnRenamed("id", "i")
-
-    def cores(batches):
-        for b in batches:
-            i = b["i"].to_numpy()
-            d = np.sort(_distances(points.value, i), axis=1)
-            yield pd.DataFrame({"i": i, "core": d[:, least - 1]})
-
-    core = np.empty(n)
-    found = ids.mapInPandas(cores, "i long, core double").toPandas()
-    core[found["i"]] = found["core"]
-    cores_b = spark.sparkContext.broadcast(core)
-    component, edges = np.arange(n), []
-    while len(np.unique(component)) > 1:
-        group = spark.sparkContext.broadcast(component)
-
-        def leaving(batches):
-            for b in batches:
-                i = b["i"].to_numpy()
-                reach = np.maximum(_distances(points.value, i), np.maximum(cores_b.value[i][:, None], cores_b.value[None, :]))
-                reach[group.value[i][:, None] == group.value[None, :]] = np.inf
-                j = reach.argmin(axis=1)
-                yield pd.DataFrame({"comp": group.value[i], "w": reach[np.arange(len(i)), j], "i": i, "j": j})
-
-        # ties are ordered by the unordered pair, so two components never choose a cycle
-        pair = F.struct("w", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-        cheapest = ids.mapInPandas(leaving, "comp long, w double, i long, j long").groupBy("comp").agg(F.min(pair).alias("e"))
-        for e in cheapest.select("e.*").distinct().toPandas().sort_values(["w", "a", "b"]).itertuples():
-            if component[e.a] != component[e.b]:
-                edges.append((e.w, int(e.a), int(e.b)))
-                component = np.where(component == component[e.b], component[e.a], component)
-    label = _condense(sorted(edges), n, least)
-    result = pd.DataFrame({key: local["key"], "cluster": label})
-    return spark.createDataFrame(result, f"{key} {newest.schema['key'].dataType.simpleString()}, cluster int")
-
-
-def _distances(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x, y = points[rows].astype(np.float64), points.astype(np.float64)
-    squared = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T
-    return np.sqrt(np.maximum(squared, 0))
-
-
-def _condense(edges, n, least) -> np.ndarray:
-    """Excess-of-mass clusters of a spanning tree given as sorted (weight, a, b)."""
-    parent, size, left, right, weight = list(range(n)), [1] * n, [None] * n, [None] * n, [0.0] * n
-
-    def root(v):
-        while parent[v] != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    for w, a, b in edges:
-        a, b = root(a), root(b)
-        node = len(parent)
-        parent += [node]
-        parent[a] = parent[b] = node
-        size.append(size[a] + size[b])
-        left.append(a), right.append(b), weight.append(max(w, 1e-12))
-
-    def leaves(v):
-        stack, out = [v], []
-        while stack:
-            u = stack.pop()
-            if left[u] is None:
-                out.append(u)
-            else:
-                stack += [left[u], right[u]]
-        return out
-
-    # walk down: a split with two large sides opens two clusters, otherwise points fall out
-    clusters = [{"birth": 0.0, "mass": 0.0, "children": [], "members": leaves(len(parent) - 1)}]
-    work = [(len(parent) - 1, 0)]
-    while work:
-        v, c = work.pop()
-        while left[v] is not None:
-            a, b, level = left[v], right[v], 1.0 / weight[v]
-            gain = level - clusters[c]["birth"]
-            if size[a] >= least and size[b] >= least:
-                clusters[c]["mass"] += gain * size[v]
-                for side in (a, b):
-                    clusters.append({"birth": level, "mass": 0.0, "children": [], "members": leaves(side)})
-                    clusters[c]["children"].append(len(clusters) - 1)
-                    work.append((side, len(clusters) - 1))
-                break
-            small, large = (a, b) if size[a] < size[b] else (b, a)
-            if size[large] < least:
-                clusters[c]["mass"] += gain * size[v]
-                break
-            clusters[c]["mass"] += gain * size[small]
-            v = large
-    chosen, best = set(), [0.0] * len(clusters)
-    for c in range(len(clusters) - 1, 0, -1):
-        below = sum(best[k] for k in clusters[c]["children"])
-        if clusters[c]["mass"] >= below:
-            best[c] = clusters[c]["mass"]
-            chosen = {k for k in chosen if not set(clusters[k]["members"]) <= set(clusters[c]["members"])} | {c}
-        else:
-            best[c] = below
-    label = np.full(n, -1)
-    for number, c in enumerate(sorted(chosen, key=lambda k: min(clusters[k]["members"]))):
-        label[clusters[c]["members"]] = number
-    return label

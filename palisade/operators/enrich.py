@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from palisade import rules
 from palisade.functions.text import contains_first, equals_first
 from palisade.operators.filters import ai_path
-from palisade.plans.lookup import lookup
 from palisade.plans.ordered import carry_last, time_slice
 
 SLICE_NS = 600 * 10**9
@@ -21,7 +20,7 @@ SLICE_NS = 600 * 10**9
 def join_provider_ip(network: DataFrame, dns: DataFrame, out="ip_provider") -> DataFrame:
     """Exact destination address -> provider, on port 443 only. dns: (ip, provider)."""
     by_ip = dns.groupBy(F.col("ip").alias("daddr")).agg(F.min("provider").alias("_p"))
-    joined = lookup(network, by_ip, "daddr")
+    joined = network.join(by_ip, "daddr", "left")
     return joined.select(*network.columns, F.when(F.col("dport") == 443, F.col("_p")).alias(out))
 
 
@@ -95,7 +94,7 @@ def resolve_container(network: DataFrame, cgroups: DataFrame) -> DataFrame:
         .groupBy("pid")
         .agg(F.min("_cid").alias("_cid"))
     )
-    joined = lookup(network, by_pid, "pid")
+    joined = network.join(by_pid, "pid", "left")
     rest = [c for c in network.columns if c != "container_id"]
     return joined.select(*rest, F.coalesce("_cid", "container_id").alias("container_id"))
 
@@ -155,7 +154,7 @@ def join_pods(network: DataFrame, containers: DataFrame) -> DataFrame:
     """Add pod_name, pod_namespace, service_account by container id (empty id: none)."""
     pods = containers.withColumnRenamed("container_id", "key")
     by_id = match_containers(network, containers).join(pods, "key").drop("key")
-    return lookup(network, by_id, "container_id")
+    return network.join(by_id, "container_id", "left")
 
 
 # ---------------------------------------------------------------- files
@@ -164,7 +163,7 @@ def join_pods(network: DataFrame, containers: DataFrame) -> DataFrame:
 def tracked_file_access(file_access: DataFrame, pids: DataFrame) -> DataFrame:
     """Accesses by a tracked pid or to an AI path, with the pid_tracked flag."""
     tracked = pids.select("pid").distinct().withColumn("_t", F.lit(True))
-    flagged = lookup(file_access, tracked, "pid").withColumn("pid_tracked", F.coalesce("_t", F.lit(False))).drop("_t")
+    flagged = file_access.join(tracked, "pid", "left").withColumn("pid_tracked", F.coalesce("_t", F.lit(False))).drop("_t")
     return flagged.filter(F.col("pid_tracked") | ai_path(F.col("path")))
 
 
@@ -258,10 +257,10 @@ def pair_tool_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
         results.filter(F.col("tool_use_id").isNotNull()),
         ["session_id", F.col("tool_use_id").alias("tool_call_id")],
         ["seq", "idx"],
-        ["seq", "output_preview"],
+        ["seq", "output_preview", "output"],
     )
     return calls.join(answers, ["session_id", "tool_call_id"], "left").select(
-        *calls.columns, F.col("_first.seq").alias("result_seq"), F.col("_first.output_preview").alias("output_preview")
+        *calls.columns, F.col("_first.seq").alias("result_seq"), F.col("_first.output_preview").alias("output_preview"), F.col("_first.output").alias("output")
     )
 
 

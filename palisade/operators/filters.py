@@ -42,9 +42,11 @@ def ai_processes(processes: DataFrame, column="comm") -> DataFrame:
     return processes.filter(any_true(F.startswith(F.col(column), F.lit(n)) for n in rules.AI_PROCESS_NAMES))
 
 
-def ai_path(path):
-    """Path holds an AI pattern that starts within the first 64 characters."""
-    return any_true(F.locate(p, path).between(1, rules.AI_PATH_SCAN) for p in rules.AI_PATH_PATTERNS)
+def ai_path(path, within: int | None = None):
+    """Path holds an AI pattern; with `within`, one that starts in its first so many characters
+    (a capture probe scans 64)."""
+    found = (F.locate(p, path) for p in rules.AI_PATH_PATTERNS)
+    return any_true(at.between(1, within) if within else at > 0 for at in found)
 
 
 def ai_paths(file_access: DataFrame) -> DataFrame:

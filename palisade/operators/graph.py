@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palisade import rules
-from palisade.plans.lookup import lookup
 from palisade.plans.ordered import carry_last, time_slice
 from palisade.plans.stage import materialize
 
@@ -54,7 +53,7 @@ def agent_edges(interactions: DataFrame, nodes: DataFrame) -> DataFrame:
     )
     ends = nodes.select("identity_id").distinct()
     for end in ("from_id", "to_id"):
-        edges = lookup(edges, ends.withColumnRenamed("identity_id", end), end, "left_semi")
+        edges = edges.join(ends.withColumnRenamed("identity_id", end), end, "left_semi")
     return edges
 
 

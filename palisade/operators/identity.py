@@ -10,8 +10,7 @@ from palisade import rules, schemas
 from palisade.functions.hashing import fnv32, fnv64, fnv64_bytes, le_bytes, utf8_bytes
 from palisade.functions.text import plural
 from palisade.operators.normalize import attribute, provider_tag, struct_of, to_identity_actions
-from palisade.plans.lookup import lookup
-from palisade.plans.ordered import running, sequence_number, time_slice
+from palisade.plans.ordered import carry_last, running, sequence_number, time_slice
 from palisade.plans.stage import materialize, settle
 
 INSTANCE = ["pid", "container_hash", "cgroup_id"]
@@ -103,7 +102,7 @@ def _patterns() -> Column:
     return F.array(mask("sig", "sdk"), mask("sdk", "model"), mask("sig"), mask("sdk"), mask("model"))
 
 
-def resolve_identities(actions: DataFrame, max_rounds=50) -> DataFrame:
+def resolve_identities(actions: DataFrame) -> DataFrame:
     """(instance key, identity_id, level, confidence, ts, event_id) of every instance's first action.
 
     Cascade: same full type key as a founder (StrongType), same signature and model as one
@@ -162,7 +161,7 @@ def resolve_identities(actions: DataFrame, max_rounds=50) -> DataFrame:
         return merged.select(*firsts.columns, found.alias("identity_id"), level.alias("level"))
 
     state = firsts.withColumn("identity_id", F.col("own_id")).withColumn("level", F.lit("New"))
-    for _ in range(max_rounds):
+    while True:
         following = materialize(once(state))
         pair = ["identity_id", "level"]
         old = state.select(*INSTANCE, *[F.col(c).alias(f"_{c}") for c in pair])
@@ -170,8 +169,6 @@ def resolve_identities(actions: DataFrame, max_rounds=50) -> DataFrame:
         state = following
         if changed.isEmpty():
             break
-    else:
-        raise RuntimeError(f"identity resolution did not settle in {max_rounds} rounds")
     confidence = F.when(F.col("level") == "CompositeMatch", rules.COMPOSITE_THRESHOLD)
     for name, value in rules.MATCH_CONFIDENCE.items():
         confidence = confidence.when(F.col("level") == name, value)
@@ -182,7 +179,7 @@ def assign_identities(actions: DataFrame, resolved: DataFrame) -> DataFrame:
     """Every action with identity_id, match_type and confidence."""
     keyed = identity_keys(actions)
     by_instance = resolved.select(*INSTANCE, "identity_id", "level", F.col("confidence").alias("_c"), F.col("event_id").alias("_first"))
-    joined = lookup(keyed, by_instance, INSTANCE, "inner")
+    joined = keyed.join(by_instance, INSTANCE)
     opening = F.col("event_id") == F.col("_first")
     return joined.withColumn("match_type", F.when(opening, F.col("level")).otherwise("ExactInstance")).withColumn(
         "match_confidence", F.when(opening, F.col("_c")).otherwise(rules.MATCH_CONFIDENCE["ExactInstance"])
@@ -270,15 +267,16 @@ def best_composite_match(scores: DataFrame) -> DataFrame:
 
 
 def identity_timeline(actions: DataFrame, cap=rules.TIMELINE_CAP) -> DataFrame:
-    """The last `cap` actions per identity, with pos = 1 for the newest. Spark limits each
-    group before the shuffle (row_number <= cap)."""
+    """The last `cap` actions per identity, with pos = 1 for the newest: a top-n view. Spark limits
+    each group before the shuffle (row_number <= cap). Summaries, narratives and digests take all
+    actions, or such a view where one is wanted."""
     newest = Window.partitionBy("identity_id").orderBy(F.desc("ts"), F.desc("event_id"))
     return actions.withColumn("pos", F.row_number().over(newest)).filter(F.col("pos") <= cap)
 
 
-def timeline_summary(timeline: DataFrame) -> DataFrame:
+def timeline_summary(actions: DataFrame) -> DataFrame:
     """'Label xN, ...' by count, then label."""
-    counts = timeline.groupBy("identity_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    counts = actions.groupBy("identity_id", "label").agg(F.count(F.lit(1)).alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("label"))))
     text = F.transform(ordered, lambda s: F.concat(s["label"], F.lit(" x"), (-s["m"]).cast("string")))
     return counts.groupBy("identity_id").agg(
@@ -293,11 +291,11 @@ def identity_rollup(actions: DataFrame) -> DataFrame:
     )
 
 
-def narratives(timeline: DataFrame, labels: DataFrame) -> DataFrame:
-    """One sentence per identity from its timeline; labels(identity_id, identity_label)."""
+def narratives(actions: DataFrame, labels: DataFrame) -> DataFrame:
+    """One sentence per identity from its actions; labels(identity_id, identity_label)."""
     is_ = lambda name: F.col("label") == name
     known = F.col("label").isin("LlmCall", "LlmStreamRecv", "Connect") & (F.col("action_provider") != "Other")
-    facts = timeline.groupBy("identity_id").agg(
+    facts = actions.groupBy("identity_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(is_("LlmCall")).alias("calls"), F.count_if(is_("McpCall")).alias("tools"),
         F.count_if(is_("PiiDetected")).alias("pii"), F.count_if(is_("LlmStreamRecv") | (is_("LlmCall") & F.col("streaming"))).alias("streams"),
         F.max_by(F.col("action_provider"), F.when(known, F.struct(*AT))).alias("primary"),
@@ -327,12 +325,12 @@ def founder_labels(actions: DataFrame) -> DataFrame:
     return identity_labels(actions).groupBy("identity_id").agg(F.min_by("identity_label", F.struct(*AT)).alias("identity_label"))
 
 
-def behavioral_digest(timeline: DataFrame, top=8) -> DataFrame:
-    """FNV-64 over the most frequent label pairs of each timeline; none below two entries."""
-    steps = Window.partitionBy("identity_id").orderBy(F.desc("pos"))
-    pairs = timeline.withColumn("_next", F.lead("label").over(steps)).filter(F.col("_next").isNotNull())
-    counts = pairs.groupBy("identity_id", "label", "_next").agg(F.count(F.lit(1)).alias("n"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("label").alias("a"), F.col("_next").alias("b"))))
+def behavioral_digest(actions: DataFrame, top=8, slice_us=SLICE_US) -> DataFrame:
+    """FNV-64 over the most frequent pairs of consecutive labels; none below two actions."""
+    steps = carry_last(actions, ["identity_id"], AT, time_slice(F.col("ts"), slice_us), F.col("label"), "_last", inclusive=False)
+    pairs = steps.filter(F.col("_last").isNotNull())
+    counts = pairs.groupBy("identity_id", "_last", "label").agg(F.count(F.lit(1)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("_last").alias("a"), F.col("label").alias("b"))))
     best = counts.groupBy("identity_id").agg(F.slice(ordered, 1, top).alias("best"))
     as_bytes = lambda s: F.concat(
         utf8_bytes(F.concat(s["a"], F.lit("|"), s["b"], F.lit(":"))), le_bytes(-s["m"], 4), F.array(F.lit(10).cast("bigint"))
@@ -349,7 +347,7 @@ def digest_refresh_points(actions: DataFrame, every=10, minimum=4, slice_us=SLIC
 def prompt_fingerprints(events: DataFrame, prompt="system_prompt") -> DataFrame:
     """Add prompt_fingerprint: FNV-64 of the prompt, hashed once per distinct text."""
     texts = events.select(prompt).filter(F.length(prompt) > 0).distinct()
-    return lookup(events, texts.withColumn("prompt_fingerprint", fnv64(F.col(prompt))), prompt)
+    return events.join(texts.withColumn("prompt_fingerprint", fnv64(F.col(prompt))), prompt, "left")
 
 
 def latest_prompt_fingerprint(events: DataFrame, prompt="system_prompt") -> DataFrame:
@@ -374,7 +372,7 @@ def attach_identity(events: DataFrame, matches: DataFrame, facts: DataFrame) ->
     """Fill the identity struct of each event: matches(event_id, identity_id, match_type,
     match_confidence, instance key), facts(identity_id, narrative, summary, timeline_len, ...)."""
     opt = lambda n: F.col(n) if n in facts.columns else F.lit(None)
-    found = lookup(matches, facts, "identity_id").select(
+    found = matches.join(facts, "identity_id", "left").select(
         "event_id",
         struct_of(
             schemas.IDENTITY, id=F.col("identity_id"), instance=instance_text(), confidence=F.col("match_confidence"),

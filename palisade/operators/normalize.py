@@ -139,15 +139,18 @@ def normalize_file_access(raw: DataFrame) -> DataFrame:
     return _event(tagged, F.concat(F.col("pid").cast("string"), F.lit(":file")), process_of(), action)
 
 
-def normalize_file_data(raw: DataFrame) -> DataFrame:
-    length = F.least(F.col("payload_len"), F.lit(rules.FILE_PAYLOAD_MAX))
+def normalize_file_data(raw: DataFrame, cap: int | None = None) -> DataFrame:
+    """File contents as events. `truncated` where the record holds fewer bytes than were moved,
+    or (with a cap, as a capture probe has) where the cap cut them."""
+    kept = F.octet_length("payload") if cap is None else F.least(F.octet_length("payload"), F.lit(cap))
+    length = F.least(F.col("payload_len"), kept)
     action = action_of(
         "FileData",
         path=F.col("path"),
         direction=F.when(F.col("direction") == 0, "write").otherwise("read"),
         content=lossy_text(F.substring(F.col("payload"), F.lit(1), length.cast("int"))),
         bytes=F.col("payload_len"),
-        truncated=F.when(F.col("payload_len") >= rules.FILE_PAYLOAD_MAX, F.lit(True)),
+        truncated=F.when(F.col("payload_len") > kept, F.lit(True)),
     )
     return _event(raw, F.concat(F.col("pid").cast("string"), F.lit(":file")), process_of(), action)
 

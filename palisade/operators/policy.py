@@ -10,7 +10,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.plans.lookup import lookup
 from palisade.plans.stage import settle
 
 # Decisions by severity
@@ -110,7 +109,7 @@ def flag_member(events: DataFrame, column: Column, data: DataFrame, field: str,
     """Add `flag`: does the column occur in data[field]? (null: false)"""
     members = data.select(F.col(field).alias("_m")).filter(F.col("_m").isNotNull()).distinct().withColumn(flag, F.lit(True))
     keyed = settle(events, _m=column)
-    return lookup(keyed, members, "_m").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("_m")
+    return keyed.join(members, "_m", "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("_m")
 
 
 def flag_prefix(events: DataFrame, column: Column, data: DataFrame, field: str, flag: str) -> DataFrame:
@@ -121,7 +120,7 @@ def flag_prefix(events: DataFrame, column: Column, data: DataFrame, field: str,
     cut = F.transform(F.sequence(F.lit(1), F.length("_m")), lambda n: F.left(F.col("_m"), n))
     listed = data.select(F.col(field).alias("_p")).distinct()
     matched = values.select("_m", F.explode(cut).alias("_p")).join(listed, "_p", "left_semi").select("_m").distinct()
-    return lookup(keyed, matched.withColumn(flag, F.lit(True)), "_m").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("_m")
+    return keyed.join(matched.withColumn(flag, F.lit(True)), "_m", "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop("_m")
 
 
 def flag_rows(events: DataFrame, keys: dict[str, Column], data: DataFrame, flag: str) -> DataFrame:
@@ -130,7 +129,7 @@ def flag_rows(events: DataFrame, keys: dict[str, Column], data: DataFrame, flag:
     wanted = data.select(*[F.col(n).alias(f"_k_{n}") for n in names]).distinct().withColumn(flag, F.lit(True))
     keyed = settle(events, **{f"_k_{n}": c for n, c in keys.items()})
     on = [f"_k_{n}" for n in names]
-    return lookup(keyed, wanted, on).withColumn(flag, F.coalesce(flag, F.lit(False))).drop(*on)
+    return keyed.join(wanted, on, "left").withColumn(flag, F.coalesce(flag, F.lit(False))).drop(*on)
 
 
 def event_tags() -> Column:

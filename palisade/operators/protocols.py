@@ -96,7 +96,7 @@ def _request(provider: str, v: Column, messages: Column, system: Column, max_tok
 
 
 def _result(name: Column, use_id: Column, output: Column) -> Column:
-    return F.struct(name.alias("name"), use_id.alias("tool_use_id"), shorten(output, _PREVIEW).alias("output_preview"))
+    return F.struct(name.alias("name"), use_id.alias("tool_use_id"), shorten(output, _PREVIEW).alias("output_preview"), output.alias("output"))
 
 
 def parse_llm_requests(bodies: DataFrame, body: str = "body") -> DataFrame:
@@ -247,7 +247,7 @@ def turns_to_actions(turns: DataFrame) -> DataFrame:
     )
     results = F.transform(
         req["tool_results"],
-        lambda r: action_of("ToolResult", tool_name=F.coalesce(r["name"], F.lit("unknown")), output_preview=r["output_preview"]),
+        lambda r: action_of("ToolResult", tool_name=F.coalesce(r["name"], F.lit("unknown")), output_preview=r["output_preview"], output=r["output"]),
     )
     pii = lambda way: F.when(F.col("pii_any"), action_of("PiiDetected", direction=F.lit(way), pii_types=F.col("pii_types")))
     method = F.coalesce(F.col("mcp_method"), F.lit("unknown"))

@@ -11,26 +11,21 @@ from palisade.functions.simhash import similarity, with_simhash
 from palisade.plans.stage import materialize
 
 BITS = rules.SIMHASH_PLANES
-_MAX_KEYS = 128
+KEY_BITS = 32
 
 
 def simhash(vectors: DataFrame, dim: int, column="embedding") -> DataFrame:
     return with_simhash(vectors, dim, column)
 
 
-def block_plan(max_distance: int) -> tuple[int, int]:
+def block_plan(max_distance: int, keys: int = 128) -> tuple[int, int]:
     """(blocks, blocks that must agree): hashes within max_distance agree on at least
     blocks - max_distance blocks, whichever bits differ. More blocks make longer, more
-    selective keys but more of them; 32 key bits are enough."""
-    chosen = (max_distance + 1, 1)
-    for blocks in range(max_distance + 1, BITS + 1):
-        agree = blocks - max_distance
-        if comb(blocks, agree) > _MAX_KEYS:
-            break
-        chosen = (blocks, agree)
-        if BITS * agree / blocks >= 32:
-            break
-    return chosen
+    selective keys but more of them: the fewest blocks whose keys have KEY_BITS bits, as long
+    as no hash gets more than `keys` of them."""
+    plans = [(b, b - max_distance) for b in range(max_distance + 1, BITS + 1)]
+    held = [p for p in plans if comb(*p) <= keys] or plans[:1]
+    return next((p for p in held if BITS * p[1] / p[0] >= KEY_BITS), held[-1])
 
 
 def _block_masks(blocks: int) -> list[int]:
@@ -57,7 +52,10 @@ def similar_pairs(hashes: DataFrame, min_similarity: float, column="simhash") ->
     Equal hashes are collapsed first (their group shows as hash_a = hash_b with similarity 1),
     so copies never multiply. Distinct hashes meet only where they agree on a block
     combination; a pair is kept at the first combination it agrees on, which removes
-    duplicates without another shuffle."""
+    duplicates without another shuffle.
+
+    Similarities of 0.9 and more have keys of at least 18 bits. Below, keys are short and a
+    hash meets a growing share of all others: a wide search, meant for small tables."""
     distance = int((1.0 - min_similarity) * BITS + 1e-9)
     distinct = materialize(hashes.groupBy(F.col(column).alias("h")).agg(F.count(F.lit(1)).alias("members")))
     keyed = distinct.select("h", "members", F.explode(_keys(F.col("h"), distance)).alias("k"))

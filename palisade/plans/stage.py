@@ -5,6 +5,7 @@ With parse steps that build on one another (text -> head -> lines -> body -> fie
 that substitution grows exponentially. `settle` computes the columns in a one-row
 generator, which keeps its outputs opaque: every step is evaluated once per row."""
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -21,11 +22,15 @@ def settle(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def shared_folder(spark) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir where the cluster names one.
-    A temporary one is set only where it is unset, as in local tests."""
+    """The folder every executor can reach: spark.checkpoint.dir where the session names one.
+    A local session without one, as in tests, gets a temporary folder; on a cluster, where
+    executors do not share such folders, that is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 

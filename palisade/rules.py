@@ -161,8 +161,6 @@ MCP_CATEGORY_TAGS = [
 # ---- Fixed values: process names and file-path patterns of AI tools, in order ----
 AI_PROCESS_NAMES = ["claude", "cursor", "aider", "cody", "copilot", "continue", "windsurf", "tabby"]
 AI_PATH_PATTERNS = [".claude", "CLAUDE.md", ".cursor", ".env", "skills/", ".anthropic"]
-AI_PATH_SCAN = 64
-FILE_PAYLOAD_MAX = 4096
 
 # ---- Fixed values: HTTP headers kept, methods recognised ----
 KEPT_HEADERS = [

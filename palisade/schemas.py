@@ -42,7 +42,7 @@ IDENTITY = _struct(
 ACTION = _struct(
     type=_S, provider=_S, model=_S, user_message=_S, system_prompt=_S, stream=_B, sdk=_S, bytes=_L, sni=_S,
     endpoint=_S, fingerprint=_L, pii_detected=_B, confidence=T.DoubleType(), sdk_hash=_L, model_hash=_L,
-    tool_name=_S, input_json=_S, output_preview=_S, method=_S, category=_S, params_preview=_S, result_preview=_S,
+    tool_name=_S, input_json=_S, output_preview=_S, output=_S, method=_S, category=_S, params_preview=_S, result_preview=_S,
     direction=_S, pii_types=T.ArrayType(_S), kind=_S, src_ip=_S, src_port=_I, dst_ip=_S, dst_port=_I,
     path=_S, mode=_S, reason=_S, content=_S, truncated=_B,
 )

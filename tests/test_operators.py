@@ -219,24 +219,6 @@ def test_feature_vector_width(spark, sf_dir):
     assert {x.n for x in r} == {windows.FEATURES} == {352} and all(abs(x.uni - 1) < 1e-9 for x in r)
 
 
-def test_clusters_and_forest(spark, tmp_path):
-    rnd = np.random.default_rng(8)
-    centres = {"A": [0, 0], "B": [10, 10], "GenericHttps": [0, 12]}
-    rows = [(i * 100 + j, name, (np.array(c) + rnd.normal(0, 0.3, 2)).tolist()) for i, (name, c) in enumerate(centres.items()) for j in range(40)]
-    rows += [(900, "Unknown", [40.0, -30.0]), (901, "Unknown", [-50.0, 20.0])]
-    df = spark.createDataFrame(rows, "id long, label string, features array<double>")
-    found = {r.id: r.cluster for r in behavior.discover_patterns(df, "id", "id").collect()}
-    groups = [{found[i * 100 + j] for j in range(40)} - {-1} for i in range(3)]
-    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3 and found[900] == found[901] == -1
-    data = df.filter("id < 900").withColumn("known_provider", F.when(F.col("label") == "A", "A"))
-    model = behavior.train_behavior_model(data, trees=10)
-    out = behavior.predict_behavior(data, model, str(tmp_path)).collect()
-    assert sum(r.predicted == r.label for r in out) >= 118 and all(0 < r.confidence <= 1 for r in out)
-    assert {r.behavior_class for r in out} == {"LlmApi(A)", "LlmApi(B)", "GenericHttps"}
-    assert all(r.is_novel == (r.predicted == "B") for r in out)
-    assert behavior.train_behavior_model(df.limit(20)) is None
-
-
 def test_broken_lines_are_kept_aside(spark, tmp_path):
     good = '{"event_id":1,"process":{"pid":1,"name":"p"},"action":{"type":"Network"}}'
     (tmp_path / "e.ndjson").write_text(f"{good}\n\n{{broken\n{good}\n")
@@ -254,3 +236,33 @@ def test_keyed_table(spark, tmp_path):
     assert sorted((r.k, r.v) for r in keyed.load(spark, path).collect()) == [(1, "a"), (2, "d"), (3, "e")]
     keyed.remove(rows((1, "", 0)), path, ["k"])
     assert sorted(r.k for r in keyed.load(spark, path).collect()) == [2, 3]
+
+def test_forest(spark, tmp_path):
+    rnd = np.random.default_rng(8)
+    centres = {"A": [0, 0], "B": [10, 10], "GenericHttps": [0, 12]}
+    rows = [(i * 100 + j, name, (np.array(c) + rnd.normal(0, 0.3, 2)).tolist()) for i, (name, c) in enumerate(centres.items()) for j in range(40)]
+    df = spark.createDataFrame(rows, "id long, label string, features array<double>")
+    data = df.withColumn("known_provider", F.when(F.col("label") == "A", "A"))
+    model = behavior.train_behavior_model(data, trees=10)
+    out = behavior.predict_behavior(data, model, str(tmp_path)).collect()
+    assert sum(r.predicted == r.label for r in out) >= 118 and all(0 < r.confidence <= 1 for r in out)
+    assert {r.behavior_class for r in out} == {"LlmApi(A)", "LlmApi(B)", "GenericHttps"}
+    assert all(r.is_novel == (r.predicted == "B") for r in out)
+    assert behavior.train_behavior_model(df.limit(20)) is None
+    unknown = behavior.predict_behavior(data, None, str(tmp_path)).collect()
+    assert {(r.predicted, r.confidence, r.behavior_class, r.is_novel) for r in unknown} == {("Unknown", 0.0, "Unknown", False)}
+
+
+def test_limits_are_arguments(spark):
+    from palisade.operators import filters, normalize, similarity
+
+    paths = spark.createDataFrame([("x" * 70 + "/.env",), ("/a/.env",)], "path string")
+    assert filters.ai_paths(paths).count() == 2
+    assert paths.filter(filters.ai_path(F.col("path"), within=64)).count() == 1
+    raw = spark.createDataFrame([(1, 1, 1, 5, 7, "c", 0, "/f", bytearray(b"y" * 9000), 9000), (1, 1, 1, 5, 7, "c", 0, "/f", bytearray(b"z"), 9000)],
+                                "pid long, tid long, uid long, timestamp_ns long, cgroup_id long, comm string, direction int, path string, payload binary, payload_len long")
+    whole = {len(r.content): r.truncated for r in normalize.normalize_file_data(raw).select("action.*").collect()}
+    assert whole == {9000: None, 1: True}
+    cut = {len(r.content): r.truncated for r in normalize.normalize_file_data(raw, cap=4096).select("action.*").collect()}
+    assert cut == {4096: True, 1: True}
+    assert similarity.block_plan(3) == (6, 3) and similarity.block_plan(12) == (14, 2)
