@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from palisade import rules
-from palisade.checks.bindings import ctes, payload_rows
+from palisade.checks.bindings import bound, ctes, payload_rows
 from palisade.checks.registry import query
 from palisade.checks.sqlfn import CLASS, READ, fnv32, fnv64
 from palisade.operators import classify as C
 from palisade.operators import enrich as J
 from palisade.operators import normalize as P
 from palisade.operators import protocols as Q
+from palisade.operators import sessions as T
 
 BASE = ctes("payloads")
 _s = lambda j, p: f"json_extract_string({j}, '{p}')"
@@ -179,6 +180,56 @@ def c17(spark, d):
     return Q.turns_to_actions(t).select(*IDS, "action_idx", *[a(n).alias(n) for n in names], extra.alias("extra"))
 
 
+def _h2_frame(size, kind, flags):
+    """Nine header bytes on stream 1."""
+    return F.concat(F.unhex(F.lpad(F.hex(size), 6, "0")), F.unhex(F.lit(f"{kind:02x}{flags:02x}00000001")))
+
+
+def h2_chunks(spark, d):
+    """The bodies of `payloads` framed as HTTP/2 (preface, SETTINGS, padded DATA), in two chunks."""
+    p = payload_rows(spark, d).filter("sni IS NOT NULL AND fam < 3").drop("payload")
+    b = bound(spark, d, "cutbodies").select("conv_id", "turn", F.col("doc").cast("binary").alias("doc"))
+    rows = p.join(b, ["conv_id", "turn"])
+    preface = F.when((F.col("turn") == 0) & (F.col("direction") == 0), F.lit(rules.H2_PREFACE.encode())).otherwise(F.lit(b""))
+    size = F.octet_length("doc")
+    wire = F.concat(preface, _h2_frame(F.lit(6), 4, 0), F.unhex(F.lit("00" * 6)), _h2_frame(size + 4, 0, 8), F.unhex(F.lit("03")), F.col("doc"), F.unhex(F.lit("000000")))
+    cut = rows.withColumn("_wire", wire).drop("doc").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    half = F.floor(F.octet_length("_wire") / 2).cast("int")
+    piece = F.when(F.col("part") == 0, F.substring("_wire", F.lit(1), half)).otherwise(F.substring("_wire", half + 1, F.octet_length("_wire")))
+    return (
+        cut.withColumn("payload", piece).withColumn("seq", F.col("turn") * 2 + F.col("part"))
+        .withColumn("timestamp_ns", F.col("timestamp_ns") + F.col("part") * 1000).drop("_wire", "part")
+    )
+
+
+# runs of one direction are one turn; its body is the joined documents, its size that of the frames
+H2_ACTIONS = ctes("payloads") + """, h2docs AS (SELECT p.* EXCLUDE (payload_text), b.doc FROM payloads p JOIN cutbodies b ON p.conv_id = b.conv_id AND p.turn = b.turn WHERE p.sni IS NOT NULL AND p.fam < 3),
+ lg AS (SELECT *, lag(direction) OVER (PARTITION BY conv_id ORDER BY turn) AS pd FROM h2docs),
+ il AS (SELECT *, sum(CASE WHEN pd IS NULL OR pd <> direction THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS turn_no FROM lg),
+ h2turns AS (SELECT pid, ssl_ptr, turn_no, min(direction) AS direction, min(sni) AS sni, string_agg(doc, '' ORDER BY turn) AS payload_text,
+   sum(octet_length(encode(doc)) + 9 + 6 + 9 + 4 + CASE WHEN turn = 0 AND direction = 0 THEN 24 ELSE 0 END)::BIGINT AS wire FROM il GROUP BY 1, 2, 3),
+ h2js AS (SELECT *, CASE WHEN json_valid(payload_text) THEN payload_text::JSON END AS jb FROM h2turns)""" + REQUEST.replace("{src}", "h2js") + RESPONSE.replace("{src}", "req") + f""",
+ act AS (SELECT *, {_TYPES} AS pii FROM rsp), turn_actions AS (SELECT *, CASE WHEN direction = 0 AND has_req THEN
+   list_concat(list_transform(results, lambda r: {_act("ToolResult", tool="coalesce(r.name, 'unknown')", extra="r.output")}), [{_act("Prompt", "rq_provider", _s("jb", "$.model"), USER, size="wire")}], {_pii("write")})
+   WHEN direction = 1 AND rs_provider IS NOT NULL THEN list_concat(list_transform(calls, lambda c: {_act("ToolCall", "rs_provider", tool="c.name", extra="c.input_json")}),
+   [{_act("Response", "rs_provider", _s("jb", "$.model"), size="wire")}], {_pii("read")}) ELSE [] END AS acts FROM act)"""
+
+
+@query("c17_h2_turns_to_actions", H2_ACTIONS + """, x AS (SELECT pid, ssl_ptr, turn_no, unnest(acts) AS a, (generate_subscripts(acts, 1) - 1)::INT AS action_idx FROM turn_actions)
+SELECT pid, ssl_ptr, turn_no, action_idx, a.type AS type, a.provider AS provider, a.model AS model, a.user_message AS user_message, a.tool_name AS tool_name, a.extra AS extra, a.bytes AS bytes FROM x""")
+def c17_h2(spark, d):
+    """Chunks -> verdicts -> turns -> HTTP/2 bodies -> actions."""
+    c = h2_chunks(spark, d)
+    t = T.whole_turns(T.turns(c, T.connection_verdicts(c), segment=256))
+    a = lambda n: F.col(f"action.{n}")
+    extra = (
+        F.when(a("type") == "ToolResult", a("output")).when(a("type") == "ToolCall", a("input_json"))
+        .when(a("type") == "PiiDetected", F.concat(a("direction"), F.lit(":"), F.array_join(a("pii_types"), ",")))
+    )
+    names = ("type", "provider", "model", "user_message", "tool_name", "bytes")
+    return Q.turns_to_actions(t).select("pid", "ssl_ptr", "turn_no", "action_idx", *[a(n).alias(n) for n in names], extra.alias("extra"))
+
+
 @query("c18_mcp_capabilities", BASE + READ + f""", t AS (SELECT session_id, unnest(list_transform({_list("jb", "$.result.tools")}, lambda x: {_s("x", "$.name")})) AS tool FROM mcpx WHERE is_mcp AND msg_type = 'Response'),
  g AS (SELECT session_id, array_to_string(list_sort(list(DISTINCT tool)), chr(10)) AS tools FROM t GROUP BY 1)
 SELECT session_id, tools, {fnv64("tools")} AS capability_hash FROM g""")

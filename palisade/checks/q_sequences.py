@@ -142,28 +142,35 @@ def w11(spark, d):
 # ------------------------------------------------------------------ sessions
 
 _CUT = "CAST(floor(length(payload_text) / 2) AS INT)"
-CHUNKED = ctes("payloads").replace("payloads AS (", "payloads0 AS (") + f""", payloads AS (
+CHUNKED = ctes("payloads").replace("payloads AS (", "payloads0 AS (") + f""", payloads1 AS (
   SELECT * EXCLUDE (payload_text, seq, timestamp_ns, part), turn * 2 + part AS seq, timestamp_ns + part * 1000 AS timestamp_ns,
-    CASE part WHEN 0 THEN left(payload_text, {_CUT}) ELSE substr(payload_text, {_CUT} + 1) END AS payload_text
-  FROM (SELECT *, unnest([0, 1]) AS part FROM payloads0))"""
+    CASE part WHEN 0 THEN left(payload_text, {_CUT}) ELSE substr(payload_text, {_CUT} + 1) || CASE WHEN conv_id % 20 = 1 AND turn = 1 THEN repeat('x', 150000) ELSE '' END END AS payload_text
+  FROM (SELECT *, unnest([0, 1]) AS part FROM payloads0)),
+payloads AS (SELECT * FROM payloads1 UNION ALL BY NAME SELECT * EXCLUDE (i) REPLACE (i - 100 AS seq, timestamp_ns - (100 - i) * 1000 AS timestamp_ns, 'noise ' || i AS payload_text)
+  FROM (SELECT *, unnest(range(12)) AS i FROM payloads1 WHERE conv_id % 5 = 0 AND turn = 0 AND seq = 0))"""
 
 
 def chunk_rows(spark, d):
-    """Every payload cut into two chunks."""
+    """Every payload cut into two chunks; some connections open with a dozen dull ones, some
+    chunks are longer than any buffer of a live probe."""
     rows = bound(spark, d, "payloads").withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
     half = F.floor(F.length("payload_text") / 2).cast("int")
-    piece = F.when(F.col("part") == 0, F.left("payload_text", half)).otherwise(F.substr("payload_text", half + 1))
-    return (
+    long = F.when((F.col("conv_id") % 20 == 1) & (F.col("turn") == 1), F.lit("x" * 150_000)).otherwise("")
+    piece = F.when(F.col("part") == 0, F.left("payload_text", half)).otherwise(F.concat(F.substr("payload_text", half + 1), long))
+    cut = (
         rows.withColumn("payload", piece.cast("binary"))
         .withColumn("seq", F.col("turn") * 2 + F.col("part"))
         .withColumn("timestamp_ns", F.col("timestamp_ns") + F.col("part") * 1000)
         .drop("payload_text", "part")
     )
+    dull = cut.filter("conv_id % 5 = 0 AND turn = 0 AND seq = 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    dull = dull.withColumn("seq", (F.col("_i") - 100).cast("bigint")).withColumn("timestamp_ns", F.col("timestamp_ns") - (100 - F.col("_i")) * 1000)
+    return cut.unionByName(dull.withColumn("payload", F.concat(F.lit("noise "), F.col("_i").cast("string")).cast("binary")).drop("_i"))
 
 
 SNI_HIT = case_contains("lower(sni)", rules.PROVIDER_HOSTS)
 VERDICT = CHUNKED + CLASS + f""", num AS (SELECT *, row_number() OVER (PARTITION BY pid, ssl_ptr ORDER BY timestamp_ns, seq) AS cn FROM done),
- ver AS (SELECT pid, ssl_ptr, min(cn) FILTER (WHERE cn <= 10 AND (is_interesting OR {SNI_HIT} IS NOT NULL)) AS hit, count(*) AS chunks_seen FROM num GROUP BY 1, 2),
+ ver AS (SELECT pid, ssl_ptr, min(cn) FILTER (WHERE is_interesting OR {SNI_HIT} IS NOT NULL) AS hit, count(*) AS chunks_seen FROM num GROUP BY 1, 2),
  verdicts AS (SELECT pid, ssl_ptr, CASE WHEN hit IS NOT NULL THEN 'interesting' WHEN chunks_seen >= 10 THEN 'boring' ELSE 'undecided' END AS verdict,
    coalesce(hit, CASE WHEN chunks_seen >= 10 THEN 10 END)::INT AS decided_at, chunks_seen FROM ver)"""
 FOLLOW = """, fol AS (SELECT num.* FROM num JOIN verdicts v USING (pid, ssl_ptr) WHERE v.verdict = 'interesting' AND cn >= decided_at AND payload_text <> '')"""
@@ -179,12 +186,16 @@ def a10(spark, d):
     return A.verdict_counters(T.connection_verdicts(chunk_rows(spark, d)))
 
 
-@query("t2_flow_buffers", VERDICT + FOLLOW + """, b AS (SELECT *, sum(octet_length(encode(payload_text))) OVER (PARTITION BY pid, ssl_ptr, direction ORDER BY timestamp_ns, seq) - octet_length(encode(payload_text)) AS off FROM fol)
-SELECT pid, ssl_ptr, direction, string_agg(payload_text, '' ORDER BY timestamp_ns, seq) AS text, count(*) AS chunks FROM b WHERE off < 131072 GROUP BY 1, 2, 3""")
+SEGMENT = 1 << 16
+
+
+@query("t2_flow_buffers", VERDICT + FOLLOW + f""" SELECT pid, ssl_ptr, direction, string_agg(payload_text, '' ORDER BY timestamp_ns, seq) AS text,
+  ceil(sum(octet_length(encode(payload_text))) / {SEGMENT})::BIGINT AS segments FROM fol GROUP BY 1, 2, 3""")
 def t2(spark, d):
     c = chunk_rows(spark, d)
-    f = T.flow_buffers(c, T.connection_verdicts(c))
-    return f.select("pid", "ssl_ptr", "direction", F.col("payload").cast("string").alias("text"), "chunks")
+    f = T.flow_buffers(c, T.connection_verdicts(c), segment=SEGMENT)
+    glued = F.expr("listagg(payload) WITHIN GROUP (ORDER BY segment)").cast("string").alias("text")
+    return f.groupBy("pid", "ssl_ptr", "direction").agg(glued, F.count(F.lit(1)).alias("segments"))
 
 
 TURNS = FOLLOW + """, lg AS (SELECT *, lag(direction) OVER (PARTITION BY pid, ssl_ptr ORDER BY timestamp_ns, seq) AS pd FROM fol),
@@ -196,7 +207,7 @@ TURNS = FOLLOW + """, lg AS (SELECT *, lag(direction) OVER (PARTITION BY pid, ss
 @query("t3_turns", VERDICT + TURNS + " SELECT * FROM tn")
 def t3(spark, d):
     c = chunk_rows(spark, d)
-    t = T.turns(c, T.connection_verdicts(c))
+    t = T.whole_turns(T.turns(c, T.connection_verdicts(c), segment=SEGMENT))
     return t.select("pid", "ssl_ptr", "turn_no", "direction", F.col("payload").cast("string").alias("text"), "chunks", "ended_ns", "seq", "emitted")
 
 
@@ -207,17 +218,24 @@ def t4(spark, d):
     return T.flush_idle_turns(t, now_ns=20000 * 10**9, idle_ns=15000 * 10**9).select("pid", "ssl_ptr", "turn_no", "chunks")
 
 
-@query("t5_sni_state", ctes("net", "handshakes") + f", {ASOF} SELECT event_id, pid, sni FROM asofs")
+@query("t5_sni_state", ctes("net", "handshakes") + f", {ASOF} SELECT event_id, pid, sni FROM asofs WHERE timestamp_ns <= ((SELECT max(timestamp_ns) FROM net) // 1000000 - 60000) * 1000000")
 def t5(spark, d):
-    """The streaming twin of the as-of server name: per-pid state with expiry, replayed to the end."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    net = BY_NAME["net"].build(BY_NAME["ev"].build(events))
-    out = f"{shared_folder(spark)}/sni-{uuid.uuid4().hex}"
+    """The streaming twin of the as-of server name, in several micro-batches: handshakes and
+    events of a pid meet in state whichever comes first, and leave it with the watermark."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    folder = f"{shared_folder(spark)}/sni-{uuid.uuid4().hex}"
+    # six files in time order, half of the rows up to 20 hours late (36 s of capture time)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 2 == 0, F.pmod(F.xxhash64("event_id"), F.lit(20)) * 3_600_000_000).otherwise(0)
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    parts = events.withColumn("_part", F.floor((at - F.lit(first)) * 6 / F.lit(max(1, (last or 0) - (first or 0) + 1))))
+    for i in range(6):
+        parts.filter(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{folder}/in/{i}")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    net = BY_NAME["net"].build(BY_NAME["ev"].build(stream))
     named = flows.asof_sni(net, BY_NAME["handshakes"].build(net))
-    run = named.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
+    run = named.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(named.schema).parquet(f"{out}/rows")
+    return spark.read.schema(named.schema).parquet(f"{folder}/rows")
 
 
 @query("t6_expire_connections", CHUNKED + """, b AS (SELECT *, min(timestamp_ns) OVER (PARTITION BY pid, ssl_ptr) AS born FROM payloads)
@@ -249,6 +267,12 @@ def c19(spark, d):
     headers = F.concat(frame(F.lit(2), "010400000001"), F.unhex(F.lit("8286")))
     wire = F.concat(F.when((F.col("turn") == 0) & (F.col("direction") == 0), F.lit(rules.H2_PREFACE.encode())).otherwise(F.lit(b"")), headers, data)
     rows = c.select(F.col("conv_id").alias("pid"), F.lit(1).alias("ssl_ptr"), "direction", (F.col("turn") * 1000).alias("timestamp_ns"), F.col("turn").alias("seq"), wire.alias("payload"))
-    verdicts = rows.select("pid", "ssl_ptr").distinct().select("*", F.lit("interesting").alias("verdict"), F.struct(F.lit(0).cast("bigint").alias("timestamp_ns"), F.lit(0).cast("bigint").alias("seq")).alias("decided_by"))
-    out = h2.reassemble_h2(T.flow_buffers(rows, verdicts))
-    return out.select("pid", "direction", F.col("body").cast("string").alias("body"))
+    flows_ = T.flow_buffers(rows, every_connection(rows), segment=500)
+    bodies = h2.reassemble_h2(flows_).groupBy("pid", "direction").agg(F.expr("listagg(body) WITHIN GROUP (ORDER BY segment)").alias("body"))
+    return bodies.select("pid", F.col("direction").alias("direction"), F.col("body").cast("string").alias("body"))
+
+
+def every_connection(rows):
+    """Verdicts that follow every connection from its start."""
+    first = F.struct(F.lit(0).cast("bigint").alias("timestamp_ns"), F.lit(0).cast("bigint").alias("seq"))
+    return rows.select("pid", "ssl_ptr").distinct().select("*", F.lit("interesting").alias("verdict"), first.alias("decided_by"))

@@ -1,11 +1,12 @@
-"""HTTP/2 bodies from captured chunks: DATA frames of a connection's direction, joined.
+"""HTTP/2 bodies: the DATA frames of a flow or a turn, joined.
 
-Frames straddle chunks, so this is the one job that walks bytes. The flow is cut to the
-buffer cap first (operators.sessions), which bounds every group."""
+Frames straddle chunks and segments, and where one ends is known only from the one before, so
+a flow is read front to back. Only frame headers are looked at one by one; payloads are cut
+out whole."""
 
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade import rules
@@ -15,37 +16,81 @@ _PREFACE = rules.H2_PREFACE.encode()
 _HEADER, _DATA, _PADDED, _MAX_FRAME = 9, 0, 0x08, 16 * 1024 * 1024
 
 
+class Frames:
+    """Reader of one flow: feed it bytes in order, it returns the DATA bytes they complete."""
+
+    def __init__(self):
+        self.rest, self.started, self.broken = b"", False, False
+
+    def feed(self, data: bytes) -> bytes:
+        if self.broken:
+            return b""
+        held = self.rest + data
+        if not self.started:
+            if len(held) < len(_PREFACE) and _PREFACE.startswith(held):
+                self.rest = held
+                return b""
+            held = held.removeprefix(_PREFACE)
+            self.started = True
+        at, parts = 0, []
+        while len(held) - at >= _HEADER:
+            size = int.from_bytes(held[at : at + 3], "big")
+            if size > _MAX_FRAME:
+                self.broken = True
+                break
+            end = at + _HEADER + size
+            if end > len(held):
+                break
+            if held[at + 3] == _DATA and size:
+                parts.append(self._content(held[at + _HEADER : end], held[at + 4]))
+            at = end
+        self.rest = b"" if self.broken else held[at:]
+        return b"".join(parts)
+
+    @staticmethod
+    def _content(frame: bytes, flags: int) -> bytes:
+        """A DATA frame without its padding; padding that would take all of it is ignored."""
+        if not flags & _PADDED:
+            return frame
+        padding, body = frame[0], frame[1:]
+        return body[: len(body) - padding] if padding < len(body) else body
+
+
 def data_frames(flow: bytes | None) -> bytes | None:
     """Joined payloads of the complete DATA frames; None when there are none."""
-    if not flow:
-        return None
-    view = memoryview(flow)
-    at = len(_PREFACE) if flow.startswith(_PREFACE) else 0
-    body = bytearray()
-    while len(view) - at >= _HEADER:
-        length = int.from_bytes(view[at : at + 3], "big")
-        kind, flags = view[at + 3], view[at + 4]
-        start, end = at + _HEADER, at + _HEADER + length
-        if length > _MAX_FRAME or end > len(view):
-            break
-        if kind == _DATA and length:
-            padding = view[start] if flags & _PADDED else 0
-            first = start + 1 if flags & _PADDED else start
-            # padding that would swallow the whole frame is ignored
-            body += view[first : end - padding if padding < end - first else end]
-        at = end
-    return bytes(body) or None
+    return (Frames().feed(flow) or None) if flow else None
+
+
+def body_of(payload: Column) -> Column:
+    """data_frames of a whole turn, as an Arrow function; null rows cost nothing."""
+
+    @F.pandas_udf("binary")
+    def decode(flows: pd.Series) -> pd.Series:
+        return flows.map(data_frames, na_action="ignore")
+
+    return decode(payload)
 
 
 def reassemble_h2(flows: DataFrame) -> DataFrame:
-    """flows(pid, ssl_ptr, direction, payload) -> the same with `body`, rows without DATA dropped."""
+    """flows(pid, ssl_ptr, direction, segment, payload, ...) -> pid, ssl_ptr, direction, segment,
+    body: the DATA bytes that each segment completes, rows without any dropped. The segments of
+    a flow are read in order in one task, with one unfinished frame in memory."""
+    key = ["pid", "ssl_ptr", "direction"]
 
     def decode(batches):
+        flow, reader = None, None
         for batch in batches:
-            raw = batch.column("payload").to_pylist()
-            body = pa.array([data_frames(x) for x in raw], pa.binary())
-            rest = batch.select([n for n in batch.schema.names if n != "payload"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, body], names=[*rest.schema.names, "body"]).filter(pc.is_valid(body))
+            out = []
+            columns = [batch.column(c).to_pylist() for c in (*key, "segment")]
+            for *now, segment, payload in zip(*columns, batch.column("payload"), strict=True):
+                if now != flow:
+                    flow, reader = now, Frames()
+                body = reader.feed(payload.as_py())
+                if body:
+                    out.append((*now, segment, body))
+            fields = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(fields, [*key, "segment", "body"])
 
-    fields = flows.drop("payload").withColumn("body", F.lit(None).cast("binary")).schema
-    return flows.select(*flows.drop("payload").columns, "payload").mapInArrow(decode, fields)
+    typed = flows.select(F.col("pid").cast("bigint"), F.col("ssl_ptr").cast("bigint"), F.col("direction").cast("int"), F.col("segment").cast("bigint"), "payload")
+    ordered = typed.repartition(*key).sortWithinPartitions(*key, "segment")
+    return ordered.mapInArrow(decode, "pid bigint, ssl_ptr bigint, direction int, segment bigint, body binary")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from palisade import schemas
 from palisade.functions.hashing import fnv64
 from palisade.functions.jsonfields import bool_at, number_at, parse_whole, string_at, type_at, variant_at, whole_at
-from palisade.functions.text import shorten
+from palisade.functions.text import lossy_text, shorten
 from palisade.operators.classify import classify_payloads
+from palisade.operators.h2 import body_of
 from palisade.operators.normalize import action_of
 from palisade.plans.stage import settle
 
@@ -223,12 +224,19 @@ def mcp_capabilities(mcp_responses: DataFrame, key="session_id") -> DataFrame:
 # ---------------------------------------------------------------- turns
 
 
+def with_h2_bodies(read: DataFrame) -> DataFrame:
+    """HTTP/2 turns get the text of their DATA frames as body, so they parse like any other."""
+    framed = F.when(F.col("protocol") == "Http2Binary", F.col("payload"))
+    staged = read.withColumn("_h2", body_of(framed))
+    return staged.withColumn("body", F.coalesce("body", lossy_text(F.col("_h2")))).drop("_h2")
+
+
 def turns_to_actions(turns: DataFrame) -> DataFrame:
     """Flat-map turns (direction 0 write / 1 read, payload, sni) to action structs, in order.
 
     Result columns: those of `turns` without the payload, plus action_idx and action."""
     keep = [c for c in turns.columns if c != "payload"]
-    read = parse_llm_responses(parse_llm_requests(classify_payloads(turns)))
+    read = parse_llm_responses(parse_llm_requests(with_h2_bodies(classify_payloads(turns))))
     size = F.octet_length("payload").cast("bigint")
     flagged = F.when(F.col("pii_any"), F.lit(True))
     nothing = F.array().cast(f"array<{schemas.ACTION.simpleString()}>")

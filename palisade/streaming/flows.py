@@ -5,6 +5,7 @@ DataFrame as they are. The ones below keep state per key: each micro-batch bring
 rows once, they are folded in event order, and state that idles past the watermark expires. The fold functions are
 small; parsing and classification run before them as Column expressions."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from palisade import rules
 from palisade.operators.classify import classify_payloads
 from palisade.operators.enrich import sni_provider
 from palisade.operators.normalize import attribute, whole_micros
+from palisade.operators.sessions import SEGMENT
 
 WATERMARK = "60 seconds"
 _IDLE_MS = 300_000
@@ -86,78 +88,117 @@ def events_per_second(events: DataFrame, watermark=WATERMARK) -> DataFrame:
 # ---------------------------------------------------------------- server names
 
 
-def asof_sni(network: DataFrame, handshakes: DataFrame, ttl_ns=rules.SNI_TTL_NS) -> DataFrame:
-    """event_id, pid, sni: the pid's latest handshake, if younger than the TTL."""
-    rows = network.select("pid", "timestamp_ns", "event_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("sni"))
-    seen = handshakes.select("pid", "timestamp_ns", "event_id", F.lit(0).alias("kind"), "sni")
+def asof_sni(network: DataFrame, handshakes: DataFrame, ttl_ns=rules.SNI_TTL_NS, watermark=WATERMARK) -> DataFrame:
+    """event_id, pid, sni: the pid's latest handshake at or before each event, if younger than
+    the TTL. Events wait until the watermark has passed them, so the order in which rows arrive
+    does not matter; rows older than the watermark are dropped.
 
-    def fold(key, batch, state):
-        at, name = state or (None, None)
-        found = []
-        for r in batch.sort_values(["timestamp_ns", "kind", "event_id"]).itertuples():
-            if r.kind == 0:
-                at, name = int(r.timestamp_ns), r.sni
-            else:
-                fresh = at is not None and r.timestamp_ns - at < ttl_ns
-                found.append((r.event_id, key[0], name if fresh else None))
-        return pd.DataFrame(found, columns=["event_id", "pid", "sni"]), (at, name)
+    State is kept per (pid, TTL-long period): handshakes also go to the period after theirs, so a
+    busy pid is spread over periods and its state ends with them."""
+    period = lambda: F.floor(F.col("timestamp_ns") / ttl_ns)
+    none = F.lit(None).cast("string")
+    asked = network.select("pid", "timestamp_ns", "event_id", F.lit(1).alias("kind"), none.alias("sni"), period().alias("period"))
+    seen = handshakes.select("pid", "timestamp_ns", "event_id", F.lit(0).alias("kind"), "sni", F.explode(F.array(period(), period() + 1)).alias("period"))
+    fields = ("at", "id", "name")
+
+    def run(key, frames, state: GroupState):
+        held = [list(x) for x in state.get] if state.exists else [[], [], [], [], []]
+        for f in frames if not state.hasTimedOut else ():
+            for kind, (at, ids, names) in ((0, held[:3]), (1, (*held[3:], None))):
+                rows = f[f["kind"] == kind]
+                at += rows["timestamp_ns"].tolist()
+                ids += rows["event_id"].tolist()
+                if names is not None:
+                    names += rows["sni"].tolist()
+        mark = state.getCurrentWatermarkMs() * 1_000_000
+        shakes = pd.DataFrame(dict(zip(fields, held[:3], strict=True))).sort_values(["at", "id"], kind="stable")
+        pending = pd.DataFrame({"at": held[3], "event_id": held[4]})
+        due = pending[pending["at"] <= mark]
+        if len(due):
+            times, names = shakes["at"].to_numpy(dtype="int64"), shakes["name"].to_numpy(dtype=object)
+            place = np.searchsorted(times, due["at"].to_numpy(dtype="int64"), "right") - 1
+            found = (place >= 0) & (due["at"].to_numpy() - times[np.maximum(place, 0)] < ttl_ns) if len(times) else np.zeros(len(due), bool)
+            named = np.where(found, names[np.maximum(place, 0)], None) if len(times) else np.full(len(due), None)
+            yield pd.DataFrame({"event_id": due["event_id"], "pid": key[0], "sni": named})
+        pending = pending[pending["at"] > mark]
+        end_ms = (int(key[1]) + 1) * ttl_ns // 1_000_000
+        if not len(pending) and state.getCurrentWatermarkMs() >= end_ms:
+            if state.exists:
+                state.remove()
+            return
+        state.update((*(shakes[f].tolist() for f in fields), pending["at"].tolist(), pending["event_id"].tolist()))
+        # a timeout fires once the watermark is beyond it
+        first = -(-int(pending["at"].min()) // 1_000_000) - 1 if len(pending) else end_ms - 1
+        state.setTimeoutTimestamp(max(first, state.getCurrentWatermarkMs() + 1))
 
-    return _stateful(rows.union(seen), ["pid"], _expiring(fold, ttl_ns // 1_000_000), "event_id bigint, pid bigint, sni string", "at bigint, name string")
+    kept = "at array<bigint>, id array<bigint>, name array<string>, pending_at array<bigint>, pending_id array<bigint>"
+    return _stateful(asked.union(seen), ["pid", "period"], run, "event_id bigint, pid bigint, sni string", kept, watermark)
 
 
 # ---------------------------------------------------------------- connections
 
 
-def connection_verdicts(chunks: DataFrame, undecided=rules.UNDECIDED_CHUNKS) -> DataFrame:
-    """One row per connection when it is decided: pid, ssl_ptr, verdict, decided_at."""
+def connection_verdicts(chunks: DataFrame, undecided=rules.UNDECIDED_CHUNKS, late=True) -> DataFrame:
+    """A row whenever a connection is decided: pid, ssl_ptr, verdict, decided_at. A boring one
+    may turn interesting later (unless late is False); its last row counts. Chunks of decided
+    connections are still counted, but not kept."""
     hit = F.col("is_interesting") | sni_provider(F.col("sni")).isNotNull()
     flagged = classify_payloads(chunks, with_fingerprint=False).select("pid", "ssl_ptr", "timestamp_ns", "seq", hit.alias("hit"))
 
     def fold(key, batch, state):
-        seen, done = state or (0, False)
+        seen, said = state or (0, "")
         found = []
-        for r in batch.sort_values(["timestamp_ns", "seq"]).itertuples():
-            if done:
-                break
-            seen += 1
-            if r.hit or seen >= undecided:
-                done = True
-                found.append((*key, "interesting" if r.hit else "boring", seen))
-        return pd.DataFrame(found, columns=["pid", "ssl_ptr", "verdict", "decided_at"]), (seen, done)
+        if said != "interesting" and (late or not said):
+            hits = np.flatnonzero(batch.sort_values(["timestamp_ns", "seq"])["hit"].to_numpy())
+            at = seen + int(hits[0]) + 1 if len(hits) else None
+            dull = not said and seen + len(batch) >= undecided and (at is None or at > undecided)
+            if dull:
+                found.append((*key, "boring", undecided))
+                said = "boring"
+            if at is not None and (late or not dull):
+                found.append((*key, "interesting", at))
+                said = "interesting"
+        return pd.DataFrame(found, columns=["pid", "ssl_ptr", "verdict", "decided_at"]), (seen + len(batch), said)
 
     output = "pid bigint, ssl_ptr bigint, verdict string, decided_at int"
-    return _stateful(flagged, ["pid", "ssl_ptr"], _expiring(fold, _IDLE_MS), output, "seen int, done boolean")
+    return _stateful(flagged, ["pid", "ssl_ptr"], _expiring(fold, _IDLE_MS), output, "seen bigint, said string")
+
 
+def turns(chunks: DataFrame, segment=SEGMENT, idle_ms=_IDLE_MS) -> DataFrame:
+    """Turns of followed connections: pid, ssl_ptr, direction, segment, payload, chunks, closed.
 
-def turns(chunks: DataFrame, cap=rules.FLOW_CAP, idle_ms=_IDLE_MS) -> DataFrame:
-    """Turns of followed connections: pid, ssl_ptr, direction, payload, chunks. A turn is
-    emitted when the direction changes; a pending response also when the connection idles."""
+    A full segment is emitted at once; the last one of a turn (closed) when the direction changes,
+    for a pending response also when the connection idles. State holds less than a segment."""
     rows = chunks.select("pid", "ssl_ptr", "timestamp_ns", "seq", "direction", "payload").filter(F.octet_length("payload") > 0)
-    names = ["pid", "ssl_ptr", "direction", "payload", "chunks"]
+    names = ["pid", "ssl_ptr", "direction", "segment", "payload", "chunks", "closed"]
 
     def run(key, frames, state: GroupState):
+        direction, number, held, n = state.get if state.exists else (None, 0, b"", 0)
         if state.hasTimedOut:
-            direction, held, n = state.get
             state.remove()
             if direction == 1 and n:
-                yield pd.DataFrame([(*key, direction, held, n)], columns=names)
+                yield pd.DataFrame([(*key, direction, number, bytes(held), n, True)], columns=names)
             return
-        direction, held, n = state.get if state.exists else (None, b"", 0)
-        held, done, batch = bytearray(held), [], _batches(frames)
-        for r in batch.sort_values(["timestamp_ns", "seq"]).itertuples():
-            if direction is not None and r.direction != direction:
-                done.append((*key, direction, bytes(held), n))
-                held, n = bytearray(), 0
-            direction = int(r.direction)
-            held += r.payload[: cap - len(held)]
-            n += 1
-        state.update((direction, bytes(held), n))
+        batch = _batches(frames).sort_values(["timestamp_ns", "seq"])
+        ways, payloads = batch["direction"].to_numpy(), batch["payload"].tolist()
+        cuts = [0, *(np.flatnonzero(np.diff(ways)) + 1).tolist(), len(ways)]
+        done, held = [], bytes(held)
+        for start, end in zip(cuts, cuts[1:]):
+            if direction is not None and ways[start] != direction:
+                done.append((*key, direction, number, held, n, True))
+                number, held, n = 0, b"", 0
+            direction = int(ways[start])
+            held, n = held + b"".join(payloads[start:end]), n + end - start
+            while len(held) > segment:
+                done.append((*key, direction, number, held[:segment], n, False))
+                number, held = number + 1, held[segment:]
+        state.update((direction, number, held, n))
         _keep_until_idle(state, batch, idle_ms)
         if done:
             yield pd.DataFrame(done, columns=names)
 
-    output = "pid bigint, ssl_ptr bigint, direction int, payload binary, chunks int"
-    return _stateful(rows, ["pid", "ssl_ptr"], run, output, "direction int, held binary, n int")
+    output = "pid bigint, ssl_ptr bigint, direction int, segment int, payload binary, chunks int, closed boolean"
+    return _stateful(rows, ["pid", "ssl_ptr"], run, output, "direction int, segment int, held binary, n int")
 
 
 # ---------------------------------------------------------------- behaviour windows
