@@ -58,7 +58,7 @@ NEWS = """news AS (SELECT event_id AS new_id, fingerprint AS sig, sdk_hash AS sd
    + CASE WHEN eb THEN 0.25 ELSE 0 END + CASE WHEN en THEN 0.20 ELSE 0 END)::DOUBLE, 9) AS score FROM pairs)"""
 
 
-def _scores(spark, d):
+def _candidates(spark, d):
     f = bound(spark, d, "flat").filter("type = 'Prompt'")
     new = f.selectExpr(
         "event_id AS new_id", "fingerprint AS sig", "sdk_hash AS sdk", "model_hash AS model", "CASE WHEN k % 3 = 0 THEN k % 5 END AS prompt",
@@ -69,19 +69,19 @@ def _scores(spark, d):
         F.expr("max(CASE WHEN k % 2 > 0 THEN sdk_hash ELSE 0 END)").alias("sdk"), F.expr("max(CASE WHEN k % 5 > 2 THEN model_hash ELSE 0 END)").alias("model"),
         F.expr("max(k % 5)").alias("prompt"), F.expr("max(k % 7)").alias("digest"), F.expr("collect_set(CASE WHEN k % 9 = 0 THEN provider END)").alias("providers"),
     )
-    return I.score_candidates(new, known)
+    return new, known
 
 
-@query("i5_score_candidates", ctes("flat") + f", {NEWS} SELECT new_id, max(score) AS score FROM sc WHERE score >= 0.6 GROUP BY 1")
+@query("i5_score_candidates", ctes("flat") + f", {NEWS} SELECT new_id, identity_id, score FROM sc WHERE score >= 0.6")
 def i5(spark, d):
-    """Highest score of each new row."""
-    return _scores(spark, d).groupBy("new_id").agg(F.max("score").alias("score"))
+    """Every pair that reaches the threshold."""
+    return I.score_candidates(*_candidates(spark, d)).drop("first_seen")
 
 
 @query("i6_best_composite_match", ctes("flat") + f""", {NEWS}, b AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, first_seen, identity_id) AS r FROM sc WHERE score >= 0.6)
 SELECT new_id, identity_id, score, CASE WHEN score >= 0.85 THEN 'SemanticMatch' ELSE 'CompositeMatch' END AS level FROM b WHERE r = 1""")
 def i6(spark, d):
-    return I.best_composite_match(_scores(spark, d))
+    return I.best_composite_match(I.pattern_candidates(*_candidates(spark, d)))
 
 
 @query("w13_identity_timeline", ctes("flat") + f", {ACT}, {NEWEST} SELECT identity_id, pos, event_id, label FROM tl")

@@ -3,6 +3,9 @@
 Events are reduced to one row per instance (pid, container, cgroup) before anything is
 resolved: once an instance is known, its later events follow it."""
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +45,8 @@ def build_label() -> Column:
 
 
 def identity_keys(events: DataFrame) -> DataFrame:
-    """Add the instance key, the type key, ts (epoch microseconds) and the provider tag."""
+    """Add the instance key, the type key, ts (epoch microseconds), the provider tag and a hash of the
+    system prompt."""
     container = F.col("process.container_id")
     return settle(
         events,
@@ -54,6 +58,8 @@ def identity_keys(events: DataFrame) -> DataFrame:
         model=_zero(attribute("model_hash")),
         ts=F.unix_micros("timestamp"),
         tag=provider_tag(attribute("provider")),
+        # equal prompts are all that resolution asks for
+        prompt=F.when(F.length(attribute("system_prompt")) > 0, F.xxhash64(attribute("system_prompt"))),
     )
 
 
@@ -72,7 +78,7 @@ def identity_labels(events: DataFrame) -> DataFrame:
 def first_actions(actions: DataFrame) -> DataFrame:
     """The first identity action of every instance, with its keys, label and the id it would found."""
     keyed = identity_labels(identity_keys(actions))
-    cols = [*AT, *TYPE, "tag", "identity_label"]
+    cols = [*AT, *TYPE, "tag", "prompt", "identity_label"]
     first = keyed.groupBy(*INSTANCE).agg(F.min_by(F.struct(*cols), F.struct(*AT)).alias("f"))
     return identity_ids(first.select(*INSTANCE, "f.*")).withColumnRenamed("identity_id", "own_id")
 
@@ -83,6 +89,11 @@ def provider_links(actions: DataFrame) -> DataFrame:
     return named.groupBy(*INSTANCE, "tag").agg(F.min(F.struct(*AT)).alias("linked"))
 
 
+def prompts_said(actions: DataFrame) -> DataFrame:
+    """System prompts of each instance in time: one narrow row for each action with one."""
+    return identity_keys(actions).filter(F.col("prompt").isNotNull()).select(*INSTANCE, *AT, F.col("prompt").alias("said"))
+
+
 def _earliest_before(queries: DataFrame, offers: DataFrame, keys, out: str) -> DataFrame:
     """For each query (keys, ts, event_id), the smallest `who` offered under the same keys
     strictly before it: union and a running minimum instead of a range join."""
@@ -95,11 +106,38 @@ def _earliest_before(queries: DataFrame, offers: DataFrame, keys, out: str) -> D
     return carried.filter(F.col("_kind") == 0).select(*queries.columns, out)
 
 
+# Parts of a full type key that a candidate with a full or partial key must share, and the
+# type score that gives. Signature and model together are a match of their own (MediumType).
+_SHARED = [(("sig", "sdk"), False, 1.0), (("sdk", "model"), False, 1.0), (("sig",), False, 1.0), (("sdk",), False, 1.0), (("model",), False, 1.0),
+           (("sig", "sdk"), True, rules.TYPE_WEIGHTS["sig"] + rules.TYPE_WEIGHTS["sdk"])]
+
+
 def _patterns() -> Column:
-    """Partial type keys whose present parts all equal the row's: they score a full type match."""
+    """Type keys of candidates that score with the row's full one: partial keys whose parts all
+    agree, and full keys that differ in the model."""
     zero = F.lit(0).cast("bigint")
-    mask = lambda *keep: F.struct(*[(F.col(c) if c in keep else zero).alias(f"k_{c}") for c in TYPE])
-    return F.array(mask("sig", "sdk"), mask("sdk", "model"), mask("sig"), mask("sdk"), mask("model"))
+    parts = lambda keep: [(F.col(c) if c in keep else zero).alias(f"k_{c}") for c in TYPE]
+    return F.array(*[F.struct(*parts(keep), F.lit(full).alias("k_full"), F.lit(score).alias("type_score")) for keep, full, score in _SHARED])
+
+
+def _best_mix(asked: DataFrame, offers: DataFrame, said: DataFrame) -> DataFrame:
+    """Best composite candidate of each asked instance: (instance key, mix(score, who)).
+
+    asked: rows with a full type key, their patterns and prompt; offers: identities by provider
+    and pattern from the moment they used the provider (type keys found ids, so a pattern has
+    one identity, or one for each model); said: prompts by identity. A candidate's prompt is the
+    latest one before the row."""
+    weights = rules.SCORE_WEIGHTS["fallback"]
+    keys = ["tag", "k_sig", "k_sdk", "k_model", "k_full"]
+    met = asked.join(offers, keys).filter(F.struct("ts", "event_id") > F.col("linked")).drop(*keys, "linked")
+    both = met.withColumn("_kind", F.lit(0)).unionByName(said.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    order = [*AT, "_kind"]
+    known = carry_last(both, ["candidate"], order, time_slice(F.col("ts"), SLICE_US), F.col("said"), "_latest").filter(F.col("_kind") == 0)
+    same = F.coalesce(F.col("_latest") == F.col("prompt"), F.lit(False))
+    score = F.round(weights["network"] + weights["type"] * F.col("type_score") + F.when(same, weights["prompt"]).otherwise(0.0), 6)
+    scored = known.withColumn("score", score).filter(F.col("score") >= rules.COMPOSITE_THRESHOLD)
+    best = scored.groupBy(*INSTANCE).agg(F.min(F.struct((-F.col("score")).alias("_s"), "who")).alias("b"))
+    return best.select(*INSTANCE, F.struct((-F.col("b._s")).alias("score"), F.col("b.who").alias("who")).alias("mix"))
 
 
 def resolve_identities(actions: DataFrame) -> DataFrame:
@@ -107,16 +145,19 @@ def resolve_identities(actions: DataFrame) -> DataFrame:
 
     Cascade: same full type key as a founder (StrongType), same signature and model as one
     (MediumType), provider already used by an identity when the type key is incomplete (Weak),
-    a composite score of type and provider (CompositeMatch), else New. Ties go to the earliest
-    founder, then the smallest id.
+    else the best composite score of type key, provider and latest system prompt that reaches
+    the threshold (CompositeMatch, with the score as confidence), else New. Ties go to the
+    earliest founder, then the smallest id.
 
-    Weak and composite matches depend on providers that earlier matches added, so the cascade
-    is repeated on the instance table until nothing changes. An instance depends on earlier
-    ones only, hence the fixpoint is unique and equals the event-by-event fold."""
+    Weak and composite matches depend on providers and prompts that earlier matches added, so
+    the cascade is repeated on the instance table until nothing changes. An instance depends
+    on earlier ones only, hence the fixpoint is unique and equals the event-by-event fold."""
     firsts = materialize(first_actions(actions))
     links = materialize(provider_links(actions))
+    prompts = materialize(prompts_said(actions))
     full = (F.col("sig") != 0) & (F.col("sdk") != 0) & (F.col("model") != 0)
     grouped = (F.col("sig") != 0) & (F.col("model") != 0)
+    zero = F.lit(0).cast("bigint")
 
     def once(state: DataFrame) -> DataFrame:
         founders = (
@@ -130,46 +171,40 @@ def resolve_identities(actions: DataFrame) -> DataFrame:
             "sig", "model", F.col("f_ts").alias("ts"), F.col("f_ev").alias("event_id"),
             F.struct(F.col("f_ts"), F.col("f_ev"), F.col("identity_id"), F.col("sdk")).alias("who"),
         )
-        used = (
-            links.join(state.select(*INSTANCE, "identity_id"), INSTANCE)
-            .groupBy("identity_id", "tag")
-            .agg(F.min("linked").alias("linked"))
-            .join(founders, "identity_id")
-        )
+        ids = state.select(*INSTANCE, "identity_id")
+        used = links.join(ids, INSTANCE).groupBy("identity_id", "tag").agg(F.min("linked").alias("linked")).join(founders, "identity_id")
         offers = used.select("tag", F.col("linked.ts").alias("ts"), F.col("linked.event_id").alias("event_id"), who.alias("who"))
-        partial = used.filter(~full).select(
-            "tag", *[F.col(c).alias(f"k_{c}") for c in TYPE],
-            F.col("linked.ts").alias("ts"), F.col("linked.event_id").alias("event_id"), who.alias("who"),
-        )
+        of_keys = used.select("tag", *[F.col(c).alias(f"k_{c}") for c in TYPE], "linked", who.alias("who"), F.col("identity_id").alias("candidate"), full.alias("k_full"))
+        of_keys = of_keys.withColumn("k_model", F.when(F.col("k_full"), zero).otherwise(F.col("k_model")))
+        said = prompts.join(ids, INSTANCE).select(F.col("identity_id").alias("candidate"), *AT, "said")
 
         typed = _earliest_before(firsts.filter(grouped), owners, ["sig", "model"], "owner")
         rows = typed.unionByName(firsts.filter(~grouped), allowMissingColumns=True)
         open_ = F.col("owner").isNull() & F.col("tag").isNotNull()
         weak = _earliest_before(rows.filter(open_ & ~full).select(*INSTANCE, "tag", *AT), offers, ["tag"], "weak")
-        asked = rows.filter(open_ & full).select(*INSTANCE, "tag", *AT, F.inline(_patterns()))
-        scored = _earliest_before(asked, partial, ["tag", "k_sig", "k_sdk", "k_model"], "mix")
-        best = scored.groupBy(*INSTANCE).agg(F.min("mix").alias("mix"))
-        merged = rows.join(weak.select(*INSTANCE, "weak"), INSTANCE, "left").join(best, INSTANCE, "left")
+        asked = rows.filter(open_ & full).select(*INSTANCE, "tag", *AT, "prompt", F.inline(_patterns()))
+        merged = rows.join(weak.select(*INSTANCE, "weak"), INSTANCE, "left").join(_best_mix(asked, of_keys, said), INSTANCE, "left")
         strong = full & (F.col("owner.sdk") == F.col("sdk"))
+        semantic = F.col("mix.score") >= rules.SEMANTIC_THRESHOLD
         level = (
             F.when(F.col("owner").isNotNull(), F.when(strong, "StrongType").otherwise("MediumType"))
             .when(F.col("weak").isNotNull(), "Weak")
-            .when(F.col("mix").isNotNull(), "CompositeMatch")
+            .when(F.col("mix").isNotNull(), F.when(semantic, "SemanticMatch").otherwise("CompositeMatch"))
             .otherwise("New")
         )
-        found = F.coalesce("owner.identity_id", "weak.identity_id", "mix.identity_id", "own_id")
-        return merged.select(*firsts.columns, found.alias("identity_id"), level.alias("level"))
+        found = F.coalesce("owner.identity_id", "weak.identity_id", "mix.who.identity_id", "own_id")
+        return merged.select(*firsts.columns, found.alias("identity_id"), level.alias("level"), F.coalesce("mix.score", F.lit(0.0)).alias("score"))
 
-    state = firsts.withColumn("identity_id", F.col("own_id")).withColumn("level", F.lit("New"))
+    state = firsts.withColumn("identity_id", F.col("own_id")).withColumn("level", F.lit("New")).withColumn("score", F.lit(0.0))
     while True:
         following = materialize(once(state))
-        pair = ["identity_id", "level"]
-        old = state.select(*INSTANCE, *[F.col(c).alias(f"_{c}") for c in pair])
-        changed = following.join(old, INSTANCE).filter((F.col("identity_id") != F.col("_identity_id")) | (F.col("level") != F.col("_level")))
+        values = ["identity_id", "level", "score"]
+        old = state.select(*INSTANCE, F.struct(*values).alias("_old"))
+        changed = following.join(old, INSTANCE).filter(F.struct(*values) != F.col("_old"))
         state = following
         if changed.isEmpty():
             break
-    confidence = F.when(F.col("level") == "CompositeMatch", rules.COMPOSITE_THRESHOLD)
+    confidence = F.when(F.col("level").isin("CompositeMatch", "SemanticMatch"), F.col("score"))
     for name, value in rules.MATCH_CONFIDENCE.items():
         confidence = confidence.when(F.col("level") == name, value)
     return state.select(*INSTANCE, "identity_id", "level", confidence.alias("confidence"), *AT)
@@ -219,9 +254,71 @@ def _pattern_key(c) -> Column:
     return F.concat_ws("|", c["mask"].cast("string"), c["equal"].cast("string"), c["flags"].cast("string"), *parts)
 
 
+def _blocking(weights: dict, threshold: float, fuzzy: bool) -> list:
+    """Smallest sets of equal attributes, (type part or None, flags), without which no pair
+    reaches the threshold. One equal part may give the whole type score; a fuzzy prompt may
+    add its whole weight to any pair."""
+    flags = [("digest", "behavior"), ("provider", "network")] + ([] if fuzzy else [("prompt", "prompt")])
+    sets = []
+    for size in range(len(flags) + 1):
+        for chosen in combinations(flags, size):
+            names = frozenset(f for f, _ in chosen)
+            base = sum(weights[w] for _, w in chosen) + (weights["prompt"] if fuzzy else 0.0)
+            for part, gain in ((None, 0.0), *((t, weights["type"]) for t in TYPE)):
+                if base + gain >= threshold - 1e-9 and not any(p in (None, part) and f <= names for p, f in sets):
+                    sets.append((part, names))
+    return sets
+
+
 def score_candidates(new: DataFrame, identities: DataFrame, semantic=False, threshold=rules.COMPOSITE_THRESHOLD) -> DataFrame:
-    """Candidates of each new row: (new_id, identity_id, first_seen, score), one per pattern of
-    equal attributes, scores at or above the threshold.
+    """All pairs at or above the threshold, each once: (new_id, identity_id, first_seen, score).
+
+    new(new_id, sig, sdk, model, prompt, digest, provider); identities(identity_id, first_seen,
+    sig, sdk, model, prompt, digest, providers); 0 or null = absent. With semantic weights prompts
+    are SimHashes that count by 1 - hamming / 64, else they are equal or not.
+
+    Rows meet on the attribute sets that a pair needs (equi-joins), and a pair is kept at the
+    first set it shares. The result has as many rows as there are pairs; `pattern_candidates`
+    with `best_composite_match` gives the best one of each new row without them."""
+    weights = rules.SCORE_WEIGHTS["semantic" if semantic else "fallback"]
+    sets = _blocking(weights, threshold, semantic)
+    part_of = lambda row, n: F.nullif(row[n].cast("bigint"), F.lit(0))
+    here = {n: F.col(n) for n in (*TYPE, *_FLAGS)}
+
+    def key(i, provider):
+        part, flags = sets[i]
+        values = ([part_of(here, part)] if part else []) + [provider if f == "provider" else here[f] for f in ("prompt", "digest", "provider") if f in flags]
+        present = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+        return F.when(present, F.concat_ws("|", F.lit(str(i)), *[v.cast("string") for v in values]))
+
+    asked = new.select(F.struct("new_id", *TYPE, *_FLAGS).alias("a"), F.explode(F.array_compact(F.array(*[key(i, F.col("provider")) for i in range(len(sets))]))).alias("key"))
+    listed = F.coalesce("providers", F.array().cast("array<string>"))
+
+    def keys_of(i):
+        return F.transform(F.array_distinct(listed), lambda p: key(i, p)) if "provider" in sets[i][1] else F.array(key(i, None))
+
+    keys = [keys_of(i) for i in range(len(sets))]
+    known = identities.select(F.struct("identity_id", "first_seen", *TYPE, "prompt", "digest", listed.alias("providers")).alias("b"), F.explode(F.array_compact(F.flatten(F.array(*keys)))).alias("key"))
+
+    a, b = F.col("a"), F.col("b")
+    equal = {n: F.coalesce(part_of(a, n) == part_of(b, n), F.lit(False)) for n in TYPE}
+    equal |= {"prompt": F.coalesce(a["prompt"] == b["prompt"], F.lit(False)), "digest": F.coalesce(a["digest"] == b["digest"], F.lit(False)), "provider": F.coalesce(F.array_contains(b["providers"], a["provider"]), F.lit(False))}
+    total = lambda test: sum((F.when(test(n), rules.TYPE_WEIGHTS[n]).otherwise(0.0) for n in TYPE), F.lit(0.0))
+    shared = total(lambda n: part_of(a, n).isNotNull() & part_of(b, n).isNotNull())
+    prompt = F.when(equal["prompt"], 1.0).otherwise(0.0)
+    if semantic:
+        prompt = F.coalesce(1 - F.bit_count(a["prompt"].cast("bigint").bitwiseXOR(b["prompt"].cast("bigint"))) / F.lit(64.0), F.lit(0.0))
+    score = weights["prompt"] * prompt + weights["type"] * F.when(shared > 0, F.try_divide(total(lambda n: equal[n]), shared)).otherwise(0.0)
+    score = score + F.when(equal["digest"], weights["behavior"]).otherwise(0.0) + F.when(equal["provider"], weights["network"]).otherwise(0.0)
+    first = F.coalesce(*[F.when(reduce(lambda x, y: x & y, [equal[n] for n in ([p] if p else []) + sorted(f)]), F.lit(str(i))) for i, (p, f) in enumerate(sets)])
+    met = asked.join(known, "key").select("key", "a.new_id", "b.identity_id", "b.first_seen", F.round(score, 9).alias("score"), first.alias("_first"))
+    return met.filter((F.col("score") >= threshold) & (F.substring_index("key", "|", 1) == F.col("_first"))).select("new_id", "identity_id", "first_seen", "score")
+
+
+def pattern_candidates(new: DataFrame, identities: DataFrame, semantic=False, threshold=rules.COMPOSITE_THRESHOLD) -> DataFrame:
+    """Candidates of each new row: (new_id, identity_id, first_seen, score), the earliest one per
+    pattern of equal attributes, scores at or above the threshold; the best of a row is among
+    them. Prompts count as equal or not.
 
     new(new_id, sig, sdk, model, prompt, digest, provider); identities(identity_id, first_seen,
     sig, sdk, model, prompt, digest, providers); 0 or null = absent. The score depends only on
