@@ -88,3 +88,76 @@ def s9(spark, d):
     keyed.upsert_vectors(v.filter("identity_id % 2 = 1").withColumn("x", F.get("embedding", F.lit(1))), path)
     out = keyed.load(spark, f"{path}/vectors")
     return out.select("identity_id", F.size("embedding").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+@query("s5_write_webhook", "SELECT ceil(count(*) / 10)::BIGINT AS posts, count(*) AS lines, 10::BIGINT AS largest FROM events")
+def s5(spark, d):
+    """Posts and lines that the sender saw, counted on the executors."""
+    sc = spark.sparkContext
+    posts, sent, over = sc.accumulator(0), sc.accumulator(0), sc.accumulator(0)
+
+    def send(lines):
+        posts.add(1)
+        sent.add(len(lines))
+        over.add(len(lines) > sinks.WEBHOOK_BATCH)
+
+    sinks.write_webhook(_notes(spark, d).coalesce(1), send)
+    largest = sinks.WEBHOOK_BATCH if not over.value else -1
+    return spark.createDataFrame([(posts.value, sent.value, largest)], "posts bigint, lines bigint, largest bigint")
+
+
+@query("s7_fan_out", ctes("ev") + f" SELECT target, {_LINE} AS value FROM ev, (SELECT unnest(['a', 'b']) AS target)")
+def s7(spark, d):
+    """One batch to two files, read back from both."""
+    paths = {name: _scratch(spark, f"fan-{name}") for name in ("a", "b")}
+    sinks.fan_out(_notes(spark, d), [f"file:{p}" for p in paths.values()])
+    parts = [spark.read.text(p).select(F.lit(name).alias("target"), "value") for name, p in paths.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def _replayed(spark, rows, key, folder, files=4):
+    """The rows as a stream of `files` micro-batches in the order of `key` (0, 1, ...)."""
+    for i in range(files):
+        rows.filter(key == i).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+
+
+@query("r7_policy_job", ctes("flat") + """ SELECT event_id, CASE WHEN pii_detected THEN 'deny' WHEN provider IS NOT NULL THEN CASE WHEN event_id % 4 < 2 THEN 'audit' ELSE 'deny' END ELSE 'allow' END AS decision FROM flat""")
+def r7(spark, d):
+    """Rules are read again for every micro-batch: from the third on, providers are denied."""
+    from palisade.operators import policy as R
+    from palisade.streaming import flows
+
+    folder, calls = _scratch(spark, "policy"), []
+    stream = _replayed(spark, agentic(spark, d), F.pmod("event_id", F.lit(4)), folder)
+
+    def load(session):
+        calls.append(1)
+        named = "audit" if len(calls) <= 2 else "deny"
+        return (lambda df: df), [R.rule("pii", "deny", "action.pii_detected"), R.rule("provider", named, "action.provider IS NOT NULL")]
+
+    def write(df, batch_id):
+        df.select("event_id", "decision").write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    flows.each_batch(stream, flows.policy_job(load, write), f"{folder}/log", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("event_id", "decision")
+
+
+@query("m5_retrain_job", ctes("ev") + """, b AS (SELECT event_id % 4 AS part, count(*) AS n FROM ev GROUP BY 1), c AS (SELECT part, sum(n) OVER (ORDER BY part) AS total, sum(n) OVER (ORDER BY part) - n AS before FROM b),
+ seen AS (SELECT c.total::BIGINT AS total, ev.event_id, ev.us FROM c JOIN ev ON ev.event_id % 4 <= c.part WHERE c.total // 100 > c.before // 100),
+ kept AS (SELECT total, us FROM seen QUALIFY row_number() OVER (PARTITION BY total ORDER BY us DESC) <= 150)
+SELECT total, count(*) AS rows, min(us) AS oldest FROM kept GROUP BY 1""")
+def m5(spark, d):
+    """Samples, rows and oldest row of every refit on the newest 150."""
+    from palisade.streaming import flows
+
+    folder = _scratch(spark, "retrain")
+    samples = bound(spark, d, "ev").select("event_id", F.col("us").alias("ts"), F.col("event_type").alias("label"), F.array("value").alias("features"))
+    stream = _replayed(spark, samples, F.pmod("event_id", F.lit(4)), folder)
+
+    def train(rows, total):
+        fit = rows.agg(F.lit(total).cast("bigint").alias("total"), F.count(F.lit(1)).alias("rows"), F.min("ts").alias("oldest"))
+        fit.write.mode("overwrite").parquet(f"{folder}/fits/{total}")
+
+    flows.each_batch(stream, flows.retrain_job(f"{folder}/store", train, every=100, keep=150), f"{folder}/log", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/fits/*")

@@ -81,8 +81,14 @@ def predict_behavior(vectors: DataFrame, model, folder: str, features="features"
         unknown = F.lit("Unknown")
         return vectors.withColumns({"predicted": unknown, "confidence": F.lit(0.0), "behavior_class": unknown, "is_novel": F.lit(False)})
     labels: StringIndexerModel = model[0]
-    trees = vectors.sparkSession.sparkContext.broadcast(_nodes(model[1], folder))
-    names = list(labels.labels)
+    return vote_behavior(vectors, _nodes(model[1], folder), list(labels.labels), features, known)
+
+
+def vote_behavior(vectors: DataFrame, forest: list[dict], names: list[str], features="features", known="known_provider") -> DataFrame:
+    """Hard votes of the trees, given as arrays feature, threshold, left, right (-1: leaf) and
+    prediction (place in names); a row goes left where its feature is at most the threshold.
+    Ties go to the first name. A forest has at most TREES * 2 ** (DEPTH + 1) nodes."""
+    trees = vectors.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("predicted string, confidence double")
     def vote(x: pd.Series) -> pd.DataFrame:

@@ -236,6 +236,14 @@ def test_keyed_table(spark, tmp_path):
     assert sorted((r.k, r.v) for r in keyed.load(spark, path).collect()) == [(1, "a"), (2, "d"), (3, "e")]
     keyed.remove(rows((1, "", 0)), path, ["k"])
     assert sorted(r.k for r in keyed.load(spark, path).collect()) == [2, 3]
+    # a second writer that starts from the same state fails; replaced buckets are named
+    commit, _ = keyed._current(spark, path)
+    with pytest.raises(Exception, match="already exists"):
+        keyed._commit(rows((9, "z", 1)).withColumn("_b", F.lit(0)), path, commit, [0])
+    assert len(keyed.stale_paths(spark, path)) >= 1
+    keyed.remove(rows((2, "", 0), (3, "", 0)), path, ["k"])
+    assert keyed.load(spark, path).count() == 0
+
 
 def test_forest(spark, tmp_path):
     rnd = np.random.default_rng(8)
