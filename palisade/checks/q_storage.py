@@ -1,11 +1,12 @@
 """Queries on sources and sinks: written and read back in the shared folder."""
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from palisade import schemas
-from palisade.checks.bindings import agentic, bound, ctes, table
+from palisade.checks.bindings import agentic, bound, ctes, payload_rows, table
 from palisade.checks.q_events import PII
 from palisade.checks.registry import query
 from palisade.plans.stage import shared_folder
@@ -30,13 +31,27 @@ def s1(spark, d):
     )
 
 
-@query("s2_read_raw", ctes("net") + " SELECT event_type, dport, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM net GROUP BY 1, 2")
+@query("s2_read_raw", ctes("net", "handshakes", "payloads", "file_access", "file_data") + """ SELECT 'network' AS kind, event_type::BIGINT AS code, count(*) AS n, sum(bytes)::BIGINT AS amount FROM net GROUP BY 2
+ UNION ALL SELECT 'tls_handshake', 0, count(*), sum(length(sni))::BIGINT FROM handshakes UNION ALL SELECT 'tls_data', direction, count(*), sum(octet_length(encode(payload_text)))::BIGINT FROM payloads GROUP BY 2
+ UNION ALL SELECT 'file_access', flags, count(*), sum(length(path))::BIGINT FROM file_access GROUP BY 2 UNION ALL SELECT 'file_data', direction, count(*), sum(octet_length(encode(text)))::BIGINT FROM file_data GROUP BY 2""")
 def s2(spark, d):
-    path = _scratch(spark, "raw")
-    cast = [F.col(f.name).cast(f.dataType) for f in schemas.RAW_NETWORK.fields]
-    bound(spark, d, "net").select(*cast).write.parquet(path)
-    raw = S.read_raw(spark, "network", path)
-    return raw.groupBy(F.col("event_type").cast("int").alias("event_type"), "dport").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    """Records of all five kinds written with their schemas and read back."""
+    made = {
+        "network": (bound(spark, d, "net"), "event_type", F.col("bytes")),
+        "tls_handshake": (bound(spark, d, "handshakes"), None, F.length("sni")),
+        "tls_data": (payload_rows(spark, d), "direction", F.octet_length("payload")),
+        "file_access": (bound(spark, d, "file_access"), "flags", F.length("path")),
+        "file_data": (bound(spark, d, "file_data").withColumn("payload", F.col("text").cast("binary")), "direction", F.octet_length("payload")),
+    }
+    parts = []
+    for kind, (rows, code, amount) in made.items():
+        path = _scratch(spark, f"raw-{kind}")
+        fields = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.RAW[kind].fields]
+        rows.select(*fields).write.parquet(path)
+        number = F.col(code).cast("bigint") if code else F.lit(0).cast("bigint")
+        read = S.read_raw(spark, kind, path).groupBy(number.alias("code")).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).cast("bigint").alias("amount"))
+        parts.append(read.select(F.lit(kind).alias("kind"), "code", "n", "amount"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("s3_route_by_kind", ctes("ev") + """ SELECT CASE WHEN k % 11 = 6 THEN 'tls_handshake' WHEN k % 11 IN (7, 8) THEN 'tls_data' WHEN k % 11 = 9 THEN 'file_access' WHEN k % 11 = 10 THEN 'file_data' ELSE 'network' END AS kind, count(*) AS n FROM ev GROUP BY 1""")

@@ -4,6 +4,7 @@ import importlib.util
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -36,7 +37,8 @@ def main():
     spark = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g").config("spark.sql.dataFrameQueryContext.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.sql.dataFrameQueryContext.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("CHECK_SCRATCH") or tempfile.mkdtemp(prefix="check-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
