@@ -17,11 +17,14 @@ component already. What remains is a forest of candidate pairs, verified on the
 
 Rounds. The first round joins within each bucket a forest alone, so a group of thousands of near
 copies costs a line of pairs, not all of them. Where pairs of that forest fail verification,
-later rounds try further pairs between the components that remain, `2 ** (4 * round)` a pair of components
-and bucket, until no bucket has held any back: no link between different components is lost.
+later rounds go over the buckets concerned and try further pairs between the components that
+remain, 16 ** round for each two components, until no bucket has held any back: no link between
+different components is lost.
 
-Hot buckets are cut into blocks of `block` rows and walked by pairs of blocks in tasks of their
-own. The sets of candidates alone are shuffled, and no task holds more than two blocks."""
+Hot shingles (HOT or more documents by the sketch's upper bound) are counted with partial
+aggregation before their rows meet; hot buckets are cut into blocks of `block` rows and walked
+by pairs of blocks in tasks of their own, so no task holds more than two blocks. The sets of
+candidates alone are shuffled."""
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,7 @@ CELL_SHIFT = np.uint64(46)
 BITS = 1024
 LEAF = 16
 BLOCK = 20_000
+HOT = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -119,7 +123,7 @@ def _bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-SETS = "doc_id long, text_key long, digest binary, n long, tokens array<long>, bitmap binary"
+SETS = "doc_id long, text_key long, digest binary, n long, tokens array<long>, hot array<long>, bitmap binary"
 
 
 def _sets(k: int, percent: int, order: np.ndarray):
@@ -127,19 +131,20 @@ def _sets(k: int, percent: int, order: np.ndarray):
 
     def run(batches):
         seen: set = set()
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("bitmap", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), ("bitmap", pa.binary())])
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text"), strict=True):
                 s = np.unique(shingle_hashes(text.as_py(), k))
                 digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                tokens = bits = None
+                tokens = hot = bits = None
                 if digest is not None and digest not in seen:
                     seen.add(digest)
                     rank = order[(s >> CELL_SHIFT).astype(np.int64)]
                     first = np.lexsort((s, rank))[: len(s) - required(len(s), percent) + 1]
-                    tokens, bits = s[first].view(np.int64), _bitmap(s)
-                rows.append((doc_id, key, digest, len(s), tokens, bits))
+                    tokens, bits, often = s[first].view(np.int64), _bitmap(s), rank[first] >= HOT
+                    tokens, hot = tokens[~often], tokens[often]
+                rows.append((doc_id, key, digest, len(s), tokens, hot, bits))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
@@ -148,8 +153,8 @@ def _sets(k: int, percent: int, order: np.ndarray):
 def _full_sets(k: int):
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), k)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "set"])
+            sets = [np.unique(shingle_hashes(t.as_py(), k)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], ["cls", "set"])
 
     return run
 
@@ -316,7 +321,8 @@ def walk(left: dict, right: dict | None, percent: int, pairs: Pairs, chunk: int
 
 
 def _small(x: dict, start: np.ndarray, size: np.ndarray, percent: int, limit) -> list:
-    """Pairs of many small groups (single leaves) at once: rows i and i + d of a group."""
+    """(number of the group, pairs) of many small groups (single leaves) at once: rows i and
+    i + d of a group."""
     group = np.repeat(np.arange(len(start)), size)
     rows = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
     x = {k: v[rows] for k, v in x.items()}
@@ -336,22 +342,20 @@ def _small(x: dict, start: np.ndarray, size: np.ndarray, percent: int, limit) ->
         if len(part):
             pairs = Pairs(limit)
             pairs.take(Forest(x["comp"]), x["cls"][i[part]], x["comp"][i[part]], x["cls"][j[part]], x["comp"][j[part]])
-            out.append(pairs)
+            out.append((int(g[part[0]]), pairs))
     return out
 
 
 def _join_buckets(percent: int, limit: int | None):
-    """Rows sorted by bucket (token, blocks) and side -> candidate pairs a < b; a row with nulls
-    tells that a bucket held pairs back."""
+    """Rows sorted by bucket (token, blocks) and side -> candidate pairs a < b with the token of
+    their bucket; a row without a pair tells that a bucket held some back."""
 
     def run(batches):
         carried = None
 
-        def result(all_pairs):
-            out = [x for p in all_pairs for x in p.out]
-            held = any(p.held for p in all_pairs)
-            a, b = [x for x, _ in out] + [None] * held, [y for _, y in out] + [None] * held
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def result(done):
+            out = [(*x, token) for token, p in done for x in p.out] + [(None, None, token) for token, p in done if p.held]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["a", "b", "token"])
 
         def groups(t: dict, cuts: np.ndarray):
             size = np.diff(cuts)
@@ -359,7 +363,8 @@ def _join_buckets(percent: int, limit: int | None):
             done = []
             one_sided = np.array([not t["side"][e - 1] for e in cuts[1:]], bool)
             little = (size <= LEAF) & (size > 1) & one_sided
-            done += _small(x, cuts[:-1][little], size[little], percent, limit)
+            starts = cuts[:-1][little]
+            done += [(t["token"][starts[g]], pairs) for g, pairs in _small(x, starts, size[little], percent, limit)]
             for g in np.flatnonzero((size > LEAF) & one_sided | ~one_sided):
                 s, e = cuts[g], cuts[g + 1]
                 cut = s + int(np.searchsorted(t["side"][s:e], 1))
@@ -368,7 +373,7 @@ def _join_buckets(percent: int, limit: int | None):
                 pairs = Pairs(limit)
                 part = lambda u, v: {k: c[u:v] for k, c in x.items()}
                 walk(part(s, cut), part(cut, e) if cut < e else None, percent, pairs)
-                done.append(pairs)
+                done.append((t["token"][s], pairs))
             return done
 
         for batch in batches:
@@ -452,36 +457,39 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     keyed = base.withColumn("text_key", F.xxhash64("text"))
     order = cell_counts(base, k).astype(np.int64)
     sets = written(keyed.mapInArrow(_sets(k, percent, order), SETS), "jaccard-sets")
-    classes = written(sets.where("tokens IS NOT NULL").dropDuplicates(["digest"]).drop("doc_id").withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
+    classes = written(sets.where("tokens IS NOT NULL").dropDuplicates(["digest"]).withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
+    # rows without a neighbour of fitting size under their token go
     prefix = classes.select("cls", "n", F.explode("tokens").alias("token"))
-    shared = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = prefix.join(shared, "token")
-    # in buckets of one block, rows without a neighbour of fitting size go
     w = Window.partitionBy("token").orderBy("n", "cls")
     before, after = F.lag("n").over(w) * 100 >= F.col("n") * percent, F.lead("n").over(w) * percent <= F.col("n") * 100
-    cold = rows.where(F.col("size") <= block).withColumn("_fit", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).where("_fit").drop("_fit")
-    rows = cold.unionByName(rows.where(F.col("size") > block))
-    rows = written(rows.join(classes.select("cls", "bitmap"), "cls"), "jaccard-rows")
+    fitting = prefix.withColumn("_fit", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
+    cold = fitting.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_fit").drop("_fit")
+    # hot tokens: counted first, no window over them
+    often = classes.select("cls", "n", F.explode("hot").alias("token"))
+    hot = often.join(often.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "token")
+    rows = cold.unionByName(hot).join(classes.select("cls", "bitmap"), "cls")
+    rows = written(rows, "jaccard-rows")
 
     tested, links, labels, turn = None, None, None, 0
     while True:
         limit = None if turn == 0 else 16**turn
         now = rows.withColumn("comp", F.col("cls")) if labels is None else rows.join(labels, rows["cls"] == labels["node"], "left").withColumn("comp", F.coalesce("label", "cls")).drop("node", "label")
         walked = _placed(now, block).select("token", "blocks", "side", "cls", "comp", "n", "bitmap").repartition("token", "blocks").sortWithinPartitions("token", "blocks", "side", "cls")
-        found = written(walked.mapInArrow(_join_buckets(percent, limit), "a long, b long").distinct(), "jaccard-found")
-        pairs = found.where("a IS NOT NULL")
-        held = turn > 0 and not found.where("a IS NULL").isEmpty()
+        found = written(walked.mapInArrow(_join_buckets(percent, limit), "a long, b long, token long"), "jaccard-found")
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         checked = written(_checked(pairs, classes, keyed, k, percent), "jaccard-checked")
         good = checked.where("linked").select("a", "b")
         tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
         links = good if links is None else links.unionByName(good)
-        failed = not checked.where("NOT linked").isEmpty()
-        if turn == 0 and failed or held:
-            labels, turn = components(links), turn + 1
-            continue
-        break
+        # a forest whose pairs all hold connects its bucket; other buckets, and those with more pairs, come again
+        open_ = found.join(checked.where("NOT linked"), ["a", "b"]) if turn == 0 else found.where("a IS NULL")
+        live = written(open_.select("token").distinct(), "jaccard-live")
+        if live.isEmpty():
+            break
+        rows = written(rows.join(live, "token", "left_semi"), "jaccard-rows")
+        labels, turn = components(links), turn + 1
     labels = components(links)
     known = sets.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(classes.select("digest", "cls"), "digest", "left")
     known = written(known.join(labels, known["cls"] == labels["node"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("label", "cls").alias("label")), "jaccard-known")
@@ -494,15 +502,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
 
 def _checked(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs with `linked`, from the full sets of the classes that occur in them."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = written(wanted.join(classes.select("cls", "digest", "text_key"), "cls"), "jaccard-wanted")
-    keys = wanted.select("text_key").distinct()
-    few = keys.count() <= MAX_BROADCAST_KEYS  # 8 bytes each
-    texts = keyed.join(F.broadcast(keys) if few else keys, "text_key", "left_semi").select("text")
-    full = texts.mapInArrow(_full_sets(k), "digest binary, set binary").dropDuplicates(["digest"])
-    full = written(wanted.select("cls", "digest").join(full, "digest").select("cls", "set"), "jaccard-full")
+    pairs = written(pairs, "jaccard-pairs")
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = written(ends.join(classes.select("cls", "text_key", F.col("doc_id").alias("rep")), "cls"), "jaccard-wanted")
+    few = wanted.count() <= MAX_BROADCAST_KEYS  # 24 bytes each
+    wanted = F.broadcast(wanted) if few else wanted
+    # one row for each class; rows that repeat its id and text give the same set again
+    texts = keyed.join(wanted, (keyed["text_key"] == wanted["text_key"]) & keyed["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text")
+    full = texts.mapInArrow(_full_sets(k), "cls long, set binary").repartition("cls")
     side = lambda c: full.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long, linked boolean")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long, linked boolean").distinct()
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
