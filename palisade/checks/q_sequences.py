@@ -1,7 +1,5 @@
 """Queries on behaviour windows and connection sessions."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from palisade import rules
@@ -13,7 +11,7 @@ from palisade.operators import aggregates as A
 from palisade.operators import h2
 from palisade.operators import sessions as T
 from palisade.operators import windows as W
-from palisade.plans.stage import shared_folder
+from palisade.plans.stage import scratch_path
 from palisade.streaming import flows
 
 KEY = ["pid", "window_end"]
@@ -223,7 +221,7 @@ def t5(spark, d):
     """The streaming twin of the as-of server name, in several micro-batches: handshakes and
     events of a pid meet in state whichever comes first, and leave it with the watermark."""
     events = spark.read.parquet(f"{d}/events.parquet")
-    folder = f"{shared_folder(spark)}/sni-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "sni")
     # six files in time order, half of the rows up to 20 hours late (36 s of capture time)
     at = F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 2 == 0, F.pmod(F.xxhash64("event_id"), F.lit(20)) * 3_600_000_000).otherwise(0)
     first, last = events.agg(F.min(at), F.max(at)).first()

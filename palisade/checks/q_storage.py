@@ -1,6 +1,5 @@
 """Queries on sources and sinks: written and read back in the shared folder."""
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -9,13 +8,13 @@ from palisade import schemas
 from palisade.checks.bindings import agentic, bound, ctes, payload_rows, table
 from palisade.checks.q_events import PII
 from palisade.checks.registry import query
-from palisade.plans.stage import shared_folder
+from palisade.plans.stage import scratch_path
 from palisade.sources import events as S
 from palisade.sources import keyed, sinks
 
 
 def _scratch(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
 
 
 @query("s1_read_events", ctes("flat") + f" SELECT event_id, us, type, provider, bytes, pid, policy, {PII} AS pii, FALSE AS corrupt FROM flat")

@@ -7,6 +7,7 @@ generator, which keeps its outputs opaque: every step is evaluated once per row.
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,25 @@ def shared_folder(spark) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new path in the shared folder, known to clear_scratch."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    made = getattr(spark.sparkContext, "_palisade_scratch", None)
+    if made is None:
+        made = spark.sparkContext._palisade_scratch = []
+    made.append(path)
+    return path
+
+
+def clear_scratch(spark) -> None:
+    """Delete what this session wrote under scratch paths; call it once the results that read
+    them are used."""
+    made = getattr(spark.sparkContext, "_palisade_scratch", [])
+    while made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a result that several later steps read, with a reliable checkpoint.
 

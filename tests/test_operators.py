@@ -274,3 +274,14 @@ def test_limits_are_arguments(spark):
     cut = {len(r.content): r.truncated for r in normalize.normalize_file_data(raw, cap=4096).select("action.*").collect()}
     assert cut == {4096: True, 1: True}
     assert similarity.block_plan(3) == (6, 3) and similarity.block_plan(12) == (14, 2)
+
+
+def test_scratch_is_cleared(spark):
+    from palisade.plans.stage import clear_scratch, scratch_path
+
+    path = scratch_path(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(path)

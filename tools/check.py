@@ -31,6 +31,8 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     wanted = sys.argv[2:]
     sf_dir = f"/root/testdata/sf{sf}"
+    from palisade.plans.stage import clear_scratch
+
     spec = importlib.util.spec_from_file_location("entry", f"{ROOT}/__spark_entry__.py")
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
@@ -56,6 +58,7 @@ def main():
             cols = sorted(df.columns)
             rows = [tuple(r[c] for c in cols) for r in df.collect()]
             took = time.time() - start
+            clear_scratch(spark)
             if name not in oracle:
                 print(f"ROWS  {name}: {len(rows)} rows, {took:.1f}s")
                 good += 1
