@@ -4,16 +4,19 @@ Documents are sets of distinct k-word shingles (64-bit hashes). Documents of equ
 class, known by the 128-bit digest of its set; classes, not copies, are compared.
 
 Candidates. Under any fixed order of shingles, two sets with Jaccard similarity of at least t
-share a shingle among the first n - ceil(t n) + 1 of each. The order puts shingles that many
-documents have last (a fixed-size sketch of counts over the whole corpus decides), then goes
-by hash. Classes that share such a shingle form a bucket; buckets without two classes of
-fitting size are dropped before any signature travels.
+share a shingle among the first n - ceil(t n) + 1 of each, and of the smaller one among the
+first n - ceil(2 t n / (1 + t)) + 1. The order puts shingles that many documents have last (a
+fixed-size sketch of counts over the whole corpus decides), then goes by hash. Classes that
+share such a shingle form a bucket; rows without a partner of fitting size and place are
+dropped before any signature travels.
 
 Signature trees. Inside a bucket, rows carry a bitmap of their tokens. They are put into a tree
 whose nodes hold the OR of the bitmaps below, the range of set sizes and the range of
 components. Two trees (or one with itself) are walked together; a pair of nodes is cut if its
 largest possible overlap is too small for t, its sizes do not fit, or all below it is one
-component already. What remains is a forest of candidate pairs, verified on the full sets.
+component already. What remains is a forest of candidate pairs. Pairs of long documents, whose
+bitmaps are full, are tested again on bitmaps as wide as their sets need (`WIDE` bits a
+shingle); the rest is verified on the full sets.
 
 Rounds. The first round joins within each bucket a forest alone, so a group of thousands of near
 copies costs a line of pairs, not all of them. Where pairs of that forest fail verification,
@@ -40,6 +43,7 @@ BITS = 1024
 LEAF = 16
 BLOCK = 20_000
 HOT = 1_000_000
+LONG, WIDE = 1_000, 4
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -66,6 +70,11 @@ def required(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def required_of_smaller(n: int, percent: int) -> int:
+    """Least overlap of a set of n with any set of at least that size."""
+    return -(-2 * percent * n // (100 + percent))
+
+
 # ---- order of shingles
 
 
@@ -117,13 +126,19 @@ def cell_counts(docs: DataFrame, k: int) -> np.ndarray:
 # ---- sets, classes, prefixes
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(s & np.uint64(BITS - 1)).astype(np.int64)] = 1
+def _bitmap(s: np.ndarray, size: int = BITS) -> bytes:
+    """Bit h mod size for each hash; size is a power of two."""
+    bits = np.zeros(size, np.uint8)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
-SETS = "doc_id long, text_key long, digest binary, n long, tokens array<long>, hot array<long>, bitmap binary"
+def _wide(s: np.ndarray) -> bytes:
+    return _bitmap(s, 1 << (WIDE * len(s) - 1).bit_length())
+
+
+# tokens, hot: the first shingles in order, the `lead` and `hot_lead` first of which are those of a smaller set
+SETS = "doc_id long, text_key long, digest binary, n long, tokens array<long>, lead int, hot array<long>, hot_lead int, bitmap binary, wide binary"
 
 
 def _sets(k: int, percent: int, order: np.ndarray):
@@ -131,20 +146,21 @@ def _sets(k: int, percent: int, order: np.ndarray):
 
     def run(batches):
         seen: set = set()
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64())), ("bitmap", pa.binary())])
+        tokens_type = pa.list_(pa.int64())
+        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", tokens_type), ("lead", pa.int32()), ("hot", tokens_type), ("hot_lead", pa.int32()), ("bitmap", pa.binary()), ("wide", pa.binary())])
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text"), strict=True):
                 s = np.unique(shingle_hashes(text.as_py(), k))
                 digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                tokens = hot = bits = None
+                once = (None,) * 6
                 if digest is not None and digest not in seen:
                     seen.add(digest)
                     rank = order[(s >> CELL_SHIFT).astype(np.int64)]
                     first = np.lexsort((s, rank))[: len(s) - required(len(s), percent) + 1]
-                    tokens, bits, often = s[first].view(np.int64), _bitmap(s), rank[first] >= HOT
-                    tokens, hot = tokens[~often], tokens[often]
-                rows.append((doc_id, key, digest, len(s), tokens, hot, bits))
+                    tokens, often, small = s[first].view(np.int64), rank[first] >= HOT, len(s) - required_of_smaller(len(s), percent) + 1
+                    once = (tokens[~often], int((~often[:small]).sum()), tokens[often], int(often[:small].sum()), _bitmap(s), _wide(s) if len(s) > LONG else None)
+                rows.append((doc_id, key, digest, len(s), *once))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
@@ -458,14 +474,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     order = cell_counts(base, k).astype(np.int64)
     sets = written(keyed.mapInArrow(_sets(k, percent, order), SETS), "jaccard-sets")
     classes = written(sets.where("tokens IS NOT NULL").dropDuplicates(["digest"]).withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
-    # rows without a neighbour of fitting size under their token go
-    prefix = classes.select("cls", "n", F.explode("tokens").alias("token"))
-    w = Window.partitionBy("token").orderBy("n", "cls")
-    before, after = F.lag("n").over(w) * 100 >= F.col("n") * percent, F.lead("n").over(w) * percent <= F.col("n") * 100
-    fitting = prefix.withColumn("_fit", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
-    cold = fitting.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_fit").drop("_fit")
+    # rows without a partner under their token go: a smaller one among whose leading shingles it
+    # is, or, where it leads itself, any larger one
+    at = lambda tokens, lead: classes.select("cls", "n", lead, F.posexplode(tokens).alias("_at", "token")).select("cls", "n", "token", (F.col("_at") < F.col(lead)).alias("leads"))
+    w = Window.partitionBy("token").orderBy("n", F.desc("leads"), "cls")
+    smaller = F.last(F.when(F.col("leads"), F.col("n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fits_ = (smaller * 100 >= F.col("n") * percent, F.col("leads") & (F.lead("n").over(w) * percent <= F.col("n") * 100))
+    fitting = at("tokens", "lead").withColumn("_fit", F.coalesce(fits_[0], F.lit(False)) | F.coalesce(fits_[1], F.lit(False)))
+    cold = fitting.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("_fit").drop("_fit", "leads")
     # hot tokens: counted first, no window over them
-    often = classes.select("cls", "n", F.explode("hot").alias("token"))
+    often = at("hot", "hot_lead").drop("leads")
     hot = often.join(often.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "token")
     rows = cold.unionByName(hot).join(classes.select("cls", "bitmap"), "cls")
     rows = written(rows, "jaccard-rows")
@@ -500,9 +518,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _plausible(percent: int):
+    """Whether a pair of long documents may be similar, by their wide bitmaps; others may."""
+
+    def fold(bits: np.ndarray, size: int) -> np.ndarray:
+        return np.bitwise_or.reduce(bits.reshape(-1, size), axis=0)
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for n, m, x, y in zip(*[batch.column(c).to_pylist() for c in ("n_a", "n_b", "wide_a", "wide_b")], strict=True):
+                if x is None or y is None:
+                    ok.append(True)
+                    continue
+                size = min(len(x), len(y))
+                x, y = fold(np.frombuffer(x, np.uint8), size), fold(np.frombuffer(y, np.uint8), size)
+                most = min(n - int(_count(x & ~y)), m - int(_count(y & ~x)))
+                ok.append((100 + percent) * most >= percent * (n + m))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "plausible"])
+
+    return run
+
+
 def _checked(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
-    """pairs with `linked`, from the full sets of the classes that occur in them."""
-    pairs = written(pairs, "jaccard-pairs")
+    """pairs with `linked`: long documents by their wide bitmaps first, then by the full sets of
+    the classes that are left."""
+    of = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    tried = written(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_plausible(percent), "a long, b long, plausible boolean"), "jaccard-pairs")
+    pairs = tried.where("plausible").select("a", "b")
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     wanted = written(ends.join(classes.select("cls", "text_key", F.col("doc_id").alias("rep")), "cls"), "jaccard-wanted")
     few = wanted.count() <= MAX_BROADCAST_KEYS  # 24 bytes each
@@ -511,7 +554,8 @@ def _checked(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, per
     texts = keyed.join(wanted, (keyed["text_key"] == wanted["text_key"]) & keyed["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text")
     full = texts.mapInArrow(_full_sets(k), "cls long, set binary").repartition("cls")
     side = lambda c: full.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long, linked boolean").distinct()
+    verified = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long, linked boolean").distinct()
+    return verified.unionByName(tried.where("NOT plausible").select("a", "b", F.lit(False).alias("linked")))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -75,6 +75,24 @@ def test_families_around_the_limit(llm, block):
     assert joined(docs, 4, 85, block=block) == brute(rows, 4, 85)
 
 
+def test_long_documents_and_sizes_at_the_limit(llm, monkeypatch):
+    """Bitmaps are full; wide ones decide. Some pairs differ in size alone, by just too much or not."""
+    r = random.Random(9)
+    word = lambda: f"t{r.randint(0, 400)}"
+    rows = []
+    for n in (1500, 2500, 40, 100):
+        base = [word() for _ in range(n)]
+        for share in (0, 0.02, 0.035, 0.05, 0.1):
+            x = list(base)
+            for i in r.sample(range(n), int(n * share)):
+                x[i] = word()
+            rows.append(" ".join(x))
+        rows += [" ".join(base + [f"u{n}{i}" for i in range(int(n * extra))]) for extra in (0.1, 0.17, 0.175, 0.18, 0.25)]
+    rows = list(enumerate(rows))
+    docs = llm.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert joined(docs, 4, 85) == brute(rows, 4, 85)
+
+
 def test_whole_table(llm, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in llm.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in QUERIES["op1_ngram_join"](llm, sf_dir).collect()), key=str)
