@@ -21,7 +21,7 @@ shingle); the rest is verified on the full sets.
 Rounds. The first round joins within each bucket a forest alone, so a group of thousands of near
 copies costs a line of pairs, not all of them. Where pairs of that forest fail verification,
 later rounds go over the buckets concerned and try further pairs between the components that
-remain, 16 ** round for each two components, until no bucket has held any back: no link between
+remain, FURTHER ** round for each two components, until no bucket has held any back: no link between
 different components is lost.
 
 Hot shingles (HOT or more documents by the sketch's upper bound) are counted with partial
@@ -44,6 +44,7 @@ LEAF = 16
 BLOCK = 20_000
 HOT = 1_000_000
 LONG, WIDE = 1_000, 4
+FURTHER = 64
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -429,20 +430,36 @@ def _verify(percent: int):
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """node, label (smallest node reachable) of every node of links (a, b): large-star and
-    small-star steps until nothing changes. Stars are joined, never collected."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name)
-    state = None
+    small-star steps until only stars are left. Stars are joined, never collected."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
     while True:
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == state or not now["n"]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        state = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = written(small.distinct(), name)
+        # stars: every node has one centre, or is one
+        ends = edges.select(F.col("u").alias("node"), "v").unionByName(edges.select(F.col("v").alias("node"), F.col("v")))
+        if ends.groupBy("node").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo != hi").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels with further links: components of the labels that they join, then of the nodes."""
+    if labels is None:
+        return written(components(links), "labels")
+    labels = labels.select("node", "label")
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    met = written(met.where("a != b"), "labels")
+    if met.isEmpty():
+        return labels
+    joined = components(met).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    moved = labels.join(joined, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    # nodes that had no link before
+    new = joined.select(F.col("label").alias("node"), F.col("_to").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return written(moved.unionByName(new), "labels")
 
 
 def _placed(rows: DataFrame, block: int) -> DataFrame:
@@ -488,27 +505,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     rows = cold.unionByName(hot).join(classes.select("cls", "bitmap"), "cls")
     rows = written(rows, "jaccard-rows")
 
-    tested, links, labels, turn = None, None, None, 0
+    labels, turn = None, 0
     while True:
-        limit = None if turn == 0 else 16**turn
+        limit = None if turn == 0 else FURTHER**turn
         now = rows.withColumn("comp", F.col("cls")) if labels is None else rows.join(labels, rows["cls"] == labels["node"], "left").withColumn("comp", F.coalesce("label", "cls")).drop("node", "label")
         walked = _placed(now, block).select("token", "blocks", "side", "cls", "comp", "n", "bitmap").repartition("token", "blocks").sortWithinPartitions("token", "blocks", "side", "cls")
         found = written(walked.mapInArrow(_join_buckets(percent, limit), "a long, b long, token long"), "jaccard-found")
-        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        checked = written(_checked(pairs, classes, keyed, k, percent), "jaccard-checked")
-        good = checked.where("linked").select("a", "b")
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
-        links = good if links is None else links.unionByName(good)
+        checked = written(_checked(found.where("a IS NOT NULL").select("a", "b").distinct(), classes, keyed, k, percent), "jaccard-checked")
+        labels = _relabelled(labels, checked.where("linked").select("a", "b"))
         # a forest whose pairs all hold connects its bucket; other buckets, and those with more pairs, come again
-        open_ = found.join(checked.where("NOT linked"), ["a", "b"]) if turn == 0 else found.where("a IS NULL")
+        open_ = found.join(checked.where("NOT linked"), ["a", "b"], "left_semi") if turn == 0 else found.where("a IS NULL")
         live = written(open_.select("token").distinct(), "jaccard-live")
         if live.isEmpty():
             break
-        rows = written(rows.join(live, "token", "left_semi"), "jaccard-rows")
-        labels, turn = components(links), turn + 1
-    labels = components(links)
+        rows, turn = written(rows.join(live, "token", "left_semi"), "jaccard-rows"), turn + 1
     known = sets.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(classes.select("digest", "cls"), "digest", "left")
     known = written(known.join(labels, known["cls"] == labels["node"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("label", "cls").alias("label")), "jaccard-known")
     firsts = written(known.where("cls IS NOT NULL").groupBy("cls", "label").agg(F.min("doc_id").alias("class_id")), "jaccard-firsts")
@@ -535,7 +545,8 @@ def _plausible(percent: int):
                 x, y = fold(np.frombuffer(x, np.uint8), size), fold(np.frombuffer(y, np.uint8), size)
                 most = min(n - int(_count(x & ~y)), m - int(_count(y & ~x)))
                 ok.append((100 + percent) * most >= percent * (n + m))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "plausible"])
+            kept = ["a", "b", "text_key_a", "text_key_b", "doc_id_a", "doc_id_b"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(ok, pa.bool_())], [*kept, "plausible"])
 
     return run
 
@@ -543,18 +554,20 @@ def _plausible(percent: int):
 def _checked(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, percent: int) -> DataFrame:
     """pairs with `linked`: long documents by their wide bitmaps first, then by the full sets of
     the classes that are left."""
-    of = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
-    tried = written(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_plausible(percent), "a long, b long, plausible boolean"), "jaccard-pairs")
-    pairs = tried.where("plausible").select("a", "b")
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = written(ends.join(classes.select("cls", "text_key", F.col("doc_id").alias("rep")), "cls"), "jaccard-wanted")
+    facts = ("n", "wide", "text_key", "doc_id")
+    of = lambda c: classes.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in facts])
+    schema = "a long, b long, text_key_a long, text_key_b long, doc_id_a long, doc_id_b long, plausible boolean"
+    tried = written(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_plausible(percent), schema), "jaccard-pairs")
+    left = tried.where("plausible")
+    ends = [left.select(F.col(c).alias("cls"), F.col(f"text_key_{c}").alias("text_key"), F.col(f"doc_id_{c}").alias("rep")) for c in "ab"]
+    wanted = written(ends[0].unionByName(ends[1]).distinct(), "jaccard-wanted")
     few = wanted.count() <= MAX_BROADCAST_KEYS  # 24 bytes each
     wanted = F.broadcast(wanted) if few else wanted
     # one row for each class; rows that repeat its id and text give the same set again
     texts = keyed.join(wanted, (keyed["text_key"] == wanted["text_key"]) & keyed["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text")
     full = texts.mapInArrow(_full_sets(k), "cls long, set binary").repartition("cls")
     side = lambda c: full.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))
-    verified = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long, linked boolean").distinct()
+    verified = left.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long, linked boolean")
     return verified.unionByName(tried.where("NOT plausible").select("a", "b", F.lit(False).alias("linked")))
 
 
