@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.plans.stage import shared_folder
+from palisade.plans.stage import scratch_path
 
 BLOCK_CHARS = 16 << 20
 #: White space as the tokenizer's pattern sees it (the Unicode property).
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "text
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     name = f"bpe_blocks_{uuid.uuid4().hex}"
     made = base.mapInArrow(_blocks(spec, block_chars, shares), BLOCKS)
-    made.write.bucketBy(shares, "block").format("parquet").option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    made.write.bucketBy(shares, "block").format("parquet").option("path", scratch_path(spark, "bpe-blocks")).saveAsTable(name)
     blocks = spark.table(name)
     lists = blocks.where(F.col("share") != DOCS).repartition(shares, "share").mapInArrow(_encode_shares(spec), BLOCKS)
     back = lists.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("share", "data"))).alias("_l"))

@@ -1,11 +1,9 @@
 """Helpers shared by the operators of this package."""
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.plans.stage import shared_folder
+from palisade.plans.stage import scratch_path
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -15,9 +13,10 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared checkpoint folder, computed once; lost executors reread it."""
+    """df as a table in the shared checkpoint folder, computed once; lost executors reread it.
+    `plans.stage.clear_scratch` deletes such tables."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -27,5 +26,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def bounded_sample(df: DataFrame, key: Column, most: int) -> list:
+    """At most `most` rows, chosen by the hash `key` (returned as _h) and in its order. No task
+    sends more than its share: the cut of the hash follows from a count."""
+    n = df.count()
+    share = min(1.0, most / n) if n else 0.0
+    rows = df.withColumn("_h", key).where(F.pmod("_h", F.lit(1 << 31)) < int(share * (1 << 31))).collect()
+    return sorted(rows, key=lambda r: (r["_h"], str(r)))[:most]
+
+
 def n_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(SPACE)).cast("bigint")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import logistic
-from palisade.llm.common import written
+from palisade.llm.common import bounded_sample, written
 
 MAX_LABELLED = 20_000
 KEEP = 0.5
@@ -81,9 +81,9 @@ class Logistic:
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, least: int = 20):
     """A calibrated model, or None with fewer than `least` documents of either class.
 
-    labelled: doc_id, x, y. The sample is that of the smallest hash of the id, a quarter of it
-    held out for calibration."""
-    rows = labelled.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "y", "x").limit(max_labelled).collect()
+    labelled: doc_id, x, y. The sample is chosen by the hash of the id, a quarter of it held out
+    for calibration."""
+    rows = bounded_sample(labelled, F.xxhash64("doc_id"), max_labelled)
     y = np.array([r["y"] for r in rows], float)
     if y.sum() < least or (1 - y).sum() < least:
         return None

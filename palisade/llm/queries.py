@@ -109,11 +109,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
        CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to FROM f""",
 )
 def op9(spark, sf_dir):
-    import uuid
+    from palisade.plans.stage import scratch_path
 
-    from palisade.plans.stage import shared_folder
-
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     warc.write_archives(warc.records(table(spark, sf_dir, "pages")), path)
     return warc.resolve(warc.read_archives(spark, path))
 
