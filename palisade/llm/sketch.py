@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions only.
 
-A sketch retains every shingle hash below a fixed fraction of the hash range (and the smallest
-hash, so that no sketch of a text with words is empty). Sketches of parts merge by union, and
-containment and likeness of very unequal documents are estimated without bias, because what
-is retained does not depend on the size of the document."""
+A sketch retains every shingle hash below a fixed fraction of the hash range, and the smallest
+LEAST hashes in any case. It thus covers a range of hashes completely: all of them if it holds
+fewer than LEAST, else at least that fraction. Two sketches are compared on the range that both
+cover, so short texts are compared exactly and unequal ones without bias; sketches merge into
+the sketch of all their shingles."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,16 +13,22 @@ from palisade.llm.common import texts
 
 SHINGLE = 5
 FRACTION = 8
+LEAST = 64
 QUANTILES = 128
 SLICE_ROWS = 2000
 MAX_SLICES = 200_000
 
 
-def sketch(text: Column, k: int = SHINGLE, fraction: int = FRACTION) -> Column:
-    """Sorted array of the distinct shingle hashes in the lowest 1/fraction of the range.
+def _below(fraction: int) -> int:
+    return -(2**63) + 2**64 // fraction
+
+
+def sketch(text: Column, k: int = SHINGLE, fraction: int = FRACTION, least: int = LEAST) -> Column:
+    """Sorted array of the distinct shingle hashes in the lowest 1/fraction of the range, or of the
+    `least` smallest ones where fewer lie there.
 
     Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; fewer than k words make one shingle, no
-    words (or null) an empty array. Without a hash in range the smallest hash stands alone."""
+    words (or null) an empty array."""
     lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     # hashes of words first, so that a shingle hashes k longs, not k strings
@@ -31,11 +38,10 @@ def sketch(text: Column, k: int = SHINGLE, fraction: int = FRACTION) -> Column:
     def shingles(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - k, F.lit(0))), lambda i: F.xxhash64(*[at(h, i, F.lit(j)) for j in range(k)]))
 
-    below = -(2**63) + 2**64 // fraction
-
     def kept(all_: Column) -> Column:
-        low = F.filter(all_, lambda x: x < F.lit(below))
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(all_)))
+        low = F.array_distinct(F.filter(all_, lambda x: x < F.lit(_below(fraction))))
+        smallest = F.slice(F.sort_array(F.array_distinct(all_)), 1, least)
+        return F.get(F.transform(F.array(low), lambda h: F.when(F.size(h) >= least, F.sort_array(h)).otherwise(smallest)), F.lit(0))
 
     # one-element arrays bind intermediate results, so each is evaluated once
     empty = F.array().cast("array<bigint>")
@@ -48,20 +54,38 @@ def as_string(sk: Column) -> Column:
     return F.array_join(F.transform(sk, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def merged(*sketches: Column) -> Column:
-    """Sketch of the documents together (exact where all retain hashes in range)."""
-    return F.array_sort(F.array_distinct(F.concat(*sketches)))
+def merged(*sketches: Column, fraction: int = FRACTION, least: int = LEAST) -> Column:
+    """Sketch of the shingles of all together. Where one does not cover the whole range it holds
+    `least` hashes of its own, so the smallest `least` of all are known."""
+    all_ = F.sort_array(F.array_distinct(F.concat(*sketches)))
+    return F.get(F.transform(F.array(all_), lambda u: F.slice(u, F.lit(1), F.greatest(F.lit(least), F.size(F.filter(u, lambda x: x < F.lit(_below(fraction))))))), F.lit(0))
+
+
+def _limit(sk: Column, fraction: int, least: int) -> Column:
+    """The last hash of the range that the sketch covers completely."""
+    return F.when(F.size(sk) < least, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(_below(fraction) - 1), F.get(sk, F.size(sk) - 1)))
+
+
+def _within(a: Column, b: Column, fraction: int, least: int) -> Column:
+    """Number of hashes of a in the range that b covers too."""
+    top = _limit(b, fraction, least)
+    return F.when(_limit(a, fraction, least) <= top, F.size(a)).otherwise(F.size(F.filter(a, lambda x: x <= top)))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity, 0 to 1; two empty sketches are alike."""
-    common, both = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+def likeness(a: Column, b: Column, fraction: int = FRACTION, least: int = LEAST) -> Column:
+    """Jaccard similarity, 0 to 1, of the hashes in the range that both cover: an estimate for the
+    documents, exact if both have fewer than `least` shingles. Two empty sketches are alike."""
+    # what both hold lies in the range of both
+    common, both = F.size(F.array_intersect(a, b)), _within(a, b, fraction, least) + _within(b, a, fraction, least)
     return F.when(both == 0, F.lit(1.0)).otherwise((common / (both - common)).cast("double"))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has, 0 to 1; an empty a is contained in anything."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise((F.size(F.array_intersect(a, b)) / F.size(a)).cast("double"))
+def containment(a: Column, b: Column, fraction: int = FRACTION, least: int = LEAST) -> Column:
+    """Share of a's shingles that b has, 0 to 1, from the range that both cover; an empty a is
+    contained in anything. Null if no hash of a lies in that range, as then nothing is known (a has
+    few shingles and b many)."""
+    n = _within(a, b, fraction, least)
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(n > 0, (F.size(F.array_intersect(a, b)) / n).cast("double"))
 
 
 def with_next(docs: DataFrame, *columns: str, add: dict | None = None, rows: int = SLICE_ROWS) -> DataFrame:
@@ -113,4 +137,4 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, fraction: int = FRACTION, ro
     both = both.select("doc_id", n.cast("bigint").alias("n_chars"), "sk", "next_sk", edited.alias("edited"))
     # a generator keeps its columns from being computed again in each of their uses
     both = both.select("doc_id", "n_chars", F.inline(F.array(F.struct("sk", "next_sk", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), sketch(F.col("edited"), k, fraction).alias("esk")))))
-    return both.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("sk")).alias("fingerprint"), as_string(F.col("esk")).alias("edited_fingerprint"), likeness(F.col("sk"), F.col("esk")).alias("near_edited"), likeness(F.col("sk"), F.col("next_sk")).alias("near_next"))
+    return both.select("doc_id", "n_chars", "edited_sha256", as_string(F.col("sk")).alias("fingerprint"), as_string(F.col("esk")).alias("edited_fingerprint"), likeness(F.col("sk"), F.col("esk"), fraction).alias("near_edited"), likeness(F.col("sk"), F.col("next_sk"), fraction).alias("near_next"))

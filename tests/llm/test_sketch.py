@@ -69,3 +69,39 @@ def test_sketches_merge_and_contain(llm):
     whole, head, tail = (sketch.sketch(F.col(c)) for c in ("whole", "head", "tail"))
     r = df.select(sketch.containment(head, whole).alias("c"), sketch.containment(whole, head).alias("w"), F.size(F.array_except(sketch.merged(head, tail), whole)).alias("m"), F.size(whole).alias("n")).first()
     assert r["c"] == 1.0 and 0.15 < r["w"] < 0.35 and r["m"] == 0 and 350 < r["n"] < 650
+
+
+def words(n, seed):
+    return " ".join(f"w{seed}x{i}" for i in range(n))
+
+
+def test_short_near_copies_are_compared_exactly(llm):
+    rows = [(words(n, i), words(n, i) + " more") for i, n in enumerate([1, 4, 5, 6, 9, 20, 20, 20, 20, 40, 60] * 4)]
+    df = llm.createDataFrame(rows, "a string, b string")
+    a, b = (sketch.sketch(F.col(c)) for c in "ab")
+    for r, (x, y) in zip(df.select(sketch.likeness(a, b).alias("l"), sketch.containment(a, b).alias("c")).collect(), rows, strict=True):
+        x, y = shingles(x), shingles(y)
+        assert r["l"] == pytest.approx(len(x & y) / len(x | y)) and r["c"] == pytest.approx(len(x & y) / len(x))
+
+
+def test_short_texts_inside_long_ones(llm):
+    rows = [(f"{words(n, i)}", f"{words(m, 1000 + i)} {words(n, i)} {words(m, 2000 + i)}") for i, (n, m) in enumerate([(20, 10), (20, 40), (50, 100), (90, 2000)] * 20)]
+    df = llm.createDataFrame(rows, "short string, long string")
+    short, long, other = sketch.sketch(F.col("short")), sketch.sketch(F.col("long")), sketch.sketch(F.reverse(F.col("long")))
+    got = df.select(sketch.containment(short, long).alias("c"), sketch.containment(short, other).alias("o")).collect()
+    assert all(r["c"] == 1.0 for r in got) and all(r["o"] == 0.0 for r in got)
+    # a single shingle says nothing where the long text does not cover its hash
+    one = llm.createDataFrame([(words(5, i), f"{words(5, i)} {words(3000, 9000 + i)}") for i in range(60)], "short string, long string")
+    said = [r["c"] for r in one.select(sketch.containment(short, long).alias("c")).collect()]
+    assert set(said) == {1.0, None}
+
+
+def test_merged_is_the_sketch_of_the_union(llm):
+    sizes = [(3, 8), (30, 30), (64, 70), (90, 20), (300, 5), (300, 400), (2000, 10), (0, 100), (0, 0)]
+    rows = [(words(n, i), words(m, 100 + i) + " " + words(n, i)[: 4 * n]) for i, (n, m) in enumerate(sizes)]
+    df = llm.createDataFrame(rows, "a string, b string")
+    a, b = (sketch.sketch(F.col(c)) for c in "ab")
+    everything = lambda c: sketch.sketch(F.col(c), least=1_000_000)
+    for r in df.select(sketch.merged(a, b).alias("m"), everything("a").alias("x"), everything("b").alias("y")).collect():
+        union = sorted(set(r["x"]) | set(r["y"]))
+        assert r["m"] == union[: max(64, sum(h < -(2**63) + 2**61 for h in union))]
