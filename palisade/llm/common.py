@@ -26,6 +26,11 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def text_sha(text: Column) -> Column:
+    """SHA-256 of the text (null: empty), binary; with doc_id it tells rows of one id apart."""
+    return F.unhex(F.sha2(F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8"), 256))
+
+
 def bounded_sample(df: DataFrame, key: Column, most: int) -> list:
     """At most `most` rows, chosen by the hash `key` (returned as _h) and in its order. No task
     sends more than its share: the cut of the hash follows from a count."""

@@ -94,9 +94,10 @@ def cyclic_weights(names: list) -> dict:
     return {s: 1 + i % 3 for i, s in enumerate(order)}
 
 
-def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights=cyclic_weights, copies: int = 3, seed: int = 17, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights=cyclic_weights, copies: int = 3, seed: int = 17, max_patterns: int = MAX_PATTERNS, key: Column | None = None) -> DataFrame:
     """One row per input row: doc_id, size, pattern (sorted sources), n_copies, plus
-    source_size and target, summed over the sources of its pattern.
+    source_size and target, summed over the sources of its pattern, and `key` if one is given (it
+    tells rows of one id apart).
 
     sources: an array of names (a null entry is a source of its own; a null or empty array
     counts as [null]). weights: source names -> weights. Documents of size 0 are never taken.
@@ -104,7 +105,8 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights=cyc
     Equal rows are interchangeable. An empty table gives an empty table. More patterns than
     max_patterns raise an error (the flow is solved on the driver)."""
     listed = F.coalesce(F.when(F.size(sources) > 0, F.array_sort(F.array_distinct(sources))), F.array(F.lit(None).cast("string")))
-    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), listed.alias("pattern"))
+    base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), listed.alias("pattern"), *([] if key is None else [key.alias("key")]))
+    more_columns = [] if key is None else ["key"]
     base = written(base.withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id")), "mix-sizes")
     totals = base.groupBy("pattern").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("rows")).limit(max_patterns + 1).collect()
     if len(totals) > max_patterns:
@@ -136,14 +138,14 @@ def mix(docs: DataFrame, doc_id: str, size: Column, sources: Column, weights=cyc
     placed = named.join(starts, ["_p", "_b"], "left")
     inside = (F.col("_start") < F.col("rest")) & (F.col("_start") + F.col("_in") > F.col("rest")) & (F.col("size") > 0)
     cut = placed.where(inside)
-    upto = Window.partitionBy("_p", "_b").orderBy("_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("_p", "_b").orderBy("_draw", "doc_id", "size", *more_columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = cut.withColumn("_upto", F.col("_start") + F.sum("size").over(upto))
     # the document over the cut counts if at least half of it lies before the cut
     more = (F.col("_upto") - F.col("size") / 2 <= F.col("rest")).cast("int")
     rest_of = placed.where(~inside | inside.isNull()).withColumn("_more", F.coalesce(((F.col("_start") + F.col("_in") <= F.col("rest")) & (F.col("size") > 0)).cast("int"), F.lit(0)))
     both = cut.withColumn("_more", more).drop("_upto").unionByName(rest_of)
     n = F.when(F.col("size") > 0, F.col("whole") + F.col("_more")).otherwise(0)
-    return both.select("doc_id", "size", "pattern", n.cast("int").alias("n_copies"), "source_size", "target")
+    return both.select("doc_id", "size", "pattern", n.cast("int").alias("n_copies"), "source_size", "target", *more_columns)
 
 
 def water_fill_to(total: float, sizes: dict, weights: dict, copies: int) -> dict:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import written
+from palisade.llm.common import text_sha, written
 
 CELLS = 1 << 18
 CELL_SHIFT = np.uint64(46)
@@ -162,7 +162,9 @@ def _sets(k: int, percent: int, order: np.ndarray):
                     tokens, often, small = s[first].view(np.int64), rank[first] >= HOT, len(s) - required_of_smaller(len(s), percent) + 1
                     once = (tokens[~often], int((~often[:small]).sum()), tokens[often], int(often[:small].sum()), _bitmap(s), _wide(s) if len(s) > LONG else None)
                 rows.append((doc_id, key, digest, len(s), *once))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+            out = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema]
+            more = batch.schema.names[3:]  # what else the rows carry
+            yield pa.RecordBatch.from_arrays([*out, *[batch.column(c) for c in more]], [*schema.names, *more])
 
     return run
 
@@ -478,8 +480,9 @@ def _placed(rows: DataFrame, block: int) -> DataFrame:
 MAX_BROADCAST_KEYS = 1_000_000
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, class_id, component_id.
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK, sha: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, class_id, component_id, with `sha` also the SHA-256
+    of the text.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets.
     class_id is the smallest doc_id with an equal set, component_id the smallest reachable by
@@ -489,7 +492,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     keyed = base.withColumn("text_key", F.xxhash64("text"))
     order = cell_counts(base, k).astype(np.int64)
-    sets = written(keyed.mapInArrow(_sets(k, percent, order), SETS), "jaccard-sets")
+    more = ["sha"] if sha else []
+    carried = keyed.select("*", *[text_sha(F.col("text")).alias(c) for c in more])
+    sets = written(carried.mapInArrow(_sets(k, percent, order), SETS + ", sha binary" * sha), "jaccard-sets")
     classes = written(sets.where("tokens IS NOT NULL").dropDuplicates(["digest"]).withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
     # rows without a partner under their token go: a smaller one among whose leading shingles it
     # is, or, where it leads itself, any larger one
@@ -519,13 +524,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
         if live.isEmpty():
             break
         rows, turn = written(rows.join(live, "token", "left_semi"), "jaccard-rows"), turn + 1
-    known = sets.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(classes.select("digest", "cls"), "digest", "left")
-    known = written(known.join(labels, known["cls"] == labels["node"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("label", "cls").alias("label")), "jaccard-known")
+    known = sets.select("doc_id", "digest", F.col("n").alias("n_shingles"), *more).join(classes.select("digest", "cls"), "digest", "left")
+    known = written(known.join(labels, known["cls"] == labels["node"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("label", "cls").alias("label"), *more), "jaccard-known")
     firsts = written(known.where("cls IS NOT NULL").groupBy("cls", "label").agg(F.min("doc_id").alias("class_id")), "jaccard-firsts")
     groups = written(firsts.groupBy("label").agg(F.min("class_id").alias("component_id")), "jaccard-groups")
     out = known.join(firsts.select("cls", "class_id"), "cls", "left").join(groups, "label", "left")
     # documents without words, and groups without any id, are their own
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
 
 def _plausible(percent: int):
@@ -571,9 +576,11 @@ def _checked(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, per
     return verified.unionByName(tried.where("NOT plausible").select("a", "b", F.lit(False).alias("linked")))
 
 
-def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", null_ids: bool = True) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, all columns; of rows that
-    repeat this id in a component all stay."""
-    found = jaccard_components(docs, k, percent, doc_id, text)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("bigint") == F.col("_gone"), "left_anti")
+    repeat this id in a component all stay. Rows are known by id and text. null_ids: whether rows
+    without an id stay in components that have one; those of components without any id stay."""
+    found = jaccard_components(docs, k, percent, doc_id, text, sha=True)
+    other = F.col("doc_id") != F.col("component_id") if null_ids else ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.where(other).select(F.col("doc_id").alias("_gone"), F.col("sha").alias("_sha")).distinct()
+    return docs.join(gone, F.col(doc_id).cast("bigint").eqNullSafe(F.col("_gone")) & (text_sha(F.col(text)) == F.col("_sha")), "left_anti")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.llm import logistic
-from palisade.llm.common import bounded_sample, written
+from palisade.llm.common import bounded_sample, text_sha, written
 
 MAX_LABELLED = 20_000
 KEEP = 0.5
@@ -132,9 +132,9 @@ def shrunk_sites(counted: DataFrame) -> DataFrame:
     return paths.select("host", "path", "host_rate", ((F.col("k") + s * F.col("host_rate")) / (F.col("n") + s)).alias("path_rate"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep: float = KEEP, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep: float = KEEP, max_labelled: int = MAX_LABELLED, sha: bool = False) -> DataFrame:
     """One row per input row: doc_id, evidence, host_rate, path_rate, score (probability of a
-    good document), kept (score >= keep).
+    good document), kept (score >= keep), with `sha` also the SHA-256 of the text.
 
     Null hosts and paths are a site of their own. Null texts count as empty, their statistics as
     zeros. Of repeated labels the smallest counts, null labels count as none. Without enough
@@ -143,10 +143,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc
     base = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"),
         F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        *([text_sha(F.col(text)).alias("sha")] if sha else []),
     )
-    stats = written(base.mapInArrow(_features, "doc_id long, host string, path string, x array<double>"), "quality-statistics")
+    more = ["sha"] if sha else []
+    key = "doc_id long, host string, path string" + ", sha binary" * sha
+    stats = written(base.mapInArrow(_features, f"{key}, x array<double>"), "quality-statistics")
     model = fit(stats.join(known, stats["doc_id"] == known["_id"]).select("doc_id", "x", "y"), max_labelled)
-    seen = stats.mapInArrow(_evidence(model), "doc_id long, host string, path string, evidence double")
+    seen = stats.mapInArrow(_evidence(model), f"{key}, evidence double")
     seen = written(seen.join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id"), "quality-evidence")
     prior = F.lit(model.prior if model is not None else 30.0)
     soft = F.coalesce(F.col("y"), 1 / (1 + F.exp(-(F.col("evidence") + prior))))
@@ -156,4 +159,4 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.log(rate / (1 - rate)))))
     scored = seen.join(sites, ["host", "path"], "left").withColumn("score", score)
     kept = F.lit(True) if model is None else F.coalesce(F.col("score") >= keep, F.lit(True))
-    return scored.select("doc_id", "evidence", "host_rate", "path_rate", "score", kept.alias("kept"))
+    return scored.select("doc_id", "evidence", "host_rate", "path_rate", "score", kept.alias("kept"), *more)

@@ -79,3 +79,37 @@ def test_odd_and_empty_tables(llm, odd_docs, no_docs, sf_dir, tmp_path):
         assert [d.columns for d in out[:4]] == [DOCUMENTS] * 4
         assert out[0].count() == typed.count()  # too few labels: nothing is rejected
         assert out[-1].count() == out[-2].count()
+
+
+TYPES = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_quality_stage_with_null_ids_and_an_id_on_two_texts(llm):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = llm.read.parquet(f"{sf_dir}/documents.parquet").select(DOCUMENTS).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("n_chars", F.col("n_chars").cast("long"))
+    labels = llm.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality.classify(docs, labels, F.col("source"), F.col("lang")).join(labels.select("doc_id"), "doc_id", "left_anti")
+    bad, good = (judged.orderBy(order).first()["doc_id"] for order in (F.asc("score"), F.desc("score")))
+    texts = {r["doc_id"]: r for r in docs.where(F.col("doc_id").isin(bad, good)).collect()}
+    more = [(None, *texts[bad][1:]), (bad, *texts[good][1:]), (None, *texts[good][1:])]
+    out = corpus_pipeline.good_documents(llm, docs.unionByName(llm.createDataFrame(more, docs.schema)), sf_dir)
+    got = [(r["doc_id"], r["text"]) for r in out.where(F.col("doc_id").isNull() | (F.col("doc_id") == bad)).collect()]
+    assert sorted(got, key=str) == sorted([(bad, texts[good]["text"]), (None, texts[good]["text"])], key=str)
+
+
+def test_near_copy_stage_with_null_ids_and_an_id_on_two_texts(llm, sf_dir):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a), (5, a + " tail"), (5, b), (9, b + " tail"), (None, b + " other"), (None, c)]
+    docs = llm.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], TYPES)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.unlike_documents(llm, docs, sf_dir).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (None, c)], key=str)
+
+
+def test_mix_stage_with_null_ids_and_an_id_on_two_texts(llm, sf_dir):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(10))
+    for ids, texts in (([None] * 120, range(120)), ([7] * 120, range(120)), ([None] * 120, [1] * 120)):
+        rows = [(d, text(t), "en", "ab"[i % 2], 1) for i, (d, t) in enumerate(zip(ids, texts, strict=True))]
+        out = corpus_pipeline.weighted_sources(llm, llm.createDataFrame(rows, TYPES), sf_dir)
+        assert out.columns == DOCUMENTS
+        taken = {r["source"]: r["count"] * 10 for r in out.groupBy("source").count().collect()}
+        assert abs(taken["a"] - 400) <= 10 and abs(taken["b"] - 800) <= 10  # of 600 words each, weights 1 and 2
