@@ -145,14 +145,16 @@ def judge_urls(urls: DataFrame, rules: DataFrame, page_id: str = "page_id", url:
     host or path never fit. Repeated rules count once, an "allow" before a "block"."""
     base = urls.select(F.col(page_id).alias("page_id"), host_of(F.col(url).cast("string")).alias("host"), path_of(F.col(url).cast("string")).alias("path"))
     listed = rules.select("host", "path", "verdict").dropna().distinct()
-    n, lengths, chars = listed.agg(F.count(F.lit(1)), F.collect_set(F.length("path")), F.max(F.length("host") + F.length("path"))).first()
+    n, lengths, chars, longest = listed.agg(F.count(F.lit(1)), F.collect_set(F.length("path")), F.max(F.length("host") + F.length("path")), F.max(F.length("host"))).first()
     lengths = sorted(lengths, reverse=True)
     if n <= shard_rules and (chars or 0) <= MAX_RULE_CHARS:
         held = [tuple(r) for r in listed.collect()]
         return base.mapInArrow(_judge(held, lengths, default), "page_id long, host string, path string, rule string, verdict string")
     # distinct probes meet the shards of the list; hits join back to the urls
     shard = F.pmod(F.xxhash64("host", "path"), F.lit(1 + n // shard_rules)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.size(F.split("host", r"\.")) - 1), lambda i: F.array_join(F.slice(F.split("host", r"\."), i + 1, 10_000), "."))
+    # the last labels of the host, up to as many as the longest host of a rule can have
+    most = F.least(F.size(F.split("host", r"\.")), F.lit((longest or 0) + 1))
+    parts = F.transform(F.sequence(F.lit(1), most), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i))
     cuts = F.array(*[F.lit(x) for x in lengths])
     distinct = base.select("host", "path").distinct().select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.explode(parts).alias("host"), "path")
     distinct = distinct.select("_h", "_p", "host", F.explode(F.filter(cuts, lambda x: x <= F.length("path"))).alias("_n"), "path").select("_h", "_p", "host", F.expr("left(path, _n)").alias("path"))

@@ -57,3 +57,12 @@ def test_query_equals_brute_force(llm, sf_dir):
     urls = {r["page_id"]: r["url"] for r in llm.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").collect()}
     got = {r["page_id"]: tuple(r)[1:] for r in QUERIES["op7_url_filter"](llm, sf_dir).collect()}
     assert got == {i: brute(u, URL_RULES) for i, u in urls.items()}
+
+
+@pytest.mark.parametrize("shard", [100_000, 1])
+def test_hosts_of_many_labels(llm, shard):
+    long = "a." * 10_050
+    urls = llm.createDataFrame([(1, f"http://{long}example.com/en/x"), (2, f"http://{long}example.org/en/x"), (3, f"http://{long}net")], "page_id long, url string")
+    listed = [("example.com", "/en/", "block"), ("a.a.example.org", "/", "block"), ("net", "", "block"), ("b.net", "", "allow")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(urls, llm.createDataFrame(listed, "host string, path string, verdict string"), shard_rules=shard).collect()}
+    assert got == {1: ("example.com/en/", "block"), 2: ("a.a.example.org/", "block"), 3: ("net", "block")}
