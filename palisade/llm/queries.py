@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, exact_dedup, licenses, mixing, ngram_join, quality, secrets, sketch, url_filter, warc
+from palisade.llm import bpe, exact_dedup, licenses, mixing, ngram_join, quality, secrets, sketch, token_files, url_filter, warc
 from palisade.llm.common import n_words, table
 
 QUERIES: dict = {}
@@ -119,3 +119,8 @@ def op9(spark, sf_dir):
 @query("op10_sketch")
 def op10(spark, sf_dir):
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_files")
+def op11(spark, sf_dir):
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
