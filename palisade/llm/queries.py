@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, exact_dedup, licenses, mixing, ngram_join, quality, secrets, sketch, token_files, url_filter, warc
+from palisade.llm import bpe, divergence, exact_dedup, licenses, mixing, ngram_join, quality, secrets, sketch, spelling, token_files, url_filter, warc
 from palisade.llm.common import n_words, table
 
 QUERIES: dict = {}
@@ -124,3 +124,34 @@ def op10(spark, sf_dir):
 @query("op11_token_files")
 def op11(spark, sf_dir):
     return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_divergence",
+    r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY ALL HAVING sum(docs) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT g.lang, g.source, coalesce(sum(c.n) FILTER (k.term IS NOT NULL), 0)::HUGEINT AS n
+      FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source LEFT JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, (1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (t.n + v.v))::BIGINT AS p,
+        (1 + (1000000000 * (k.n + 1)) // (v.n + v.v))::BIGINT AS q
+      FROM t JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
+)
+def op12(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@query("op13_spelling")
+def op13(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))

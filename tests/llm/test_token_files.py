@@ -46,7 +46,8 @@ def test_boundaries_take_little_space():
 
 
 def test_encoder_splits_as_the_library():
-    alphabet = ["a", "Bc", " ", " ", "  ", "\n", "\t", "\x85", "\xa0", " ", "\x1c", "​", "'s", "'", "1", "é", "中", "😀", "́", "<|endoftext|>", "<|", "_", "\r\n", "　", "﻿", "\0", "½", "Ġ", "?!"]
+    alphabet = ["a", "Bc", " ", "  ", "\n", "\t", "'s", "'", "1", "<|endoftext|>", "<|", "_", "\r\n", "\0", "?!", "\U0001f600"]
+    alphabet += ["\u0085", "\u00a0", "\u2003", "\u001c", "\u200b", "\u0301", "\u3000", "\ufeff", "\u00bd", "\u0120", "\u00e9", "\u4e2d"]
     r = random.Random(3)
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 14))) for _ in range(8000)]
     coder = tf._Encoder(SPEC, 2000)
