@@ -6,22 +6,22 @@ bits of each number packed, the high bits in unary, a bit vector of at most thre
 with the place of every SELECT-th set bit in 32 bits. `select` finds one number by reading the
 bits between two such places; nothing holds 64 bits a document.
 
-Writing: tasks encode texts through a table of words, the ids are dealt out by ranges of doc_id,
-sorted, cut into files of bounded size and written by Spark's writer, which adds a line feed that
-readers skip. An index table beside the files (one row a file, made from the files as they stand)
+Writing: texts are dealt out by ranges of doc_id and sorted; tasks encode them through a table of
+words, cut the ids into files of bounded size and hand these to Spark's writer, which adds a line
+feed that readers skip. An index table beside the files (one row a file, made from the files as they stand)
 has the number of ids before each file. Lost tasks are run again; nothing stays on one machine."""
 
 import re
 import struct
 import zlib
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.bpe import WHITE, pieces, tokenizer_spec
+from palisade.llm.bpe import WHITE, tokenizer_spec
 from palisade.llm.common import written
 from palisade.plans.stage import scratch_path
 
@@ -29,7 +29,9 @@ SELECT = 256
 FILE_IDS = 8 << 20
 MAX_PARTITIONS = 50_000
 MAX_WORDS = 400_000
-PIECE_CHARS = 1 << 20
+BATCH_CHARS = 4 << 20
+#: Text bytes for each id, in the number of ranges alone.
+BYTES_AN_ID = 2
 MAGIC = b"PIDS"
 #: magic, bytes an id, bytes of the two sequences, part and number of the file, ids, documents, documents without id
 HEAD = struct.Struct("<4sIQQIIQII")
@@ -134,12 +136,31 @@ class TokenFile:
 
 #: A run of white space that is more than one space, from its first character on.
 GAP = re.compile(f"[{WHITE.replace(' ', '')}][{WHITE}]*| [{WHITE}]+")
+#: Words of these characters alone are split here as the tokenizer's pattern splits them: letters,
+#: digits and ASCII marks are what they are in every version of Unicode.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+_MARKS = r"!-/:-@\[-`{-~"
+PLAIN = re.compile(f" ?[{_LETTERS}{_MARKS}0-9]+")
+SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+")
+#: Fixed value: the pre-tokenizer whose pattern SPLIT follows.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+
+def byte_alphabet() -> list:
+    """Characters that stand for the bytes: printable Latin-1 for itself, others from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
 class _Encoder:
     """Ids of texts through a table of words: each word is encoded once until the table is full,
     then the table starts anew. Words are what stands between white space, with the space
-    before it; the tokenizer's own splitting never joins two of them."""
+    before it; the tokenizer's own splitting never joins two of them.
+
+    Texts are brought to words with one space between: a word without a space before it in the text
+    gets a line feed in front, other white space and special tokens are two line feeds and a
+    number. Arrow then splits them, finds the distinct words, and puts the ids together."""
 
     def __init__(self, spec: str, most: int):
         import json
@@ -155,89 +176,84 @@ class _Encoder:
         added = [t["content"] for t in model.get("added_tokens", [])]
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.kind, self.most = id_kind(model), most
-        self.lens = np.array([len(p) for p in pieces(spec)], np.int64)
-        self.spaced: dict = {}
-        self.plain: dict = {}
-
-    def _parts(self, text: str):
-        """(words without a space before, words with one) in turns: a list of one or none, a list."""
+        before = model.get("pre_tokenizer") or {}
+        self.split = not model.get("normalizer") and all(before.get(k) == v for k, v in BYTE_LEVEL.items())
+        alphabet = byte_alphabet()
+        self.model, self.as_bytes = self.library.model, {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x180)}
+        self.words: dict = {}  # word as it stands between spaces -> bytes of its ids
+        self.parts: dict = {}  # part of a word -> ids
+        self.others: dict = {}  # white space, special tokens -> number
+
+    def _form(self, text: str) -> str:
+        """The text's words with one space between."""
+        if not GAP.search(text) and not (self.special and self.special.search(text)):
+            return text[1:] if text[:1] == " " else f"\n{text}"
+        out: list = []
+        other = lambda w: out.append(f"\n\n{self.others.setdefault(w, len(self.others))}")
         for turn, part in enumerate(self.special.split(text) if self.special else [text]):
             if turn % 2:
-                yield [part], []
+                other(part)
                 continue
             at, space = 0, False
-            for gap in chain(GAP.finditer(part), (None,)):
-                yield from self._words(part, at, gap.start() if gap else len(part), space)
-                if gap is None:
-                    break
+            for gap in GAP.finditer(part):
+                self._segment(out, part[at : gap.start()], space)
                 white, at = gap.group(), gap.end()
                 last = at == len(part)
                 space = not last and white[-1] == " "
-                yield [w for w in ([white] if last else [white[:-1]] if space else [white[:-1], white[-1]]) if w], []
-                if last:
-                    break
+                for w in [white] if last else [white[:-1]] if space else [white[:-1], white[-1]]:
+                    if w:
+                        other(w)
+            self._segment(out, part[at:], space)
+        return " ".join(out)
 
     @staticmethod
-    def _words(part: str, at: int, end: int, space: bool):
-        """The words of part[at:end], which has single spaces alone; some MB at a time."""
-        while at <= end:
-            cut = part.find(" ", at + PIECE_CHARS, end) if end - at > PIECE_CHARS else -1
-            words = part[at : end if cut < 0 else cut].split(" ")
-            yield ([], words) if space else (words[:1] if words[0] else [], words[1:])
-            at, space = end + 1 if cut < 0 else cut + 1, True
-
-    def _learn(self, plain: set, spaced: set) -> None:
-        words = list(plain)
-        for w, e in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.plain[w] = np.array(e.ids, self.kind).tobytes()
-        alone = [w for w in spaced if not w]  # a space at the end
-        words = [w for w in spaced if w]
-        for i in range(0, len(words), 5000):
-            some = words[i : i + 5000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.cumsum([len(w.encode()) + 1 for w in some])
-            upto = np.cumsum(self.lens[ids])
-            cuts = np.searchsorted(upto, ends) + 1
-            if len(upto) >= len(some) and cuts[-1] == len(ids) and np.array_equal(upto[np.minimum(cuts, len(ids)) - 1], ends):
-                raw, at = ids.astype(self.kind).tobytes(), 0
-                for w, cut in zip(some, (cuts * self.kind.itemsize).tolist(), strict=True):
-                    self.spaced[w] = raw[at:cut]
-                    at = cut
-            else:  # a vocabulary whose pieces are not the words' bytes
-                alone += some
-        for w, e in zip(alone, self.library.encode_batch_fast([" " + w for w in alone], add_special_tokens=False), strict=True):
-            self.spaced[w] = np.array(e.ids, self.kind).tobytes()
-
-    def _ids(self, texts: list) -> list:
-        """Bytes of the ids of each text, given as its parts. Words unknown to the table are learnt
-        for all texts at once."""
-        plain, spaced = set(), set()
-        for parts in texts:
-            for a, b in parts:
-                plain.update(filterfalse(self.plain.__contains__, a))
-                spaced.update(filterfalse(self.spaced.__contains__, b))
-        if len(self.plain) + len(self.spaced) > self.most:
-            self.plain.clear()
-            self.spaced.clear()
-            plain, spaced = {w for parts in texts for a, _ in parts for w in a}, {w for parts in texts for _, b in parts for w in b}
-        self._learn(plain, spaced)
-        return [b"".join(chain.from_iterable(chain(map(self.plain.__getitem__, a), map(self.spaced.__getitem__, b)) for a, b in parts)) for parts in texts]
-
-    def encode(self, texts: list) -> list:
-        """Bytes of the ids of each text; long texts go through piece by piece."""
-        if all(len(t) <= PIECE_CHARS for t in texts):
-            return self._ids([list(self._parts(t)) for t in texts])
-        return [self._long(t) for t in texts]
-
-    def _long(self, text: str) -> bytes:
-        out, parts, size = [], [], 0
-        for part in self._parts(text):
-            parts.append(part)
-            size += len(part[0]) + len(part[1]) + 1
-            if size > PIECE_CHARS // 8:
-                out += self._ids([parts])
-                parts, size = [], 0
-        return b"".join(out + self._ids([parts]))
+    def _segment(out: list, segment: str, space: bool) -> None:
+        if segment[:1] == " " and not space:
+            out.append(segment[1:])
+        elif segment:
+            out.append(segment if space else f"\n{segment}")
+
+    def _ids(self, word: str) -> list:
+        """Ids of one word, by its parts where it is plain."""
+        if not self.split or not PLAIN.fullmatch(word):
+            return self.library.encode(word, add_special_tokens=False).ids
+        ids, known = [], self.parts
+        for part in SPLIT.findall(word):
+            some = known.get(part)
+            if some is None:
+                if len(known) > self.most:
+                    known.clear()
+                some = known[part] = [t.id for t in self.model.tokenize(part.translate(self.as_bytes))]
+            ids += some
+        return ids
+
+    def _learn(self, words: list) -> list:
+        """Bytes of the ids of distinct words."""
+        if len(self.words) > self.most:
+            self.words.clear()
+        known, out, others = self.words, [], list(self.others)
+        for w in words:
+            data = known.get(w)
+            if data is None:
+                if w[:2] == "\n\n":  # numbers hold for one call
+                    data = np.array(self.library.encode(others[int(w)], add_special_tokens=False).ids, self.kind).tobytes()
+                else:
+                    data = known[w] = np.array(self._ids(w[1:] if w[:1] == "\n" else f" {w}"), self.kind).tobytes()
+            out.append(data)
+        return out
+
+    def encode(self, texts: list, end: bytes = b"") -> pa.Array:
+        """Bytes of the ids of each text, with `end` behind."""
+        self.others = {"": 0}
+        lists = pc.split_pattern(pa.array([f"{self._form(t)} \n\n0" for t in texts], pa.large_string()), " ")
+        words = pc.dictionary_encode(lists.values)
+        data = self._learn(words.dictionary.to_pylist())
+        if texts:
+            data[pc.index(words.dictionary, "\n\n0").as_py()] = end
+        ids = pa.array(data, pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
+        at = ends[np.asarray(lists.offsets)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), ids.buffers()[2]])
 
 
 def id_kind(model: dict) -> np.dtype:
@@ -246,48 +262,37 @@ def id_kind(model: dict) -> np.dtype:
     return np.dtype("<u2" if most < 1 << 16 else "<u4")
 
 
-def _encode(spec: str, end_id: int, most: int):
-    def run(batches):
-        coder = _Encoder(spec, most)
-        end = np.array([end_id], coder.kind).tobytes()
-        for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(texts):  # about a million characters at a time
-                some, size, first = [], 0, at
-                while at < len(texts) and size < 1 << 20:
-                    some.append(texts[at].as_py())
-                    size += len(some[-1]) + 64
-                    at += 1
-                ids = [i + end for i in coder.encode(some)]
-                n = pa.array([len(i) // coder.kind.itemsize for i in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(first, at - first), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
-
-    return run
-
+def _write(spec: str, end_id: int, max_words: int, file_ids: int):
+    """Files of a range: its documents come sorted."""
 
-def _pack(width: int, most: int):
     def run(batches):
         from pyspark import TaskContext
 
+        coder = _Encoder(spec, max_words)
+        width, end = coder.kind.itemsize, np.array([end_id], coder.kind).tobytes()
         part, number = TaskContext.get().partitionId(), 0
         doc_ids, lens, ids, size = [], [], [], 0
 
         def file():
-            data = TokenFile.encode(part, number, width, doc_ids, lens, ids)
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
+            return pa.RecordBatch.from_arrays([pa.array([TokenFile.encode(part, number, width, doc_ids, lens, ids)], pa.binary())], ["data"])
 
         for batch in batches:
-            for d, i in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
-                i = i.as_py()
-                n = len(i) // width
-                if ids and size + n > most:
-                    yield file()
-                    number, doc_ids, lens, ids, size = number + 1, [], [], [], 0
-                doc_ids.append(d)
-                lens.append(n)
-                ids.append(i)
-                size += n
+            given, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
+            while at < len(texts):  # some million characters at a time
+                some, chars, first = [], 0, at
+                while at < len(texts) and chars < BATCH_CHARS:
+                    some.append(texts[at].as_py())
+                    chars += len(some[-1]) + 64
+                    at += 1
+                for d, data in zip(given[first:at], coder.encode(some, end).to_pylist(), strict=True):
+                    n = len(data) // width
+                    if ids and size + n > file_ids:
+                        yield file()
+                        number, doc_ids, lens, ids, size = number + 1, [], [], [], 0
+                    doc_ids.append(d)
+                    lens.append(n)
+                    ids.append(data)
+                    size += n
         if ids:
             yield file()
 
@@ -335,21 +340,17 @@ def write_ids(docs: DataFrame, path: str, spec: str | None = None, end_id: int =
     doc_id are documents of their own, ordered by their ids; those without doc_id come last.
     Other columns are ignored. An empty table gives no files and an empty index.
 
-    The number of ranges follows from the number of ids, at most MAX_PARTITIONS; a range that is
-    larger than a file becomes several files."""
-    import json
-
+    The number of ranges follows from the bytes of all texts, at most MAX_PARTITIONS; a range
+    with more ids than a file has becomes several files."""
     spark, spec = docs.sparkSession, spec or tokenizer_spec()
-    width = id_kind(json.loads(spec)).itemsize
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    made = written(base.mapInArrow(_encode(spec, end_id, max_words), "doc_id long, n long, ids binary"), "token-ids")
-    total = made.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, min(MAX_PARTITIONS, -(-total // file_ids)))
-    # equal ids of documents are told apart by their content, then by their place, so that ranges can split them
+    size = base.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    ranges = max(1, min(MAX_PARTITIONS, -(-size // (BYTES_AN_ID * file_ids))))
+    # equal ids of documents are told apart by their texts, then by their place, so that ranges can split them
+    keyed = base.withColumns({"_h": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
     order = [F.asc_nulls_last("doc_id"), F.col("_h"), F.col("_tie")]
-    keyed = made.withColumns({"_h": F.xxhash64("ids"), "_tie": F.monotonically_increasing_id()})
-    ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(order[0], "_h", "ids").select("doc_id", "ids")
-    files = ordered.mapInArrow(_pack(width, file_ids), "data binary")
+    ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(order[0], "_h", "text").select("doc_id", "text")
+    files = ordered.mapInArrow(_write(spec, end_id, max_words, file_ids), "data binary")
     files.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/ids")
     heads = _files(spark, path).mapInArrow(_heads, "part int, number int, n_ids long, n_docs long, first_doc long")
     heads = written(heads, "token-heads")

@@ -53,13 +53,27 @@ def test_encoder_splits_as_the_library():
     coder = tf._Encoder(SPEC, 2000)
     for i in range(0, len(texts), 500):
         for text, ids in zip(texts[i : i + 500], coder.encode(texts[i : i + 500]), strict=True):
-            assert np.frombuffer(ids, coder.kind).tolist() == ids_of(text), repr(text)
+            assert np.frombuffer(ids.as_py(), coder.kind).tolist() == ids_of(text), repr(text)
 
 
-def test_long_text_in_pieces(monkeypatch):
-    monkeypatch.setattr(tf, "PIECE_CHARS", 50)
+def test_words_split_as_the_pattern():
+    """Plain words, whose parts the encoder finds itself, against the library."""
+    r = random.Random(9)
+    letters = "abéßZęſ019'\".,!-_#%`~|[]\\^"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(6000)]
+    words += [a + b + c for a in ("", "it", "'") for b in ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S") for c in ("", "x", "'", "1")]
+    text = " ".join(words)
+    assert np.frombuffer(tf._Encoder(SPEC, 500).encode([text])[0].as_py(), "<u2").tolist() == ids_of(text)
+    coder = tf._Encoder(SPEC, 500)
+    assert all(coder._ids(w) == ids_of(w) for w in words[:300])
+
+
+def test_table_that_is_full():
     text = " start " + " ".join(f"w{i % 97}é" for i in range(500)) + "\n\n  two " + "x" * 300 + " end "
-    assert np.frombuffer(tf._Encoder(SPEC, 10).encode([text])[0], "<u2").tolist() == ids_of(text)
+    coder = tf._Encoder(SPEC, 10)
+    for _ in range(3):
+        got = coder.encode([text, "", text[:50]], b"\0\0").to_pylist()
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [[*ids_of(t), 0] for t in (text, "", text[:50])]
 
 
 def test_odd_rows(odd_docs, tmp_path):
