@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from palisade import rules, schemas
 from palisade.functions.hashing import fnv32, fnv64, fnv64_bytes, le_bytes, utf8_bytes
 from palisade.functions.text import plural
+from palisade.operators import resolution
 from palisade.operators.normalize import attribute, provider_tag, struct_of, to_identity_actions
-from palisade.plans.ordered import carry_last, running, sequence_number, time_slice
+from palisade.operators.resolution import AT, INSTANCE, TYPE
+from palisade.plans.ordered import carry_last, sequence_number, time_slice
 from palisade.plans.stage import materialize, settle
 
-INSTANCE = ["pid", "container_hash", "cgroup_id"]
-TYPE = ["sig", "sdk", "model"]
-AT = ["ts", "event_id"]
 SLICE_US = 600 * 10**6
 
 
@@ -77,70 +76,16 @@ def identity_labels(events: DataFrame) -> DataFrame:
 
 def first_actions(actions: DataFrame) -> DataFrame:
     """The first identity action of every instance, with its keys, label and the id it would found."""
-    keyed = identity_labels(identity_keys(actions))
+    return _firsts(identity_labels(identity_keys(actions)))
+
+
+def _firsts(keyed: DataFrame) -> DataFrame:
     cols = [*AT, *TYPE, "tag", "prompt", "identity_label"]
     first = keyed.groupBy(*INSTANCE).agg(F.min_by(F.struct(*cols), F.struct(*AT)).alias("f"))
     return identity_ids(first.select(*INSTANCE, "f.*")).withColumnRenamed("identity_id", "own_id")
 
 
-def provider_links(actions: DataFrame) -> DataFrame:
-    """First time each instance used each provider."""
-    named = identity_keys(actions).filter(F.col("tag").isNotNull())
-    return named.groupBy(*INSTANCE, "tag").agg(F.min(F.struct(*AT)).alias("linked"))
-
-
-def prompts_said(actions: DataFrame) -> DataFrame:
-    """System prompts of each instance in time: one narrow row for each action with one."""
-    return identity_keys(actions).filter(F.col("prompt").isNotNull()).select(*INSTANCE, *AT, F.col("prompt").alias("said"))
-
-
-def _earliest_before(queries: DataFrame, offers: DataFrame, keys, out: str) -> DataFrame:
-    """For each query (keys, ts, event_id), the smallest `who` offered under the same keys
-    strictly before it: union and a running minimum instead of a range join."""
-    asked = queries.withColumn("_kind", F.lit(0))
-    given = offers.select(*keys, *AT, F.col("who"), F.lit(1).alias("_kind"))
-    both = asked.unionByName(given, allowMissingColumns=True)
-    carried = running(
-        both, keys, [*AT, "_kind"], time_slice(F.col("ts"), SLICE_US), **{out: ("min", F.col("who"))}
-    )
-    return carried.filter(F.col("_kind") == 0).select(*queries.columns, out)
-
-
-# Parts of a full type key that a candidate with a full or partial key must share, and the
-# type score that gives. Signature and model together are a match of their own (MediumType).
-_SHARED = [(("sig", "sdk"), False, 1.0), (("sdk", "model"), False, 1.0), (("sig",), False, 1.0), (("sdk",), False, 1.0), (("model",), False, 1.0),
-           (("sig", "sdk"), True, rules.TYPE_WEIGHTS["sig"] + rules.TYPE_WEIGHTS["sdk"])]
-
-
-def _patterns() -> Column:
-    """Type keys of candidates that score with the row's full one: partial keys whose parts all
-    agree, and full keys that differ in the model."""
-    zero = F.lit(0).cast("bigint")
-    parts = lambda keep: [(F.col(c) if c in keep else zero).alias(f"k_{c}") for c in TYPE]
-    return F.array(*[F.struct(*parts(keep), F.lit(full).alias("k_full"), F.lit(score).alias("type_score")) for keep, full, score in _SHARED])
-
-
-def _best_mix(asked: DataFrame, offers: DataFrame, said: DataFrame) -> DataFrame:
-    """Best composite candidate of each asked instance: (instance key, mix(score, who)).
-
-    asked: rows with a full type key, their patterns and prompt; offers: identities by provider
-    and pattern from the moment they used the provider (type keys found ids, so a pattern has
-    one identity, or one for each model); said: prompts by identity. A candidate's prompt is the
-    latest one before the row."""
-    weights = rules.SCORE_WEIGHTS["fallback"]
-    keys = ["tag", "k_sig", "k_sdk", "k_model", "k_full"]
-    met = asked.join(offers, keys).filter(F.struct("ts", "event_id") > F.col("linked")).drop(*keys, "linked")
-    both = met.withColumn("_kind", F.lit(0)).unionByName(said.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    order = [*AT, "_kind"]
-    known = carry_last(both, ["candidate"], order, time_slice(F.col("ts"), SLICE_US), F.col("said"), "_latest").filter(F.col("_kind") == 0)
-    same = F.coalesce(F.col("_latest") == F.col("prompt"), F.lit(False))
-    score = F.round(weights["network"] + weights["type"] * F.col("type_score") + F.when(same, weights["prompt"]).otherwise(0.0), 6)
-    scored = known.withColumn("score", score).filter(F.col("score") >= rules.COMPOSITE_THRESHOLD)
-    best = scored.groupBy(*INSTANCE).agg(F.min(F.struct((-F.col("score")).alias("_s"), "who")).alias("b"))
-    return best.select(*INSTANCE, F.struct((-F.col("b._s")).alias("score"), F.col("b.who").alias("who")).alias("mix"))
-
-
-def resolve_identities(actions: DataFrame) -> DataFrame:
+def resolve_identities(actions: DataFrame, slice_entries: int = resolution.SLICE_ENTRIES, report: list | None = None) -> DataFrame:
     """(instance key, identity_id, level, confidence, ts, event_id) of every instance's first action.
 
     Cascade: same full type key as a founder (StrongType), same signature and model as one
@@ -149,61 +94,15 @@ def resolve_identities(actions: DataFrame) -> DataFrame:
     the threshold (CompositeMatch, with the score as confidence), else New. Ties go to the
     earliest founder, then the smallest id.
 
-    Weak and composite matches depend on providers and prompts that earlier matches added, so
-    the cascade is repeated on the instance table until nothing changes. An instance depends
-    on earlier ones only, hence the fixpoint is unique and equals the event-by-event fold."""
-    firsts = materialize(first_actions(actions))
-    links = materialize(provider_links(actions))
-    prompts = materialize(prompts_said(actions))
-    full = (F.col("sig") != 0) & (F.col("sdk") != 0) & (F.col("model") != 0)
-    grouped = (F.col("sig") != 0) & (F.col("model") != 0)
-    zero = F.lit(0).cast("bigint")
-
-    def once(state: DataFrame) -> DataFrame:
-        founders = (
-            state.filter(F.col("level") == "New")
-            .groupBy("identity_id")
-            .agg(F.min_by(F.struct(*AT, *TYPE), F.struct(*AT)).alias("f"))
-            .select("identity_id", F.col("f.ts").alias("f_ts"), F.col("f.event_id").alias("f_ev"), *[F.col(f"f.{c}").alias(c) for c in TYPE])
-        )
-        who = F.struct(F.col("f_ts"), F.col("f_ev"), F.col("identity_id"))
-        owners = founders.filter(grouped).select(
-            "sig", "model", F.col("f_ts").alias("ts"), F.col("f_ev").alias("event_id"),
-            F.struct(F.col("f_ts"), F.col("f_ev"), F.col("identity_id"), F.col("sdk")).alias("who"),
-        )
-        ids = state.select(*INSTANCE, "identity_id")
-        used = links.join(ids, INSTANCE).groupBy("identity_id", "tag").agg(F.min("linked").alias("linked")).join(founders, "identity_id")
-        offers = used.select("tag", F.col("linked.ts").alias("ts"), F.col("linked.event_id").alias("event_id"), who.alias("who"))
-        of_keys = used.select("tag", *[F.col(c).alias(f"k_{c}") for c in TYPE], "linked", who.alias("who"), F.col("identity_id").alias("candidate"), full.alias("k_full"))
-        of_keys = of_keys.withColumn("k_model", F.when(F.col("k_full"), zero).otherwise(F.col("k_model")))
-        said = prompts.join(ids, INSTANCE).select(F.col("identity_id").alias("candidate"), *AT, "said")
-
-        typed = _earliest_before(firsts.filter(grouped), owners, ["sig", "model"], "owner")
-        rows = typed.unionByName(firsts.filter(~grouped), allowMissingColumns=True)
-        open_ = F.col("owner").isNull() & F.col("tag").isNotNull()
-        weak = _earliest_before(rows.filter(open_ & ~full).select(*INSTANCE, "tag", *AT), offers, ["tag"], "weak")
-        asked = rows.filter(open_ & full).select(*INSTANCE, "tag", *AT, "prompt", F.inline(_patterns()))
-        merged = rows.join(weak.select(*INSTANCE, "weak"), INSTANCE, "left").join(_best_mix(asked, of_keys, said), INSTANCE, "left")
-        strong = full & (F.col("owner.sdk") == F.col("sdk"))
-        semantic = F.col("mix.score") >= rules.SEMANTIC_THRESHOLD
-        level = (
-            F.when(F.col("owner").isNotNull(), F.when(strong, "StrongType").otherwise("MediumType"))
-            .when(F.col("weak").isNotNull(), "Weak")
-            .when(F.col("mix").isNotNull(), F.when(semantic, "SemanticMatch").otherwise("CompositeMatch"))
-            .otherwise("New")
-        )
-        found = F.coalesce("owner.identity_id", "weak.identity_id", "mix.who.identity_id", "own_id")
-        return merged.select(*firsts.columns, found.alias("identity_id"), level.alias("level"), F.coalesce("mix.score", F.lit(0.0)).alias("score"))
-
-    state = firsts.withColumn("identity_id", F.col("own_id")).withColumn("level", F.lit("New")).withColumn("score", F.lit(0.0))
-    while True:
-        following = materialize(once(state))
-        values = ["identity_id", "level", "score"]
-        old = state.select(*INSTANCE, F.struct(*values).alias("_old"))
-        changed = following.join(old, INSTANCE).filter(F.struct(*values) != F.col("_old"))
-        state = following
-        if changed.isEmpty():
-            break
+    Weak and composite matches depend on providers and prompts that earlier matches added:
+    `resolution` folds slices of time at once and again where what enters them has changed.
+    `report` takes the number of slices of each round."""
+    keyed = materialize(identity_labels(identity_keys(actions)).select(*INSTANCE, *AT, *TYPE, "tag", "prompt", "identity_label"))
+    entries = resolution.sliced(resolution.entries_of(keyed, _firsts(keyed)), slice_entries)
+    return with_confidence(resolution.resolve(entries, report))
+
+
+def with_confidence(state: DataFrame) -> DataFrame:
     confidence = F.when(F.col("level").isin("CompositeMatch", "SemanticMatch"), F.col("score"))
     for name, value in rules.MATCH_CONFIDENCE.items():
         confidence = confidence.when(F.col("level") == name, value)

@@ -54,9 +54,11 @@ def clear_scratch(spark) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that several later steps read, with a reliable checkpoint.
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df as a table in the shared folder: computed once, its lineage cut, known to clear_scratch.
 
-    Lost executors re-read the written files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    Lost executors read the files again. Unlike a checkpointed plan the table has the size of
+    its files in the optimizer's eyes, so loops plan alike in every round."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
