@@ -28,7 +28,7 @@ from palisade.plans.stage import scratch_path
 SELECT = 256
 FILE_IDS = 8 << 20
 MAX_PARTITIONS = 50_000
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 BATCH_CHARS = 4 << 20
 #: Text bytes for each id, in the number of ranges alone.
 BYTES_AN_ID = 2
@@ -141,7 +141,7 @@ GAP = re.compile(f"[{WHITE.replace(' ', '')}][{WHITE}]*| [{WHITE}]+")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
 _MARKS = r"!-/:-@\[-`{-~"
 PLAIN = re.compile(f" ?[{_LETTERS}{_MARKS}0-9]+")
-SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+")
+SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n|[^\n]")
 #: Fixed value: the pre-tokenizer whose pattern SPLIT follows.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
@@ -153,8 +153,12 @@ def byte_alphabet() -> list:
     return [chr(b) if b in printable else chr(next(rest)) for b in range(256)]
 
 
+#: Tables of parts by tokenizer, kept while Spark's Python worker lives: its tasks share them.
+_PARTS: dict = {}
+
+
 class _Encoder:
-    """Ids of texts through a table of words: each word is encoded once until the table is full,
+    """Ids of texts through a table of parts of words: each is encoded once until the table is full,
     then the table starts anew. Words are what stands between white space, with the space
     before it; the tokenizer's own splitting never joins two of them.
 
@@ -180,8 +184,8 @@ class _Encoder:
         self.split = not model.get("normalizer") and all(before.get(k) == v for k, v in BYTE_LEVEL.items())
         alphabet = byte_alphabet()
         self.model, self.as_bytes = self.library.model, {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x180)}
-        self.words: dict = {}  # word as it stands between spaces -> bytes of its ids
-        self.parts: dict = {}  # part of a word -> ids
+        self.parts: dict = _PARTS.setdefault(hash(spec), {})  # part of a word -> bytes of its ids
+        self.parts["\n"] = b""
         self.others: dict = {}  # white space, special tokens -> number
 
     def _form(self, text: str) -> str:
@@ -213,44 +217,52 @@ class _Encoder:
         elif segment:
             out.append(segment if space else f"\n{segment}")
 
-    def _ids(self, word: str) -> list:
-        """Ids of one word, by its parts where it is plain."""
-        if not self.split or not PLAIN.fullmatch(word):
-            return self.library.encode(word, add_special_tokens=False).ids
-        ids, known = [], self.parts
-        for part in SPLIT.findall(word):
-            some = known.get(part)
-            if some is None:
-                if len(known) > self.most:
-                    known.clear()
-                some = known[part] = [t.id for t in self.model.tokenize(part.translate(self.as_bytes))]
-            ids += some
-        return ids
-
-    def _learn(self, words: list) -> list:
-        """Bytes of the ids of distinct words."""
-        if len(self.words) > self.most:
-            self.words.clear()
-        known, out, others = self.words, [], list(self.others)
-        for w in words:
-            data = known.get(w)
-            if data is None:
-                if w[:2] == "\n\n":  # numbers hold for one call
-                    data = np.array(self.library.encode(others[int(w)], add_special_tokens=False).ids, self.kind).tobytes()
-                else:
-                    data = known[w] = np.array(self._ids(w[1:] if w[:1] == "\n" else f" {w}"), self.kind).tobytes()
-            out.append(data)
-        return out
+    def _learn(self, parts: set) -> None:
+        """Ids of parts of words; None for characters that are no part."""
+        if len(self.parts) + len(parts) > self.most:
+            self.parts.clear()
+            self.parts["\n"] = b""
+        known = self.parts
+        for part in parts - known.keys():
+            if PLAIN.fullmatch(part):
+                known[part] = np.array([t.id for t in self.model.tokenize(part.translate(self.as_bytes))], self.kind).tobytes()
+            else:
+                known[part] = None
+
+    def _words(self, words: list) -> tuple:
+        """(ids of the plain words, put together from their parts; ids of the others, encoded
+        whole; place of each word in both together)."""
+        texts = [f" {w}" if w[:1] != "\n" else w[1:] if w[1:2] != "\n" else "" for w in words]
+        if self.split:
+            found = SPLIT.findall("\n".join([*texts, ""]))
+            self._learn(set(found))
+            parts = pa.array(map(self.parts.__getitem__, found), pa.large_binary(), size=len(found))
+        else:
+            parts = pa.array([b"" if i % 2 else None for i in range(2 * len(texts))], pa.large_binary())
+        at = np.frombuffer(parts.buffers()[1], np.int64, len(parts) + 1)
+        odd = np.asarray(parts.is_null())
+        breaks = np.flatnonzero((np.diff(at) == 0) & ~odd)
+        whole = {int(i) for i in np.unique(np.searchsorted(breaks, np.flatnonzero(odd)))} | {i for i, w in enumerate(words) if w[:2] == "\n\n"}
+        ends = np.concatenate([[0], at[breaks]])
+        plain = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends), parts.buffers()[2] or pa.py_buffer(b"")])
+        others, places, rest = list(self.others), np.arange(len(words)), []
+        for n, i in enumerate(sorted(whole)):
+            w = words[i]
+            places[i] = len(words) + n
+            text = others[int(w)] if w[:2] == "\n\n" else texts[i]
+            rest.append(np.array(self.library.encode(text, add_special_tokens=False).ids if text else [], self.kind).tobytes())
+        return plain, pa.array(rest, pa.large_binary()), places
 
     def encode(self, texts: list, end: bytes = b"") -> pa.Array:
         """Bytes of the ids of each text, with `end` behind."""
         self.others = {"": 0}
         lists = pc.split_pattern(pa.array([f"{self._form(t)} \n\n0" for t in texts], pa.large_string()), " ")
         words = pc.dictionary_encode(lists.values)
-        data = self._learn(words.dictionary.to_pylist())
+        plain, rest, places = self._words(words.dictionary.to_pylist())
         if texts:
-            data[pc.index(words.dictionary, "\n\n0").as_py()] = end
-        ids = pa.array(data, pa.large_binary()).take(words.indices)
+            last = places[pc.index(words.dictionary, "\n\n0").as_py()] - len(plain)
+            rest = pa.concat_arrays([rest.slice(0, last), pa.array([end], pa.large_binary()), rest.slice(last + 1)])
+        ids = pa.concat_arrays([plain, rest]).take(pa.array(places[np.asarray(words.indices)]))
         ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)
         at = ends[np.asarray(lists.offsets)]
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at), ids.buffers()[2]])
