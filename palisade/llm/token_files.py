@@ -14,6 +14,7 @@ has the number of ids before each file. Lost tasks are run again; nothing stays
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from palisade.llm.common import written
 from palisade.plans.stage import scratch_path
 
 SELECT = 256
-FILE_IDS = 8 << 20
+FILE_IDS = 4 << 20
 MAX_PARTITIONS = 50_000
-MAX_WORDS = 600_000
+MAX_WORDS = 500_000
 BATCH_CHARS = 4 << 20
 #: Text bytes for each id, in the number of ranges alone.
 BYTES_AN_ID = 2
@@ -178,6 +179,7 @@ class _Encoder:
         self.library.no_padding()
         model = json.loads(spec)
         added = [t["content"] for t in model.get("added_tokens", [])]
+        self.added = added
         self.special = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.kind, self.most = id_kind(model), most
         before = model.get("pre_tokenizer") or {}
@@ -190,11 +192,12 @@ class _Encoder:
 
     def _form(self, text: str) -> str:
         """The text's words with one space between."""
-        if not GAP.search(text) and not (self.special and self.special.search(text)):
+        marked = any(t in text for t in self.added)
+        if not marked and not GAP.search(text):
             return text[1:] if text[:1] == " " else f"\n{text}"
         out: list = []
         other = lambda w: out.append(f"\n\n{self.others.setdefault(w, len(self.others))}")
-        for turn, part in enumerate(self.special.split(text) if self.special else [text]):
+        for turn, part in enumerate(self.special.split(text) if marked else [text]):
             if turn % 2:
                 other(part)
                 continue
@@ -222,12 +225,13 @@ class _Encoder:
         if len(self.parts) + len(parts) > self.most:
             self.parts.clear()
             self.parts["\n"] = b""
-        known = self.parts
+        known, tokenize, as_bytes, code = self.parts, self.model.tokenize, self.as_bytes, self.kind.char
         for part in parts - known.keys():
-            if PLAIN.fullmatch(part):
-                known[part] = np.array([t.id for t in self.model.tokenize(part.translate(self.as_bytes))], self.kind).tobytes()
-            else:
+            if len(part) == 1 and not PLAIN.fullmatch(part):  # what SPLIT finds is plain, but for single characters
                 known[part] = None
+                continue
+            raw = part if part.isascii() and part[0] != " " else part.translate(as_bytes)
+            known[part] = array(code, [t.id for t in tokenize(raw)]).tobytes()
 
     def _words(self, words: list) -> tuple:
         """(ids of the plain words, put together from their parts; ids of the others, encoded
@@ -258,7 +262,7 @@ class _Encoder:
         self.others = {"": 0}
         lists = pc.split_pattern(pa.array([f"{self._form(t)} \n\n0" for t in texts], pa.large_string()), " ")
         words = pc.dictionary_encode(lists.values)
-        plain, rest, places = self._words(words.dictionary.to_pylist())
+        plain, rest, places = self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         if texts:
             last = places[pc.index(words.dictionary, "\n\n0").as_py()] - len(plain)
             rest = pa.concat_arrays([rest.slice(0, last), pa.array([end], pa.large_binary()), rest.slice(last + 1)])
