@@ -7,7 +7,9 @@ generator, which keeps its outputs opaque: every step is evaluated once per row.
 
 import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,23 +37,60 @@ def shared_folder(spark) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
+_scopes = threading.local()
+
+
 def scratch_path(spark, name: str) -> str:
-    """A new path in the shared folder, known to clear_scratch."""
+    """A new path in the shared folder, known to clear_scratch or to the scope around it."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    made = getattr(spark.sparkContext, "_palisade_scratch", None)
+    made = getattr(_scopes, "made", None)
+    if made is None:
+        made = getattr(spark.sparkContext, "_palisade_scratch", None)
     if made is None:
         made = spark.sparkContext._palisade_scratch = []
     made.append(path)
     return path
 
 
+def scratch_table(spark, name: str) -> tuple:
+    """(name, path) of a new table of the catalog over a scratch path; it goes with the path."""
+    path = scratch_path(spark, name)
+    table = f"{re.sub('[^A-Za-z0-9]', '_', name)}_{uuid.uuid4().hex}"
+    made = getattr(_scopes, "made", None)
+    (spark.sparkContext._palisade_scratch if made is None else made).append(f"table:{table}")
+    return table, path
+
+
+def delete_path(spark, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _delete(spark, paths: list) -> None:
+    while paths:
+        path = paths.pop()
+        if path.startswith("table:"):
+            spark.sql(f"DROP TABLE IF EXISTS {path.removeprefix('table:')}")
+        else:
+            delete_path(spark, path)
+
+
 def clear_scratch(spark) -> None:
     """Delete what this session wrote under scratch paths; call it once the results that read
     them are used."""
-    made = getattr(spark.sparkContext, "_palisade_scratch", [])
-    while made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, getattr(spark.sparkContext, "_palisade_scratch", []))
+
+
+@contextmanager
+def scratch_scope(spark):
+    """Scratch tables that this thread writes inside are deleted at the end: for jobs that run
+    again and again in one session, and write their results inside."""
+    outer, _scopes.made = getattr(_scopes, "made", None), []
+    try:
+        yield
+    finally:
+        made, _scopes.made = _scopes.made, outer
+        _delete(spark, made)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
