@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palisade.plans.stage import scratch_path
+from palisade.plans.stage import delete_path, scratch_path
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -18,7 +18,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing computed from now on reads."""
+    for df in tables:
+        delete_path(df.sparkSession, df._written_at)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -32,12 +40,16 @@ def text_sha(text: Column) -> Column:
 
 
 def bounded_sample(df: DataFrame, key: Column, most: int) -> list:
-    """At most `most` rows, chosen by the hash `key` (returned as _h) and in its order. No task
-    sends more than its share: the cut of the hash follows from a count."""
-    n = df.count()
-    share = min(1.0, most / n) if n else 0.0
-    rows = df.withColumn("_h", key).where(F.pmod("_h", F.lit(1 << 31)) < int(share * (1 << 31))).collect()
-    return sorted(rows, key=lambda r: (r["_h"], str(r)))[:most]
+    """At most `most` distinct rows, chosen by the hash `key` (returned as _h) and in its order.
+
+    Equal rows count once, so a row that a third of the table repeats is sent once. The cut of the
+    hash follows from an estimate of the distinct keys, with room for its error; no task sends
+    more than what lies under it."""
+    keyed = df.withColumn("_h", key)
+    n = keyed.agg(F.approx_count_distinct("_h", 0.02)).first()[0]
+    share = min(1.0, 1.2 * most / n) if n else 0.0
+    rows = keyed.where(F.pmod("_h", F.lit(1 << 31)) < int(share * (1 << 31))).dropDuplicates().collect()
+    return sorted(rows, key=lambda r: (r["_h"] % (1 << 31), r["_h"], str(r)))[:most]
 
 
 def n_words(text: Column) -> Column:

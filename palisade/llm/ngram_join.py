@@ -27,7 +27,8 @@ different components is lost.
 Hot shingles (HOT or more documents by the sketch's upper bound) are counted with partial
 aggregation before their rows meet; hot buckets are cut into blocks of `block` rows and walked
 by pairs of blocks in tasks of their own, so no task holds more than two blocks. The sets of
-candidates alone are shuffled."""
+candidates alone are shuffled. Bitmaps are joined to rows as they are walked; tables that no later
+step reads are deleted."""
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import text_sha, written
+from palisade.llm.common import drop_written, text_sha, written
 
 CELLS = 1 << 18
 CELL_SHIFT = np.uint64(46)
@@ -495,10 +496,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     more = ["sha"] if sha else []
     carried = keyed.select("*", *[text_sha(F.col("text")).alias(c) for c in more])
     sets = written(carried.mapInArrow(_sets(k, percent, order), SETS + ", sha binary" * sha), "jaccard-sets")
-    classes = written(sets.where("tokens IS NOT NULL").dropDuplicates(["digest"]).withColumn("cls", F.monotonically_increasing_id()), "jaccard-classes")
+    documents = written(sets.select("doc_id", "digest", F.col("n").alias("n_shingles"), *more), "jaccard-documents")
+    full = written(sets.where("tokens IS NOT NULL").drop(*more).dropDuplicates(["digest"]).withColumn("cls", F.monotonically_increasing_id()), "jaccard-full")
+    drop_written(sets)
     # rows without a partner under their token go: a smaller one among whose leading shingles it
     # is, or, where it leads itself, any larger one
-    at = lambda tokens, lead: classes.select("cls", "n", lead, F.posexplode(tokens).alias("_at", "token")).select("cls", "n", "token", (F.col("_at") < F.col(lead)).alias("leads"))
+    at = lambda tokens, lead: full.select("cls", "n", lead, F.posexplode(tokens).alias("_at", "token")).select("cls", "n", "token", (F.col("_at") < F.col(lead)).alias("leads"))
     w = Window.partitionBy("token").orderBy("n", F.desc("leads"), "cls")
     smaller = F.last(F.when(F.col("leads"), F.col("n")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     fits_ = (smaller * 100 >= F.col("n") * percent, F.col("leads") & (F.lead("n").over(w) * percent <= F.col("n") * 100))
@@ -507,24 +510,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: s
     # hot tokens: counted first, no window over them
     often = at("hot", "hot_lead").drop("leads")
     hot = often.join(often.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "token")
-    rows = cold.unionByName(hot).join(classes.select("cls", "bitmap"), "cls")
-    rows = written(rows, "jaccard-rows")
+    rows = written(cold.unionByName(hot), "jaccard-rows")
+    classes = written(full.drop("tokens", "lead", "hot", "hot_lead"), "jaccard-classes")
+    drop_written(full)
+    bitmaps = classes.select("cls", "bitmap")
 
     labels, turn = None, 0
     while True:
         limit = None if turn == 0 else FURTHER**turn
         now = rows.withColumn("comp", F.col("cls")) if labels is None else rows.join(labels, rows["cls"] == labels["node"], "left").withColumn("comp", F.coalesce("label", "cls")).drop("node", "label")
-        walked = _placed(now, block).select("token", "blocks", "side", "cls", "comp", "n", "bitmap").repartition("token", "blocks").sortWithinPartitions("token", "blocks", "side", "cls")
+        walked = _placed(now.join(bitmaps, "cls"), block).select("token", "blocks", "side", "cls", "comp", "n", "bitmap").repartition("token", "blocks").sortWithinPartitions("token", "blocks", "side", "cls")
         found = written(walked.mapInArrow(_join_buckets(percent, limit), "a long, b long, token long"), "jaccard-found")
-        checked = written(_checked(found.where("a IS NOT NULL").select("a", "b").distinct(), classes, keyed, k, percent), "jaccard-checked")
+        checked = _checked(found.where("a IS NOT NULL").select("a", "b").distinct(), classes, keyed, k, percent)
         labels = _relabelled(labels, checked.where("linked").select("a", "b"))
         # a forest whose pairs all hold connects its bucket; other buckets, and those with more pairs, come again
         open_ = found.join(checked.where("NOT linked"), ["a", "b"], "left_semi") if turn == 0 else found.where("a IS NULL")
         live = written(open_.select("token").distinct(), "jaccard-live")
+        drop_written(found, checked)
         if live.isEmpty():
             break
-        rows, turn = written(rows.join(live, "token", "left_semi"), "jaccard-rows"), turn + 1
-    known = sets.select("doc_id", "digest", F.col("n").alias("n_shingles"), *more).join(classes.select("digest", "cls"), "digest", "left")
+        old, rows, turn = rows, written(rows.join(live, "token", "left_semi"), "jaccard-rows"), turn + 1
+        drop_written(old, live)
+    known = documents.join(classes.select("digest", "cls"), "digest", "left")
     known = written(known.join(labels, known["cls"] == labels["node"], "left").select("doc_id", "n_shingles", "cls", F.coalesce("label", "cls").alias("label"), *more), "jaccard-known")
     firsts = written(known.where("cls IS NOT NULL").groupBy("cls", "label").agg(F.min("doc_id").alias("class_id")), "jaccard-firsts")
     groups = written(firsts.groupBy("label").agg(F.min("class_id").alias("component_id")), "jaccard-groups")
@@ -567,13 +574,15 @@ def _checked(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, k: int, per
     ends = [left.select(F.col(c).alias("cls"), F.col(f"text_key_{c}").alias("text_key"), F.col(f"doc_id_{c}").alias("rep")) for c in "ab"]
     wanted = written(ends[0].unionByName(ends[1]).distinct(), "jaccard-wanted")
     few = wanted.count() <= MAX_BROADCAST_KEYS  # 24 bytes each
-    wanted = F.broadcast(wanted) if few else wanted
+    asked = F.broadcast(wanted) if few else wanted
     # one row for each class; rows that repeat its id and text give the same set again
-    texts = keyed.join(wanted, (keyed["text_key"] == wanted["text_key"]) & keyed["doc_id"].eqNullSafe(wanted["rep"])).select("cls", "text")
+    texts = keyed.join(asked, (keyed["text_key"] == asked["text_key"]) & keyed["doc_id"].eqNullSafe(asked["rep"])).select("cls", "text")
     full = texts.mapInArrow(_full_sets(k), "cls long, set binary").repartition("cls")
     side = lambda c: full.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))
     verified = left.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify(percent), "a long, b long, linked boolean")
-    return verified.unionByName(tried.where("NOT plausible").select("a", "b", F.lit(False).alias("linked")))
+    checked = written(verified.unionByName(tried.where("NOT plausible").select("a", "b", F.lit(False).alias("linked"))), "jaccard-checked")
+    drop_written(tried, wanted)
+    return checked
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", null_ids: bool = True) -> DataFrame:
