@@ -1,12 +1,16 @@
 """WARC archives with revisit records for repeated payloads.
 
 Headers (digest and id, no payload) are pre-aggregated by payload digest, which names the
-original response of each group; records join their original by digest, and one-file-per-task
-archives are written with fresh headers through Spark's own text writer (records end in CRLF
-CRLF, which is the writer's line separator), so any file system that Spark knows will do. The
-archives are read back whole-file in tasks, and revisits join the response they refer to."""
-
+original response of each group; records join their original by digest. Tasks put records with
+fresh headers into archives: a warcinfo record, then the others, each a gzip member of its own, so
+readers can seek to any of them. Archives hold FILE_BYTES at most, or one longer record, and go
+through Spark's own text writer, so any file system that Spark knows will do; what the writer
+puts behind each is an empty gzip member. Archives are read back member by member in tasks, and
+revisits join the response they refer to."""
+
+import gzip
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,7 +18,8 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import written
 
-RECORDS_PER_FILE = 2000
+FILE_BYTES = 16 << 20
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MIN_REVISIT_BYTES = 100
 END = "\r\n\r\n"
 
@@ -43,8 +48,44 @@ def _header(c: str) -> Column:
     return F.regexp_replace(c, r"[\r\n]+", " ")
 
 
-def write_archives(rows: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write records() as WARC files under path. date: fresh WARC-Date of every record."""
+def _member(data: bytes) -> bytes:
+    return gzip.compress(data, 6, mtime=0)
+
+
+def _archives(file_bytes: int, date: str):
+    """Archives of a task: rows of head and body -> the bytes of a file."""
+    fields = b"software: palisade\r\nformat: WARC File Format 1.1\r\n"
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, number, members, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def info():
+            head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:archive:{part}-{number}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}{END}"
+            return _member(head.encode() + fields + END.encode())
+
+        def archive():
+            return pa.RecordBatch.from_arrays([pa.array([b"".join([info(), *members])], pa.binary())], ["data"])
+
+        for batch in batches:
+            for head, body in zip(batch.column("head"), batch.column("body"), strict=True):
+                data = head.as_py().encode() + body.as_py().encode() + END.encode()
+                if members and size + len(data) > file_bytes:
+                    yield archive()
+                    number, members, size = number + 1, [], 0
+                members.append(_member(data))
+                size += len(data)
+        if members:
+            yield archive()
+
+    return run
+
+
+def write_archives(rows: DataFrame, path: str, file_bytes: int = FILE_BYTES, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write records() as WARC files under path, of at most file_bytes bytes before compression or one
+    longer record. date: fresh WARC-Date of every record. Record ids are those of the
+    pages: rows that repeat a page_id repeat it too."""
     revisit = F.col("refers_to").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
     body = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
@@ -53,9 +94,11 @@ def write_archives(rows: DataFrame, path: str, per_file: int = RECORDS_PER_FILE,
         F.when(F.col("page_id").isNull(), F.lit("\r\nWARC-Record-ID: <urn:page:>")).otherwise(line("WARC-Record-ID", _record_id(F.col("page_id")))),
         line("WARC-Date", F.lit(date)), line("WARC-Target-URI", _header("url")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", _record_id(F.col("refers_to"))))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.octet_length(body).cast("string")), F.lit(END), body,
+        line("Content-Type", F.lit("text/html; charset=utf-8")), line("Content-Length", F.octet_length(body).cast("string")), F.lit(END),
     )
-    rows.select(head.alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    files = rows.select(head.alias("head"), body.alias("body")).mapInArrow(_archives(file_bytes, date), "data binary")
+    writer = files.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 PARSED = "page_id long, url string, record_type string, payload binary, payload_digest string, refers_to long"
@@ -77,31 +120,48 @@ def parse(data: bytes):
         at = end + 4
 
 
-def _parsed(batches):
-    import gzip
+def members(data: bytes):
+    """The contents of an archive's gzip members, one at a time."""
+    rest = memoryview(data)
+    while len(rest):
+        reader = zlib.decompressobj(31)
+        out = reader.decompress(rest)
+        if not reader.eof:
+            raise ValueError("an archive ends inside a record")
+        rest = rest[len(rest) - len(reader.unused_data) :]
+        yield out
 
+
+def _parsed(batches):
     def number(x):
         m = _ID.fullmatch(x or "")
         return int(m[1]) if m else None
 
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_digest", pa.string()), ("refers_to", pa.int64())])
+
+    def rows(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
     for batch in batches:
         for content in batch.column("content"):
-            out: list = []
-            for head, payload in parse(gzip.decompress(content.as_py())):
-                out.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], payload, head["WARC-Payload-Digest"].removeprefix("sha256:"), number(head.get("WARC-Refers-To"))))
-                if len(out) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                    out = []
+            out, size = [], 0
+            for member in members(content.as_py()):
+                for head, payload in parse(member):
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
+                    out.append((number(head["WARC-Record-ID"]), head["WARC-Target-URI"], head["WARC-Type"], payload, head["WARC-Payload-Digest"].removeprefix("sha256:"), number(head.get("WARC-Refers-To"))))
+                    size += len(payload) + 200
+                if size > 4 << 20:
+                    yield rows(out)
+                    out, size = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                yield rows(out)
 
 
 def read_archives(spark, path: str) -> DataFrame:
     """The records under path, as they are written: page_id, url, record_type, payload (empty
     for revisits), payload_digest, refers_to."""
-    # a batch of whole files is held at once: few files at a time
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_parsed, PARSED)
 
 

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 
 import pytest
@@ -29,7 +30,7 @@ def folder(tmp_path):
 
 def test_round_trip(llm, folder):
     pages = llm.createDataFrame(PAGES, "page_id long, url string, html string, payload int").repartition(3)
-    warc.write_archives(warc.records(pages), folder, per_file=2)
+    warc.write_archives(warc.records(pages), folder, file_bytes=900)
     read = warc.read_archives(llm, folder)
     assert sorted((tuple(r) for r in warc.resolve(read).collect()), key=str) == brute([(p[0], p[2]) for p in PAGES])
     kept = {r["payload"].decode() for r in read.where("record_type = 'response'").collect()}
@@ -38,6 +39,32 @@ def test_round_trip(llm, folder):
     assert "http://b/ X: y" in {r["url"] for r in read.collect()}
 
 
+def test_archives_are_bounded_and_open_to_any_reader(llm, folder):
+    """Files by bytes, a long record in one of its own; plain gzip reads them, every record is a member."""
+    rows = [(i, "u", "abc %d " % i * (200_000 if i == 7 else 20), 0) for i in range(60)]
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string, payload int").repartition(1)
+    warc.write_archives(warc.records(pages), folder, file_bytes=5000)
+    files = [bytes(r["content"]) for r in llm.read.format("binaryFile").load(folder).collect()]
+    assert len(files) > 4
+    seen = []
+    for data in files:
+        parts = list(warc.members(data))
+        assert gzip.decompress(data) == b"".join(parts) and parts[-1] == b""
+        kinds = [h["WARC-Type"] for part in parts for h, _ in warc.parse(part)]
+        assert kinds[0] == "warcinfo" and set(kinds[1:]) == {"response"} and len(kinds) == len(parts) - 1
+        assert sum(map(len, parts[1:])) <= 5000 or len(kinds) == 2
+        seen += [h["WARC-Record-ID"] for part in parts for h, _ in warc.parse(part)][1:]
+    assert sorted(seen) == sorted(f"<urn:page:{i}>" for i in range(60))
+    with pytest.raises(ValueError):
+        list(warc.members(files[0][:-30]))
+
+
+def test_clashing_columns_and_ties(llm, folder):
+    pages = llm.createDataFrame([(i, "u", BIG if i % 2 else "z" * 150, b"x", "d", 5) for i in (4, 3, 3, 2, 1, 1)], "page_id long, url string, html string, payload binary, payload_digest string, refers_to int")
+    warc.write_archives(warc.records(pages), folder)
+    assert sorted((tuple(r) for r in warc.resolve(warc.read_archives(llm, folder)).collect()), key=str) == brute([(r["page_id"], r["html"]) for r in pages.collect()])
+
+
 def test_empty_table(llm, folder):
     pages = llm.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(warc.records(pages), folder)
