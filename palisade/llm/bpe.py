@@ -12,16 +12,16 @@ A word never crosses the borders that the tokenizer's own splitting sets, so enc
 one by one gives the ids of the whole text. Special tokens in a text are words of their own."""
 
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.plans.stage import scratch_path
+from palisade.plans.stage import scratch_table
 
 BLOCK_CHARS = 16 << 20
+MAX_WORDS = 300_000
 #: White space as the tokenizer's pattern sees it (the Unicode property).
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
@@ -145,9 +145,10 @@ def _kind(spec: str) -> np.dtype:
     return np.dtype("<u2" if most < 1 << 16 else "<u4")
 
 
-def _encode_shares(spec: str):
+def _encode_shares(spec: str, most: int = MAX_WORDS):
     def run(batches):
-        """The distinct words of this task's share, each encoded once, and the ids of every list."""
+        """The distinct words of this task's share, each encoded once until `most` are held and the
+        table starts anew, and the ids of every list."""
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
@@ -164,6 +165,8 @@ def _encode_shares(spec: str):
                 lens, raw = _unpack_lists(data.as_py())
                 ends = np.cumsum(lens).tolist()
                 words = [raw[e - n : e] for e, n in zip(ends, lens.tolist(), strict=True)]
+                if len(table) > most:
+                    table.clear()
                 new = [w for w in words if w not in table]
                 for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
                     table[w] = np.array(e.ids, kind).tobytes()
@@ -245,14 +248,15 @@ def encode(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str = "text
     spec: the tokenizer's JSON. Null texts count as empty and have no ids; repeated rows are
     encoded each. Blocks hold about block_chars characters or one longer document.
 
-    Blocks are kept in a table bucketed by block in the shared folder: the ids come to them,
-    they do not move again."""
+    Blocks are kept in a table bucketed by block in the shared folder, which goes with the other
+    scratch tables: the ids come to them, they do not move again. Tasks hold MAX_WORDS encoded
+    words and those of one list."""
     spark = docs.sparkSession
     shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    name, path = scratch_table(spark, "bpe-blocks")
     made = base.mapInArrow(_blocks(spec, block_chars, shares), BLOCKS)
-    made.write.bucketBy(shares, "block").format("parquet").option("path", scratch_path(spark, "bpe-blocks")).saveAsTable(name)
+    made.write.bucketBy(shares, "block").format("parquet").option("path", path).saveAsTable(name)
     blocks = spark.table(name)
     lists = blocks.where(F.col("share") != DOCS).repartition(shares, "share").mapInArrow(_encode_shares(spec), BLOCKS)
     back = lists.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("share", "data"))).alias("_l"))

@@ -34,6 +34,18 @@ def test_odd_rows(odd_docs, block):
     assert have == want
 
 
+def test_few_words_held(llm, sf_dir, monkeypatch):
+    """A table of words that starts anew again and again gives the same ids; nothing stays in the catalog."""
+    from palisade.plans.stage import clear_scratch
+
+    monkeypatch.setattr(bpe._encode_shares, "__defaults__", (3,))
+    docs = llm.read.parquet(f"{sf_dir}/documents.parquet").limit(40).persist()
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bpe.encode(docs, SPEC, block_chars=2000).collect()}
+    assert got == {r["doc_id"]: ids_of(r["text"]) for r in docs.collect()}
+    clear_scratch(llm)
+    assert not [t for t in llm.catalog.listTables() if t.name.startswith("bpe_blocks")]
+
+
 def test_decode_replaces_broken_bytes(llm):
     ids = ids_of("中")[:1]
     df = llm.createDataFrame([(1, bytearray(np.array(ids, "<u4").tobytes())), (2, None)], "doc_id long, ids binary")

@@ -86,3 +86,14 @@ def test_query_keeps_clean_documents(llm):
     got = {r["doc_id"]: r["kept"] for r in QUERIES["op4_quality"](llm, sf_dir).collect()}
     good, bad = [got[d] for d, q in labels.items() if q == 1], [got[d] for d, q in labels.items() if q == 0]
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.3
+
+
+def test_samples_count_equal_rows_once(llm):
+    """A row that most of the table repeats comes once, and the sample is as large without it."""
+    from palisade.llm.common import bounded_sample
+
+    rows = llm.range(3000).selectExpr("id AS a", "cast(id % 7 AS string) AS b").unionByName(llm.range(6000).selectExpr("5L AS a", "'5' AS b"))
+    got = bounded_sample(rows, F.xxhash64("a", "b"), 200)
+    assert len(got) == 200 == len(set(got))
+    assert sorted(bounded_sample(rows.repartition(7), F.xxhash64("a", "b"), 200)) == sorted(got)
+    assert len(bounded_sample(rows, F.xxhash64("a", "b"), 10_000)) == 3000
