@@ -29,8 +29,10 @@ from palisade.plans.stage import scratch_path
 SELECT = 256
 FILE_IDS = 4 << 20
 MAX_PARTITIONS = 50_000
-MAX_WORDS = 500_000
-BATCH_CHARS = 4 << 20
+MAX_WORDS = 800_000
+BATCH_CHARS = 12 << 20
+#: Files that a range of documents makes.
+FILES = 4
 #: Text bytes for each id, in the number of ranges alone.
 BYTES_AN_ID = 2
 MAGIC = b"PIDS"
@@ -136,7 +138,7 @@ class TokenFile:
 
 
 #: A run of white space that is more than one space, from its first character on.
-GAP = re.compile(f"[{WHITE.replace(' ', '')}][{WHITE}]*| [{WHITE}]+")
+GAP = re.compile(f"([{WHITE.replace(' ', '')}][{WHITE}]*| [{WHITE}]+)")
 #: Words of these characters alone are split here as the tokenizer's pattern splits them: letters,
 #: digits and ASCII marks are what they are in every version of Unicode.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -188,49 +190,53 @@ class _Encoder:
         self.model, self.as_bytes = self.library.model, {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x180)}
         self.parts: dict = _PARTS.setdefault(hash(spec), {})  # part of a word -> bytes of its ids
         self.parts["\n"] = b""
-        self.others: dict = {}  # white space, special tokens -> number
+        self.others: dict = {}  # white space, special tokens -> number, for one call
+        self.gaps: dict = {}  # white space between words -> how it stands in a form, whether a space follows
 
     def _form(self, text: str) -> str:
         """The text's words with one space between."""
-        marked = any(t in text for t in self.added)
-        if not marked and not GAP.search(text):
-            return text[1:] if text[:1] == " " else f"\n{text}"
-        out: list = []
-        other = lambda w: out.append(f"\n\n{self.others.setdefault(w, len(self.others))}")
-        for turn, part in enumerate(self.special.split(text) if marked else [text]):
-            if turn % 2:
-                other(part)
-                continue
-            at, space = 0, False
-            for gap in GAP.finditer(part):
-                self._segment(out, part[at : gap.start()], space)
-                white, at = gap.group(), gap.end()
-                last = at == len(part)
-                space = not last and white[-1] == " "
-                for w in [white] if last else [white[:-1]] if space else [white[:-1], white[-1]]:
-                    if w:
-                        other(w)
-            self._segment(out, part[at:], space)
-        return " ".join(out)
-
-    @staticmethod
-    def _segment(out: list, segment: str, space: bool) -> None:
-        if segment[:1] == " " and not space:
-            out.append(segment[1:])
-        elif segment:
-            out.append(segment if space else f"\n{segment}")
+        if any(t in text for t in self.added):
+            parts = self.special.split(text)
+            out = []
+            for i in range(0, len(parts), 2):
+                out += [self._spaced(parts[i])] if parts[i] else []
+                out += [self._other(parts[i + 1])] if i + 1 < len(parts) else []
+            return " ".join(out)
+        return self._spaced(text)
+
+    def _other(self, word: str) -> str:
+        return f"\n\n{self.others.setdefault(word, len(self.others))}"
+
+    def _spaced(self, text: str) -> str:
+        parts = GAP.split(text)
+        last = parts.pop()
+        out, space = [], False
+        for segment, gap in zip(parts[::2], parts[1::2], strict=True):
+            if segment:
+                out.append(segment if space else segment[1:] if segment[0] == " " else f"\n{segment}")
+            if gap not in self.gaps:
+                # its last character is a word, or the space before the next one
+                words = [gap[:-1]] if gap[-1] == " " else [gap[:-1], gap[-1]] if len(gap) > 1 else [gap]
+                self.gaps[gap] = " ".join(map(self._other, words)), gap[-1] == " "
+            form, space = self.gaps[gap]
+            out.append(form)
+        if last:
+            out.append(last if space else last[1:] if last[0] == " " else f"\n{last}")
+        elif out:  # white space up to the end is one word
+            out[-1] = self._other(gap)
+        return " ".join(out) if out else "\n"
 
     def _learn(self, parts: set) -> None:
         """Ids of parts of words; None for characters that are no part."""
         if len(self.parts) + len(parts) > self.most:
             self.parts.clear()
             self.parts["\n"] = b""
-        known, tokenize, as_bytes, code = self.parts, self.model.tokenize, self.as_bytes, self.kind.char
+        known, tokenize, as_bytes, space, code = self.parts, self.model.tokenize, self.as_bytes, self.as_bytes[32], self.kind.char
         for part in parts - known.keys():
             if len(part) == 1 and not PLAIN.fullmatch(part):  # what SPLIT finds is plain, but for single characters
                 known[part] = None
                 continue
-            raw = part if part.isascii() and part[0] != " " else part.translate(as_bytes)
+            raw = part.translate(as_bytes) if not part.isascii() else part if part[0] != " " else space + part[1:]
             known[part] = array(code, [t.id for t in tokenize(raw)]).tobytes()
 
     def _words(self, words: list) -> tuple:
@@ -259,7 +265,7 @@ class _Encoder:
 
     def encode(self, texts: list, end: bytes = b"") -> pa.Array:
         """Bytes of the ids of each text, with `end` behind."""
-        self.others = {"": 0}
+        self.others, self.gaps = {"": 0}, {}
         lists = pc.split_pattern(pa.array([f"{self._form(t)} \n\n0" for t in texts], pa.large_string()), " ")
         words = pc.dictionary_encode(lists.values)
         plain, rest, places = self._words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
@@ -361,7 +367,7 @@ def write_ids(docs: DataFrame, path: str, spec: str | None = None, end_id: int =
     spark, spec = docs.sparkSession, spec or tokenizer_spec()
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = base.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
-    ranges = max(1, min(MAX_PARTITIONS, -(-size // (BYTES_AN_ID * file_ids))))
+    ranges = max(1, min(MAX_PARTITIONS, -(-size // (BYTES_AN_ID * file_ids * FILES))))
     # equal ids of documents are told apart by their texts, then by their place, so that ranges can split them
     keyed = base.withColumns({"_h": F.xxhash64("text"), "_tie": F.monotonically_increasing_id()})
     order = [F.asc_nulls_last("doc_id"), F.col("_h"), F.col("_tie")]
