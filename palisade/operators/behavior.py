@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.plans.stage import materialize
+from palisade.plans.stage import checkpointed
 
 # Forest parameters
 TREES, DEPTH, SHARE, LEAF = 100, 10, 0.7, 2
@@ -22,7 +22,7 @@ def behavior_label(provider, dport):
 
 def train_behavior_model(vectors: DataFrame, label="label", features="features", trees=TREES, seed=7):
     """(StringIndexerModel, forest) on array features; None below 50 rows or two classes."""
-    rows = materialize(vectors.select(F.col(label).alias("label"), array_to_vector(F.col(features)).alias("vector")))
+    rows = checkpointed(vectors.select(F.col(label).alias("label"), array_to_vector(F.col(features)).alias("vector")))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("classes")).first()
     if size.n < MIN_ROWS or size.classes < MIN_CLASSES:
         return None

@@ -97,9 +97,13 @@ def resolve_identities(actions: DataFrame, slice_entries: int = resolution.SLICE
     Weak and composite matches depend on providers and prompts that earlier matches added:
     `resolution` folds slices of time at once and again where what enters them has changed.
     `report` takes the number of slices of each round."""
+    return with_confidence(resolution.resolve(resolution.sliced(resolution_entries(actions), slice_entries), report))
+
+
+def resolution_entries(actions: DataFrame) -> DataFrame:
+    """What resolution reads of the actions: first actions, first uses of providers, prompts."""
     keyed = materialize(identity_labels(identity_keys(actions)).select(*INSTANCE, *AT, *TYPE, "tag", "prompt", "identity_label"))
-    entries = resolution.sliced(resolution.entries_of(keyed, _firsts(keyed)), slice_entries)
-    return with_confidence(resolution.resolve(entries, report))
+    return resolution.entries_of(keyed, _firsts(keyed))
 
 
 def with_confidence(state: DataFrame) -> DataFrame:

@@ -183,15 +183,15 @@ def _facts(df: DataFrame, **columns) -> DataFrame:
 
 
 class Slices:
-    """Entries with their slices, and what each slice asks of the earlier ones."""
+    """Entries with their slices, and what each slice from `since` on asks of the earlier ones."""
 
-    def __init__(self, entries: DataFrame):
-        self.entries = entries
-        self.born = entries.where(F.col("kind") == FIRST)
+    def __init__(self, entries: DataFrame, since: int = 0):
+        self.entries, self.since = entries, F.col("slice") >= since
+        self.born = entries.where((F.col("kind") == FIRST) & self.since)
         full = (F.col("sig") != 0) & (F.col("sdk") != 0) & (F.col("model") != 0)
         self.full = full
-        at = self.born.select(*INSTANCE, F.col("slice").alias("_born"))
-        later = entries.where(F.col("kind") != FIRST).select("slice", *INSTANCE).distinct()
+        at = entries.where(F.col("kind") == FIRST).select(*INSTANCE, F.col("slice").alias("_born"))
+        later = entries.where((F.col("kind") != FIRST) & self.since).select("slice", *INSTANCE).distinct()
         self.visits = materialize(later.join(at, INSTANCE).where("_born < slice").drop("_born"))
         self.groups = self.born.where("sig <> 0 AND model <> 0").select("slice", "sig", "model").distinct()
         self.tags = self.born.where("tag IS NOT NULL").select("slice", "tag").distinct()
@@ -230,7 +230,7 @@ class Slices:
 
     def fold(self, entering: DataFrame | None, only: DataFrame | None) -> DataFrame:
         """Results of the first actions, of the slices in `only` or of all."""
-        rows = self.entries.withColumns({c: F.lit(None).cast("bigint") for c in ("f_ts", "f_ev")}).withColumn("tags", F.lit(None).cast("array<string>"))
+        rows = self.entries.where(self.since).withColumns({c: F.lit(None).cast("bigint") for c in ("f_ts", "f_ev")}).withColumn("tags", F.lit(None).cast("array<string>"))
         if entering is not None:
             rows = rows.unionByName(entering.withColumn("kind", F.lit(KNOWN)), allowMissingColumns=True)
         if only is not None:
@@ -257,16 +257,88 @@ def resolve(entries: DataFrame, report: list | None = None) -> DataFrame:
     count = entries.select("slice").distinct().count()
     if report is not None:
         report.append(count)
-    entering = None
-    while count > 1:
+    return state if count < 2 else _settle(slices, state, None, None, report)[0]
+
+
+def _settle(slices: Slices, state: DataFrame, entering: DataFrame | None, touched: DataFrame | None, report: list | None) -> tuple:
+    """(state, slices that ran): slices run until what enters them stays the same. entering: what
+    the results in `state` were made from; touched: slices to run in any case."""
+    ran = None
+    while True:
         following = slices.entering(state)
-        again = materialize(changed_slices(entering, following))
+        again = changed_slices(entering, following)
+        again = materialize(again if touched is None else again.unionByName(touched).distinct())
         n = again.count()
         if n == 0:
-            break
+            return state, ran
         if report is not None:
             report.append(n)
         redone = slices.fold(following, again)
         state = materialize(state.join(again, "slice", "left_anti").unionByName(redone.select(*state.columns)))
-        entering = following
-    return state
+        ran = again if ran is None else ran.unionByName(again)
+        entering, touched = following, None
+
+
+# ---------------------------------------------------------------- more entries
+
+_ONE = [*INSTANCE, "kind", "_use", "_said"]
+
+
+def _keyed(entries: DataFrame) -> DataFrame:
+    """What there is one entry of: the first action, the first use of a provider, a prompt's event."""
+    return entries.withColumns({"_use": F.when(F.col("kind") == LINK, F.col("tag")), "_said": F.when(F.col("kind") == SAID, F.col("event_id"))})
+
+
+def current(log: DataFrame) -> DataFrame:
+    """The entries that count of all that were stored: the earliest of each kind."""
+    rest = [c for c in log.columns if c not in (*INSTANCE, "kind")]
+    one = _keyed(log).groupBy(*_ONE).agg(F.min_by(F.struct(*rest), F.struct(*AT)).alias("e"))
+    return one.select(*INSTANCE, "kind", "e.*")
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """The newest result of each instance; log has a column batch."""
+    rest = [c for c in log.columns if c not in (*INSTANCE, "batch")]
+    return log.groupBy(*INSTANCE).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*INSTANCE, "r.*")
+
+
+def extend(stored: DataFrame | None, state: DataFrame | None, fresh: DataFrame, slice_entries: int = SLICE_ENTRIES, report: list | None = None) -> tuple:
+    """(entries to store, results to store, results of all instances) after `fresh` entries came.
+
+    stored: entries with their slices so far; state: their results. Entries that say nothing new
+    (a known instance, a provider that it has used) are dropped. What is later than everything
+    stored makes new slices, and only these run. Late entries join the slice of their time; it
+    runs again and so do the slices that its changed results enter. The results are those of
+    all entries resolved at once. Stored entries and results are read, not resolved again."""
+    if stored is None:
+        entries = sliced(fresh, slice_entries)
+        state = resolve(entries, report)
+        return entries, state, state
+    now = materialize(current(stored))
+    known = _keyed(now).select(*_ONE, F.struct(*AT).alias("_at"), F.col("slice").alias("_in"))
+    asked = _keyed(fresh)
+    on = [asked[c].eqNullSafe(known[c]) for c in _ONE]
+    met = asked.join(known, on, "left").where(F.col("_at").isNull() | (F.struct(*[asked[c] for c in AT]) < F.col("_at")))
+    news = materialize(met.select(*[asked[c] for c in fresh.columns], F.col("_in")))
+    if news.isEmpty():
+        return news.drop("_in").withColumn("slice", F.lit(0)).limit(0), state.limit(0), state
+    last = now.agg(F.max(F.struct(*AT)).alias("at"), F.max("slice").alias("slice")).first()
+    late = (F.col("ts") < last["at"]["ts"]) | ((F.col("ts") == last["at"]["ts"]) & (F.col("event_id") <= last["at"]["event_id"]))
+    later = sliced(news.where(~late).drop("_in"), slice_entries).withColumn("slice", F.col("slice") + F.lit(last["slice"] + 1))
+    behind = news.where(late)
+    entering, touched = None, later.select("slice")
+    if not behind.isEmpty():
+        # late entries are few, and there is one row a slice: their slice is the last that starts before them
+        starts = now.groupBy("slice").agg(F.min(F.struct(*AT)).alias("at")).select(F.col("at.ts").alias("ts"), F.col("at.event_id").alias("event_id"), "slice")
+        order = Window.orderBy(*AT, F.col("slice").isNull())
+        placed = starts.withColumn("_start", F.lit(True)).unionByName(behind, allowMissingColumns=True).withColumn("slice", F.coalesce(F.last("slice", ignorenulls=True).over(order), F.lit(0)))
+        placed = materialize(placed.where("_start IS NULL").select(*later.columns, "_in"))
+        touched = touched.unionByName(placed.select("slice")).unionByName(placed.where("_in IS NOT NULL").select(F.col("_in").alias("slice")))
+        later = later.unionByName(placed.drop("_in"))
+    later, touched = materialize(later), materialize(touched.distinct())
+    since = touched.agg(F.min("slice")).first()[0]
+    if since <= last["slice"]:
+        entering = Slices(now, since).entering(state)
+    entries = materialize(current(now.unionByName(later.select(*now.columns))))
+    state, ran = _settle(Slices(entries, since), state, entering, touched, report)
+    return later, state.join(ran.distinct(), "slice", "left_semi"), state

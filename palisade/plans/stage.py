@@ -101,3 +101,10 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint, which keeps partitions and the order of their
+    rows: for seeded training, whose draws follow them."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

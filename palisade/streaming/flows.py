@@ -7,7 +7,8 @@ small; parsing and classification run before them as Column expressions."""
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -201,6 +202,69 @@ def turns(chunks: DataFrame, segment=SEGMENT, idle_ms=_IDLE_MS) -> DataFrame:
     return _stateful(rows, ["pid", "ssl_ptr"], run, output, "direction int, segment int, held binary, n int")
 
 
+# ---------------------------------------------------------------- relays
+
+
+def relay_edges(actions: DataFrame, window_ms=rules.RELAY_WINDOW_MS, watermark=WATERMARK, period_ms=60_000) -> DataFrame:
+    """from_id, to_id, type, ts_ms, event_id: the source of each inbound action that relays an outbound
+    one of another identity in its container, the earliest within the window.
+
+    actions(identity_id, container_id, type, ts_ms, event_id). Inbound actions wait until the
+    watermark has passed them, so the order of arrival does not matter. State is kept by
+    (container, period); what is sent also goes to the period that its window reaches into, so a
+    busy container is spread over periods and its state ends with them."""
+    from palisade.operators.graph import INBOUND, OUTBOUND
+
+    kind = F.when(F.col("type").isin(*OUTBOUND), 0).when(F.col("type").isin(*INBOUND), 1)
+    rows = actions.where(F.coalesce("container_id", F.lit("")) != "").select("container_id", "identity_id", "ts_ms", "event_id", kind.alias("kind"), (F.col("ts_ms") * 1_000_000).alias("timestamp_ns"))
+    at = lambda ms: F.floor(ms / period_ms)
+    first, last = at(F.col("ts_ms")), F.when(F.col("kind") == 0, at(F.col("ts_ms") + window_ms)).otherwise(at(F.col("ts_ms")))
+    rows = rows.where("kind IS NOT NULL").withColumn("period", F.explode(F.sequence(first, last)))
+    columns = ["ts_ms", "event_id", "identity_id"]
+
+    def source(sent, mine, now):
+        """The place of the earliest sent action of another identity before each received one."""
+        at, event, who = sent
+        other, nearest = np.empty(len(at), np.int64), len(at)  # the next one of another identity
+        for i in range(len(at) - 1, -1, -1):
+            nearest = nearest if i + 1 == len(at) else i + 1 if who[i + 1] != who[i] else other[i + 1]
+            other[i] = nearest
+        place = np.searchsorted(at, now[0] - window_ms, "right")
+        held = np.append(who, 0)
+        place = np.where((place < len(at)) & (held[np.minimum(place, len(at))] == mine), np.append(other, len(at))[np.minimum(place, len(at))], place)
+        inside = np.minimum(place, len(at) - 1)
+        earlier = (at[inside] < now[0]) | ((at[inside] == now[0]) & (event[inside] < now[1]))
+        return np.where((place < len(at)) & earlier, inside, -1)
+
+    def run(key, frames, state: GroupState):
+        held = [list(x) for x in state.get] if state.exists else [[] for _ in range(6)]
+        for f in frames if not state.hasTimedOut else ():
+            for which in (0, 1):
+                part = f[f["kind"] == which]
+                for i, c in enumerate(columns):
+                    held[3 * which + i] += part[c].tolist()
+        mark = state.getCurrentWatermarkMs()
+        sent, got = (np.array(held[i : i + 3], np.int64).reshape(3, -1) for i in (0, 3))
+        sent = sent[:, np.lexsort((sent[1], sent[0]))]
+        due = got[:, got[0] <= mark]
+        if due.size and sent.size:
+            place = source(sent, due[2], due)
+            found = place >= 0
+            yield pd.DataFrame({"from_id": sent[2][place[found]], "to_id": due[2][found], "type": "HttpRelay", "ts_ms": due[0][found], "event_id": due[1][found]})
+        got = got[:, got[0] > mark]
+        # what no action to come can follow any more goes
+        sent = sent[:, sent[0] > min(mark, got[0].min(initial=mark + 1)) - window_ms]
+        if not got.size and (not sent.size or mark >= (int(key[1]) + 1) * period_ms):
+            if state.exists:
+                state.remove()
+            return
+        state.update(tuple(x.tolist() for x in (*sent, *got)))
+        state.setTimeoutTimestamp(max(int(got[0].min()) - 1 if got.size else (int(key[1]) + 1) * period_ms - 1, mark + 1))
+
+    kept = ", ".join(f"{side}_{c} array<bigint>" for side in ("sent", "got") for c in columns)
+    return _stateful(rows, ["container_id", "period"], run, "from_id bigint, to_id bigint, type string, ts_ms bigint, event_id bigint", kept, watermark)
+
+
 # ---------------------------------------------------------------- behaviour windows
 
 
@@ -257,51 +321,71 @@ def routing_job(handlers):
     return job
 
 
-def identity_job(path: str, write):
-    """Job that resolves each micro-batch together with the instances stored under `path`.
+def identity_job(path: str, write, **options):
+    """Job that resolves the instances of each micro-batch against those stored under `path`.
 
-    Known instances keep their identity; new ones are resolved against the stored first
-    actions, and the store is brought up to date."""
+    Stored are, appended by batch, the entries that resolution reads (first actions, first uses of
+    providers, prompts) and the results. A batch folds its own entries, and of the stored ones
+    the slices of time that late entries change (`resolution.extend`). Results equal those of all
+    actions resolved at once; what was written for earlier batches stays as it was. A batch
+    that runs again replaces what it had stored."""
     from palisade.operators import identity as I
-    from palisade.sources import keyed
+    from palisade.operators import resolution as R
+    from palisade.plans.stage import materialize, scratch_scope
+
+    def log(spark, name, batch_id):
+        try:
+            return spark.read.parquet(f"{path}/{name}").where(F.col("batch") < batch_id)
+        except AnalysisException:
+            return None
 
     def job(batch, batch_id):
         spark = batch.sparkSession
         actions = I.identity_actions(batch).drop("identity")
-        seen = keyed.load(spark, f"{path}/actions")
-        columns = ["event_id", "timestamp", "process", "action"]
-        history = actions.select(*columns)
-        if seen is not None:
-            history = seen.unionByName(history)
-        resolved = I.resolve_identities(history)
-        write(I.assign_identities(actions, resolved), batch_id)
-        firsts = history.join(resolved.select("event_id"), "event_id", "left_semi")
-        links = _first_links(history)
-        kept = firsts.unionByName(links).dropDuplicates(["event_id"])
-        keyed.upsert(kept, f"{path}/actions", ["event_id"])
+        with scratch_scope(spark):
+            stored, results = log(spark, "entries", batch_id), log(spark, "results", batch_id)
+            state = None if results is None else materialize(R.latest(results))
+            more, changed, state = R.extend(None if stored is None else stored.drop("batch"), state, I.resolution_entries(actions), **options)
+            more.write.mode("overwrite").parquet(f"{path}/entries/batch={batch_id}")
+            changed.write.mode("overwrite").parquet(f"{path}/results/batch={batch_id}")
+            write(I.assign_identities(actions, I.with_confidence(state)), batch_id)
 
     return job
 
 
-def _first_links(history: DataFrame) -> DataFrame:
-    """The actions by which an instance first used a provider: all that later rounds need."""
-    from palisade.operators import identity as I
-
-    linked = I.provider_links(history).select(F.col("linked.event_id").alias("event_id")).distinct()
-    return history.join(linked, "event_id", "left_semi")
-
-
-def retrain_job(store: str, train, every=200, keep=10_000):
+def retrain_job(store: str, train, every=200, keep=10_000, bucket=3_600_000_000):
     """Job that appends labelled vectors (ts, label, features) and refits on the newest `keep`
-    after every `every` new samples. train(samples, n) is called with the training frame."""
+    after every `every` new samples. train(samples, n) is called with the training frame.
+
+    Samples lie in buckets of time (`bucket` units of ts), and each batch records how many it put in
+    which: the total and the newest buckets that hold `keep` rows come from these records, and
+    only those buckets are read. Buckets behind them are deleted: the store is a ring. A batch that
+    runs again replaces what it had stored."""
+    from palisade.plans.stage import delete_path
 
     def job(batch, batch_id):
         spark = batch.sparkSession
-        batch.select("ts", "label", "features").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        samples = spark.read.parquet(store)
-        total = samples.count()
-        before = samples.filter(F.col("batch") != batch_id).count()
+        rows = batch.select("ts", "label", "features", F.floor(F.col("ts") / bucket).cast("bigint").alias("bucket"), F.lit(batch_id).alias("batch"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{store}/samples")
+        batch.groupBy(F.floor(F.col("ts") / bucket).cast("bigint").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").json(f"{store}/counts/batch={batch_id}")
+        counts = spark.read.schema("bucket bigint, n bigint, batch bigint").json(f"{store}/counts").where(F.col("batch") <= batch_id)
+        sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("batch") < batch_id, F.col("n"))), F.lit(0))).first()
+        total, before = int(sums[0]), int(sums[1])
+        if not total:
+            return
+
+        def needed(records):
+            """The oldest bucket that the newest `keep` samples reach into."""
+            newer = F.sum("n").over(Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1))
+            held = records.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("_newer", F.coalesce(newer, F.lit(0)))
+            return held.where(F.col("_newer") < keep).agg(F.min("bucket")).first()[0]
+
+        first, last_first = needed(counts), needed(counts.where(F.col("batch") < batch_id))
         if total // every > before // every:
+            samples = spark.read.parquet(f"{store}/samples").where((F.col("bucket") >= first) & (F.col("batch") <= batch_id)).select("ts", "label", "features")
             train(samples.orderBy(F.desc("ts")).limit(keep), total)
+        left = (F.col("bucket") < first) & ((F.col("batch") == batch_id) | (F.col("bucket") >= (first if last_first is None else last_first)))
+        for r in counts.where(left).select("bucket").distinct().collect():  # what fell out with this batch
+            delete_path(spark, f"{store}/samples/bucket={r['bucket']}")
 
     return job

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from palisade import schemas
 from palisade.operators import graph as G
 from palisade.operators import identity as I
+from palisade.operators import resolution
 from palisade.operators.normalize import struct_of, to_identity_actions
+from palisade.plans.stage import materialize
 
 COLUMNS = "event_id long, us long, pid long, type string, provider string, kind string, fingerprint long, sdk_hash long, model_hash long, system_prompt string"
 
@@ -70,11 +72,10 @@ def fold(rows):
 SEEN: set = set()
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_resolution_equals_fold(spark, seed):
+def made(seed, n=220):
     rnd = random.Random(seed)
     rows = []
-    for ev in range(220):
+    for ev in range(n):
         kind = rnd.choice(["Prompt", "Prompt", "Response", "PiiDetected", "Network"])
         provider = rnd.choice(["OpenAI", "Anthropic", "Groq", "Cohere"]) if kind in ("Prompt", "Response") else None
         if kind == "Network":
@@ -84,7 +85,15 @@ def test_resolution_equals_fold(spark, seed):
         prompt = rnd.choice([None, "", "be brief", "be kind"]) if kind == "Prompt" else None
         # late instances keep appearing, so matches depend on earlier matches
         rows.append((ev, ev * 1_000_000 * 120, rnd.randrange(max(1, ev // 4), ev // 3 + 2), kind, provider, net, *key, prompt))
-    resolved = I.resolve_identities(to_identity_actions(events(spark, rows)))
+    return rows
+
+
+@pytest.mark.parametrize("seed,slice_entries", [(0, 100_000), (1, 100_000), (2, 100_000), (3, 50), (4, 50), (5, 20)])
+def test_resolution_equals_fold(spark, seed, slice_entries):
+    """In one slice, and in many that are folded at once until nothing changes."""
+    rows, rounds = made(seed), []
+    resolved = I.resolve_identities(to_identity_actions(events(spark, rows)), slice_entries, rounds)
+    assert len(rounds) == 1 if slice_entries > 1000 else rounds[0] > 3 and len(rounds) < 8
     got = {r.pid: (r.identity_id, r.level, round(r.confidence, 6)) for r in resolved.collect()}
     want = fold(rows)
     assert {p: x[1:] for p, x in got.items()} == {p: x[1:] for p, x in want.items()}
@@ -100,6 +109,32 @@ def test_every_level_was_seen():
     assert {sure for lvl, sure in SEEN if lvl == "CompositeMatch"} >= {0.6, 0.75}
 
 
+@pytest.mark.parametrize("seed,late", [(7, 0), (8, 25)])
+def test_batches_equal_the_whole(spark, seed, late):
+    """Batches in order fold their own entries alone; late ones also what they change."""
+    rows = made(seed, 160)
+    rnd = random.Random(seed)
+    moved = set(rnd.sample(range(110), late))
+    parts = [[r for i, r in enumerate(rows) if i < 110 and i not in moved], [r for i, r in enumerate(rows) if 110 <= i < 140], [r for i, r in enumerate(rows) if i >= 140 or i in moved]]
+    log, state = None, None
+    for part in parts:
+        ran = []
+        before = 0 if log is None else log.select("slice").distinct().count()
+        entries = I.resolution_entries(to_identity_actions(events(spark, part)))
+        more, changed, state = resolution.extend(log, state, entries, 40, ran)
+        log = materialize(more if log is None else log.unionByName(more.select(*log.columns)))
+        new = log.select("slice").distinct().count() - before
+        if before and not (late and part is parts[2]):
+            assert ran[0] == new and changed.where(F.col("slice") < before).isEmpty()
+    whole = I.resolve_identities(to_identity_actions(events(spark, rows)))
+    names = ["pid", "identity_id", "level", "confidence", "ts", "event_id"]
+    key = lambda df: sorted(map(tuple, df.select(*names).collect()))
+    assert key(I.with_confidence(state)) == key(whole)
+    # nothing new: nothing runs
+    again, changed, _ = resolution.extend(log, state, I.resolution_entries(to_identity_actions(events(spark, parts[1]))), 40, ran := [])
+    assert ran == [] and again.count() == changed.count() == 0
+
+
 def test_an_agent_that_changes_its_model_stays_itself(spark):
     rows = [
         (1, 1000, 1, "Prompt", "OpenAI", None, 5, 6, 7, "You are a helper"),

@@ -138,6 +138,31 @@ def test_request_formats(spark):
     assert got[0].request.tool_results[0].output_preview == "y" * 200 + "..."
 
 
+def _flow(rnd, n, big=False):
+    """Frames of all kinds, padded and not, maybe after a preface, maybe cut."""
+    out = rules.H2_PREFACE.encode() if rnd.random() < 0.5 else b""
+    for _ in range(n):
+        size = rnd.choice([0, 1, 3, rnd.randrange(40), rnd.randrange(300), 70_000 if big else 5])
+        kind, flags = rnd.choice([0, 0, 0, 1, 4, 200 if big else 6]), rnd.choice([0, 8, 1])
+        body = bytes([rnd.choice([0, 2, 255])]) + rnd.randbytes(size) if flags & 8 and size else rnd.randbytes(size)
+        out += len(body).to_bytes(3, "big") + bytes([kind, flags]) + (1).to_bytes(4, "big") + body
+    return out[: len(out) - rnd.choice([0, 0, 1, 7])]
+
+
+@pytest.mark.parametrize("segment,looks", [(24, 4), (64, 4), (500, 4), (500, 0), (16, 4)])
+def test_flows_in_segments_at_once(spark, monkeypatch, segment, looks):
+    monkeypatch.setattr(h2, "MAX_LOOK_UPS", looks)
+    rnd = random.Random(segment)
+    flows = [_flow(rnd, rnd.randrange(30)) for _ in range(20)] + [_flow(rnd, 30, True), rules.H2_PREFACE.encode()[:10], rules.H2_PREFACE.encode(), b"abc"]
+    rows = [(i, 1, i % 2, k, f[k * segment : (k + 1) * segment]) for i, f in enumerate(flows) for k in range(-(-len(f) // segment))]
+    df = spark.createDataFrame([(*r[:4], bytearray(r[4])) for r in rows], "pid long, ssl_ptr long, direction int, segment long, payload binary").repartition(5)
+    got = {}
+    for r in sorted(h2.reassemble_h2(df).collect(), key=lambda r: (r["pid"], r["segment"])):
+        got[r["pid"]] = got.get(r["pid"], b"") + bytes(r["body"])
+    want = {i: h2.data_frames(f) for i, f in enumerate(flows)}
+    assert got == {i: b for i, b in want.items() if b}
+
+
 def test_h2_frames():
     frame = lambda kind, flags, data: len(data).to_bytes(3, "big") + bytes([kind, flags]) + (1).to_bytes(4, "big") + data
     flow = rules.H2_PREFACE.encode() + frame(1, 4, b"hd") + frame(0, 0, b"abc") + frame(0, 8, b"\x02de\0\0") + frame(0, 0, b"lost")[:-2]
@@ -207,6 +232,36 @@ def test_similar_pairs_equal_brute_force(spark):
     assert [r[0] for r in same] == [41]
 
 
+@pytest.mark.parametrize("least,block", [(0.75, 64), (0.6, 16), (0.85, 2048)])
+def test_wide_pairs_equal_brute_force(spark, least, block):
+    """Any distance; families that lie apart are kept from each other by the pivots."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 2**64, 40, dtype=np.uint64)
+    flips = lambda n: np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (len(base), 12, n)).astype(np.uint64), axis=2)
+    h = np.unique(np.concatenate([base, (base[:, None] ^ flips(7)).ravel(), r.integers(0, 2**64, 200, dtype=np.uint64)])).view(np.int64)
+    distance = int((1 - least) * 64 + 1e-9)
+    df = spark.createDataFrame([(int(x), 1 + int(x) % 3) for x in h], "h long, members long").repartition(4)
+    report = []
+    got = similarity.wide_pairs(df, distance, block=block, report=report).collect()
+    d = np.bitwise_count(h.view(np.uint64)[:, None] ^ h.view(np.uint64)[None])
+    want = {(int(h[i]), int(h[j]), 1 + int(h[i]) % 3, 1 + int(h[j]) % 3) for i, j in zip(*np.nonzero(d <= distance)) if h[i] < h[j]}
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    assert report[0] <= len(h) * (len(h) - 1) // 2
+
+
+def test_families_apart_do_not_meet(spark):
+    r = np.random.default_rng(1)
+    centers = r.integers(0, 2**64, 16, dtype=np.uint64)
+    one = np.uint64(1) << r.integers(0, 64, (16, 300, 2)).astype(np.uint64)
+    h = np.unique((centers[:, None] ^ np.bitwise_or.reduce(one, axis=2)).ravel()).view(np.int64)
+    df = spark.createDataFrame([(int(x), 1) for x in h], "h long, members long")
+    report = []
+    similarity.wide_pairs(df, 7, pivots=64, block=128, report=report).count()
+    assert report[0] < len(h) * (len(h) - 1) // 6
+    assert similarity.similar_pairs(df.select(F.col("h").alias("simhash")), 0.75).where("hash_a = hash_b").count() == 0
+    assert similarity.wide_pairs(df.limit(0), 16).collect() == []
+
+
 def test_planes_are_fixed():
     p = planes(8)
     assert p.shape == (64, 8) and np.abs(p).max() <= 1 and (planes(8) == p).all()

@@ -1,15 +1,18 @@
 """Streaming twins against their batch operators, fed in several micro-batches."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from palisade.checks.bindings import agentic, bound
 from palisade.checks.q_sequences import chunk_rows
-from palisade.operators import enrich, identity, policy, sessions, windows
+from palisade.operators import enrich, graph, identity, policy, sessions, windows
 from palisade.operators import aggregates as A
 from palisade.operators.normalize import symbolize
 from palisade.sources import sinks
-from palisade.streaming import flows
+from palisade.streaming import flows, rollups
 
 
 def replay(spark, df, tmp, order, files=3):
@@ -157,6 +160,23 @@ def test_fan_out(spark, sf_dir, tmp_path):
     assert spark.read.json(str(tmp_path / "nd")).count() == 95
 
 
+def test_relays_as_a_stream(spark, tmp_path):
+    """Arrival out of order inside the watermark, containers over many periods, against the batch twin."""
+    rnd = random.Random(11)
+    rows = sorted((rnd.randrange(4), rnd.choice(["c", "c", "d", "", None]), rnd.choice(["Prompt", "Response", "McpRequest", "ToolCall", "Network"]), rnd.randrange(300_000), i) for i in range(700))
+    rows = sorted(rows, key=lambda r: r[3] + rnd.randrange(20_000))
+    rows += [(9, "end", "Prompt", 10_000_000, 900 + i) for i in range(3)]  # moves the watermark on
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "identity_id long, container_id string, type string, ts_ms long, event_id long, arrival long")
+    names = ["from_id", "to_id", "type", "ts_ms", "event_id"]
+    got = drain(spark, flows.relay_edges(replay(spark, df, tmp_path, "arrival", files=5), period_ms=20_000), "relays", tmp_path)
+    want = graph.relay_edges(df.drop("arrival"))
+    assert rows_of(got, names) == rows_of(want, names) and want.count() > 80
+
+
+def rows_of(df, names):
+    return sorted(tuple(r) for r in df.select(*names).collect())
+
+
 def test_identities_batch_by_batch(spark, sf_dir, tmp_path):
     e = agentic(spark, sf_dir)
     s = replay(spark, e, tmp_path, "timestamp")
@@ -173,6 +193,62 @@ def test_retraining_schedule(spark, tmp_path):
     samples = spark.range(450).select(F.col("id").alias("ts"), F.lit("a").alias("label"), F.array(F.col("id").cast("double")).alias("features"))
     s = replay(spark, samples, tmp_path, "ts", files=9)
     fits = []
-    job = flows.retrain_job(str(tmp_path / "samples"), lambda df, n: fits.append((n, df.count(), df.agg(F.min("ts")).first()[0])), every=200, keep=120)
+    job = flows.retrain_job(str(tmp_path / "samples"), lambda df, n: fits.append((n, df.count(), df.agg(F.min("ts")).first()[0])), every=200, keep=120, bucket=20)
     finish(flows.each_batch(s, job, str(tmp_path / "cp"), availableNow=True))
     assert [n for n, _, _ in fits] == [200, 400] and fits[1][1:] == (120, 280)
+    # a ring: buckets that the newest 120 samples do not need are gone, the count of all is not
+    left = spark.read.parquet(str(tmp_path / "samples" / "samples"))
+    assert left.agg(F.min("ts")).first()[0] >= 300 and left.count() <= 150
+    job(samples.where("ts >= 400"), 8)  # the last batch once more: as before
+    assert [n for n, _, _ in fits] == [200, 400] and spark.read.parquet(str(tmp_path / "samples" / "samples")).count() == left.count()
+
+
+def _timed_events(spark, n=4000):
+    return spark.range(n).selectExpr(
+        "id", "timestamp_seconds(1700000000 + cast(id / 4 as bigint)) AS timestamp", "named_struct('pid', id % 700) AS process",
+        "named_struct('provider', if(id % 3 = 0, concat('p', id % 9), null)) AS action", "cast(pmod(hash(id), 1000) / 1000.0 AS double) AS confidence",
+    )
+
+
+def test_gauges_and_quantiles_add_up(spark, tmp_path):
+    """Minute rollups of a stream, combined to longer windows, against exact results of the table."""
+    e = _timed_events(spark)
+    s = replay(spark, e, tmp_path, "timestamp", files=4)
+    made = drain(spark, rollups.gauge_rollup(s, watermark="0 seconds"), "gauge_minutes", tmp_path)
+    exact = e.where("action.provider IS NOT NULL").groupBy(F.window("timestamp", "10 minutes").alias("w")).agg(F.count("*").alias("n"), F.countDistinct("process.pid").alias("p"), F.countDistinct("action.provider").alias("q"))
+    minutes = rollups.gauge_rollup(e)
+    assert made.count() in (minutes.count(), minutes.count() - 1)  # the last window is still open
+    want = {r["w"]["start"]: r for r in exact.collect()}
+    got = {r["start"]: r for r in rollups.coverage_gauges(minutes, "10 minutes").collect()}
+    assert want.keys() == got.keys()
+    for k, r in want.items():
+        assert got[k]["events"] == r["n"] and got[k]["providers_detected"] == r["q"] and abs(got[k]["active_pids"] - r["p"]) <= 0.05 * r["p"]
+    rolled = rollups.confidence_histogram(rollups.confidence_rollup(e), "1 hour").orderBy("start").collect()
+    first = min(r["start"] for r in rolled)
+    values = sorted(r["confidence"] for r in e.where(F.date_trunc("hour", "timestamp") == F.lit(first)).collect())
+    assert rolled[0]["payloads"] == len(values) == sum(rolled[0]["histogram"])
+    for name, q in (("q50", 0.5), ("q90", 0.9), ("q99", 0.99)):
+        rank = sum(v <= rolled[0][name] for v in values) / len(values)
+        assert abs(rank - q) < 0.03
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    e = _timed_events(spark, 800).withColumn("_late", F.lit(False))
+    late = e.where("id < 40 AND id % 3 = 0")
+    path = str(tmp_path / "in")
+    schema = e.schema
+    e.coalesce(1).write.mode("append").parquet(path)
+    listener = rollups.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        drain(spark, rollups.gauge_rollup(stream()), "late_gauges", tmp_path)
+        late.coalesce(1).write.mode("append").parquet(path)
+        drain(spark, rollups.gauge_rollup(stream()), "late_gauges", tmp_path)
+        deadline = time.time() + 20
+        while not listener.seen and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    # the minute of the late rows was closed; they are grouped before they are left out
+    assert {r["query"] for r in listener.table(spark).collect()} == {"late_gauges"} and sum(listener.seen.values()) >= 1
