@@ -29,8 +29,8 @@ from palisade.plans.stage import scratch_path
 SELECT = 256
 FILE_IDS = 4 << 20
 MAX_PARTITIONS = 50_000
-MAX_WORDS = 800_000
-BATCH_CHARS = 12 << 20
+MAX_WORDS = 400_000
+BATCH_CHARS = 6 << 20
 #: Files that a range of documents makes.
 FILES = 4
 #: Text bytes for each id, in the number of ranges alone.
@@ -306,7 +306,9 @@ def _write(spec: str, end_id: int, max_words: int, file_ids: int):
                     some.append(texts[at].as_py())
                     chars += len(some[-1]) + 64
                     at += 1
-                for d, data in zip(given[first:at], coder.encode(some, end).to_pylist(), strict=True):
+                coded = coder.encode(some, end).to_pylist()
+                pa.default_memory_pool().release_unused()
+                for d, data in zip(given[first:at], coded, strict=True):
                     n = len(data) // width
                     if ids and size + n > file_ids:
                         yield file()
