@@ -88,6 +88,7 @@ def similar_pairs(hashes: DataFrame, min_similarity: float, column="simhash") ->
 
 PIVOTS = 32
 MAX_BLOCKS = 1000
+PAIRS_A_TASK = 16
 BLOCK = 2048
 
 
@@ -193,7 +194,7 @@ def wide_pairs(distinct: DataFrame, distance: int, pivots: int = PIVOTS, block:
     met = materialize(asked.join(other, "j").where(gap <= distance).select("block", "other", (F.col("i") == F.col("j")).alias("same")))
     there = blocks.select(F.col("block").alias("other"), F.col("h").alias("other_h"), F.col("members").alias("other_members"))
     rows = met.join(blocks.select("block", "h", "members"), "block").join(there, "other").select("h", "members", "other_h", "other_members", "same")
-    found = materialize(rows.repartition(max(1, met.count())).mapInArrow(_near(distance), _PAIR))
+    found = materialize(rows.repartition(max(1, -(-met.count() // PAIRS_A_TASK))).mapInArrow(_near(distance), _PAIR))
     if report is not None:
         report.append(found.agg(F.sum("examined")).first()[0] or 0)
     return found.where("hash_a IS NOT NULL").drop("examined")

@@ -163,10 +163,10 @@ def test_fan_out(spark, sf_dir, tmp_path):
 def test_relays_as_a_stream(spark, tmp_path):
     """Arrival out of order inside the watermark, containers over many periods, against the batch twin."""
     rnd = random.Random(11)
-    rows = sorted((rnd.randrange(4), rnd.choice(["c", "c", "d", "", None]), rnd.choice(["Prompt", "Response", "McpRequest", "ToolCall", "Network"]), rnd.randrange(300_000), i) for i in range(700))
-    rows = sorted(rows, key=lambda r: r[3] + rnd.randrange(20_000))
-    rows += [(9, "end", "Prompt", 10_000_000, 900 + i) for i in range(3)]  # moves the watermark on
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "identity_id long, container_id string, type string, ts_ms long, event_id long, arrival long")
+    sent = [(rnd.randrange(4), rnd.choice(["c", "c", "d", "", None]), rnd.choice(["Prompt", "Response", "McpRequest", "ToolCall", "Network"]), rnd.randrange(300_000), i) for i in range(700)]
+    sent = sorted(sent, key=lambda r: r[3] + rnd.randrange(20_000))
+    sent += [(9, "end", "Prompt", 10_000_000, 900 + i) for i in range(3)]  # moves the watermark on
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(sent)], "identity_id long, container_id string, type string, ts_ms long, event_id long, arrival long")
     names = ["from_id", "to_id", "type", "ts_ms", "event_id"]
     got = drain(spark, flows.relay_edges(replay(spark, df, tmp_path, "arrival", files=5), period_ms=20_000), "relays", tmp_path)
     want = graph.relay_edges(df.drop("arrival"))
@@ -198,15 +198,16 @@ def test_retraining_schedule(spark, tmp_path):
     assert [n for n, _, _ in fits] == [200, 400] and fits[1][1:] == (120, 280)
     # a ring: buckets that the newest 120 samples do not need are gone, the count of all is not
     left = spark.read.parquet(str(tmp_path / "samples" / "samples"))
-    assert left.agg(F.min("ts")).first()[0] >= 300 and left.count() <= 150
+    kept = left.count()
+    assert left.agg(F.min("ts")).first()[0] >= 300 and kept <= 150
     job(samples.where("ts >= 400"), 8)  # the last batch once more: as before
-    assert [n for n, _, _ in fits] == [200, 400] and spark.read.parquet(str(tmp_path / "samples" / "samples")).count() == left.count()
+    assert [n for n, _, _ in fits] == [200, 400] and spark.read.parquet(str(tmp_path / "samples" / "samples")).count() == kept
 
 
 def _timed_events(spark, n=4000):
     return spark.range(n).selectExpr(
         "id", "timestamp_seconds(1700000000 + cast(id / 4 as bigint)) AS timestamp", "named_struct('pid', id % 700) AS process",
-        "named_struct('provider', if(id % 3 = 0, concat('p', id % 9), null)) AS action", "cast(pmod(hash(id), 1000) / 1000.0 AS double) AS confidence",
+        "named_struct('type', 'Prompt', 'provider', if(id % 3 = 0, concat('p', id % 9), null)) AS action", "cast(pmod(hash(id), 1000) / 1000.0 AS double) AS confidence",
     )
 
 
