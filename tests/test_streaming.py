@@ -231,25 +231,3 @@ def test_gauges_and_quantiles_add_up(spark, tmp_path):
     for name, q in (("q50", 0.5), ("q90", 0.9), ("q99", 0.99)):
         rank = sum(v <= rolled[0][name] for v in values) / len(values)
         assert abs(rank - q) < 0.03
-
-
-def test_late_rows_are_counted(spark, tmp_path):
-    e = _timed_events(spark, 800).withColumn("_late", F.lit(False))
-    late = e.where("id < 40 AND id % 3 = 0")
-    path = str(tmp_path / "in")
-    schema = e.schema
-    e.coalesce(1).write.mode("append").parquet(path)
-    listener = rollups.LateRows()
-    spark.streams.addListener(listener)
-    try:
-        stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-        drain(spark, rollups.gauge_rollup(stream()), "late_gauges", tmp_path)
-        late.coalesce(1).write.mode("append").parquet(path)
-        drain(spark, rollups.gauge_rollup(stream()), "late_gauges", tmp_path)
-        deadline = time.time() + 20
-        while not listener.seen and time.time() < deadline:
-            time.sleep(0.2)
-    finally:
-        spark.streams.removeListener(listener)
-    # the minute of the late rows was closed; they are grouped before they are left out
-    assert {r["query"] for r in listener.table(spark).collect()} == {"late_gauges"} and sum(listener.seen.values()) >= 1
