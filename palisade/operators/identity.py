@@ -127,6 +127,8 @@ def assign_identities(actions: DataFrame, resolved: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- composite scores
 
 _FLAGS = ["prompt", "digest", "provider"]
+#: Members of a class that meet as one row.
+PAIR_BLOCK = 1024
 
 
 def _combos(weights, threshold) -> list[tuple]:
@@ -173,6 +175,13 @@ def _blocking(weights: dict, threshold: float, fuzzy: bool) -> list:
     return sets
 
 
+def _blocks(members: DataFrame, name: str, id_: Column) -> DataFrame:
+    """key, name, place: the members `m` of each key as lists of about PAIR_BLOCK."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("place", F.pmod(F.xxhash64(id_), F.col("blocks")))
+    return dealt.groupBy("key", "place").agg(F.collect_list("m").alias(name)).withColumnRenamed("place", f"{name}_place")
+
+
 def score_candidates(new: DataFrame, identities: DataFrame, semantic=False, threshold=rules.COMPOSITE_THRESHOLD) -> DataFrame:
     """All pairs at or above the threshold, each once: (new_id, identity_id, first_seen, score).
 
@@ -180,30 +189,46 @@ def score_candidates(new: DataFrame, identities: DataFrame, semantic=False, thre
     sig, sdk, model, prompt, digest, providers); 0 or null = absent. With semantic weights prompts
     are SimHashes that count by 1 - hamming / 64, else they are equal or not.
 
-    Rows meet on the attribute sets that a pair needs (equi-joins), and a pair is kept at the
-    first set it shares. The result has as many rows as there are pairs; `pattern_candidates`
-    with `best_composite_match` gives the best one of each new row without them."""
+    Rows of equal attributes are one class, scored once (`class_scores`). Members of the classes that
+    match meet in blocks, dealt out evenly, so a popular model or provider fills no single task. The
+    result has as many rows as there are pairs; `pattern_candidates` with `best_composite_match` gives
+    the best one of each new row without them."""
+    asked = new.select(F.col("new_id").alias("m"), F.struct(*TYPE, *_FLAGS).alias("key"))
+    listed = F.array_sort(F.array_distinct(F.coalesce("providers", F.array().cast("array<string>"))))
+    known = identities.select("identity_id", "first_seen", F.struct(*TYPE, "prompt", "digest", listed.alias("providers")).alias("known"))
+    scores = class_scores(asked.select("key").distinct(), known.select("known").distinct(), semantic, threshold)
+    matched = scores.join(known, "known").select("key", F.struct("identity_id", "first_seen", "score").alias("m"))
+    theirs = _blocks(matched, "theirs", F.col("m.identity_id"))
+    mine = _blocks(asked.join(scores.select("key").distinct(), "key", "left_semi"), "mine", F.col("m"))
+    parts = int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = mine.join(theirs, "key").repartition(parts, "key", "mine_place", "theirs_place")
+    return met.select("theirs", F.explode("mine").alias("new_id")).select("new_id", F.inline("theirs"))
+
+
+def class_scores(new: DataFrame, identities: DataFrame, semantic=False, threshold=rules.COMPOSITE_THRESHOLD) -> DataFrame:
+    """(key, known, score) of the classes that reach the threshold: new(key: struct of sig, sdk, model,
+    prompt, digest, provider), identities(known: the same with providers).
+
+    Classes meet on the attribute sets that a pair needs (equi-joins), and a pair is kept at the
+    first set it shares."""
     weights = rules.SCORE_WEIGHTS["semantic" if semantic else "fallback"]
     sets = _blocking(weights, threshold, semantic)
+    a, b = F.col("key"), F.col("known")
     part_of = lambda row, n: F.nullif(row[n].cast("bigint"), F.lit(0))
-    here = {n: F.col(n) for n in (*TYPE, *_FLAGS)}
 
-    def key(i, provider):
+    def set_key(row, i, provider):
         part, flags = sets[i]
-        values = ([part_of(here, part)] if part else []) + [provider if f == "provider" else here[f] for f in ("prompt", "digest", "provider") if f in flags]
-        present = reduce(lambda a, b: a & b, [v.isNotNull() for v in values])
+        values = ([part_of(row, part)] if part else []) + [provider if f == "provider" else row[f] for f in ("prompt", "digest", "provider") if f in flags]
+        present = reduce(lambda x, y: x & y, [v.isNotNull() for v in values])
         return F.when(present, F.concat_ws("|", F.lit(str(i)), *[v.cast("string") for v in values]))
 
-    asked = new.select(F.struct("new_id", *TYPE, *_FLAGS).alias("a"), F.explode(F.array_compact(F.array(*[key(i, F.col("provider")) for i in range(len(sets))]))).alias("key"))
-    listed = F.coalesce("providers", F.array().cast("array<string>"))
+    asked = new.select("key", F.explode(F.array_compact(F.array(*[set_key(a, i, a["provider"]) for i in range(len(sets))]))).alias("_set"))
 
-    def keys_of(i):
-        return F.transform(F.array_distinct(listed), lambda p: key(i, p)) if "provider" in sets[i][1] else F.array(key(i, None))
+    def sets_of(i):
+        return F.transform(b["providers"], lambda p: set_key(b, i, p)) if "provider" in sets[i][1] else F.array(set_key(b, i, None))
 
-    keys = [keys_of(i) for i in range(len(sets))]
-    known = identities.select(F.struct("identity_id", "first_seen", *TYPE, "prompt", "digest", listed.alias("providers")).alias("b"), F.explode(F.array_compact(F.flatten(F.array(*keys)))).alias("key"))
+    known = identities.select("known", F.explode(F.array_compact(F.flatten(F.array(*[sets_of(i) for i in range(len(sets))])))).alias("_set"))
 
-    a, b = F.col("a"), F.col("b")
     equal = {n: F.coalesce(part_of(a, n) == part_of(b, n), F.lit(False)) for n in TYPE}
     equal |= {"prompt": F.coalesce(a["prompt"] == b["prompt"], F.lit(False)), "digest": F.coalesce(a["digest"] == b["digest"], F.lit(False)), "provider": F.coalesce(F.array_contains(b["providers"], a["provider"]), F.lit(False))}
     total = lambda test: sum((F.when(test(n), rules.TYPE_WEIGHTS[n]).otherwise(0.0) for n in TYPE), F.lit(0.0))
@@ -214,8 +239,8 @@ def score_candidates(new: DataFrame, identities: DataFrame, semantic=False, thre
     score = weights["prompt"] * prompt + weights["type"] * F.when(shared > 0, F.try_divide(total(lambda n: equal[n]), shared)).otherwise(0.0)
     score = score + F.when(equal["digest"], weights["behavior"]).otherwise(0.0) + F.when(equal["provider"], weights["network"]).otherwise(0.0)
     first = F.coalesce(*[F.when(reduce(lambda x, y: x & y, [equal[n] for n in ([p] if p else []) + sorted(f)]), F.lit(str(i))) for i, (p, f) in enumerate(sets)])
-    met = asked.join(known, "key").select("key", "a.new_id", "b.identity_id", "b.first_seen", F.round(score, 9).alias("score"), first.alias("_first"))
-    return met.filter((F.col("score") >= threshold) & (F.substring_index("key", "|", 1) == F.col("_first"))).select("new_id", "identity_id", "first_seen", "score")
+    met = asked.join(known, "_set").select("key", "known", "_set", F.round(score, 9).alias("score"), first.alias("_first"))
+    return met.filter((F.col("score") >= threshold) & (F.substring_index("_set", "|", 1) == F.col("_first"))).select("key", "known", "score")
 
 
 def pattern_candidates(new: DataFrame, identities: DataFrame, semantic=False, threshold=rules.COMPOSITE_THRESHOLD) -> DataFrame:

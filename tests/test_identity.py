@@ -190,6 +190,22 @@ def test_all_pairs_are_scored_once(spark, semantic):
     assert len(rows) == len(set(rows)) == len(want) > 30 and set(rows) == want
 
 
+def test_pairs_of_one_class_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(I, "PAIR_BLOCK", 100, raising=False)
+    new = spark.range(600).selectExpr("id AS new_id", "1L AS sig", "2L AS sdk", "3L AS model", "4L AS prompt", "5L AS digest", "'A' AS provider")
+    known = spark.range(500).selectExpr("id AS identity_id", "id AS first_seen", "1L AS sig", "2L AS sdk", "0L AS model", "4L AS prompt", "6L AS digest", "array('B', 'A') AS providers")
+    pairs = I.score_candidates(new, known)
+    limits = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    for name in limits:
+        spark.conf.set(name, "-1")
+    try:
+        tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name in limits:
+            spark.conf.unset(name)
+    assert sum(tasks) == 300_000 == pairs.select("new_id", "identity_id").distinct().count() and max(tasks) < 150_000
+
+
 def test_relays(spark):
     cols = "identity_id long, container_id string, type string, ts_ms long, event_id long"
     case = lambda rows: sorted(tuple(r) for r in G.relay_edges(spark.createDataFrame(rows, cols)).select("from_id", "to_id").collect())
