@@ -218,6 +218,22 @@ def bound(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return b.build(rows)
 
 
+#: Rows of a file of a replayed stream, about; smaller micro-batches are one file.
+REPLAY_ROWS = 50_000
+
+
+def replayed(spark: SparkSession, rows: DataFrame, key, folder: str, batches=4) -> DataFrame:
+    """The rows as a stream of micro-batches in the order of `key` (0, 1, ...), each of the same
+    number of files, written by as many tasks."""
+    least = rows.groupBy(key.alias("key")).count().agg(F.min("count")).first()[0] or 0
+    files = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), least // REPLAY_ROWS))
+    for i in range(batches):
+        part = rows.filter(key == i)
+        # each input partition deals its rows out in turn, so no file stays empty
+        (part.repartition(files) if files > 1 else part.coalesce(1)).write.parquet(f"{folder}/in/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in/*")
+
+
 def agentic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`flat` as nested enriched events."""
     from palisade import schemas

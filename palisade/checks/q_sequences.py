@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from palisade import rules
-from palisade.checks.bindings import BY_NAME, bound, ctes
+from palisade.checks.bindings import BY_NAME, bound, ctes, replayed
 from palisade.checks.q_events import ASOF, SYMBOL
 from palisade.checks.registry import query
 from palisade.checks.sqlfn import CLASS, case_contains, fnv64_list, le_bytes
@@ -225,10 +225,8 @@ def t5(spark, d):
     # six files in time order, half of the rows up to 20 hours late (36 s of capture time)
     at = F.unix_micros(F.col("ts").cast("timestamp")) + F.when(F.col("event_id") % 2 == 0, F.pmod(F.xxhash64("event_id"), F.lit(20)) * 3_600_000_000).otherwise(0)
     first, last = events.agg(F.min(at), F.max(at)).first()
-    parts = events.withColumn("_part", F.floor((at - F.lit(first)) * 6 / F.lit(max(1, (last or 0) - (first or 0) + 1))))
-    for i in range(6):
-        parts.filter(F.col("_part") == i).drop("_part").coalesce(1).write.parquet(f"{folder}/in/{i}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    part = F.floor((at - F.lit(first)) * 6 / F.lit(max(1, (last or 0) - (first or 0) + 1)))
+    stream = replayed(spark, events, part, folder, batches=6)
     net = BY_NAME["net"].build(BY_NAME["ev"].build(stream))
     named = flows.asof_sni(net, BY_NAME["handshakes"].build(net))
     run = named.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()

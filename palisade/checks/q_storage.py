@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from palisade import schemas
-from palisade.checks.bindings import agentic, bound, ctes, payload_rows, table
+from palisade.checks.bindings import agentic, bound, ctes, payload_rows, replayed, table
 from palisade.checks.q_events import PII
 from palisade.checks.registry import query
 from palisade.plans.stage import scratch_path
@@ -129,13 +129,6 @@ def s7(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-def _replayed(spark, rows, key, folder, files=4):
-    """The rows as a stream of `files` micro-batches in the order of `key` (0, 1, ...)."""
-    for i in range(files):
-        rows.filter(key == i).coalesce(1).write.parquet(f"{folder}/in/{i}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
-
-
 @query("r7_policy_job", ctes("flat") + """ SELECT event_id, CASE WHEN pii_detected THEN 'deny' WHEN provider IS NOT NULL THEN CASE WHEN event_id % 4 < 2 THEN 'audit' ELSE 'deny' END ELSE 'allow' END AS decision FROM flat""")
 def r7(spark, d):
     """Rules are read again for every micro-batch: from the third on, providers are denied."""
@@ -143,7 +136,7 @@ def r7(spark, d):
     from palisade.streaming import flows
 
     folder, calls = _scratch(spark, "policy"), []
-    stream = _replayed(spark, agentic(spark, d), F.pmod("event_id", F.lit(4)), folder)
+    stream = replayed(spark, agentic(spark, d), F.pmod("event_id", F.lit(4)), folder)
 
     def load(session):
         calls.append(1)
@@ -167,7 +160,7 @@ def m5(spark, d):
 
     folder = _scratch(spark, "retrain")
     samples = bound(spark, d, "ev").select("event_id", F.col("us").alias("ts"), F.col("event_type").alias("label"), F.array("value").alias("features"))
-    stream = _replayed(spark, samples, F.pmod("event_id", F.lit(4)), folder)
+    stream = replayed(spark, samples, F.pmod("event_id", F.lit(4)), folder)
 
     def train(rows, total):
         fit = rows.agg(F.lit(total).cast("bigint").alias("total"), F.count(F.lit(1)).alias("rows"), F.min("ts").alias("oldest"))

@@ -89,51 +89,68 @@ def events_per_second(events: DataFrame, watermark=WATERMARK) -> DataFrame:
 # ---------------------------------------------------------------- server names
 
 
-def asof_sni(network: DataFrame, handshakes: DataFrame, ttl_ns=rules.SNI_TTL_NS, watermark=WATERMARK) -> DataFrame:
+#: Buckets of pids that hold their state together.
+SNI_BUCKETS = 256
+
+
+def asof_sni(network: DataFrame, handshakes: DataFrame, ttl_ns=rules.SNI_TTL_NS, watermark=WATERMARK, buckets=SNI_BUCKETS) -> DataFrame:
     """event_id, pid, sni: the pid's latest handshake at or before each event, if younger than
     the TTL. Events wait until the watermark has passed them, so the order in which rows arrive
     does not matter; rows older than the watermark are dropped.
 
-    State is kept per (pid, TTL-long period): handshakes also go to the period after theirs, so a
-    busy pid is spread over periods and its state ends with them."""
+    State is kept per (bucket of pids, TTL-long period): handshakes also go to the period after
+    theirs, so a busy pid is spread over periods and its state ends with them. The pids of a bucket
+    are matched by one search, so calls do not grow with their number."""
     period = lambda: F.floor(F.col("timestamp_ns") / ttl_ns)
+    bucket = F.pmod(F.xxhash64("pid"), F.lit(buckets)).alias("bucket")
     none = F.lit(None).cast("string")
-    asked = network.select("pid", "timestamp_ns", "event_id", F.lit(1).alias("kind"), none.alias("sni"), period().alias("period"))
-    seen = handshakes.select("pid", "timestamp_ns", "event_id", F.lit(0).alias("kind"), "sni", F.explode(F.array(period(), period() + 1)).alias("period"))
-    fields = ("at", "id", "name")
+    # events without a pid (kind 2) have no name, but are not lost
+    of = F.coalesce("pid", F.lit(0)).cast("bigint").alias("pid")
+    asked = network.select(bucket, of, "timestamp_ns", "event_id", F.when(F.col("pid").isNull(), 2).otherwise(1).alias("kind"), none.alias("sni"), period().alias("period"))
+    seen = handshakes.where("pid IS NOT NULL").select(bucket, of, "timestamp_ns", "event_id", F.lit(0).alias("kind"), "sni", F.explode(F.array(period(), period() + 1)).alias("period"))
 
     def run(key, frames, state: GroupState):
-        held = [list(x) for x in state.get] if state.exists else [[], [], [], [], []]
+        unpack = lambda x: [np.frombuffer(bytes(x), np.int64).reshape(4, -1)]
+        shakes, names, pending = [np.zeros((4, 0), np.int64)], [], [np.zeros((4, 0), np.int64)]
+        if state.exists:
+            held = state.get
+            shakes, names, pending = unpack(held[0]), list(held[1]), unpack(held[2])
         for f in frames if not state.hasTimedOut else ():
-            for kind, (at, ids, names) in ((0, held[:3]), (1, (*held[3:], None))):
-                rows = f[f["kind"] == kind]
-                at += rows["timestamp_ns"].tolist()
-                ids += rows["event_id"].tolist()
-                if names is not None:
-                    names += rows["sni"].tolist()
+            rows = np.array([f[c].to_numpy(np.int64) for c in ("pid", "timestamp_ns", "event_id", "kind")])
+            said = rows[3] == 0
+            shakes.append(rows[:, said])
+            names += f["sni"][said].tolist()
+            pending.append(rows[:, ~said])
+        shakes, pending, names = np.concatenate(shakes, axis=1), np.concatenate(pending, axis=1), np.array(names, object)
         mark = state.getCurrentWatermarkMs() * 1_000_000
-        shakes = pd.DataFrame(dict(zip(fields, held[:3], strict=True))).sort_values(["at", "id"], kind="stable")
-        pending = pd.DataFrame({"at": held[3], "event_id": held[4]})
-        due = pending[pending["at"] <= mark]
-        if len(due):
-            times, names = shakes["at"].to_numpy(dtype="int64"), shakes["name"].to_numpy(dtype=object)
-            place = np.searchsorted(times, due["at"].to_numpy(dtype="int64"), "right") - 1
-            found = (place >= 0) & (due["at"].to_numpy() - times[np.maximum(place, 0)] < ttl_ns) if len(times) else np.zeros(len(due), bool)
-            named = np.where(found, names[np.maximum(place, 0)], None) if len(times) else np.full(len(due), None)
-            yield pd.DataFrame({"event_id": due["event_id"], "pid": key[0], "sni": named})
-        pending = pending[pending["at"] > mark]
+        due = pending[:, pending[1] <= mark]
+        if due.size:
+            order = np.lexsort((shakes[2], shakes[1], shakes[0]))
+            pid, at = shakes[0, order], shakes[1, order]
+            # places on one line: each pid has a stretch of it
+            known, stretch, start = np.unique(pid), 4 * ttl_ns, (int(key[1]) - 2) * ttl_ns
+            line = lambda p, t: np.searchsorted(known, p) * stretch + t - start
+            place = np.searchsorted(line(pid, at), line(due[0], due[1]), "right") - 1
+            named = np.full(due.shape[1], None, object)
+            if len(pid):
+                near = np.maximum(place, 0)
+                found = (place >= 0) & (pid[near] == due[0]) & (due[1] - at[near] < ttl_ns) & (due[3] == 1)
+                named[found] = names[order][near[found]]
+            of = pd.Series(due[0], dtype="Int64").mask(due[3] == 2)
+            yield pd.DataFrame({"event_id": due[2], "pid": of, "sni": named})
+        pending = pending[:, pending[1] > mark]
         end_ms = (int(key[1]) + 1) * ttl_ns // 1_000_000
-        if not len(pending) and state.getCurrentWatermarkMs() >= end_ms:
+        if not pending.size and state.getCurrentWatermarkMs() >= end_ms:
             if state.exists:
                 state.remove()
             return
-        state.update((*(shakes[f].tolist() for f in fields), pending["at"].tolist(), pending["event_id"].tolist()))
+        state.update((shakes.tobytes(), names.tolist(), pending.tobytes()))
         # a timeout fires once the watermark is beyond it
-        first = -(-int(pending["at"].min()) // 1_000_000) - 1 if len(pending) else end_ms - 1
+        first = -(-int(pending[1].min()) // 1_000_000) - 1 if pending.size else end_ms - 1
         state.setTimeoutTimestamp(max(first, state.getCurrentWatermarkMs() + 1))
 
-    kept = "at array<bigint>, id array<bigint>, name array<string>, pending_at array<bigint>, pending_id array<bigint>"
-    return _stateful(asked.union(seen), ["pid", "period"], run, "event_id bigint, pid bigint, sni string", kept, watermark)
+    kept = "shakes binary, names array<string>, pending binary"
+    return _stateful(asked.union(seen), ["bucket", "period"], run, "event_id bigint, pid bigint, sni string", kept, watermark)
 
 
 # ---------------------------------------------------------------- connections

@@ -76,6 +76,36 @@ def test_order_of_arrival_does_not_matter(spark, tmp_path):
     assert rows(got.filter("pid = 7"), "event_id", "sni") == [(2, "new.example"), (4, "old.example"), (5, None)]
 
 
+def test_server_name_state_is_kept_by_buckets_of_pids(spark, tmp_path):
+    sec = 10**9
+    schema = "event_id long, pid long, timestamp_ns long, sni string, kind int"
+    shakes = [(1000 + p, p, sec, f"host{p}", 0) for p in range(200)]
+    asked = [(p, p, 2 * sec, None, 1) for p in range(250)] + [(900, None, 2 * sec, None, 1)]
+    spark.createDataFrame(asked[:100] + shakes, schema).coalesce(1).write.parquet(str(tmp_path / "in" / "0"))
+    spark.createDataFrame(asked[100:], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "1"))
+    spark.createDataFrame([(9999, 1, 10_000 * sec, None, 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / "2"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    named = flows.asof_sni(s.filter("kind = 1"), s.filter("kind = 0"), buckets=4)
+    run = named.writeStream.format("memory").queryName("buckets").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in run.recentProgress) <= 4 * 3
+    want = {p: (p, f"host{p}" if p < 200 else None) for p in range(250)} | {900: (None, None)}
+    assert {r.event_id: (r.pid, r.sni) for r in spark.table("buckets").collect()} == want
+
+
+@pytest.mark.parametrize("rows, files", [(40, 1), (4000, 4)])
+def test_replayed_batches_are_the_parts_in_order(spark, tmp_path, monkeypatch, rows, files):
+    from palisade.checks import bindings
+
+    monkeypatch.setattr(bindings, "REPLAY_ROWS", 250)
+    s = bindings.replayed(spark, spark.range(rows), F.pmod("id", F.lit(4)), str(tmp_path))
+    seen = []
+    job = lambda df, _: seen.append(sorted(r.id for r in df.collect()))
+    s.writeStream.foreachBatch(job).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [list(range(i, rows, 4)) for i in range(4)]
+    assert all(len(list((tmp_path / "in" / str(i)).glob("*.parquet"))) == files for i in range(4))
+
+
 def test_verdicts_and_turns(spark, sf_dir, tmp_path):
     c = chunk_rows(spark, sf_dir).select("pid", "ssl_ptr", "timestamp_ns", "seq", "direction", "sni", "comm", "payload")
     s = replay(spark, c, tmp_path, "timestamp_ns")
