@@ -1,6 +1,7 @@
 """Literal cases: hashes, ordered helpers, payloads, PII, policy, similarity, models."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -340,3 +341,27 @@ def test_scratch_is_cleared(spark):
     clear_scratch(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(path)
+
+
+def test_histograms_take_no_fold_per_bigram(spark):
+    """Count maps of all windows of a batch come from one Arrow function, equal to a plain count."""
+    from palisade.operators import windows as W
+
+    rnd = random.Random(3)
+    symbols = [[rnd.choice([0, 5, 179, rnd.randrange(180)]) for _ in range(n)] for n in (1, 2, 20, 50, 37)]
+    w = spark.createDataFrame([(i, len(s), [(x,) for x in s]) for i, s in enumerate(symbols)], "pid long, n int, ev array<struct<symbol:int>>").withColumn("window_end", F.col("n").cast("long"))
+
+    def fnv(code):
+        h = 0xCBF29CE484222325
+        for b in code.to_bytes(8, "little"):
+            h = (h ^ b) * 0x100000001B3 % (1 << 64)
+        return h
+
+    counted = W.with_histograms(w)
+    for r in counted.collect():
+        s = symbols[r.pid]
+        assert r.uni_counts == Counter(s)
+        assert r.bi_counts == Counter(fnv(a * 181 + b) % 100 for a, b in zip(s, s[1:]))
+        assert r.tri_counts == Counter(fnv(a * 32761 + b * 181 + c) % 50 for a, b, c in zip(s, s[1:], s[2:]))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "_count_maps" in plan
