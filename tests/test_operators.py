@@ -365,3 +365,10 @@ def test_histograms_take_no_fold_per_bigram(spark):
         assert r.tri_counts == Counter(fnv(a * 32761 + b * 181 + c) % 50 for a, b, c in zip(s, s[1:], s[2:]))
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan and "_count_maps" in plan
+
+
+def test_training_rows_need_no_features(spark, sf_dir):
+    from palisade.checks import q_models
+
+    plan = q_models.m3_rows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_shares" not in plan and "gap_mean" not in plan and "burst" not in plan
