@@ -13,6 +13,9 @@ from palisade.plans.stage import checkpointed
 # Forest parameters
 TREES, DEPTH, SHARE, LEAF = 100, 10, 0.7, 2
 MIN_ROWS, MIN_CLASSES = 50, 2
+#: MB of node histograms that each running task holds; a smaller share takes more passes over the rows. Nodes
+#: try all features, so the trees do not depend on it.
+HISTOGRAM_MB = 128
 
 
 def behavior_label(provider, dport):
@@ -20,7 +23,7 @@ def behavior_label(provider, dport):
     return F.coalesce(provider, F.when(dport == 443, "GenericHttps"), F.lit("Unknown"))
 
 
-def train_behavior_model(vectors: DataFrame, label="label", features="features", trees=TREES, seed=7):
+def train_behavior_model(vectors: DataFrame, label="label", features="features", trees=TREES, seed=7, histogram_mb=HISTOGRAM_MB):
     """(StringIndexerModel, forest) on array features; None below 50 rows or two classes."""
     rows = checkpointed(vectors.select(F.col(label).alias("label"), array_to_vector(F.col(features)).alias("vector")))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("classes")).first()
@@ -29,7 +32,7 @@ def train_behavior_model(vectors: DataFrame, label="label", features="features",
     labels = StringIndexer(inputCol="label", outputCol="class", stringOrderType="alphabetAsc").fit(rows)
     forest = RandomForestClassifier(
         labelCol="class", featuresCol="vector", numTrees=trees, maxDepth=DEPTH, subsamplingRate=SHARE, bootstrap=True,
-        minInstancesPerNode=LEAF, featureSubsetStrategy="all", seed=seed, maxMemoryInMB=1024,
+        minInstancesPerNode=LEAF, featureSubsetStrategy="all", seed=seed, maxMemoryInMB=histogram_mb,
     )
     return labels, forest.fit(labels.transform(rows))
 

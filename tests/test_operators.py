@@ -301,6 +301,14 @@ def test_keyed_table(spark, tmp_path):
     assert keyed.load(spark, path).count() == 0
 
 
+def test_forest_memory_of_a_task(spark):
+    """Four tasks of an executor hold small node histograms; how many passes they take does not change the trees."""
+    assert 4 * behavior.HISTOGRAM_MB <= 512
+    df = spark.range(400).selectExpr("CASE WHEN id % 3 = 0 THEN 'A' ELSE 'B' END AS label", "array(cast(id % 3 as double), cast(id % 7 as double), cast(id as double)) AS features")
+    few, many = (behavior.train_behavior_model(df, trees=5, histogram_mb=mb)[1].toDebugString.split("\n", 1)[1] for mb in (0, 64))
+    assert few == many
+
+
 def test_forest(spark, tmp_path):
     rnd = np.random.default_rng(8)
     centres = {"A": [0, 0], "B": [10, 10], "GenericHttps": [0, 12]}
