@@ -5,8 +5,8 @@ original response of each group; records join their original by digest. Tasks pu
 fresh headers into archives: a warcinfo record, then the others, each a gzip member of its own, so
 readers can seek to any of them. Archives hold FILE_BYTES at most, or one longer record, and go
 through Spark's own text writer, so any file system that Spark knows will do; what the writer
-puts behind each is an empty gzip member. Archives are read back member by member in tasks, and
-revisits join the response they refer to."""
+puts behind each is an empty gzip member. Archives are read back member by member in tasks, once:
+the sizes and digests of what was read are kept, and revisits join the response they refer to."""
 
 import gzip
 import re
@@ -22,6 +22,8 @@ FILE_BYTES = 16 << 20
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 MIN_REVISIT_BYTES = 100
 END = "\r\n\r\n"
+#: Bytes given to a member's reader at once; what it leaves of them is copied.
+READ_BYTES = 16 << 10
 
 
 def _record_id(page_id: Column) -> Column:
@@ -122,14 +124,16 @@ def parse(data: bytes):
 
 def members(data: bytes):
     """The contents of an archive's gzip members, one at a time."""
-    rest = memoryview(data)
-    while len(rest):
-        reader = zlib.decompressobj(31)
-        out = reader.decompress(rest)
-        if not reader.eof:
-            raise ValueError("an archive ends inside a record")
-        rest = rest[len(rest) - len(reader.unused_data) :]
-        yield out
+    view, at = memoryview(data), 0
+    while at < len(view):
+        reader, out = zlib.decompressobj(31), []
+        while not reader.eof:
+            piece = view[at : at + READ_BYTES]
+            if not len(piece):
+                raise ValueError("an archive ends inside a record")
+            out.append(reader.decompress(piece))
+            at += len(piece) - len(reader.unused_data)
+        yield b"".join(out)
 
 
 def _parsed(batches):
@@ -167,8 +171,9 @@ def read_archives(spark, path: str) -> DataFrame:
 
 def resolve(read: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit takes its size
-    from the response it refers to, whose digest must agree."""
+    from the response it refers to, whose digest must agree. The archives are read once."""
     own = read.select("page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("bigint").alias("_own"), F.sha2("payload", 256).alias("_sha"))
+    own = written(own, "warc-read")
     responses = own.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), F.col("_sha").alias("payload_digest")).agg(F.min("_own").alias("_there"))
     joined = own.join(responses, ["refers_to", "payload_digest"], "left")
     revisit = F.col("record_type") == "revisit"

@@ -1,5 +1,7 @@
 import gzip
 import hashlib
+import os
+import zlib
 
 import pytest
 
@@ -59,6 +61,38 @@ def test_archives_are_bounded_and_open_to_any_reader(llm, folder):
         list(warc.members(files[0][:-30]))
 
 
+def test_members_are_read_in_bounded_pieces(monkeypatch):
+    """Not the whole rest of the archive for every record."""
+    from types import SimpleNamespace
+
+    fed = []
+
+    def reader(wbits):
+        it = zlib.decompressobj(wbits)
+
+        class Counted:
+            eof, unused_data = property(lambda self: it.eof), property(lambda self: it.unused_data)
+
+            def decompress(self, data):
+                fed.append(len(data))
+                return it.decompress(data)
+
+        return Counted()
+
+    contents = [b"%d " % i * (30_000 if i == 5 else 20) + os.urandom(50_000 if i == 7 else 80) for i in range(2000)]
+    data = b"".join(gzip.compress(c) for c in contents)
+    monkeypatch.setattr(warc, "zlib", SimpleNamespace(decompressobj=reader))
+    assert list(warc.members(data)) == contents
+    assert max(fed) <= 1 << 16 and sum(fed) < 40_000_000
+
+
+def test_archives_are_read_once(llm, folder):
+    pages = llm.createDataFrame([(1, "u", BIG), (2, "u", BIG)], "page_id long, url string, html string")
+    warc.write_archives(warc.records(pages), folder)
+    found = warc.resolve(warc.read_archives(llm, folder))
+    assert "MapInArrow" not in found._jdf.queryExecution().toString() and found.count() == 2
+
+
 def test_clashing_columns_and_ties(llm, folder):
     pages = llm.createDataFrame([(i, "u", BIG if i % 2 else "z" * 150, b"x", "d", 5) for i in (4, 3, 3, 2, 1, 1)], "page_id long, url string, html string, payload binary, payload_digest string, refers_to int")
     warc.write_archives(warc.records(pages), folder)
