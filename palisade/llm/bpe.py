@@ -104,7 +104,7 @@ def _blocks(spec: str, block_chars: int, shares: int):
         from pyspark import TaskContext
 
         special, part, number = _special(spec), TaskContext.get().partitionId(), 0
-        seen, docs, size = defaultdict(), [], 0
+        seen, docs, size = defaultdict(), [], 0  # a word's place is the number of words before it
         seen.default_factory = seen.__len__
 
         def block():
@@ -128,10 +128,10 @@ def _blocks(spec: str, block_chars: int, shares: int):
                 if size > block_chars:
                     yield block()
                     number, docs, size = number + 1, [], 0
-                    seen = defaultdict()
-                    seen.default_factory = seen.__len__
+                    seen.clear()
         if docs:
             yield block()
+        seen.default_factory = None  # else the table, which holds itself, would stay until a full collection
 
     return run
 

@@ -65,3 +65,24 @@ def test_whole_table_round_trip(llm, sf_dir):
 
 def test_empty_table(no_docs):
     assert bpe.encode(no_docs, SPEC, decoded=True).collect() == []
+
+
+def test_word_tables_go_with_their_blocks(monkeypatch):
+    """Tasks leave no table of words behind for the garbage collector."""
+    import gc
+    from collections import defaultdict
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [f"marker{i} of words" for i in range(40)]})
+    gc.collect()
+    gc.disable()
+    try:
+        made = [b.num_rows for b in bpe._blocks("{}", 200, 3)(iter([batch]))]
+        left = [x for x in gc.get_objects() if isinstance(x, defaultdict) and any(str(k).startswith("marker") for k in list(x)[:3])]
+    finally:
+        gc.enable()
+    assert len(made) > 3 and not left
