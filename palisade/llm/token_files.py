@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from palisade.llm.bpe import WHITE, tokenizer_spec
 from palisade.llm.common import written
-from palisade.plans.stage import scratch_path
+from palisade.plans.stage import arrow_batches, scratch_path
 
 SELECT = 256
 FILE_IDS = 4 << 20
 MAX_PARTITIONS = 50_000
-MAX_WORDS = 400_000
-BATCH_CHARS = 6 << 20
+MAX_WORDS = 300_000
+BATCH_CHARS = 3 << 20
+#: Bytes and rows that go to a Python task at once.
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 10_000
 #: Files that a range of documents makes.
 FILES = 4
 #: Text bytes for each id, in the number of ranges alone.
@@ -228,11 +230,13 @@ class _Encoder:
 
     def _learn(self, parts: set) -> None:
         """Ids of parts of words; None for characters that are no part."""
-        if len(self.parts) + len(parts) > self.most:
+        new = [p for p in parts if p not in self.parts]
+        if len(self.parts) + len(new) > self.most:
             self.parts.clear()
             self.parts["\n"] = b""
+            new = [p for p in parts if p != "\n"]
         known, tokenize, as_bytes, space, code = self.parts, self.model.tokenize, self.as_bytes, self.as_bytes[32], self.kind.char
-        for part in parts - known.keys():
+        for part in new:
             if len(part) == 1 and not PLAIN.fullmatch(part):  # what SPLIT finds is plain, but for single characters
                 known[part] = None
                 continue
@@ -284,6 +288,21 @@ def id_kind(model: dict) -> np.dtype:
     return np.dtype("<u2" if most < 1 << 16 else "<u4")
 
 
+def _chunks(batches):
+    """(doc_ids, texts) of about BATCH_CHARS characters, whatever the size of the batches."""
+    given, texts, chars = [], [], 0
+    for batch in batches:
+        for d, text in zip(batch.column(0), batch.column(1), strict=True):
+            given.append(d.as_py())
+            texts.append(text.as_py())
+            chars += len(texts[-1]) + 64
+            if chars >= BATCH_CHARS:
+                yield given, texts
+                given, texts, chars = [], [], 0
+    if given:
+        yield given, texts
+
+
 def _write(spec: str, end_id: int, max_words: int, file_ids: int):
     """Files of a range: its documents come sorted."""
 
@@ -298,25 +317,18 @@ def _write(spec: str, end_id: int, max_words: int, file_ids: int):
         def file():
             return pa.RecordBatch.from_arrays([pa.array([TokenFile.encode(part, number, width, doc_ids, lens, ids)], pa.binary())], ["data"])
 
-        for batch in batches:
-            given, texts, at = batch.column(0).to_pylist(), batch.column(1), 0
-            while at < len(texts):  # some million characters at a time
-                some, chars, first = [], 0, at
-                while at < len(texts) and chars < BATCH_CHARS:
-                    some.append(texts[at].as_py())
-                    chars += len(some[-1]) + 64
-                    at += 1
-                coded = coder.encode(some, end).to_pylist()
-                pa.default_memory_pool().release_unused()
-                for d, data in zip(given[first:at], coded, strict=True):
-                    n = len(data) // width
-                    if ids and size + n > file_ids:
-                        yield file()
-                        number, doc_ids, lens, ids, size = number + 1, [], [], [], 0
-                    doc_ids.append(d)
-                    lens.append(n)
-                    ids.append(data)
-                    size += n
+        for given, texts in _chunks(batches):
+            coded = coder.encode(texts, end).to_pylist()
+            pa.default_memory_pool().release_unused()
+            for d, data in zip(given, coded, strict=True):
+                n = len(data) // width
+                if ids and size + n > file_ids:
+                    yield file()
+                    number, doc_ids, lens, ids, size = number + 1, [], [], [], 0
+                doc_ids.append(d)
+                lens.append(n)
+                ids.append(data)
+                size += n
         if ids:
             yield file()
 
@@ -375,7 +387,8 @@ def write_ids(docs: DataFrame, path: str, spec: str | None = None, end_id: int =
     order = [F.asc_nulls_last("doc_id"), F.col("_h"), F.col("_tie")]
     ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(order[0], "_h", "text").select("doc_id", "text")
     files = ordered.mapInArrow(_write(spec, end_id, max_words, file_ids), "data binary")
-    files.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/ids")
+    with arrow_batches(spark, BATCH_BYTES, BATCH_ROWS):
+        files.select(F.col("data").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(f"{path}/ids")
     heads = _files(spark, path).mapInArrow(_heads, "part int, number int, n_ids long, n_docs long, first_doc long")
     heads = written(heads, "token-heads")
     inside, before = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

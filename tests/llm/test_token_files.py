@@ -2,7 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from palisade.llm import token_files as tf
@@ -119,3 +121,36 @@ def test_whole_table(llm, sf_dir):
     docs = llm.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     got = sorted((tuple(r) for r in QUERIES["op11_token_files"](llm, sf_dir).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: r[1])
     assert got == brute(docs)
+
+
+def test_texts_go_to_tasks_in_small_batches(llm, tmp_path, monkeypatch):
+    def sizes(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"data": pa.array([f"{b.num_rows} {b.nbytes}".encode()], pa.binary())})
+
+        return run
+
+    monkeypatch.setattr(tf, "_write", sizes)
+    docs = llm.range(200).select(F.col("id").alias("doc_id"), F.expr("repeat('some words ', 6000)").alias("text")).coalesce(1)
+    with pytest.raises(Exception):  # noqa: B017 - these files hold no ids
+        tf.write_ids(docs, str(tmp_path / "t"), SPEC)
+    got = [tuple(map(int, r["value"].split())) for r in llm.read.text(str(tmp_path / "t" / "ids")).where("value <> ''").collect()]
+    assert sum(n for n, _ in got) == 200 and max(size for _, size in got) < 4 << 20
+
+
+def test_chunks_do_not_follow_the_batches():
+    texts = ["x" * 100_000] * 100
+    batches = lambda n: [pa.RecordBatch.from_pydict({"doc_id": list(range(i, min(100, i + n))), "text": texts[i : i + n]}) for i in range(0, 100, n)]
+    want = list(tf._chunks(batches(100)))
+    assert sum((d for d, _ in want), []) == list(range(100)) and all(len(t) == 32 for _, t in want[:-1])
+    assert all(list(tf._chunks(batches(n))) == want for n in (1, 7, 33)) and list(tf._chunks([])) == []
+
+
+def test_known_parts_do_not_empty_the_table():
+    coder = tf._Encoder(SPEC, 150)
+    text = " ".join(f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst")
+    first, held = coder.encode([text]).to_pylist(), len(coder.parts)
+    assert 75 < held <= 150
+    coder.parts["mark"] = b""
+    assert coder.encode([text]).to_pylist() == first and "mark" in coder.parts
