@@ -135,3 +135,30 @@ def test_a_common_format_that_the_rules_miss_is_found(llm):
     docs = llm.createDataFrame(rows, "doc_id long, text string")
     spans = {x["doc_id"]: x["s"] for x in secrets.scan(docs).select("doc_id", secrets.render("spans").alias("s")).collect()}
     assert sum("cnn:13:54" in spans[2000 + i] for i in range(120)) >= 114 and not any(spans[1000 + i] for i in range(120))
+
+
+def test_training_reads_all_labelled_runs(llm, monkeypatch):
+    """Many shards: every run is fitted or held out, and the order of the table has no say."""
+    rows, labels = labelled(6000, 8)
+    table = llm.createDataFrame([(s, int(lead), int(n), secrets.FOUND if y else secrets.HARD) for i, ((s, lead, n), y) in enumerate(zip(rows, labels, strict=True)) if not y or i % 12 == 0], secrets.LABELLED)
+    counted, fitted = [], []
+    calibrated, round_ = secrets.CharCNN.calibrated, secrets._round
+    monkeypatch.setattr(secrets.CharCNN, "calibrated", lambda net, z, y, weight, recall: counted.append(weight.sum()) or calibrated(net, z, y, weight, recall))
+    monkeypatch.setattr(secrets, "_round", lambda shards, net, first, last, *a: fitted.extend(shards.where(secrets.F.col("_shard").between(first, last)).select("seen").collect()) or round_(shards, net, first, last, *a))
+    net = secrets.train(table, shard_runs=600)
+    assert len({r["seen"] for r in fitted}) + counted[0] == table.distinct().count() > 3000
+    again = secrets.train(table.repartition(5, "n"), shard_runs=600)
+    assert all((net.p[k] == again.p[k]).all() for k in net.p) and net.threshold == again.threshold
+    more, truth = labelled(400, 3)
+    said = net.score(more) >= net.threshold
+    assert said[truth].mean() >= 0.85 and said[~truth].mean() <= 0.05  # the threshold follows from some 60 held-out findings
+
+
+def test_counted_logits_calibrate_as_single_ones():
+    r = np.random.default_rng(4)
+    z = np.round(r.normal(0, 2, 500), 1)
+    labels = r.random(500) < 1 / (1 + np.exp(-2 * z))
+    one = secrets.CharCNN().calibrated(z, labels, np.ones(500), 0.9)
+    pairs, n = np.unique(np.stack([z, labels]), axis=1, return_counts=True)
+    other = secrets.CharCNN().calibrated(pairs[0], pairs[1].astype(bool), n.astype(float), 0.9)
+    assert np.allclose([one.scale, one.shift, one.threshold, one.recall, one.passed], [other.scale, other.shift, other.threshold, other.recall, other.passed])
