@@ -19,6 +19,23 @@ from palisade.llm.ngram_join import components
 BUCKET_ROWS = 4096
 
 
+def water_fill(sizes: dict, weights: dict, copies: int = 3) -> dict:
+    """Shares of the total by weight; no source above copies x its size, the excess reshared: what
+    `fill_sources` works out on tables, for a few sources."""
+    total, targets, open_ = float(sum(sizes.values())), {}, set(sizes)
+    left = total
+    while open_:
+        per = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if per * weights[s] > copies * sizes[s]}
+        if not full:
+            return targets | {s: per * weights[s] for s in open_}
+        for s in full:
+            targets[s] = float(copies * sizes[s])
+        left -= sum(targets[s] for s in full)
+        open_ -= full
+    return targets
+
+
 def route(patterns: dict, targets: dict, copies: int = 3) -> dict:
     """Min-cost flow: {pattern: tokens taken}. patterns: {tuple of sources: tokens}.
 
