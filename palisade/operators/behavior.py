@@ -2,12 +2,13 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palisade.operators.forest import Forest, grow
 from palisade.plans.stage import checkpointed
 
 # Forest parameters
@@ -30,15 +31,14 @@ def train_behavior_model(vectors: DataFrame, label="label", features="features",
     if size.n < MIN_ROWS or size.classes < MIN_CLASSES:
         return None
     labels = StringIndexer(inputCol="label", outputCol="class", stringOrderType="alphabetAsc").fit(rows)
-    forest = RandomForestClassifier(
-        labelCol="class", featuresCol="vector", numTrees=trees, maxDepth=DEPTH, subsamplingRate=SHARE, bootstrap=True,
-        minInstancesPerNode=LEAF, featureSubsetStrategy="all", seed=seed, maxMemoryInMB=histogram_mb,
-    )
-    return labels, forest.fit(labels.transform(rows))
+    known = labels.transform(rows).select("class", vector_to_array("vector").alias("features"))
+    return labels, grow(known, len(labels.labels), size.n, trees, DEPTH, SHARE, LEAF, seed, histogram_mb)
 
 
-def _nodes(forest: RandomForestClassificationModel, folder: str) -> list[dict]:
+def _nodes(forest: Forest | RandomForestClassificationModel, folder: str) -> list[dict]:
     """Trees as arrays (feature, threshold, left, right, class); at most trees * 2**11 nodes."""
+    if isinstance(forest, Forest):
+        return forest.trees
     path = f"{folder}/forest-{forest.uid}"
     forest.write().overwrite().save(path)
     data = forest_session(forest).read.parquet(f"{path}/data")

@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from palisade import rules, schemas
 from palisade.checks.bindings import bound
 from palisade.functions.hashing import fnv32, fnv64, hex64, unsigned_mod
 from palisade.functions.simhash import planes
-from palisade.operators import behavior, classify, h2, policy, protocols, similarity, windows
+from palisade.operators import behavior, classify, forest, h2, policy, protocols, similarity, windows
 from palisade.operators.normalize import struct_of
 from palisade.plans import ordered
 from palisade.sources import events as source
@@ -309,6 +311,35 @@ def test_forest_memory_of_a_task(spark):
     assert few == many
 
 
+def test_forest_draws(spark):
+    """Bootstrap counts are those of the generator that spark.ml uses, however many are taken at once."""
+    plain = spark._jvm.org.apache.commons.math3.distribution.PoissonDistribution(0.7)
+    plain.reseedRandomGenerator(9)
+    draws = forest.Draws(9, 0.7)
+    assert np.concatenate([draws.take(n) for n in (7, 593, 400)]).tolist() == [plain.sample() for _ in range(1000)]
+
+
+def test_forest_is_that_of_spark_ml(spark, tmp_path, monkeypatch):
+    """Every tree votes as spark.ml's, ties, zeros and constants among the features; blocks of many partitions are counted by few tasks."""
+    tasks, level = [], forest._level
+    monkeypatch.setattr(forest, "_level", lambda blocks, *a: (tasks.append(blocks.rdd.getNumPartitions()), level(blocks, *a))[1])
+    rnd = np.random.default_rng(5)
+    x = np.stack([rnd.integers(4, size=700), rnd.normal(size=700).round(2), np.zeros(700), rnd.random(700) * (rnd.random(700) < 0.3), -rnd.random(700)], axis=1)
+    y = np.where(rnd.random(700) < 0.3, rnd.integers(3, size=700), (x[:, 0] > 1) + (x[:, 3] > 0.4))
+    parts = 3 * spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame(spark.sparkContext.parallelize([(i, "ABC"[y[i]], x[i].tolist()) for i in range(700)], parts), "id long, label string, features array<double>")
+    labels, mine = behavior.train_behavior_model(df, trees=6)
+    assert tasks and max(tasks) <= spark.sparkContext.defaultParallelism
+    rows = behavior.checkpointed(df.select("label", array_to_vector("features").alias("vector")))
+    plain = RandomForestClassifier(
+        labelCol="class", featuresCol="vector", numTrees=6, maxDepth=behavior.DEPTH, subsamplingRate=behavior.SHARE, bootstrap=True,
+        minInstancesPerNode=behavior.LEAF, featureSubsetStrategy="all", seed=7,
+    ).fit(labels.transform(rows))
+    for a, b in zip(mine.trees, behavior._nodes(plain, str(tmp_path)), strict=True):
+        assert (behavior._votes([a], x, 3) == behavior._votes([b], x, 3)).all()
+        assert (a["feature"][0], a["threshold"][0]) == (b["feature"][0], b["threshold"][0])
+
+
 def test_forest(spark, tmp_path):
     rnd = np.random.default_rng(8)
     centres = {"A": [0, 0], "B": [10, 10], "GenericHttps": [0, 12]}
